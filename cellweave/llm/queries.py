@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from .licenses import op6_licenses
+from .media import op1_media
 from .mixing import OP10_SQL, op10_mixing
+from .near_dedup import op4_near_dedup
+from .packing import op5_packing
+from .secrets import op8_secrets
 from .token_ids import op9_token_ids
 
 QUERIES = {
+    "op1_media": op1_media,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_packing": op5_packing,
+    "op6_licenses": op6_licenses,
+    "op8_secrets": op8_secrets,
     "op9_token_ids": op9_token_ids,
     "op10_mixing": op10_mixing,
 }
