@@ -7,6 +7,7 @@ from .media import op1_media
 from .mixing import OP10_SQL, op10_mixing
 from .near_dedup import op4_near_dedup
 from .packing import op5_packing
+from .quality import op7_quality
 from .secrets import op8_secrets
 from .token_ids import op9_token_ids
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_packing": op5_packing,
     "op6_licenses": op6_licenses,
+    "op7_quality": op7_quality,
     "op8_secrets": op8_secrets,
     "op9_token_ids": op9_token_ids,
     "op10_mixing": op10_mixing,

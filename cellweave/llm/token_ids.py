@@ -97,18 +97,23 @@ def open_block(block: bytes) -> tuple[list, EliasFano, np.ndarray]:
 
 
 class _Pieces(dict):
-    """Ids of text pieces that the pre-tokenizer never joins with their neighbours, as bytes; emptied when full."""
+    """Ids of text pieces that the pre-tokenizer never joins with their neighbours, as bytes, in two generations.
 
-    FULL = 400_000
+    When the young one is full it becomes the old one, so frequent pieces stay and memory is bounded.
+    """
+
+    FULL = 500_000
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
         if len(self) >= self.FULL:
+            self.old = dict(self)
             self.clear()
-        self[key] = found = self.make(key)
+        found = self.old.get(key)
+        self[key] = found = self.make(key) if found is None else found
         return found
 
 
