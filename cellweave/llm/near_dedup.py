@@ -159,8 +159,7 @@ def _sketched(pairs: DataFrame, sets: DataFrame, most: int) -> DataFrame:
 def _tile_pairs(rows: DataFrame, most: int) -> DataFrame:
     """Pairs (a, b) of a tile's rows (key, i, j, side, id, comp, star, sketch) that may link different components."""
 
-    def run(batches):
-        table = pa.Table.from_batches(list(batches))
+    def compare(table: pa.Table) -> pa.Table:
         col = lambda c: table.column(c).to_numpy()
         ids, comp, star, side = col("id"), col("comp"), col("star"), col("side")
         sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64)
@@ -174,9 +173,9 @@ def _tile_pairs(rows: DataFrame, most: int) -> DataFrame:
             hit = others[near & (comp[others] != comp[i]) & (ids[others] != star[i]) & (ids[i] != star[i])]
             a += [ids[i]] * len(hit)
             b += ids[hit].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(lambda key, t: run(t), "a long, b long")
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:

@@ -10,9 +10,11 @@ from .packing import op5_packing
 from .quality import op7_quality
 from .secrets import op8_secrets
 from .token_ids import op9_token_ids
+from .vectors import op3_nearest
 
 QUERIES = {
     "op1_media": op1_media,
+    "op3_nearest": op3_nearest,
     "op4_near_dedup": op4_near_dedup,
     "op5_packing": op5_packing,
     "op6_licenses": op6_licenses,
