@@ -9,11 +9,13 @@ from .near_dedup import op4_near_dedup
 from .packing import op5_packing
 from .quality import op7_quality
 from .secrets import op8_secrets
+from .substrings import op2_substrings
 from .token_ids import op9_token_ids
 from .vectors import op3_nearest
 
 QUERIES = {
     "op1_media": op1_media,
+    "op2_substrings": op2_substrings,
     "op3_nearest": op3_nearest,
     "op4_near_dedup": op4_near_dedup,
     "op5_packing": op5_packing,
