@@ -61,9 +61,9 @@ def copies(docs: DataFrame, seed: int = 20, weights: tuple[int, ...] = (1, 2, 3)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: each document as often as drawn, with the columns of ``docs``."""
-    rows = copies(docs.withColumn("size", word_count()), **how)
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mixed corpus: each document as often as drawn, with the columns of ``docs``, whatever their names."""
+    rows = copies(docs.select("doc_id", "source", word_count().alias("size"), F.struct(*docs.columns).alias("_row")), **how)
+    return rows.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,25 +203,25 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[np.nd
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 20_000) -> DataFrame:
-    """``docs`` with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= ``threshold``).
+    """(row, score, predicted): each document as a struct, its score (0 to 1, higher: label 1 likelier), and 1 if
+    score >= ``threshold``.
 
     A null text counts as empty and gets the score of an empty text. Without labels of both classes every score is the
     labels' smoothed mean. Labels, doc_id and other columns are never inputs of a score.
     """
     share = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))
-    columns = docs.columns
 
     def run(batches):
         vectors, frequency, network = share.value
         for batch in batches:
-            s = network.score(document_vectors(batch.column(len(columns)), vectors, frequency))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"])
+            s = network.score(document_vectors(batch.column(1), vectors, frequency))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["row", "score", "predicted"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.select("*", whole().alias("_t")).mapInArrow(run, f"{kinds}, score double, predicted int")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), whole().alias("text"))
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double, predicted int")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rows.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return rows.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", "predicted")
