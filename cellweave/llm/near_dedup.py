@@ -6,7 +6,7 @@ similarity 1 is precise, and weed out candidates; those left are confirmed on th
 
 No group is compared all against all. Equal sets collapse to their least doc_id first. In a bucket every member is
 compared with the least one only; then buckets that still hold several components are searched in square tiles of
-bounded blocks, by sketches, for pairs that would join different components.
+bounded blocks: the sketches pick rows that may join different components, full sets decide inside the tile.
 """
 
 from __future__ import annotations
@@ -156,30 +156,90 @@ def _sketched(pairs: DataFrame, sets: DataFrame, most: int) -> DataFrame:
     return pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").where(_differing("x", "y") <= most).select("a", "b")
 
 
-def _tile_pairs(rows: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) of a tile's rows (key, i, j, side, id, comp, star, sketch) that may link different components."""
+def _possible(rows: DataFrame, most: int) -> DataFrame:
+    """Of a tile's rows (key, i, j, side, id, comp, star, sketch, bands), those that the sketches leave a possible link
+    to another component; a pair counts in the first of its common buckets only, and not with the star."""
 
-    def compare(table: pa.Table) -> pa.Table:
+    def mark(table: pa.Table) -> pa.Table:
         col = lambda c: table.column(c).to_numpy()
-        ids, comp, star, side = col("id"), col("comp"), col("star"), col("side")
-        sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64)
+        ids, comp, star, side, key = (col(c) for c in ("id", "comp", "star", "side", "key"))
+        matrix = lambda c: table.column(c).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        sketch, bands = matrix("sketch").view(np.uint64), matrix("bands")
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = not len(right)
         right = left if same else right
-        a, b = [], []
+        chosen = np.zeros(len(ids), bool)
         for n, i in enumerate(left):
             others = right[n + 1 :] if same else right
-            near = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1) <= most
-            hit = others[near & (comp[others] != comp[i]) & (ids[others] != star[i]) & (ids[i] != star[i])]
-            a += [ids[i]] * len(hit)
-            b += ids[hit].tolist()
+            differing = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1)
+            others = others[(differing <= most) & (comp[others] != comp[i]) & (ids[others] != star[i]) & (ids[i] != star[i])]
+            others = others[bands[i][(bands[others] == bands[i]).argmax(1)] == key[0]]
+            chosen[others] = True
+            chosen[i] |= bool(len(others))
+        return table.select(["key", "i", "j", "side", "id", "comp"]).take(pa.array(np.flatnonzero(chosen)))
+
+    return rows.groupBy("key", "i", "j").applyInArrow(mark, "key long, i int, j int, side int, id long, comp long")
+
+
+def _tile_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components among a tile's rows (key, i, j, side, id, comp, shingles), by full sets.
+
+    Shared shingles are counted through the tile's sorted shingles; links that close no gap are left out.
+    """
+
+    def search(table: pa.Table) -> pa.Table:
+        ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        right = right if len(right) else left
+        sizes = np.array([len(sets[r]) for r in right])
+        flat, owner = np.concatenate([sets[r] for r in right]), np.repeat(np.arange(len(right)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        up: dict = {}
+
+        def top(x):
+            while up.get(x, x) != x:
+                up[x] = x = up.get(up[x], up[x])
+            return x
+
+        a, b = [], []
+        for i in left:
+            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            n = hi - lo
+            hits = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+            shared = np.bincount(owner[hits], minlength=len(right))
+            near = right[(100 * shared >= percent * (len(sets[i]) + sizes - shared)) & (comp[right] != comp[i])]
+            for r in near.tolist():
+                x, y = top(int(comp[i])), top(int(comp[r]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    a.append(ids[i])
+                    b.append(ids[r])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    return rows.groupBy("key", "i", "j").applyInArrow(search, "a long, b long")
+
+
+def _open_tiles(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Tiles of the buckets that hold several components by ``labels``.
+
+    A bucket of n members is cut into n / BLOCK blocks by a hash of the id; a tile is a pair of blocks.
+    """
+    labelled = members.where("n > 2").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    split = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = labelled.join(stash(split, "unresolved"), "key").join(sets.select("id", "sketch", "bands"), "id")
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), F.when(F.col("blk") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "comp", "star", "sketch", "bands")
 
 
 def links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between different sets, at least enough of them to connect every component."""
+    """Confirmed links (a, b) between different sets, at least enough of them to connect every component.
+
+    First members with their bucket's star; then, in buckets that still hold several components, tiles of bounded
+    blocks: sketches tell which rows may link across components, and full sets are brought to those rows only.
+    """
     most = most_differing(percent)
     rows = sets.select("id", "set_id", F.explode("bands").alias("key"))
     buckets = stash(rows.groupBy("key").agg(F.min("id").alias("star"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
@@ -187,17 +247,8 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFram
     full = stash(_full_sets(docs, members.select("id", "set_id").distinct(), size), "sets", "zstd")
     stars = members.where("id <> star").select(F.col("id").alias("a"), F.col("star").alias("b")).distinct()
     first = stash(_confirm(stash(_sketched(stars, sets, most), "pairs"), full, percent), "links")
-    labels = components(first)
-    labelled = members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    split = stash(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "unresolved")
-    if split.isEmpty():
-        return first
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_rows = labelled.where("n > 2").join(split, "key").join(sets.select("id", "sketch"), "id")
-    open_rows = open_rows.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiles = open_rows.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), F.when(F.col("blk") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "comp", "star", "sketch")
-    more = _tile_pairs(tiles, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = stash(_confirm(stash(more, "pairs"), full, percent), "links")
+    possible = stash(_possible(_open_tiles(members, sets, components(first)), most), "possible")
+    second = stash(_tile_links(possible.join(full, "id"), percent), "links")
     return first.unionByName(second)
 
 

@@ -130,12 +130,28 @@ def test_near_duplicates_of_a_chained_group(spark):
     assert out == want and len(set(want.values())) < len(rows)
 
 
-def test_tiles_find_pairs_across_components(spark):
+def test_tiles_mark_possible_links_across_components(spark):
     from cellweave.llm import near_dedup as N
 
-    rows = [(7, 0, 0, 0, i, i, 1, [j % 3 for j in range(N.LONGS)]) for i in (1, 2, 3)] + [(7, 0, 1, 0, 2, 2, 1, [0] * N.LONGS), (7, 0, 1, 1, 3, 3, 1, [1] * N.LONGS), (7, 0, 1, 1, 4, 2, 1, [0] * N.LONGS)]
-    tiles = spark.createDataFrame(rows, "key long, i int, j int, side int, id long, comp long, star long, sketch array<long>")
-    assert {tuple(r) for r in N._tile_pairs(tiles, 10).collect()} == {(2, 3)}
+    far = [[-1] * N.LONGS, [0] * N.LONGS]
+    one = [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 2, 1), (5, 5, 0), (6, 2, 0)]
+    rows = [(7, 0, 0, 0, i, comp, 1, far[1 - f], [2 if i in (5, 6) else i, 7, *range(100 * i, 100 * i + N.BANDS - 2)]) for i, comp, f in one]
+    tiles = spark.createDataFrame(rows, "key long, i int, j int, side int, id long, comp long, star long, sketch array<long>, bands array<long>")
+    # 1 is the star, 4 looks different, 2, 5 and 6 first meet in bucket 2, so all but 1 and 4 pair with 3 or 5 with 3
+    assert {r.id for r in N._possible(tiles, 10).collect()} == {2, 3, 5, 6}
+    assert N._possible(tiles.where("id <> 3"), 10).isEmpty()
+
+
+def test_tiles_link_by_full_sets(spark):
+    from cellweave.llm import near_dedup as N
+
+    pack = lambda *x: bytearray(np.array(sorted(x), np.uint64).tobytes())
+    sets = {1: range(10), 2: range(1, 10), 3: range(2, 12), 4: range(50, 60), 5: range(9)}
+    rows = [(7, 0, 0, 0, i, i, pack(*x)) for i, x in sets.items()]
+    schema = "key long, i int, j int, side int, id long, comp long, shingles binary"
+    assert {tuple(sorted(r)) for r in N._tile_links(spark.createDataFrame(rows, schema), 80).collect()} == {(1, 2), (1, 5)}  # (2, 5) closes no gap
+    across = [(7, 0, 1, i % 2, i, i, pack(*x)) for i, x in sets.items()]
+    assert {tuple(sorted(r)) for r in N._tile_links(spark.createDataFrame(across, schema), 80).collect()} == {(1, 2), (2, 5)}
 
 
 def test_odd_sketches_estimate_similarity():
