@@ -37,6 +37,12 @@ def shuffle_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lower the session's Arrow batches to ``rows``, so that a Python worker holds a few MB of text at a time."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def whole(column: str = "text") -> Column:
     """The whole text, a null text read as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_count, slices, stash, text_bytes, whole
+from .common import shuffle_count, slices, small_batches, stash, text_bytes, whole
 from .words import Rolling, mix
 
 GRAM = 16
 #: Bytes ranked at a time; a longer document is cut, windows overlapping.
-PORTION = 1 << 20
+PORTION = 1 << 19
 LEAST = -(1 << 63)
 _LOW48 = np.uint64((1 << 48) - 1)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -65,17 +65,21 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     return rolling, np.searchsorted(offsets, lo, "right") - 1, at[first], lo, start[last]
 
 
-def _portions(column: pa.Array, length: int):
-    """(index of the first document, shift of the first byte, data, offsets), windows whole."""
+def _portions(column: pa.Array):
+    """(index of the first document, data, offsets) of whole documents, about PORTION bytes each."""
     data, offsets = text_bytes(column)
     for a, b in slices(offsets, PORTION):
-        part = offsets[a : b + 1]
-        if part[-1] - part[0] <= 2 * PORTION:
-            yield a, 0, data[part[0] : part[-1]], part - part[0]
-        else:
-            for s in range(0, int(part[-1] - part[0]) - length + 1, PORTION):
-                piece = data[part[0] + s : min(part[0] + s + PORTION + length - 1, part[-1])]
-                yield a, s, piece, np.array([0, len(piece)])
+        yield a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
+    """(shift of the first byte, data, offsets) of a portion, a very long document cut so that windows stay whole."""
+    if len(data) <= 2 * PORTION:
+        yield 0, data, offsets
+    else:
+        for s in range(0, len(data) - length + 1, PORTION):
+            piece = data[s : s + PORTION + length - 1]
+            yield s, piece, np.array([0, len(piece)])
 
 
 def _ranks(rolling: Rolling, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,6 +129,23 @@ def _gathered(table: pa.Table, unpack) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(p) for p in parts)
 
 
+def _settled(doc: np.ndarray, gram: np.ndarray, context: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Documents and keys of anchors whose context a smaller document has, and of one copy of each context that shares
+    its gram with another context of another document."""
+    order = np.lexsort((doc, context, gram))
+    doc, gram, context = doc[order], gram[order], context[order]
+    new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
+    new_class = new_gram | np.concatenate([[True], context[1:] != context[:-1]])
+    which_gram = np.cumsum(new_gram) - 1
+    heads = np.flatnonzero(new_gram)
+    settled = doc[np.flatnonzero(new_class)][np.cumsum(new_class) - 1] < doc
+    mixed = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
+    mixed &= np.add.reduceat(new_class.astype(np.int32), heads) > 1
+    is_open = ~settled & mixed[which_gram]
+    keys = lambda m: (doc[m], _key(doc[m], gram[m], context[m]))
+    return {"settled": keys(settled), "open": keys(is_open)}
+
+
 def _by_team(teams: int, kinds: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
     """Rows (team, settled, open, repeated): the keys of each kind for the documents of each team."""
     rows: list[list] = [[], [], [], []]
@@ -176,49 +197,40 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = teams = shuffle_count(spark)
 
     def rank(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             found: list[list] = [[], [], []]
-            for a, _, data, offsets in _portions(batch.column(1), length):
-                rolling, doc, at, lo, hi = _anchors(data, offsets, length)
-                for have, x in zip(found, (ids[a + doc], *_ranks(rolling, at, lo, hi, length)), strict=True):
-                    have.append(x)
+            for a, data, offsets in _portions(batch.column(1)):
+                for _, piece, ends in _pieces(data, offsets, length):
+                    rolling, doc, at, lo, hi = _anchors(piece, ends, length)
+                    for have, x in zip(found, (ids[a + doc], *_ranks(rolling, at, lo, hi, length)), strict=True):
+                        have.append(x)
             doc, gram, context = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found)
             if len(doc):
                 yield _dealt(((gram >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), doc, [gram, context], _six)
 
     def settle(table: pa.Table) -> pa.Table:
         doc, gram, context = _gathered(table, _from_six)
-        order = np.lexsort((doc, context, gram))
-        doc, gram, context = doc[order], gram[order], context[order]
-        new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
-        new_class = new_gram | np.concatenate([[True], context[1:] != context[:-1]])
-        first = np.flatnonzero(new_class)
-        which_class, which_gram = np.cumsum(new_class) - 1, np.cumsum(new_gram) - 1
-        least = doc[first][which_class]
-        heads = np.flatnonzero(new_gram)
-        low, high = np.minimum.reduceat(doc, heads)[which_gram], np.maximum.reduceat(doc, heads)[which_gram]
-        classes = np.add.reduceat(new_class.astype(np.int64), heads)[which_gram]
-        settled = least < doc
-        is_open = ~settled & (classes > 1) & (low != high)
-        keys = lambda m: (doc[m], _key(doc[m], gram[m], context[m]))
-        return _by_team(teams, {"settled": keys(settled), "open": keys(is_open)})
+        part = gram & np.uint64(7)
+        return pa.concat_tables([_by_team(teams, _settled(doc[m], gram[m], context[m])) for m in (part == i for i in range(8)) if m.any()])
 
     def expand(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, known = left.column("id").to_numpy(), _known(right, "open")
         found: list[list] = [[], []]
         for column_ids, column in _chunks(left, ids):
-            for a, _, data, offsets in _portions(column, length):
-                rolling, doc, at, lo, hi = _anchors(data, offsets, length)
-                name = column_ids[a + doc]
-                gram, context = _ranks(rolling, at, lo, hi, length)
-                some = _among(_key(name, gram & _LOW48, context), known)
-                which, _, ranks = _windows(rolling, lo[some], hi[some], length)
-                found[0].append(name[some][which])
-                found[1].append(ranks)
+            for a, data, offsets in _portions(column):
+                for _, piece, ends in _pieces(data, offsets, length):
+                    rolling, doc, at, lo, hi = _anchors(piece, ends, length)
+                    name = column_ids[a + doc]
+                    gram, context = _ranks(rolling, at, lo, hi, length)
+                    some = _among(_key(name, gram & _LOW48, context), known)
+                    which, _, ranks = _windows(rolling, lo[some], hi[some], length)
+                    found[0].append(name[some][which])
+                    found[1].append(ranks)
         doc, ranks = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found)
         batch = _dealt((ranks % np.uint64(buckets)).astype(np.int32), doc.astype(np.int64), [ranks], lambda v: v.tobytes())
         return pa.Table.from_batches([batch])
@@ -236,28 +248,27 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
         settled, is_open, repeated = (_known(right, k) for k in ("settled", "open", "repeated"))
         out: list[list] = [[] for _ in range(5)]
         for column_ids, column in _chunks(left, ids):
-            data, ends = text_bytes(column)
-            cover = np.zeros(len(data) + 1, np.int32)
-            for a, shift, piece, offsets in _portions(column, length):
-                rolling, doc, at, lo, hi = _anchors(piece, offsets, length)
-                name = column_ids[a + doc]
-                gram, context = _ranks(rolling, at, lo, hi, length)
-                keys = _key(name, gram & _LOW48, context)
-                base = ends[a] + shift
-                whole_run, some = _among(keys, settled), _among(keys, is_open)
-                np.add.at(cover, base + lo[whole_run], 1)
-                np.add.at(cover, base + hi[whole_run] + length, -1)
-                which, start, ranks = _windows(rolling, lo[some], hi[some], length)
-                hit = start[_among(_key(name[some][which], ranks), repeated)]
-                np.add.at(cover, base + hit, 1)
-                np.add.at(cover, base + hit + length, -1)
-            gone = np.cumsum(cover[:-1]) > 0
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                g = gone[a:b]
-                kept = data[a:b][~g].tobytes()
-                runs = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if b > a else 0
-                for have, x in zip(out, (b - a, int(g.sum()), runs, hashlib.sha256(kept).hexdigest(), kept if kept_bytes else None), strict=True):
-                    have.append(x)
+            for first, data, offsets in _portions(column):
+                cover = np.zeros(len(data) + 1, np.int32)
+                for shift, piece, ends in _pieces(data, offsets, length):
+                    rolling, doc, at, lo, hi = _anchors(piece, ends, length)
+                    name = column_ids[first + doc]
+                    gram, context = _ranks(rolling, at, lo, hi, length)
+                    keys = _key(name, gram & _LOW48, context)
+                    whole_run, some = _among(keys, settled), _among(keys, is_open)
+                    np.add.at(cover, shift + lo[whole_run], 1)
+                    np.add.at(cover, shift + hi[whole_run] + length, -1)
+                    which, start, ranks = _windows(rolling, lo[some], hi[some], length)
+                    hit = shift + start[_among(_key(name[some][which], ranks), repeated)]
+                    np.add.at(cover, hit, 1)
+                    np.add.at(cover, hit + length, -1)
+                gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    g = gone[a:b]
+                    kept = data[a:b][~g].tobytes()
+                    runs = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if b > a else 0
+                    for have, x in zip(out, (b - a, int(g.sum()), runs, hashlib.sha256(kept).hexdigest(), kept if kept_bytes else None), strict=True):
+                        have.append(x)
         return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string()), "kept": pa.array(out[4], pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
