@@ -1,4 +1,4 @@
-"""Name -> query and name -> oracle SQL."""
+"""Name -> query and name -> oracle SQL. A query is a function of (spark, sf_dir), registered by ``query``."""
 
 from __future__ import annotations
 
@@ -6,3 +6,26 @@ FLAGSHIP = "return_periods"
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(*ctes: str, sql: str | None = None):
+    """Register a query of one ``Tables`` argument; ``sql`` follows the common table expressions."""
+
+    def add(make):
+        from cellweave.sources.tables import Tables
+
+        def run(spark, sf_dir):
+            return make(Tables(spark, sf_dir))
+
+        run.__name__, run.__doc__ = make.__name__, make.__doc__
+        QUERIES[make.__name__] = run
+        if sql:
+            SQL[make.__name__] = (f"WITH RECURSIVE {', '.join(ctes)} " if ctes else "") + sql
+        return make
+
+    return add
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    from cellweave.plans import artefacts, climate, events, extremes, ingest, checks, simulation, verification  # noqa: F401
