@@ -31,8 +31,8 @@ def years_of(cell_day: DataFrame) -> DataFrame:
 def occurrence(annual: DataFrame, years: DataFrame, thresholds) -> DataFrame:
     """Share of years in which a cell's maximum is over 0 (p_occ) and reaches each threshold (p_0, p_1, ...)."""
     counts = annual.groupBy(*CELL).agg(F.count_if(F.col("mm") > 0).alias("n"), *(F.count_if(F.col("mm") >= t).alias(f"n{i}") for i, t in enumerate(thresholds)))
-    joined = counts.crossJoin(F.broadcast(years))
-    return joined.select(*CELL, (F.col("n") / F.col("n_years")).alias("p_occ"), *((F.col(f"n{i}") / F.col("n_years")).alias(f"p_{i}") for i in range(len(thresholds))))
+    n_years = years.scalar()
+    return counts.select(*CELL, (F.col("n") / n_years).alias("p_occ"), *((F.col(f"n{i}") / n_years).alias(f"p_{i}") for i in range(len(thresholds))))
 
 
 def doy_means(cell_day: DataFrame) -> DataFrame:
@@ -44,9 +44,9 @@ def doy_means(cell_day: DataFrame) -> DataFrame:
 
 def annual_means(cell_day: DataFrame) -> DataFrame:
     """Mean over all days (a file a day) and days with signal a calendar year: two denominators."""
-    files = cell_day.agg(F.count_distinct("day").alias("n_files"), F.count_distinct(F.year("day")).alias("n_years"))
+    files = cell_day.agg(F.count_distinct("day")).scalar()
     sums = cell_day.groupBy(*CELL).agg(F.sum("mm").alias("total"), F.count_if(F.col("mm") > 0).alias("days"))
-    return sums.crossJoin(F.broadcast(files)).select(*CELL, (F.col("total") / F.col("n_files")).alias("mean_mm"), (F.col("days") / F.col("n_years")).alias("days_per_year"))
+    return sums.select(*CELL, (F.col("total") / files).alias("mean_mm"), (F.col("days") / years_of(cell_day).scalar()).alias("days_per_year"))
 
 
 def hail_day_counts(cell_day: DataFrame, thresholds) -> DataFrame:

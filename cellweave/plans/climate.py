@@ -116,7 +116,7 @@ def hail_day_counts(t):
   FROM (SELECT *, unnest(CASE WHEN cell_row BETWEEN 5 AND 14 AND cell_col BETWEEN 8 AND 16 THEN ['all', 'plains'] ELSE ['all'] END) AS box FROM rate WHERE per_year > 0) GROUP BY box""")
 def hail_day_rates(t):
     days = t.cell_day()
-    rate = days.groupBy(*climate.CELL).agg(F.count_if(F.col("mm") >= grid.EVENT_MM).alias("n")).crossJoin(F.broadcast(climate.years_of(days))).withColumn("per_year", F.col("n") / F.col("n_years")).where("per_year > 0")
+    rate = days.groupBy(*climate.CELL).agg(F.count_if(F.col("mm") >= grid.EVENT_MM).alias("n")).withColumn("per_year", F.col("n") / climate.years_of(days).scalar()).where("per_year > 0")
     plains = F.col("cell_row").between(5, 14) & F.col("cell_col").between(8, 16)
     boxed = rate.withColumn("box", F.explode(F.when(plains, F.array(F.lit("all"), F.lit("plains"))).otherwise(F.array(F.lit("all")))))
     v = F.col("per_year")
