@@ -103,3 +103,22 @@ def persistence(cells: DataFrame, annuli: DataFrame, frames: int = 21, least_fra
     stormy = (F.col("today_med") >= F.greatest("ring_med", F.lit(1.0)) * storm) & (F.col("today_med") >= ACTIVE_MM)
     hit = (F.col("mm") >= ACTIVE_MM) & (F.col("ring_frac") >= range_frac) & (F.col("cell_frac") >= cell_frac) & (F.col("mm") < F.greatest("cell_med", F.lit(1.0)) * burst) & ~F.coalesce(stormy, F.lit(False))
     return zeroed(rows, hit).select(*cells.columns)
+
+
+def echo_coverage(voxels: DataFrame, echo_dbz: float = 5.0, least: float = 0.32) -> DataFrame:
+    """Voxels (vol, k, j, i, dbz) of volumes that keep enough echo in their 3 x 3 x 3 surroundings, outside counting
+    none; echoes are counted by 27 shifted keys, so no volume is one task."""
+    steps = F.array(*map(F.lit, (-1, 0, 1)))
+    echo = voxels.where(F.col("dbz") >= echo_dbz).select("vol", "k", "j", "i")
+    around = echo
+    for c in ("k", "j", "i"):
+        around = around.withColumn("_d", F.explode(steps)).withColumn(c, F.col(c) + F.col("_d")).drop("_d")
+    counts = around.groupBy("vol", "k", "j", "i").agg(F.count(F.lit(1)).alias("_n"))
+    return voxels.join(counts, ["vol", "k", "j", "i"], "left").where(F.coalesce("_n", F.lit(0)) / 27.0 >= least).drop("_n")
+
+
+def shallow_echo(voxels: DataFrame, weak_dbz: float = 20.0) -> DataFrame:
+    """Columns whose only echo is a weak one at the lowest level lose it."""
+    stats = voxels.groupBy("vol", "j", "i").agg(F.max("k").alias("_top"), F.max("dbz").alias("_max"))
+    keep = stats.where(~((F.col("_top") == 0) & (F.col("_max") < weak_dbz))).select("vol", "j", "i")
+    return voxels.join(keep, ["vol", "j", "i"], "left_semi")

@@ -15,11 +15,15 @@ LENGTH = 366
 
 
 def uniform(year: str, event: str, draw: int, seed: int = 42) -> str:
-    """SQL text of a number in (0, 1): three steps of a multiplicative congruential generator on the counter."""
+    """SQL text of a number in (0, 1): the counter through steps that multiply and square modulo a prime.
+
+    Squares keep neighbouring counters from being a constant apart, as they are under multiplication alone.
+    """
     x = f"(CAST({seed} AS BIGINT) * 69621 + {year} * CAST(7919 AS BIGINT) + {event} * CAST(104729 AS BIGINT) + CAST({draw} AS BIGINT) * 1299709 + 1)"
-    for _ in range(3):
+    for _ in range(2):
         x = f"(({x} % {MODULUS}) * {MULTIPLIER} % {MODULUS})"
-    return f"(({x} + CAST(0.5 AS DOUBLE)) / {MODULUS})"
+        x = f"(({x} * {x} + {x}) % {MODULUS})"
+    return f"((({x} * {MULTIPLIER} % {MODULUS}) + CAST(0.5 AS DOUBLE)) / {MODULUS})"
 
 
 def normal(year: str, event: str, draw: int) -> str:

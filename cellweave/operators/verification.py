@@ -52,3 +52,14 @@ def without_report(cell_day: DataFrame, reports: DataFrame, least: float = 29.0)
 def capped_sample(rows: DataFrame, group: str, most: int, order) -> DataFrame:
     """At most ``most`` rows of each group, by a stable pseudo-random order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+
+
+def range_debias(pairs: DataFrame, bins: int, reference_bin: int, least: int = 30) -> DataFrame:
+    """(source, bin, factor): median ratio of report to grid by range bin, 1 where pairs are few, relative to the
+    reference bin and clipped to 0.45..1.15. Diagnostic only."""
+    ratio = F.col("size_in") * 25.4 / F.col("mm")
+    fits = pairs.where("mm > 0 and size_in > 0").groupBy("source", "bin").agg(F.count(F.lit(1)).alias("n"), F.median(ratio).alias("m"))
+    every = pairs.select("source").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    rows = every.join(fits, ["source", "bin"], "left").withColumn("f", F.when(F.col("n") >= least, F.col("m")).otherwise(1.0))
+    at = F.max(F.when(F.col("bin") == reference_bin, F.col("f"))).over(Window.partitionBy("source"))
+    return rows.select("source", "bin", F.coalesce("n", F.lit(0)).alias("n"), F.least(F.greatest(F.col("f") / at, F.lit(0.45)), F.lit(1.15)).alias("factor"))

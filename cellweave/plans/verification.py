@@ -103,3 +103,19 @@ def training_set(t):
     order = ((F.col("cell_row") * 7919 + F.col("cell_col") * 104729) % 10007, *CELL)
     neg = V.capped_sample(V.without_report(t.cell_day(), t.report()), "day", 2, order)
     return pos.unionByName(neg.select(F.lit(0).alias("hail"), *V.KEY, *r6("mm")))
+
+
+def _ring():
+    from cellweave.plans.artefacts import ANNULI
+    from cellweave.sources.tables import SITE
+
+    return SITE, ANNULI
+
+
+@query(CELL_DAY, REPORT, PAIRS, *_ring(), "src AS (SELECT CASE WHEN year(day) % 2 = 0 THEN 'A' ELSE 'C' END AS source, bin, size_in, mm FROM pairs JOIN annuli USING (cell_row, cell_col))", "fit AS (SELECT source, bin, count(*) AS n, median(size_in * 25.4e0 / mm) AS m FROM src WHERE mm > 0 AND size_in > 0 GROUP BY ALL)", "fac AS (SELECT s.source, b.range AS bin, coalesce(n, 0) AS n, CASE WHEN n >= 30 THEN m ELSE 1 END AS f FROM (SELECT DISTINCT source FROM src) s CROSS JOIN range(8) b LEFT JOIN fit ON fit.source = s.source AND fit.bin = b.range)", sql="SELECT source, CAST(bin AS INTEGER) AS bin, n, round(least(greatest(f / max(CASE WHEN bin = 1 THEN f END) OVER (PARTITION BY source), 0.45), 1.15), 6) AS factor FROM fac")
+def range_debias(t):
+    from cellweave.plans.artefacts import annuli
+
+    source = F.when(F.year("day") % 2 == 0, "A").otherwise("C")
+    rows = pairs(t).join(annuli(t), CELL).withColumn("source", source)
+    return V.range_debias(rows, 8, 1).withColumn("factor", F.round("factor", 6))

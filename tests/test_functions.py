@@ -188,3 +188,36 @@ def test_empirical_rank_past_the_nonzero_years_is_zero(spark):
     annual = spark.createDataFrame([(1, 0, 0, 50.0), (2, 0, 0, 40.0)], "sim_year int, cell_row int, cell_col int, mm double")
     out = {r.rp: r.mm for r in simulation.empirical_levels(annual, 100, (10, 50, 100, 1000)).collect()}
     assert out == {10: 0.0, 50: 40.0, 100: 50.0, 1000: 50.0}
+
+
+def test_reports_are_found_under_their_header(spark, tmp_path):
+    from cellweave.sources.reports import read_reports
+
+    (tmp_path / "a.csv").write_bytes("Préambule\nTime,Size,Location,Lat,Lon\n1830,125,Here,40.1,-100.2\n,100,x,bad,-100\n9,175,x,40,-100\n0100,0,x,40,-100\n0100,100,x,70,-100\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_text("nothing here\n")
+    got = [(r.lat, r.lon, r.size_in, r.hour) for r in read_reports(spark, str(tmp_path)).orderBy("line").collect()]
+    assert got == [(40.1, -100.2, 1.25, 18), (40.0, -100.0, 1.75, 9)]
+
+
+def test_cell_days_round_trip_and_repair(spark, tmp_path):
+    from cellweave.sources import sinks
+
+    rows = [(D(2010, 1, 1), 0, 0, 10.0), (D(2011, 1, 1), 0, 1, 500.0), (D(2011, 1, 2), 0, 1, 20.0)]
+    sinks.write_cell_days(cells(spark, rows), str(tmp_path / "a"))
+    found = {r.year: (r.n, r.n_bad) for r in sinks.repair_cell_days(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()}
+    assert found == {2010: (1, 0), 2011: (2, 1)}
+    assert [r.mm for r in sinks.read_cell_days(spark, str(tmp_path / "b"), first=D(2011, 1, 1)).collect()] == [20.0]
+    assert sinks.every_nth_day(cells(spark, rows), 2).count() == 2
+    assert '"a":"1"' in sinks.run_manifest(spark, {"a": 1}).first().json
+
+
+def test_stream_upsert_is_idempotent_by_version(spark, tmp_path):
+    from cellweave.streaming import daily
+
+    source = spark.createDataFrame([("2024-01-01 13:00:00", 0, 0, 5.0), ("2024-01-02 11:00:00", 0, 0, 9.0), ("2024-01-02 12:00:00", 0, 0, 400.0)], "s string, cell_row int, cell_col int, mm double").select(F.col("s").cast("timestamp").alias("ts"), "cell_row", "cell_col", "mm")
+    source.write.parquet(str(tmp_path / "in"))
+    stream = daily.daily_max_stream(spark.readStream.schema(source.schema).parquet(str(tmp_path / "in")))
+    writer = daily.upsert_batches(stream, str(tmp_path / "cp"), ["day", "cell_row", "cell_col"], str(tmp_path / "out"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    newest = sorted((tmp_path / "out").iterdir())[-1]
+    assert {(r.day, r.mm) for r in spark.read.parquet(str(newest)).collect()} == {(D(2024, 1, 1), 9.0), (D(2024, 1, 2), 0.0)}
