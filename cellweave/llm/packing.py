@@ -65,7 +65,8 @@ def pack(sized: DataFrame, length: str = "n_tokens", buckets: int = 16, budget:
     clean = sized.withColumn(length, F.coalesce(F.col(length), F.lit(0)).cast("long"))
     bounds = bucket_bounds(clean, length, buckets) or [0]
     edges = F.array(*map(F.lit, bounds))
-    bucket = F.size(F.filter(edges, lambda e: e < F.col(length))).cast("int")
+    # one comparison a bound, so that generated code computes an expensive length once
+    bucket = sum((F.when(F.col(length) > b, 1).otherwise(0) for b in bounds), F.lit(0)).cast("int")
     placed = clean.withColumn("bucket", bucket).withColumn("bucket_len", F.element_at(edges, F.col("bucket") + 1).cast("long"))
     capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1)))).cast("long")
     ranked = salted_rank(placed, ["bucket"], [], doc_salt(), ["doc_id", length], "_rank")
