@@ -147,18 +147,15 @@ def _settled(doc: np.ndarray, gram: np.ndarray, context: np.ndarray) -> dict[str
 
 
 def _by_team(teams: int, kinds: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    """Rows (team, settled, open, repeated): the keys of each kind for the documents of each team."""
-    rows: list[list] = [[], [], [], []]
-    for i, kind in enumerate(("settled", "open", "repeated")):
-        doc, key = kinds.get(kind, (np.zeros(0, np.int64), np.zeros(0, np.uint64)))
+    """A row (team, settled, open, repeated) for each team whose documents have keys of any kind."""
+    rows: dict[int, dict[str, bytes]] = {}
+    for kind, (doc, key) in kinds.items():
         team = _team(doc, teams)
         order = np.argsort(team, kind="stable")
         heads, firsts = np.unique(team[order], return_index=True)
         for t, a, b in zip(heads.tolist(), firsts.tolist(), [*firsts[1:].tolist(), *[len(order)] * bool(len(heads))], strict=True):
-            rows[0].append(t)
-            for j in range(3):
-                rows[j + 1].append(np.unique(key[order[a:b]]).tobytes() if i == j else b"")
-    return pa.table({"team": pa.array(rows[0], pa.int32()), **{k: pa.array(r, pa.binary()) for k, r in zip(("settled", "open", "repeated"), rows[1:], strict=True)}})
+            rows.setdefault(t, {})[kind] = np.unique(key[order[a:b]]).tobytes()
+    return pa.table({"team": pa.array(list(rows), pa.int32()), **{k: pa.array([r.get(k, b"") for r in rows.values()], pa.binary()) for k in ("settled", "open", "repeated")}})
 
 
 def _team(doc: np.ndarray, teams: int) -> np.ndarray:
@@ -216,7 +213,8 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
     def settle(table: pa.Table) -> pa.Table:
         doc, gram, context = _gathered(table, _from_six)
         part = gram & np.uint64(7)
-        return pa.concat_tables([_by_team(teams, _settled(doc[m], gram[m], context[m])) for m in (part == i for i in range(8)) if m.any()])
+        found = [_settled(doc[m], gram[m], context[m]) for m in (part == i for i in range(8)) if m.any()]
+        return _by_team(teams, {k: tuple(np.concatenate([f[k][i] for f in found]) for i in (0, 1)) for k in ("settled", "open")})
 
     def expand(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, known = left.column("id").to_numpy(), _known(right, "open")
