@@ -28,4 +28,4 @@ def query(*ctes: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from cellweave.plans import artefacts, climate, events, extremes, ingest, checks, simulation, verification  # noqa: F401
+    from cellweave.plans import artefacts, checks, climate, events, extremes, ingest, legacy, simulation, verification  # noqa: F401
