@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.climate import CELL
+from cellweave.operators.verification import correlation
 
 
 def month_climatology(rows: DataFrame, chunk: str, month: str, value: str) -> DataFrame:
@@ -59,7 +60,7 @@ def spearman(rows: DataFrame, group: list[str], x: str, y: str, least: int = 5)
         ties = F.count(F.lit(1)).over(Window.partitionBy(*group, c))
         return low + (ties - 1) / 2
 
-    out = rows.withColumn("_x", ranked(x)).withColumn("_y", ranked(y)).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho"))
+    out = rows.withColumn("_x", ranked(x)).withColumn("_y", ranked(y)).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), correlation("_x", "_y").alias("rho"))
     return out.where(F.col("n") >= least)
 
 

@@ -11,6 +11,11 @@ KEY = ["day", *CELL]
 SIZE_BINS = ((0.0, 0.75), (0.75, 1.0), (1.0, 1.5), (1.5, 2.0), (2.0, 3.0), (3.0, 4.0), (4.0, 99.0))
 
 
+def correlation(x, y):
+    """Pearson correlation, null where either side doesn't vary (the built-in one divides by zero there)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def largest_reports(reports: DataFrame) -> DataFrame:
     """The largest report of each day and cell, the first one on ties."""
     best = F.max_by(F.struct("size_in", "hour", "report_id"), F.struct("size_in", -F.col("report_id")))

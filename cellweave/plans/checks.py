@@ -53,7 +53,7 @@ def source_transition(t):
 
 @query(CELL_DAY, ANNUAL, evt.TAIL, sql="SELECT count(*) AS n, round(avg(CAST(xi > 0 AS INTEGER)), 6) AS heavy_share, CASE WHEN avg(CAST(xi > 0 AS INTEGER)) > 0.85 THEN 'warn' ELSE 'pass' END AS status FROM tail")
 def gpd_summary(t):
-    fits = extremes.regional_gpd(climate.annual_max(t.cell_day()), evt.REGION, evt.U)
+    fits = extremes.regional_gpd(climate.annual_max(t.cell_day()), evt.region(), evt.U)
     share = F.avg((F.col("xi") > 0).cast("int"))
     return fits.agg(F.count(F.lit(1)).alias("n"), F.round(share, 6).alias("heavy_share"), F.when(share > 0.85, "warn").otherwise("pass").alias("status"))
 

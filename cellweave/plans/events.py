@@ -10,7 +10,13 @@ from cellweave.plans.climate import ANNUAL, YEARS, r6
 from cellweave.plans.registry import query
 from cellweave.sources.tables import CELL_DAY, CELL_DAY_FINE, SITE
 
-LAT, LON = grid.cell_center(F.col("cell_row"), F.col("cell_col"))
+
+
+def center():
+    """Latitude and longitude of a row's cell."""
+    return grid.cell_center(F.col("cell_row"), F.col("cell_col"))
+
+
 LAT_SQL, LON_SQL = "(50.005e0 - (cell_row + 0.5e0) * 0.05e0)", "(-125.005e0 + (cell_col + 0.5e0) * 0.05e0)"
 BUFFER, AREA = 4, 23.5
 
@@ -22,7 +28,7 @@ def active(t):
 @query(CELL_DAY_FINE, SITE, "cells AS (SELECT DISTINCT cell_row, cell_col FROM cell_day_fine)", f"d AS (SELECT cell_row, cell_col, site_idx, round({grid.haversine_sql(LAT_SQL, LON_SQL, 'site_lat', 'site_lon')}, 6) AS km FROM cells, site)", sql="SELECT cell_row, cell_col, arg_min(site_idx, (km, site_idx)) AS site_idx, round(min(km), 2) AS km FROM d GROUP BY ALL")
 def nearest_site(t):
     cells = t.cell_day_fine().select(*climate.CELL).distinct()
-    return spatial.nearest_site(cells, t.site(), LAT, LON).withColumn("km", F.round("km", 2))
+    return spatial.nearest_site(cells, t.site(), *center()).withColumn("km", F.round("km", 2))
 
 
 ACTIVE = "act AS (SELECT * FROM cell_day WHERE mm >= 29)"
@@ -38,13 +44,13 @@ GROUPS = """flagged AS (SELECT rn, day, speed, ratio, CASE WHEN gap <= 2 AND day
 
 
 def grouped(t):
-    return events.event_days(active(t), LAT, LON, BUFFER)
+    return events.event_days(active(t), *center(), BUFFER)
 
 
 @query(CELL_DAY, ACTIVE, STEPS, sql="SELECT day FROM near")
 def footprint_overlap(t):
     cells = active(t)
-    steps = events.day_steps(events.daily_footprints(cells, LAT, LON)).where("gap <= 2").select("day", "prev_day")
+    steps = events.day_steps(events.daily_footprints(cells, *center())).where("gap <= 2").select("day", "prev_day")
     return spatial.overlapping_days(cells, steps, BUFFER)
 
 
@@ -65,7 +71,7 @@ CATALOG = f"""cat AS (SELECT event_id, n_active_cells, peak_hail_mm, mean_hail_m
 
 def catalog(t):
     days = grouped(t)
-    return events.event_catalog(days, events.event_cells(days, active(t)), LAT, LON, AREA)
+    return events.event_catalog(days, events.event_cells(days, active(t)), *center(), AREA)
 
 
 @query(CELL_DAY, ACTIVE, STEPS, GROUPS, CATALOG, sql="SELECT event_id, start_date, end_date, duration_days, n_active_cells, footprint_area_km2, round(peak_hail_mm, 4) AS peak_hail_mm, round(mean_hail_mm, 4) AS mean_hail_mm, round(centroid_lat, 4) AS centroid_lat, round(centroid_lon, 4) AS centroid_lon, doy, round(centroid_speed_km_day, 4) AS centroid_speed_km_day, round(max_intensity_jump_ratio, 4) AS max_intensity_jump_ratio, CASE WHEN centroid_speed_km_day <= 150 AND max_intensity_jump_ratio <= 3 THEN 'ok' ELSE 'review' END AS merge_quality_flag FROM cat")
@@ -90,7 +96,7 @@ POOL = f"""pairs AS (SELECT a.cell_row, a.cell_col, b.n, b.s1, b.s2, round({grid
 def pool(t):
     logs = F.ln("mm")
     stats = climate.annual_max(t.cell_day()).where("mm > 0").groupBy(*climate.CELL).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(logs).alias("s1"), F.sum(logs * logs).alias("s2"))
-    return spatial.pooled(stats, RADIUS, DECAY, HALF, LAT, LON, ["n", "s1", "s2"])
+    return spatial.pooled(stats, RADIUS, DECAY, HALF, *center(), ["n", "s1", "s2"])
 
 
 @query(CELL_DAY, ANNUAL, STATS, POOL, sql="SELECT cell_row, cell_col, partners, round(s1 / n, 6) AS mu, round(sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 1e-6)), 6) AS sigma FROM pool")
@@ -112,8 +118,9 @@ def pooled_occurrence(t):
 def tail_dependence(t):
     """Joint exceedance of 150 mm in a year by distance band, over a fixed systematic sample of a fifth of the cells."""
     top = climate.annual_max(t.cell_day()).where("mm >= 150").withColumn("id", F.col("cell_row") * 25 + F.col("cell_col")).where("id % 5 = 0").groupBy("id", *climate.CELL).agg(F.collect_list("year").alias("ys"))
-    a = top.select("id", LAT.alias("lat1"), LON.alias("lon1"), F.col("ys").alias("y1"))
-    b = top.select(F.col("id").alias("id2"), LAT.alias("lat2"), LON.alias("lon2"), F.col("ys").alias("y2"))
+    lat, lon = center()
+    a = top.select("id", lat.alias("lat1"), lon.alias("lon1"), F.col("ys").alias("y1"))
+    b = top.select(F.col("id").alias("id2"), lat.alias("lat2"), lon.alias("lon2"), F.col("ys").alias("y2"))
     km = F.round(grid.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), 6)
     rows = a.join(F.broadcast(b), F.col("id") < F.col("id2")).withColumn("km", km)
     band = F.when(F.col("km") < 15, "near").when(F.col("km") < 40, "middle").otherwise("far")

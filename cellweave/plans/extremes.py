@@ -10,7 +10,6 @@ from cellweave.plans.climate import ANNUAL, YEARS, r6
 from cellweave.plans.registry import query
 from cellweave.sources.tables import CELL_DAY
 
-REGION = F.col("cell_row") % 6
 U = 50.8
 PERIODS = (10, 25, 50, 100, 250, 1000, 10000)
 
@@ -35,6 +34,11 @@ PARAMETERS = f"""parameters AS (SELECT cell_row, cell_col, n / n_years AS p_occ,
   FROM body LEFT JOIN tail USING (cell_row, cell_col), years)"""
 
 
+def region():
+    """Stand-in regions: rows modulo 6."""
+    return F.col("cell_row") % 6
+
+
 def annual(t):
     return climate.annual_max(t.cell_day())
 
@@ -42,7 +46,7 @@ def annual(t):
 def parameters(t):
     days = t.cell_day()
     n_years = climate.years_of(days).scalar()
-    return extremes.cell_parameters(climate.annual_max(days), n_years, REGION, U)
+    return extremes.cell_parameters(climate.annual_max(days), n_years, region(), U)
 
 
 def levels_sql(periods) -> str:
@@ -67,13 +71,13 @@ def lmoment_ratios(t):
 
 @query(CELL_DAY, ANNUAL, f"over AS (SELECT cell_row % 6 AS region, mm - {U}e0 AS x FROM annual WHERE mm > {U}e0)", moments_sql("lm", "over", "region", "x"), sql=f"SELECT region, n, round({XI}, 6) AS xi, round({SCALE}, 6) AS scale FROM lm")
 def gpd_lmoment_fit(t):
-    over = annual(t).where(F.col("mm") > U).select(REGION.alias("region"), (F.col("mm") - U).alias("x"))
+    over = annual(t).where(F.col("mm") > U).select(region().alias("region"), (F.col("mm") - U).alias("x"))
     return extremes.gpd_from_l_moments(extremes.l_moments(over, ["region"], "x")).select("region", "n", *r6("xi", "scale"))
 
 
 @query(CELL_DAY, ANNUAL, TAIL, sql="SELECT region, cell_row, cell_col, n_exc, round(xi, 6) AS xi, round(scale, 6) AS scale FROM tail")
 def regional_gpd(t):
-    return extremes.regional_gpd(annual(t), REGION, U).select("region", *climate.CELL, "n_exc", *r6("xi", "scale"))
+    return extremes.regional_gpd(annual(t), region(), U).select("region", *climate.CELL, "n_exc", *r6("xi", "scale"))
 
 
 @query(*CHAIN, levels_sql(PERIODS), sql="SELECT rp, cell_row, cell_col, round(mm, 4) AS mm FROM levels")
@@ -110,6 +114,6 @@ SCAN = f"""vals AS (SELECT cell_row % 6 AS region, mm FROM annual WHERE mm > 0),
 
 @query(CELL_DAY, ANNUAL, SCAN, sql="SELECT region, round(u, 4) AS u, n, round(xi, 4) AS xi, round(ks, 4) AS ks, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY region ORDER BY score, u) = 1 AS INTEGER) AS selected FROM scored")
 def threshold_scan(t):
-    out = extremes.threshold_scan(annual(t).where("mm > 0").select(REGION.alias("region"), "mm"))
+    out = extremes.threshold_scan(annual(t).where("mm > 0").select(region().alias("region"), "mm"))
     r4 = [F.round(c, 4).alias(c) for c in ("u", "xi", "ks", "score")]
     return out.select("region", r4[0], "n", *r4[1:], "selected")

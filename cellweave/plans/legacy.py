@@ -9,8 +9,8 @@ from cellweave.functions import clock, quality
 from cellweave.operators import artefacts, climate, events, extremes, ingest, legacy
 from cellweave.plans.artefacts import ANNULI, DAYS, annuli, raster
 from cellweave.plans.climate import ANNUAL, r6
-from cellweave.plans.events import ACTIVE, LAT, LON, STEPS, active
-from cellweave.plans.extremes import CHAIN, REGION, U, levels_sql, parameters
+from cellweave.plans.events import ACTIVE, STEPS, active, center
+from cellweave.plans.extremes import CHAIN, U, levels_sql, parameters, region
 from cellweave.plans.ingest import PANEL, panel
 from cellweave.plans.registry import query
 from cellweave.sources.tables import CELL_DAY, OBS, REPORT, SITE
@@ -102,7 +102,7 @@ def panel_unpivot(t):
 @query(CELL_DAY, ACTIVE, STEPS, sql="SELECT DISTINCT a.day FROM steps s JOIN act a ON a.day = s.day JOIN act b ON b.day = s.prev_day WHERE s.gap <= 2 AND abs(a.cell_row - b.cell_row) + abs(a.cell_col - b.cell_col) <= 3")
 def diamond_overlap(t):
     cells = active(t)
-    steps = events.day_steps(events.daily_footprints(cells, LAT, LON)).where("gap <= 2").select("day", "prev_day")
+    steps = events.day_steps(events.daily_footprints(cells, *center())).where("gap <= 2").select("day", "prev_day")
     return legacy.near_manhattan(cells, steps, 3)
 
 
@@ -164,7 +164,7 @@ def yearly_trend(t):
 @query()
 def gpd_likelihood_fit(t):
     """Maximum-likelihood tails by region; a region's annual excesses fit one task."""
-    over = climate.annual_max(t.cell_day()).where(F.col("mm") > U).select(REGION.alias("region"), (F.col("mm") - U).alias("x"))
+    over = climate.annual_max(t.cell_day()).where(F.col("mm") > U).select(region().alias("region"), (F.col("mm") - U).alias("x"))
     return legacy.fit_gpd(over, "region")
 
 

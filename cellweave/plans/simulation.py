@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cellweave.operators import climate, events, simulation
 from cellweave.operators.simulation import normal, uniform
 from cellweave.plans.climate import r6
-from cellweave.plans.events import ACTIVE, AREA, CATALOG, GROUPS, LAT, LON, STEPS, active, grouped
+from cellweave.plans.events import ACTIVE, AREA, CATALOG, GROUPS, STEPS, active, center, grouped
 from cellweave.plans.registry import query
 from cellweave.sources.shared import keep
 from cellweave.sources.tables import CELL_DAY, COLS, ROWS
@@ -43,7 +43,7 @@ def history(t):
     """The catalogue and its cells, kept once."""
     days = keep(grouped(t), "event-days")
     cells = keep(events.event_cells(days, active(t)), "event-cells")
-    return keep(events.event_catalog(days, cells, LAT, LON, AREA), "catalog"), cells
+    return keep(events.event_catalog(days, cells, *center(), AREA), "catalog"), cells
 
 
 def sim_cells(t):

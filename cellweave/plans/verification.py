@@ -44,7 +44,7 @@ def contingency(t):
 @query(CELL_DAY, REPORT, PAIRS, sql="SELECT count(*) AS n, round(corr(mm, size_in), 6) AS r, round(avg(mm / 25.4e0 - size_in), 6) AS bias, round(sqrt(avg(pow(mm / 25.4e0 - size_in, 2))), 6) AS rmse FROM pairs")
 def pair_correlation(t):
     d = F.col("mm") / 25.4 - F.col("size_in")
-    return pairs(t).agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("mm", "size_in"), 6).alias("r"), F.round(F.avg(d), 6).alias("bias"), F.round(F.sqrt(F.avg(d * d)), 6).alias("rmse"))
+    return pairs(t).agg(F.count(F.lit(1)).alias("n"), F.round(V.correlation("mm", "size_in"), 6).alias("r"), F.round(F.avg(d), 6).alias("bias"), F.round(F.sqrt(F.avg(d * d)), 6).alias("rmse"))
 
 
 @query(CELL_DAY, REPORT, PAIRS, sql="SELECT CASE WHEN hour >= 6 AND hour < 22 THEN 'day' ELSE 'night' END AS part, count(*) AS n, round(avg(CAST(mm > 0 AS INTEGER)), 6) AS detected FROM pairs GROUP BY 1")
@@ -92,7 +92,7 @@ def seasonality_alignment(t):
     rows = days.join(g, "doy", "left").join(h, "doy", "left").fillna(0, ["g", "h"])
     total = rows.agg(F.sum("g").alias("tg"), F.sum("h").alias("th"))
     shares = rows.where("doy between 90 and 244").select((F.col("g") / total.select("tg").scalar()).alias("a"), (F.col("h") / total.select("th").scalar()).alias("b"))
-    return shares.agg(F.round(F.corr("a", "b"), 6).alias("r"), F.when(F.corr("a", "b") < 0.5, "warn").otherwise("pass").alias("status"))
+    return shares.agg(F.round(V.correlation("a", "b"), 6).alias("r"), F.when(V.correlation("a", "b") < 0.5, "warn").otherwise("pass").alias("status"))
 
 
 @query(CELL_DAY, REPORT, PAIRS, "pos AS (SELECT day, cell_row, cell_col, mm, 1 AS hail FROM pairs WHERE size_in >= 1 AND mm >= 25.4)", """neg AS (SELECT day, cell_row, cell_col, mm, 0 AS hail FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY (cell_row * 7919 + cell_col * 104729) % 10007, cell_row, cell_col) AS n
