@@ -15,14 +15,17 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_count, stash, text_bytes, whole
+from .common import shuffle_count, slices, stash, text_bytes, whole
+from .words import Rolling
 
 HEAD = struct.Struct("<4sBBHQQQQ")
 STEP = 64
@@ -102,7 +105,7 @@ class _Pieces(dict):
     When the young one is full it becomes the old one, so frequent pieces stay and memory is bounded.
     """
 
-    FULL = 500_000
+    FULL = 400_000
 
     def __init__(self, make):
         super().__init__()
@@ -117,20 +120,87 @@ class _Pieces(dict):
         return found
 
 
-class _Blank(Exception):
-    pass
+class _Units:
+    """An open-addressing table from 64-bit hashes of text units to their ids, in numpy arrays: some 40 bytes a unit.
+
+    Emptied at ``MOST`` units, so a worker's memory is bounded.
+    """
+
+    MOST = 3_000_000
+
+    def __init__(self, dtype: str):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = self.used = 0
+        self.keys, self.slots = np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.int32)
+        self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.pool = np.zeros(1 << 18, self.dtype)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The unit of each hash, -1 where there is none; hashes are not 0."""
+        mask = len(self.keys) - 1
+        at, out, live = (hashes & np.uint64(mask)).astype(np.int64), np.full(len(hashes), -1, np.int32), np.arange(len(hashes))
+        while len(live):
+            held = self.keys[at[live]]
+            hit = held == hashes[live]
+            out[live[hit]] = self.slots[at[live[hit]]]
+            live = live[~hit & (held != 0)]
+            at[live] = at[live] + 1 & mask
+        return out
+
+    def _place(self, hashes: np.ndarray, units: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        at, live = (hashes & np.uint64(mask)).astype(np.int64), np.arange(len(hashes))
+        while len(live):
+            place = at[live]
+            free = self.keys[place] == 0
+            self.keys[place[free]] = hashes[live[free]]
+            won = free & (self.keys[place] == hashes[live])
+            self.slots[place[won]] = units[live[won]]
+            live = live[~won]
+            at[live] = at[live] + 1 & mask
+
+    @staticmethod
+    def _room(array: np.ndarray, n: int) -> np.ndarray:
+        return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """New units; hashes are distinct and none is held."""
+        m, flat = len(ids), np.frombuffer(b"".join(ids), self.dtype)
+        if 2 * (self.n + m) > len(self.keys):
+            held = np.flatnonzero(self.keys)
+            keys, units = self.keys[held], self.slots[held]
+            size = 1 << (4 * (self.n + m)).bit_length()
+            self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._place(keys, units)
+        sizes = np.array([len(x) for x in ids], np.int32) // np.dtype(self.dtype).itemsize
+        self.start, self.size, self.pool = self._room(self.start, self.n + m), self._room(self.size, self.n + m), self._room(self.pool, self.used + len(flat))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.size[self.n : self.n + m] = sizes
+        self.start[self.n : self.n + m] = self.used + np.cumsum(sizes) - sizes
+        self._place(hashes, np.arange(self.n, self.n + m, dtype=np.int32))
+        self.n, self.used = self.n + m, self.used + len(flat)
+
+    def ids(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units in order, and how many each has."""
+        sizes = self.size[units].astype(np.int64)
+        return self.pool[np.arange(int(sizes.sum())) + np.repeat(self.start[units] - (np.cumsum(sizes) - sizes), sizes)], sizes
 
 
 class WordwiseEncoder:
-    """``encode(text)`` of a byte-level BPE file of the tokenizers library, through a cache of its pre-tokens.
+    """Ids of a byte-level BPE file of the tokenizers library, through caches of its pre-tokens.
 
-    Byte-level BPE merges only inside a pre-token, so ids of a text are its pre-tokens' ids in order. Texts are cut at
-    spaces first; where white space stands before a space, and where a text holds an added token, it is cut by the
-    tokenizer's own pattern or encoded in one piece.
+    Byte-level BPE merges only inside a pre-token, and a pre-token never crosses a space that follows no white space. So
+    texts are cut before such spaces into units, found by hash; a new unit is cut by the tokenizer's pattern and its new
+    pieces are encoded by the tokenizer. A text where white space stands before a space goes through the pattern as a
+    whole, one that holds an added token through the tokenizer.
     """
 
     #: Fixed value: the pre-token pattern of this vocabulary.
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    PORTION = 1 << 20
 
     def __init__(self, path: str, end_id: int = 0):
         import regex
@@ -139,33 +209,78 @@ class WordwiseEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
+        self.code = "H" if self.width == 2 else "I"
         self.end = np.array([end_id], self.dtype).tobytes()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(self.PATTERN).findall
         self.pieces = _Pieces(self.direct)
-        self.words = _Pieces(self.word)
+        self.units = _Units(self.dtype)
 
     def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        ids = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes()
 
     def by_pattern(self, text: str) -> bytes:
+        """Ids of a text's pieces; a word, with signs after it or none, is cut without the pattern."""
+        word = text.rstrip(".,;:!?#$%&*()-")
+        if word[1:].isalpha() and word[0] == " ":
+            return self.pieces[word] if len(word) == len(text) else self.pieces[word] + self.pieces[text[len(word) :]]
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
-    def word(self, word: str) -> bytes:
-        if not word or word[-1].isspace():
-            raise _Blank
-        return self.by_pattern(" " + word)
+    @staticmethod
+    def _after_blank(data: np.ndarray, spaces: np.ndarray) -> np.ndarray:
+        """Which spaces may follow white space, in any script; a few others count too."""
+        p1, p2, p3 = (data[np.maximum(spaces - i, 0)] for i in (1, 2, 3))
+        out = (p1 <= 32) & ((p1 >= 28) | (p1 >= 9) & (p1 <= 13))
+        out |= (p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))
+        out |= (p3 == 0xE1) & (p2 == 0x9A) & (p1 == 0x80)
+        out |= (p3 == 0xE2) & (p2 == 0x80) & ((p1 <= 0x8A) | (p1 == 0xA8) | (p1 == 0xA9) | (p1 == 0xAF))
+        return out | (p3 == 0xE2) & (p2 == 0x81) & (p1 == 0x9F) | (p3 == 0xE3) & (p2 == 0x80) & (p1 == 0x80)
+
+    def _portion(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        n = len(offsets) - 1
+        heads = offsets[:-1][np.diff(offsets) > 0]
+        cut = data == 32
+        cut[heads] = False
+        inner = np.flatnonzero(cut)
+        cut[heads] = True
+        starts = np.flatnonzero(cut)
+        ends = np.concatenate([starts[1:], [len(data)]]) if len(starts) else starts
+        odd = np.unique(np.searchsorted(offsets, inner[self._after_blank(data, inner)], "right") - 1).tolist()
+        raw = data.tobytes()
+        text = lambda d: raw[offsets[d] : offsets[d + 1]].decode()
+        whole_texts = {d for d in range(n) if any(t in text(d) for t in self.added)} if any(t.encode() in raw for t in self.added) else set()
+        hashes = np.maximum(Rolling(data).slices(starts, ends), np.uint64(1))
+        if self.units.n > self.units.MOST:
+            self.units.clear()
+        units = self.units.find(hashes)
+        missing = np.flatnonzero(units < 0)
+        if len(missing):
+            new, first = np.unique(hashes[missing], return_index=True)
+            self.units.add(new, [self.by_pattern(raw[a:b].decode()) for a, b in zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), strict=True)])
+            units[missing] = self.units.find(hashes[missing])
+        ids, sizes = self.units.ids(units)
+        counts = np.bincount(np.searchsorted(offsets, starts, "right") - 1, sizes, n).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
+        out = [ids[a:b].tobytes() + self.end for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for d in odd:
+            out[d] = self.by_pattern(text(d)) + self.end
+        for d in whole_texts:
+            out[d] = self.direct(text(d)) + self.end
+        return out
+
+    def encode_all(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text of a string array, with the end id, as bytes; null is empty."""
+        data, offsets = text_bytes(column)
+        out: list[bytes] = []
+        for a, b in slices(offsets, self.PORTION):
+            out += self._portion(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        return out
 
     def encode(self, text: str) -> bytes:
-        if any(t in text for t in self.added):
-            return self.direct(text) + self.end
-        first, *rest = text.split(" ")
-        try:
-            if rest and (not first or first[-1].isspace()):
-                raise _Blank
-            return self.by_pattern(first) + b"".join(map(self.words.__getitem__, rest)) + self.end
-        except _Blank:
-            return self.by_pattern(text) + self.end
+        return self.encode_all(pa.array([text]))[0]
 
 
 _encoders: dict = {}
@@ -185,7 +300,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 0, bounds: list | None
     def run(batches):
         encoder = _encoder(tokenizer, end_id)
         for batch in batches:
-            ids = pa.array([encoder.encode(t or "") for t in batch.column(1).to_pylist()], pa.binary())
+            ids = pa.array(encoder.encode_all(batch.column(1)), pa.binary())
             known = batch.column(0).cast(pa.int64())
             shard = np.searchsorted(edges, known.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(shard), known, ids], names=["shard", "doc_id", "ids"])

@@ -199,6 +199,22 @@ def test_encoder_on_odd_white_space():
         assert np.frombuffer(fast.encode(text), "<u2").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0], repr(text)
 
 
+def test_units_keep_their_ids_as_the_table_grows(monkeypatch):
+    from cellweave.llm.token_ids import _Units
+
+    rng = np.random.default_rng(9)
+    units, want = _Units("<u2"), {}
+    for _ in range(6):
+        keys = np.setdiff1d(rng.integers(1, 1 << 62, 60_000, dtype=np.uint64), np.array(list(want), np.uint64))
+        lists = [rng.integers(0, 60_000, k).astype("<u2") for k in rng.integers(0, 5, len(keys))]
+        units.add(keys, [x.tobytes() for x in lists])
+        want.update(zip(keys.tolist(), lists, strict=True))
+    asked = rng.choice(np.array(list(want), np.uint64), 5000)
+    ids, sizes = units.ids(units.find(asked))
+    assert ids.tolist() == np.concatenate([want[k] for k in asked.tolist()]).tolist() and len(sizes) == 5000
+    assert (units.find(np.array([3, 5], np.uint64)) == -1).all()
+
+
 def test_elias_fano_selects():
     from cellweave.llm.token_ids import EliasFano, open_block, pack_block
 
