@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .common import whole
 from .license_texts import SPELLINGS, TEXTS
 
-#: Lines that carry a copyright statement, and no other text.
-COPYRIGHT = r"(?m)^[\t ]*(?:copyright|\(c\)|©)[^\n]*$"
+#: Lines that carry a copyright statement; only a newline ends a line.
+COPYRIGHT = r"(?md)^[\t ]*(?:copyright|\(c\)|©)[^\n]*$"
 #: Runs of ASCII other than letters and digits; bytes of other scripts stay.
 FILLER = r"[\x00-\x2f\x3a-\x60\x7b-\x7f©]+"
 MENTION = r"(?i)licen[cs]e"
@@ -58,3 +58,24 @@ def license_scan(docs: DataFrame, texts=TEXTS) -> DataFrame:
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _canonical_sql(text: str) -> str:
+    pattern = COPYRIGHT.replace("(?md)", "(?m)")
+    same = f"' ' || regexp_replace(regexp_replace(lower({text}), '{pattern}', '', 'g'), '{FILLER}', ' ', 'g') || ' '"
+    for a, b in SPELLINGS:
+        same = f"replace({same}, ' {a} ', ' {b} ')"
+    return f"sha256(trim(regexp_replace({same}, ' +', ' ', 'g')))"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP6_SQL = f"""
+WITH known AS (SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, {_canonical_sql('t')} AS digest FROM (VALUES {', '.join(f'({_quoted(i)}, {_quoted(t)})' for i, t in TEXTS)}) AS x(license_id, t)) GROUP BY digest),
+docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+lines AS (SELECT n, {_canonical_sql('line')} AS digest FROM (SELECT n, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '{MENTION}')),
+noted AS (SELECT n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM lines JOIN known USING (digest) GROUP BY n)
+SELECT doc_id, d.digest, license_id, coalesce(notices, '') AS notices FROM (SELECT *, {_canonical_sql('t')} AS digest FROM docs) d LEFT JOIN known k ON k.digest = d.digest LEFT JOIN noted USING (n)
+"""

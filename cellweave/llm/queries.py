@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from .licenses import op6_licenses
+from .licenses import OP6_SQL, op6_licenses
 from .media import op1_media
 from .mixing import OP10_SQL, op10_mixing
 from .near_dedup import op4_near_dedup
 from .packing import op5_packing
 from .quality import op7_quality
-from .secrets import op8_secrets
+from .secrets import OP8_SQL, op8_secrets
 from .substrings import op2_substrings
 from .token_ids import op9_token_ids
 from .vectors import op3_nearest
@@ -27,5 +27,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_licenses": OP6_SQL,
+    "op8_secrets": OP8_SQL,
     "op10_mixing": OP10_SQL,
 }

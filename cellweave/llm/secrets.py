@@ -105,3 +105,21 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _matches_sql(rank: int, rule: tuple) -> str:
+    kind, pattern, group, least, hint = rule
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT n, {rank} AS rank, '{kind}' AS kind, i, length(gap) AS gap, length(f) AS len, length(g) >= {least} AS ok FROM (
+    SELECT n, unnest(range(1, len(found) + 1)) AS i, unnest(found) AS f, unnest(counted) AS g, unnest(gaps[1:len(found)]) AS gap FROM (
+      SELECT n, regexp_extract_all(t, {quoted}) AS found, regexp_extract_all(t, {quoted}, {group}) AS counted, string_split_regex(t, {quoted}) AS gaps FROM docs))"""
+
+
+OP8_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+matches AS ({' UNION ALL '.join(_matches_sql(i, r) for i, r in enumerate(RULES))}),
+placed AS (SELECT *, sum(gap + len) OVER (PARTITION BY n, rank ORDER BY i) AS stop FROM matches),
+listed AS (SELECT n, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k, *_ in RULES)},
+  string_agg(kind || ':' || CAST(stop - len AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY stop - len, rank) AS spans FROM placed WHERE ok GROUP BY n)
+SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in RULES)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN listed USING (n)
+"""
