@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_count, slices, stash, text_bytes, whole
+from .common import shuffle_count, slices, small_batches, stash, text_bytes, whole
 from .words import Rolling
 
 HEAD = struct.Struct("<4sBBHQQQQ")
@@ -105,7 +105,7 @@ class _Pieces(dict):
     When the young one is full it becomes the old one, so frequent pieces stay and memory is bounded.
     """
 
-    FULL = 400_000
+    FULL = 250_000
 
     def __init__(self, make):
         super().__init__()
@@ -126,7 +126,7 @@ class _Units:
     Emptied at ``MOST`` units, so a worker's memory is bounded.
     """
 
-    MOST = 3_000_000
+    MOST = 1_500_000
 
     def __init__(self, dtype: str):
         self.dtype = dtype
@@ -172,7 +172,7 @@ class _Units:
         if 2 * (self.n + m) > len(self.keys):
             held = np.flatnonzero(self.keys)
             keys, units = self.keys[held], self.slots[held]
-            size = 1 << (4 * (self.n + m)).bit_length()
+            size = 1 << (2 * (self.n + m)).bit_length()
             self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int32)
             self._place(keys, units)
         sizes = np.array([len(x) for x in ids], np.int32) // np.dtype(self.dtype).itemsize
@@ -200,7 +200,7 @@ class WordwiseEncoder:
 
     #: Fixed value: the pre-token pattern of this vocabulary.
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    PORTION = 1 << 20
+    PORTION = 1 << 19
 
     def __init__(self, path: str, end_id: int = 0):
         import regex
@@ -316,6 +316,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: in
     Equal doc_ids follow each other, shorter and then byte-wise smaller id lists first.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = shuffle_count(spark)
     bounds = docs.select(F.col("doc_id").cast("long").alias("d")).dropna().approxQuantile("d", [i / n for i in range(1, n)], 0.002 if n < 400 else 1 / (4 * n))
     width = _encoder(tokenizer, end_id).width
