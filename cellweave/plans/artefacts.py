@@ -27,7 +27,7 @@ def raster(t):
 def annuli(t):
     cells = t.spark.range(ROWS * COLS).select(F.floor(F.col("id") / COLS).cast("int").alias("cell_row"), (F.col("id") % COLS).cast("int").alias("cell_col"))
     lat, lon = F.lit(49.0) - F.col("cell_row") * 1.25, F.lit(-120.0) + F.col("cell_col") * 2.0
-    sites = t.site().where("site_idx % 10 = 0")
+    sites = t.site()
     near = spatial.nearest_site(cells, sites, lat, lon).join(F.broadcast(sites) if sites.count() <= spatial.MOST_SITES else sites, "site_idx")
     azimuth = F.round(grid.azimuth_deg(F.col("site_lat"), F.col("site_lon"), lat, lon), 6)
     return near.select(*climate.CELL, "site_idx", grid.range_bin(F.col("km"), KM).alias("bin"), (F.floor(azimuth / SECTOR) % 4).cast("int").alias("sector"))
@@ -126,6 +126,6 @@ VOXELS = "vox AS (SELECT vol, k, j, i, max(dbz) AS dbz FROM (SELECT l_suppkey %
 @query(VOXELS, "cov AS (SELECT v.vol, v.k, v.j, v.i, any_value(v.dbz) AS dbz, count(e.vol) AS n FROM vox v LEFT JOIN vox e ON e.vol = v.vol AND e.dbz >= 30 AND abs(e.k - v.k) <= 1 AND abs(e.j - v.j) <= 1 AND abs(e.i - v.i) <= 1 GROUP BY ALL HAVING count(e.vol) / 27e0 >= 0.32)", sql="SELECT vol, k, j, i, dbz FROM cov WHERE (vol, j, i) NOT IN (SELECT (vol, j, i) FROM cov GROUP BY vol, j, i HAVING max(k) = 0 AND max(dbz) < 45)")
 def clutter_removal(t):
     """Voxels with enough echo around them, then columns with more than a weak lowest echo."""
-    rows = t.read("lineitem").where("l_orderkey % 4 = 0").select((F.col("l_suppkey") % 3).alias("vol"), (F.col("l_linenumber") - 1).alias("k"), (F.col("l_partkey") % 12).alias("j"), (F.col("l_orderkey") % 12).alias("i"), F.col("l_quantity").alias("dbz"))
+    rows = t.read("lineitem").select((F.col("l_suppkey") % 3).alias("vol"), (F.col("l_linenumber") - 1).alias("k"), (F.col("l_partkey") % 12).alias("j"), (F.col("l_orderkey") % 12).alias("i"), F.col("l_quantity").alias("dbz"))
     voxels = rows.groupBy("vol", "k", "j", "i").agg(F.max("dbz").alias("dbz"))
     return artefacts.shallow_echo(artefacts.echo_coverage(voxels, echo_dbz=30.0), weak_dbz=45.0)
