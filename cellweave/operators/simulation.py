@@ -12,6 +12,8 @@ from cellweave.operators.climate import CELL
 
 MODULUS, MULTIPLIER = 2147483647, 48271
 LENGTH = 366
+#: Parts of (0, 1) by which intervals are looked up, and years that one task draws.
+PARTS, YEARS_A_TASK = 1024, 500
 
 
 def uniform(year: str, event: str, draw: int, seed: int = 42) -> str:
@@ -77,15 +79,27 @@ def template_table(catalog: DataFrame, decay: float = 30.0) -> DataFrame:
     return rows.select("draw_doy", "template_id", F.coalesce(F.lag("hi").over(w.orderBy("template_id")), F.lit(0.0)).alias("lo"), "hi")
 
 
+def _part(x):
+    return F.floor(x * PARTS).cast("int")
+
+
+def _parted(table: DataFrame, lo: str, hi: str) -> DataFrame:
+    """``table`` with a row for each part that the interval from ``lo`` to ``hi`` touches: a number meets only the
+    intervals of its part."""
+    return table.withColumn("_part", F.explode(F.sequence(_part(F.col(lo)), _part(F.col(hi)))))
+
+
 def simulate(catalog: DataFrame, years: int) -> DataFrame:
     """(sim_year, event_idx, draw_doy, template_id, scale, drow, dcol, grown) of every simulated event."""
     spark = catalog.sparkSession
     rate = catalog.agg(F.count(F.lit(1)) / F.count_distinct(F.year("start_date"))).scalar()
-    events = yearly_counts(spark, rate, years).where("n > 0").select("sim_year", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("event_idx"))
+    events = yearly_counts(spark, rate, years).where("n > 0").repartition(-(-years // YEARS_A_TASK), "sim_year").select("sim_year", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("event_idx"))
     cdf = doy_cdf(catalog)
     steps = cdf.select(F.col("doy").alias("draw_doy"), F.coalesce(F.lag("cdf").over(Window.orderBy("doy")), F.lit(0.0)).alias("clo"), F.col("cdf").alias("chi"))
-    drawn = events.withColumn("u", F.expr(uniform("sim_year", "event_idx", 1))).join(F.broadcast(steps), (F.col("u") > F.col("clo")) & (F.col("u") <= F.col("chi"))).withColumn("v", F.expr(uniform("sim_year", "event_idx", 2)))
-    picked = drawn.join(template_table(catalog), "draw_doy").where((F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi")))
+    drawn = events.withColumn("u", F.expr(uniform("sim_year", "event_idx", 1))).withColumn("_part", _part(F.col("u")))
+    drawn = drawn.join(F.broadcast(_parted(steps, "clo", "chi")), "_part").where((F.col("u") > F.col("clo")) & (F.col("u") <= F.col("chi"))).drop("_part")
+    drawn = drawn.withColumn("v", F.expr(uniform("sim_year", "event_idx", 2))).withColumn("_part", _part(F.col("v")))
+    picked = drawn.join(_parted(template_table(catalog), "lo", "hi"), ["draw_doy", "_part"]).where((F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi")))
     n = F.count(F.lit(1)).over(Window.partitionBy())
     rank = catalog.select(F.col("event_id").alias("template_id"), ((F.row_number().over(Window.orderBy("peak_hail_mm", "event_id")) - 1) / (n - 1)).alias("pct"))
     s = F.least(F.greatest(F.col("pct") * 0.15 + 0.10, F.lit(0.10)), F.greatest(F.lit(0.25), sigma(catalog).scalar()))

@@ -9,7 +9,7 @@ from cellweave.plans import extremes as evt
 from cellweave.plans.climate import ANNUAL, PEAKS, daily_peaks, r6
 from cellweave.plans.events import ACTIVE, CATALOG, GROUPS, STEPS
 from cellweave.plans.registry import query
-from cellweave.plans.simulation import CELLS, COUNTS, DOY, SIGMA, SIM, YEARS, history, sim_cells
+from cellweave.plans.simulation import CELLS, COUNTS, DOY, SIGMA, SIM, YEARS, history, levels
 from cellweave.sources.shared import keep
 from cellweave.sources.tables import CELL_DAY, OBS
 
@@ -63,12 +63,8 @@ RPS = (5, 10, 20)
 
 @query(CELL_DAY, ANNUAL, evt.YEARS, evt.BODY, evt.TAIL, evt.PARAMETERS, evt.levels_sql(RPS), ACTIVE, STEPS, GROUPS, CATALOG, SIGMA, DOY, COUNTS, SIM, CELLS, "k AS (SELECT * FROM (VALUES " + ", ".join(f"({p}, {YEARS // p})" for p in RPS) + ") AS x(rp, k))", "rk AS (SELECT cell_row, cell_col, mm, row_number() OVER (PARTITION BY cell_row, cell_col ORDER BY mm DESC) AS k FROM sann)", "cmp AS (SELECT rp, l.mm / r.mm AS ratio FROM levels l JOIN k USING (rp) JOIN rk r ON r.cell_row = l.cell_row AND r.cell_col = l.cell_col AND r.k = k.k WHERE l.mm > 0 AND r.mm > 0)", sql="SELECT rp, count(*) AS n, round(median(ratio), 4) AS median_ratio, round(quantile_cont(ratio, 0.9), 4) AS p90, CASE WHEN avg(CAST(ratio > 1.5 AS INTEGER)) > 0.25 THEN 'warn' ELSE 'pass' END AS status FROM cmp GROUP BY rp")
 def analytical_vs_stochastic(t):
-    from cellweave.operators import simulation
-
-    annual = sim_cells(t).groupBy("sim_year", *climate.CELL).agg(F.max("mm").alias("mm"))
-    empirical = simulation.empirical_levels(keep(annual, "sim-annual"), YEARS, RPS).withColumnRenamed("mm", "sim_mm")
-    levels = extremes.return_levels(evt.parameters(t), RPS)
-    rows = levels.join(empirical, ["rp", *climate.CELL]).where("mm > 0 and sim_mm > 0").withColumn("ratio", F.col("mm") / F.col("sim_mm"))
+    empirical = levels(t, periods=RPS).withColumnRenamed("mm", "sim_mm")
+    rows = extremes.return_levels(evt.parameters(t), RPS).join(empirical, ["rp", *climate.CELL]).where("mm > 0 and sim_mm > 0").withColumn("ratio", F.col("mm") / F.col("sim_mm"))
     return rows.groupBy("rp").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("ratio"), 4).alias("median_ratio"), F.round(F.percentile("ratio", F.lit(0.9)), 4).alias("p90"), F.when(F.avg((F.col("ratio") > 1.5).cast("int")) > 0.25, "warn").otherwise("pass").alias("status"))
 
 

@@ -1,4 +1,4 @@
-"""Queries over the stochastic catalogue, 40 years of it."""
+"""Queries over the stochastic catalogue of 50,000 years; their SQL simulates 40, what another engine does in time."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from cellweave.plans.registry import query
 from cellweave.sources.shared import keep
 from cellweave.sources.tables import CELL_DAY, COLS, ROWS
 
+SIM_YEARS = 50_000
 YEARS, PERIODS = 40, (2, 5, 10, 20, 40, 100)
 BASE = (CELL_DAY, ACTIVE, STEPS, GROUPS, CATALOG)
 SIGMA = "sig AS (SELECT coalesce(least(greatest(median(cv), 0.1), 0.4), 0.15) AS sigma FROM (SELECT month(start_date) AS m, count(*) AS n, stddev_pop(peak_hail_mm) / avg(peak_hail_mm) AS cv FROM cat WHERE peak_hail_mm > 0 GROUP BY 1) WHERE m BETWEEN 3 AND 9 AND n >= 10)"
@@ -46,9 +47,22 @@ def history(t):
     return keep(events.event_catalog(days, cells, *center(), AREA), "catalog"), cells
 
 
-def sim_cells(t):
+def sim_cells(t, years=SIM_YEARS):
     catalog, cells = history(t)
-    return simulation.simulated_cells(simulation.simulate(catalog, YEARS), cells, ROWS, COLS)
+    return simulation.simulated_cells(simulation.simulate(catalog, years), cells, ROWS, COLS)
+
+
+def annual_max(t, years=SIM_YEARS):
+    return sim_cells(t, years).groupBy("sim_year", *climate.CELL).agg(F.max("mm").alias("mm"))
+
+
+def levels(t, years=SIM_YEARS, periods=PERIODS):
+    """Empirical levels of the periods that the simulated years can show."""
+    return simulation.empirical_levels(keep(annual_max(t, years), "sim-annual"), years, tuple(p for p in periods if p <= years))
+
+
+def exceedance(t, years=SIM_YEARS, periods=PERIODS):
+    return simulation.exceedance_table(keep(sim_cells(t, years), "sim-cells"), years, tuple(p for p in periods if p <= years))
 
 
 @query(*BASE, SIGMA, sql="SELECT round(sigma, 6) AS sigma FROM sig")
@@ -64,26 +78,24 @@ def doy_cdf(t):
 @query(*BASE, COUNTS, sql="SELECT sim_year, n FROM counts")
 def sim_counts(t):
     catalog = history(t)[0]
-    return simulation.yearly_counts(t.spark, catalog.agg(F.count(F.lit(1)) / F.count_distinct(F.year("start_date"))).scalar(), YEARS)
+    return simulation.yearly_counts(t.spark, catalog.agg(F.count(F.lit(1)) / F.count_distinct(F.year("start_date"))).scalar(), SIM_YEARS)
 
 
 @query(*BASE, SIGMA, DOY, COUNTS, SIM, sql="SELECT sim_year, event_idx, draw_doy, template_id, round(scale, 6) AS scale, drow, dcol, grown FROM sim")
 def sim_events(t):
-    return simulation.simulate(history(t)[0], YEARS).withColumn("scale", F.round("scale", 6))
+    return simulation.simulate(history(t)[0], SIM_YEARS).withColumn("scale", F.round("scale", 6))
 
 
 @query(*BASE, SIGMA, DOY, COUNTS, SIM, CELLS, sql="SELECT sim_year, cell_row, cell_col, round(mm, 4) AS mm FROM sann")
 def sim_annual_max(t):
-    return sim_cells(t).groupBy("sim_year", *climate.CELL).agg(F.round(F.max("mm"), 4).alias("mm"))
+    return annual_max(t).withColumn("mm", F.round("mm", 4))
 
 
 @query(*BASE, SIGMA, DOY, COUNTS, SIM, CELLS, "k AS (SELECT * FROM (VALUES " + ", ".join(f"({p}, {max(1, YEARS // p)})" for p in PERIODS) + ") AS x(rp, k))", "rk AS (SELECT cell_row, cell_col, mm, row_number() OVER (PARTITION BY cell_row, cell_col ORDER BY mm DESC) AS k FROM sann)", sql="SELECT rp, c.cell_row, c.cell_col, round(coalesce(mm, 0), 4) AS mm FROM (SELECT DISTINCT cell_row, cell_col FROM sann) c CROSS JOIN k LEFT JOIN rk ON rk.cell_row = c.cell_row AND rk.cell_col = c.cell_col AND rk.k = k.k")
 def empirical_rp(t):
-    annual = sim_cells(t).groupBy("sim_year", *climate.CELL).agg(F.max("mm").alias("mm"))
-    return simulation.empirical_levels(keep(annual, "sim-annual"), YEARS, PERIODS).withColumn("mm", F.round("mm", 4))
+    return levels(t).withColumn("mm", F.round("mm", 4))
 
 
 @query(*BASE, SIGMA, DOY, COUNTS, SIM, CELLS, "per AS (SELECT y.sim_year, coalesce(max(peak), 0) AS peak, coalesce(sum(n), 0) AS n_cells, count(event_idx) AS n_events FROM yrs y LEFT JOIN (SELECT sim_year, event_idx, max(mm) AS peak, count(*) FILTER (WHERE mm >= 25.4) AS n FROM scells GROUP BY ALL) e ON e.sim_year = y.sim_year GROUP BY y.sim_year)", "a AS (SELECT peak, row_number() OVER (ORDER BY peak DESC) AS k FROM per), b AS (SELECT n_cells, row_number() OVER (ORDER BY n_cells DESC) AS k FROM per), c AS (SELECT n_events, row_number() OVER (ORDER BY n_events DESC) AS k FROM per)", sql="SELECT rp, round(peak, 4) AS peak, CAST(n_cells AS BIGINT) AS n_cells, n_events FROM (VALUES " + ", ".join(f"({p}, {max(1, YEARS // p)})" for p in PERIODS) + ") AS x(rp, k) JOIN a USING (k) JOIN b USING (k) JOIN c USING (k)")
 def pet_tables(t):
-    out = simulation.exceedance_table(keep(sim_cells(t), "sim-cells"), YEARS, PERIODS)
-    return out.select("rp", F.round("peak", 4).alias("peak"), "n_cells", "n_events")
+    return exceedance(t).select("rp", F.round("peak", 4).alias("peak"), "n_cells", "n_events")

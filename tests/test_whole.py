@@ -49,3 +49,30 @@ def test_every_supplier_may_be_the_nearest_site(spark, con):  # noqa: F811
 
 def test_clutter_is_removed_from_voxels_of_all_orders(spark, con):  # noqa: F811
     same(registry.QUERIES["clutter_removal"](spark, SF).toPandas(), con.sql(uncut("clutter_removal", (" WHERE l_orderkey % 4 = 0", ""))).df())
+
+
+def test_production_catalogue_is_many_times_the_largest_period():
+    from cellweave.plans import checks, simulation
+
+    assert simulation.SIM_YEARS == 50_000 and simulation.SIM_YEARS >= 100 * max(*simulation.PERIODS, *checks.RPS)
+
+
+def test_counts_of_the_production_years(spark):
+    rows = registry.QUERIES["sim_counts"](spark, SF).collect()
+    assert len({r.sim_year for r in rows}) == len(rows) == 50_000
+
+
+def test_levels_of_40_years_are_the_sql_ones_without_longer_periods(spark, con):  # noqa: F811
+    from pyspark.sql import functions as F
+
+    from cellweave.plans import simulation
+    from cellweave.sources.tables import Tables
+
+    t = Tables(spark, SF)
+    annual = simulation.annual_max(t, 40).withColumn("mm", F.round("mm", 4))
+    same(annual.toPandas(), con.sql(registry.SQL["sim_annual_max"]).df())
+    got = simulation.levels(t, 40).withColumn("mm", F.round("mm", 4)).toPandas()
+    assert set(got.rp) == {2, 5, 10, 20, 40}
+    same(got, con.sql(f"from ({registry.SQL['empirical_rp']}) where rp <= 40").df())
+    got = simulation.exceedance(t, 40).withColumn("peak", F.round("peak", 4)).select("rp", "peak", "n_cells", "n_events").toPandas()
+    same(got, con.sql(f"from ({registry.SQL['pet_tables']}) where rp <= 40").df())
