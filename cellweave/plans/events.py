@@ -116,8 +116,8 @@ def pooled_occurrence(t):
       SELECT round({grid.haversine_sql(*(x.replace('cell_', p + '.cell_') for p in ('a', 'b') for x in (LAT_SQL, LON_SQL)))}, 6) AS km, len(list_intersect(a.ys, b.ys)) AS shared, len(a.ys) AS own
       FROM top a JOIN top b ON a.id < b.id)) GROUP BY band""".replace("FROM top a", "FROM (SELECT cell_row * 25 + cell_col AS id, cell_row, cell_col, list(year) AS ys FROM annual WHERE mm >= 150 AND (cell_row * 25 + cell_col) % 5 = 0 GROUP BY ALL) a").replace("JOIN top b", "JOIN (SELECT cell_row * 25 + cell_col AS id, cell_row, cell_col, list(year) AS ys FROM annual WHERE mm >= 150 AND (cell_row * 25 + cell_col) % 5 = 0 GROUP BY ALL) b"))
 def tail_dependence(t):
-    """Joint exceedance of 150 mm in a year by distance band, over a fixed systematic sample of a fifth of the cells."""
-    top = climate.annual_max(t.cell_day()).where("mm >= 150").withColumn("id", F.col("cell_row") * 25 + F.col("cell_col")).where("id % 5 = 0").groupBy("id", *climate.CELL).agg(F.collect_list("year").alias("ys"))
+    """Joint exceedance of 150 mm in a year by distance band, over all pairs of cells; the grid bounds their number."""
+    top = climate.annual_max(t.cell_day()).where("mm >= 150").withColumn("id", F.col("cell_row") * 25 + F.col("cell_col")).groupBy("id", *climate.CELL).agg(F.collect_list("year").alias("ys"))
     lat, lon = center()
     a = top.select("id", lat.alias("lat1"), lon.alias("lon1"), F.col("ys").alias("y1"))
     b = top.select(F.col("id").alias("id2"), lat.alias("lat2"), lon.alias("lon2"), F.col("ys").alias("y2"))

@@ -76,3 +76,10 @@ def test_levels_of_40_years_are_the_sql_ones_without_longer_periods(spark, con):
     same(got, con.sql(f"from ({registry.SQL['empirical_rp']}) where rp <= 40").df())
     got = simulation.exceedance(t, 40).withColumn("peak", F.round("peak", 4)).select("rp", "peak", "n_cells", "n_events").toPandas()
     same(got, con.sql(f"from ({registry.SQL['pet_tables']}) where rp <= 40").df())
+
+
+def test_tail_dependence_takes_all_pairs(spark, con):  # noqa: F811
+    got = registry.QUERIES["tail_dependence"](spark, SF).toPandas()
+    same(got, con.sql(uncut("tail_dependence", (" AND (cell_row * 25 + cell_col) % 5 = 0", ""))).df())
+    cells = con.sql(registry.SQL["annual_max"]).df().query("mm >= 150")[["cell_row", "cell_col"]].drop_duplicates()
+    assert got.pairs.sum() == len(cells) * (len(cells) - 1) // 2
