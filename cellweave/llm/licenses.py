@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from .common import whole
 from .license_texts import SPELLINGS, TEXTS
 
-#: Lines that carry a copyright statement; only a newline ends a line.
-COPYRIGHT = r"(?md)^[\t ]*(?:copyright|\(c\)|©)[^\n]*$"
+#: Words before which a line that begins with copyright, or an item (c), goes on with a sentence of the licence.
+GOES_ON = "notices?|holders?|owners?|laws?|licen[cs]es?|permissions?|statements?|disclaims?|disclaimers?|interests?|treaty|treaties|protections?|infringements?|rights?|and|or|on|in|is|of|to|for|as|if|at|with|that|this|which|such|may|shall|will"
+ITEM = "you|the|to|a|an|any|if|in|it|all|for|this|that|each|every|no|such|use|must|where|when"
+_YEAR = r"[\[<{(]?(?:[0-9]{4}|yyyy|year)"
+#: Lines that carry a copyright statement, in lower case: a sign, a year or a holder follows. Only a newline ends a line.
+COPYRIGHT = rf"(?md)^[\t ]*(?:©|copyright[\t ,:]*(?:\(c\)|©|{_YEAR})|copyright[\t :]+(?!(?:{GOES_ON})\b)[^\s,.;:)]|\(c\)[\t ]*(?:copyright|{_YEAR})|\(c\)[\t ]+(?!(?:{ITEM})\b)[^\s])[^\n]*$"
+#: What the SQL drops: every line that begins so.
+SQL_COPYRIGHT = r"(?m)^[\t ]*(?:copyright|\(c\)|©)[^\n]*$"
 #: Runs of ASCII other than letters and digits; bytes of other scripts stay.
 FILLER = r"[\x00-\x2f\x3a-\x60\x7b-\x7f©]+"
 MENTION = r"(?i)licen[cs]e"
@@ -61,8 +67,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canonical_sql(text: str) -> str:
-    pattern = COPYRIGHT.replace("(?md)", "(?m)")
-    same = f"' ' || regexp_replace(regexp_replace(lower({text}), '{pattern}', '', 'g'), '{FILLER}', ' ', 'g') || ' '"
+    same = f"' ' || regexp_replace(regexp_replace(lower({text}), '{SQL_COPYRIGHT}', '', 'g'), '{FILLER}', ' ', 'g') || ' '"
     for a, b in SPELLINGS:
         same = f"replace({same}, ' {a} ', ' {b} ')"
     return f"sha256(trim(regexp_replace({same}, ' +', ' ', 'g')))"

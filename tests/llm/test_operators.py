@@ -430,3 +430,25 @@ def test_robust_prune_matches_its_definition():
         want.append(k)
         left = [c for c in left[1:] if 1.2 * np.linalg.norm(x[k] - x[c]) > np.linalg.norm(x[3] - x[c])]
     assert [i for i in got if i >= 0] == want
+
+
+def test_licenses_wrapped_anywhere(spark):
+    import textwrap
+
+    from cellweave.llm.license_texts import TEXTS
+    from cellweave.llm.licenses import license_scan
+
+    def wrapped(text, width):
+        return "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+
+    top = ("", "Copyright (c) 2020 Some Body\n\n", "Copyright The Authors\n(C) 2001, 2002 Others\n© Third\nCopyright [yyyy] [name]\n\n")
+    long = [(i, t) for i, t in TEXTS if len(t) > 200]
+    want, rows = {}, []
+    for license_id, text in long:
+        for width in (*range(20, 100), 1000):
+            want[len(rows)] = license_id
+            rows.append((len(rows), top[len(rows) % 3] + wrapped(text, width)))
+    rows.append((len(rows), "MIT License\nCopyright Some Body\n\n" + TEXTS[1][1]))
+    want[rows[-1][0]] = "MIT"
+    got = {r.doc_id: r.license_id for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
