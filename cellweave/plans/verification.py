@@ -73,6 +73,8 @@ def detection_and_rounding(t):
     return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("mm") >= 25.4).cast("int")), 6).alias("pod"), F.round(F.avg(grid.quarter_inch(F.col("size_in")).cast("int")), 6).alias("quarter_share")).where("n >= 20")
 
 
+#: Negatives of a day that the reference's training set keeps.
+MOST_NEGATIVES = 150
 METROS = ((41.9, -87.6), (32.8, -96.8), (39.7, -105.0), (29.8, -95.4), (33.7, -84.4))
 
 
@@ -98,10 +100,10 @@ def seasonality_alignment(t):
 @query(CELL_DAY, REPORT, PAIRS, "pos AS (SELECT day, cell_row, cell_col, mm, 1 AS hail FROM pairs WHERE size_in >= 1 AND mm >= 25.4)", """neg AS (SELECT day, cell_row, cell_col, mm, 0 AS hail FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY (cell_row * 7919 + cell_col * 104729) % 10007, cell_row, cell_col) AS n
   FROM cell_day c WHERE mm >= 29 AND NOT EXISTS (FROM report r WHERE r.day = c.day AND r.cell_row = c.cell_row AND r.cell_col = c.cell_col)) WHERE n <= 2)""", sql="SELECT hail, day, cell_row, cell_col, round(mm, 6) AS mm FROM (FROM pos UNION ALL FROM neg)")
 def training_set(t):
-    """Positives: severe reports on active cells. Negatives: event cells without a report, at most 2 a day."""
+    """Positives: severe reports on active cells. Negatives: event cells without a report, at most 150 a day."""
     pos = pairs(t).where("size_in >= 1 and mm >= 25.4").select(F.lit(1).alias("hail"), *V.KEY, *r6("mm"))
     order = ((F.col("cell_row") * 7919 + F.col("cell_col") * 104729) % 10007, *CELL)
-    neg = V.capped_sample(V.without_report(t.cell_day(), t.report()), "day", 2, order)
+    neg = V.capped_sample(V.without_report(t.cell_day(), t.report()), "day", MOST_NEGATIVES, order)
     return pos.unionByName(neg.select(F.lit(0).alias("hail"), *V.KEY, *r6("mm")))
 
 

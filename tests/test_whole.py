@@ -83,3 +83,19 @@ def test_tail_dependence_takes_all_pairs(spark, con):  # noqa: F811
     same(got, con.sql(uncut("tail_dependence", (" AND (cell_row * 25 + cell_col) % 5 = 0", ""))).df())
     cells = con.sql(registry.SQL["annual_max"]).df().query("mm >= 150")[["cell_row", "cell_col"]].drop_duplicates()
     assert got.pairs.sum() == len(cells) * (len(cells) - 1) // 2
+
+
+def test_training_set_keeps_150_negatives_a_day(spark, tmp_path):
+    """200 report-free event cells of one day and 3 of the next."""
+    import datetime as dt
+
+    day = dt.datetime(2000, 1, 1)
+    cells = [(day, r, c) for r in range(20) for c in range(10)] + [(day + dt.timedelta(1), r, 0) for r in range(3)]
+    spark.createDataFrame([(d, r, c, 1, "R", 100000.0) for d, r, c in cells], "l_shipdate timestamp_ntz, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(day, 1, 24, 100.0)], "o_orderdate timestamp_ntz, o_custkey long, o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = registry.QUERIES["training_set"](spark, str(tmp_path)).collect()
+    assert sorted(r.day.day for r in rows if r.hail == 0) == [1] * 150 + [2] * 3
+
+
+def test_training_set_matches_sql_of_that_cap(spark, con):  # noqa: F811
+    same(registry.QUERIES["training_set"](spark, SF).toPandas(), con.sql(uncut("training_set", ("WHERE n <= 2)", "WHERE n <= 150)"))).df())
