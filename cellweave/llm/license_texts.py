@@ -1,4 +1,6 @@
-"""Standard licence texts and one-line notices, by SPDX identifier."""
+"""Standard licence texts, headers and one-line notices, by SPDX identifier."""
+
+from pathlib import Path
 
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -41,6 +43,30 @@ TEXTS = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 )
 
+
+
+def _full_texts():
+    """Whole texts of license_files, the terms of those with an appendix on how to apply them, and headers out of it."""
+    out = [(f.stem, f.read_text(encoding="utf-8")) for f in sorted(Path(__file__).with_name("license_files").glob("*.txt"))]
+    whole, end = dict(out), "END OF TERMS AND CONDITIONS"
+    for i, t in whole.items():
+        if end in t:
+            terms = t.split(end)[0]
+            out += [(i, terms), (i, terms + end)]
+
+    def header(i, first, last):
+        at = whole[i].rindex(first)
+        return whole[i][at : whole[i].index(last, at) + len(last)]
+
+    out.append(("Apache-2.0", header("Apache-2.0", 'Licensed under the Apache License, Version 2.0', "limitations under the License.")))
+    out.append(("GPL-3.0-or-later", header("GPL-3.0-only", "This program is free software:", "see <https://www.gnu.org/licenses/>.")))
+    out.append(("MPL-2.0", header("MPL-2.0", "This Source Code Form is subject", "http://mozilla.org/MPL/2.0/.")))
+    return tuple(out)
+
+
+#: All that a document may be; the SQL knows TEXTS.
+ALL_TEXTS = TEXTS + _full_texts()
+
 #: Spellings that count as the same word, first to second.
 SPELLINGS = (
     ("licence", "license"),

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import whole
-from .license_texts import SPELLINGS, TEXTS
+from .license_texts import ALL_TEXTS, SPELLINGS, TEXTS
 
 #: Words before which a line that begins with copyright, or an item (c), goes on with a sentence of the licence.
-GOES_ON = "notices?|holders?|owners?|laws?|licen[cs]es?|permissions?|statements?|disclaims?|disclaimers?|interests?|treaty|treaties|protections?|infringements?|rights?|and|or|on|in|is|of|to|for|as|if|at|with|that|this|which|such|may|shall|will"
-ITEM = "you|the|to|a|an|any|if|in|it|all|for|this|that|each|every|no|such|use|must|where|when"
+GOES_ON = "notices?|holders?|owners?|laws?|licen[cs]es?|permissions?|statements?|disclaims?|disclaimers?|interests?|treaty|treaties|protections?|infringements?|rights?|and|or|on|in|is|of|to|for|as|if|at|with|that|this|which|such|may|shall|will|are|resulting|doctrines|ownership|the (?:software|library|program)"
+ITEM = "under|you|the|to|a|an|any|if|in|it|all|for|this|that|each|every|no|such|use|must|where|when"
 _YEAR = r"[\[<{(]?(?:[0-9]{4}|yyyy|year)"
 #: Lines that carry a copyright statement, in lower case: a sign, a year or a holder follows. Only a newline ends a line.
 COPYRIGHT = rf"(?md)^[\t ]*(?:©|copyright[\t ,:]*(?:\(c\)|©|{_YEAR})|copyright[\t :]+(?!(?:{GOES_ON})\b)[^\s,.;:)]|\(c\)[\t ]*(?:copyright|{_YEAR})|\(c\)[\t ]+(?!(?:{ITEM})\b)[^\s])[^\n]*$"
@@ -38,22 +38,23 @@ def digest(text: Column) -> Column:
     return F.sha2(F.encode(canonical(text), "UTF-8"), 256)
 
 
-def known_digests(spark: SparkSession, texts=TEXTS) -> DataFrame:
+def known_digests(spark: SparkSession, texts=ALL_TEXTS) -> DataFrame:
     """(digest, license_id) of the canonical texts; its size is that of a list in the source, so it may be broadcast."""
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in texts)))
     rows = spark.range(1).select(each.alias("x")).select("x.*")
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
-def license_scan(docs: DataFrame, texts=TEXTS) -> DataFrame:
+def license_scan(docs: DataFrame, texts=ALL_TEXTS) -> DataFrame:
     """(doc_id, digest, license_id, notices): the licence a whole text is, and those that single lines of it are.
 
     license_id comes of a hash join of the whole text's digest with the known ones, null where none is equal. notices
     looks up each line that mentions a licence, distinct identifiers in order, comma-joined, empty where none. A null
     text is an empty one. Null or repeated doc_ids keep a row each; extra columns are ignored.
     """
-    known = known_digests(docs.sparkSession, texts)
-    table = F.create_map(*(F.lit(x) for r in known.collect() for x in (r["digest"], r["license_id"])))
+    digests = known_digests(docs.sparkSession, texts).collect()
+    table = F.create_map(*(F.lit(x) for r in digests for x in (r["digest"], r["license_id"])))
+    known = docs.sparkSession.range(1).select(F.explode(table).alias("digest", "license_id"))
     rows = docs.select("doc_id", whole().alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(MENTION))
     rows = rows.select("doc_id", digest(F.col("text")).alias("digest"), F.transform(lines, digest).alias("_lines"))

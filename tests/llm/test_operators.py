@@ -452,3 +452,15 @@ def test_licenses_wrapped_anywhere(spark):
     want[rows[-1][0]] = "MIT"
     got = {r.doc_id: r.license_id for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_whole_licences_and_headers(spark):
+    from cellweave.llm.license_texts import ALL_TEXTS, TEXTS
+    from cellweave.llm.licenses import license_scan
+
+    full = ALL_TEXTS[len(TEXTS) :]
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "GPL-3.0-or-later"} <= {i for i, _ in full}
+    header = 'Copyright 2020 Some Body\n\nLicensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.\n'
+    rows = [*((n, t) for n, (_, t) in enumerate(full)), (len(full), header), (len(full) + 1, full[0][1] + " More.")]
+    got = {r.doc_id: r.license_id for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{n: i for n, (i, _) in enumerate(full)}, len(full): "Apache-2.0", len(full) + 1: None}
