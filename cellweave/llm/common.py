@@ -25,6 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def put_file(path: str, data: bytes) -> None:
+    """Write a file of the shared folder from a task: under a name of its own, renamed when it is complete."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    store, at = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1)) if "://" in path else (fs.LocalFileSystem(), path)
+    store.create_dir(at.rpartition("/")[0], recursive=True)
+    own = f"{at}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(own) as out:
+        out.write(data)
+    store.move(own, at)
+
+
 def stash(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, makes sizes exact for AQE."""
     spark = df.sparkSession
@@ -43,6 +57,11 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def row_hash(*columns: str) -> Column:
+    """A hash of columns of any type, nested ones and maps too."""
+    return F.xxhash64(F.to_json(F.struct(*columns))) if columns else F.lit(0).cast("long")
+
+
 def whole(column: str = "text") -> Column:
     """The whole text, a null text read as empty."""
     return F.coalesce(F.col(column), F.lit(""))

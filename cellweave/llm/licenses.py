@@ -50,7 +50,8 @@ def license_scan(docs: DataFrame, texts=ALL_TEXTS) -> DataFrame:
 
     license_id comes of a hash join of the whole text's digest with the known ones, null where none is equal. notices
     looks up each line that mentions a licence, distinct identifiers in order, comma-joined, empty where none. A null
-    text is an empty one. Null or repeated doc_ids keep a row each; extra columns are ignored.
+    text is an empty one; an empty text, or one of copyright lines alone, is no licence. Null or repeated doc_ids keep a
+    row each; extra columns, whatever their names, are ignored; an empty table gives no rows.
     """
     digests = known_digests(docs.sparkSession, texts).collect()
     table = F.create_map(*(F.lit(x) for r in digests for x in (r["digest"], r["license_id"])))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import struct
 import zlib
 
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from .common import stash, whole
 
 
+#: Digits of a header number at most, and samples of an image: a header can't ask for more memory than that.
+DIGITS, SAMPLES = 10, 1 << 31
+
+
 def _netpbm_fields(data: bytes, count: int) -> tuple[list[int], int]:
     """``count`` header numbers after the magic, comments skipped, and where they end."""
     out, at = [], 2
@@ -24,8 +29,8 @@ def _netpbm_fields(data: bytes, count: int) -> tuple[list[int], int]:
         end = at
         while data[end : end + 1].isdigit():
             end += 1
-        if end == at:
-            raise ValueError("a number is missing in the Netpbm header")
+        if not 0 < end - at <= DIGITS:
+            raise ValueError("a number is missing or too long in the Netpbm header")
         out.append(int(data[at:end]))
         at = end
     return out, at
@@ -38,12 +43,17 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("not Netpbm")
     (width, height, *most), at = _netpbm_fields(data, 2 if kind in (b"P1", b"P4") else 3)
     shape = (height, width, 3) if kind in (b"P3", b"P6") else (height, width)
-    n = int(np.prod(shape))
+    n = math.prod(shape)
+    if n > SAMPLES or not all(0 < m < 65536 for m in most):
+        raise ValueError("the Netpbm header asks for too many samples or an impossible maximum")
     if kind == b"P1":
         bits = np.frombuffer(bytes(c for c in data[at:] if c in b"01"), np.uint8)[:n] - 48
         return np.where(bits.reshape(shape), 0, 255).astype(np.uint8)
     if kind in (b"P2", b"P3"):
-        return np.array(data[at:].split()[:n], np.uint16 if most[0] > 255 else np.uint8).reshape(shape)
+        values = np.array([int(x) if len(x) <= DIGITS else -1 for x in data[at:].split()[:n]], np.int64)
+        if len(values) and not 0 <= values.min() <= values.max() <= most[0]:
+            raise ValueError("a Netpbm sample is above the maximum")
+        return values.astype(np.uint16 if most[0] > 255 else np.uint8).reshape(shape)
     at += 1
     if kind == b"P4":
         rows = np.frombuffer(data, np.uint8, height * (-(-width // 8)), at).reshape(height, -1)
@@ -61,6 +71,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if packed not in (0, 3) or bits not in (8, 24, 32):
         raise ValueError(f"BMP of {bits} bits, compression {packed}, is not supported")
     rows, stride = abs(height), (width * bits + 31) // 32 * 4
+    if width < 0 or rows * width * bits // 8 > SAMPLES:
+        raise ValueError("the BMP header asks for too many samples")
     pixels = np.frombuffer(data, np.uint8, rows * stride, start).reshape(rows, stride)[:, : width * bits // 8]
     pixels = pixels[::-1] if height > 0 else pixels
     if bits != 8:
@@ -75,36 +87,46 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def _spans(n: int, to: int) -> np.ndarray:
-    """(to, n+1) weights w with w @ prefix = area sums of ``to`` equal parts, split between neighbouring prefixes."""
+def _corners(n: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``to`` equal parts of n begin and end: the whole position at or below, and the fraction above it."""
     edges = np.arange(to + 1) * n / to
-    low = np.minimum(edges.astype(int), n)
-    part = edges - low
-    at = np.zeros((to + 1, n + 1))
-    at[np.arange(to + 1), low] += 1 - part
-    at[np.arange(to + 1), np.minimum(low + 1, n)] += part
-    return np.diff(at, axis=0)
+    low = np.minimum(edges.astype(np.int64), n - 1)
+    return low, edges - low
+
+
+def _between(sums: np.ndarray, at: np.ndarray, low: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Prefix sums, held at the places ``at``, interpolated at low + part along the first axis."""
+    first, second = sums[np.searchsorted(at, low)], sums[np.searchsorted(at, low + 1)]
+    return first + (second - first) * part.reshape(-1, *[1] * (sums.ndim - 1))
 
 
-_span_cache: dict = {}
+#: Rows of an image that are summed at a time.
+STRIP = 1 << 16
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means of the image over height x width equal areas, by one integral image interpolated at area corners."""
+    """Means of the image over height x width equal areas, by one integral image interpolated at area corners.
+
+    Of the integral image only the rows next to corners are held: rows are summed strip by strip, so memory is bounded
+    by a strip and the result, however long the image is.
+    """
     h, w = image.shape[:2]
     if not h or not w:
         return np.zeros((height, width, *image.shape[2:]))
-    integral = np.zeros((h + 1, w + 1, *image.shape[2:]))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=integral[1:, 1:])
-    if len(_span_cache) > 4096:
-        _span_cache.clear()
-    down = _span_cache.setdefault((h, height), None)
-    if down is None:
-        down = _span_cache[h, height] = _spans(h, height)
-    across = _span_cache.get((w, width))
-    if across is None:
-        across = _span_cache[w, width] = _spans(w, width)
-    return np.tensordot(down, np.moveaxis(np.tensordot(across, integral, (1, 1)), 0, 1), (1, 0)) * (height * width / (h * w))
+    low, part = _corners(h, height)
+    at = np.unique(np.concatenate([low, low + 1]))
+    held, carry = np.zeros((len(at), *image.shape[1:])), np.zeros(image.shape[1:])
+    strip = max(1, STRIP // max(1, w // 16))
+    for a in range(0, h, strip):
+        sums = np.cumsum(image[a : a + strip], axis=0, dtype=np.float64) + carry
+        some = (at > a) & (at <= a + len(sums))
+        held[some] = sums[at[some] - a - 1]
+        carry = sums[-1]
+    rows = _between(held, at, low, part)
+    across = np.zeros((w + 1, height + 1, *image.shape[2:]))
+    np.cumsum(np.moveaxis(rows, 1, 0), axis=0, out=across[1:])
+    integral = _between(across, np.arange(w + 1), *_corners(w, width))
+    return np.moveaxis(np.diff(np.diff(integral, axis=0), axis=1), 0, 1) * (height * width / (h * w))
 
 
 def difference_hash(image: np.ndarray, side: int = 8) -> str:
@@ -125,7 +147,11 @@ def tile(image: np.ndarray, side: int) -> bytes:
 
 
 def media_features(media: DataFrame, key: str = "media_id", column: str = "media", side: int = 16) -> DataFrame:
-    """(key, height, width, channels, dhash, tile, error): decoded, resized and hashed; a bad or null medium has an error."""
+    """(key, height, width, channels, dhash, tile, error): decoded, resized and hashed.
+
+    A null, empty, cut off or impossible medium has an error and no features, and stops no other. Null and repeated keys
+    keep a row each, other columns are ignored, an empty table gives no rows.
+    """
 
     def run(batches):
         for batch in batches:
@@ -134,7 +160,7 @@ def media_features(media: DataFrame, key: str = "media_id", column: str = "media
                 try:
                     image = decode(data or b"")
                     row = [*image.shape[:2], image.shape[2] if image.ndim == 3 else 1, difference_hash(image), tile(image, side), None]
-                except (ValueError, IndexError, struct.error) as e:
+                except (ValueError, IndexError, OverflowError, struct.error) as e:
                     row = [None, None, None, None, None, str(e) or "unreadable"]
                 for have, x in zip(out, row, strict=True):
                     have.append(x)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, salted_rank, stash, whole
+from .common import WORD, row_hash, salted_rank, stash, whole
 
 
 def word_count(column: str = "text") -> Column:
@@ -22,6 +22,11 @@ def doc_salt(column: str = "doc_id") -> Column:
     return F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit(""))), 1, 2)
 
 
+def row_salt(doc_id: str, *columns: str) -> Column:
+    """``doc_salt``, and for rows without a doc_id one by a hash of other columns, so that they don't share a cell."""
+    return F.when(F.col(doc_id).isNotNull(), doc_salt(doc_id)).otherwise(F.lpad(F.hex(F.pmod(row_hash(*columns), F.lit(256))), 2, "0"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3) -> DataFrame:
     """(source, source_size, target) from (source, source_size): ``share`` of all sizes dealt out by weight, a target
     at most ``most`` times its source's size and the excess dealt again by weight until none is above.
@@ -46,7 +51,8 @@ def copies(docs: DataFrame, seed: int = 20, weights: tuple[int, ...] = (1, 2, 3)
     A document's expected copies are target / source_size. Along a source, ordered by size band, a hash of the doc_id,
     size and doc_id, the prefix sums of expected copies plus one random offset cross an integer copies times; ordering
     by size keeps the words taken near the target. The offset comes from an MD5 of seed and source, so reruns agree.
-    Sources of no words, and empty documents' words, count 0. Null sources form one source, null doc_ids one id.
+    Sources of no words, and empty documents' words, count 0. Null sources form one source, null doc_ids one id. Equal
+    rows are drawn one by one; an empty table gives no rows. Columns beyond those used are kept.
     """
     thin = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = stash(targets(thin, weights, share, most), "mix-targets").withColumnRenamed("source", "_source")
@@ -61,7 +67,10 @@ def copies(docs: DataFrame, seed: int = 20, weights: tuple[int, ...] = (1, 2, 3)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: each document as often as drawn, with the columns of ``docs``, whatever their names."""
+    """The mixed corpus: each document as often as drawn, with the columns of ``docs``, whatever their names.
+
+    A null or empty text has size 0; null sources and doc_ids, repeated rows and empty tables are as in ``copies``.
+    """
     rows = copies(docs.select("doc_id", "source", word_count().alias("size"), F.struct(*docs.columns).alias("_row")), **how)
     return rows.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("_row.*")
 

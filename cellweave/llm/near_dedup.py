@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stash, text_bytes, whole
+from .common import row_hash, slices, stash, text_bytes, whole
 from .components import components
 from .words import mix, shingles, words
 
 BANDS, ROWS = 25, 5
-SAMPLES = BANDS * ROWS
-BITS = 256
+#: Samples of a sketch; the first BANDS * ROWS of them make the bands.
+SAMPLES = 250
+BITS = 512
 LONGS = BITS // 64
 #: Members of a tile's side, at most about.
 BLOCK = 512
@@ -55,7 +56,7 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8), axis=1, bitorder="little").view(np.int64).reshape(n, LONGS)
 
 
-def most_differing(percent: int, deviations: float = 5.0) -> int:
+def most_differing(percent: int, deviations: float = 4.5) -> int:
     """XOR population counts up to this can be sets of ``percent`` similarity: the mean there and some deviations.
 
     D differing samples flip 2D random bits; E[count] = BITS/2 * (1 - (1 - 2/BITS)^2D). D is binomial, and bits met
@@ -95,7 +96,7 @@ def features(docs: DataFrame, size: int) -> DataFrame:
                 samples = minhash(flat, offsets)
                 keys = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.zeros((b - a, 1), np.uint64)
                 for i in range(ROWS):
-                    keys = mix(keys * np.uint64(31) + samples[:, i::ROWS].astype(np.uint64))
+                    keys = mix(keys * np.uint64(31) + samples[:, i : BANDS * ROWS : ROWS].astype(np.uint64))
                 n = np.diff(offsets)
                 ids = [_set_id(flat[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 listed = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).view(np.int64).ravel()))
@@ -272,10 +273,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, one row of each doc_id; null doc_ids all stay."""
+    """``docs`` with one document of each component, that of least doc_id; null doc_ids all stay.
+
+    Of rows that share the kept doc_id the one of least text hash, then of least hash of the whole row, stays, so reruns
+    agree. A null, empty or blank text links with nothing and stays. Extra columns, whatever their names, are kept. An
+    empty table stays empty.
+    """
     kept = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(F.xxhash64(whole()), row_hash(*(c for c in docs.columns if c.lower() not in ("doc_id", "text")))).alias("_order"), F.struct(*docs.columns).alias("_row"))
+    one = rows.where("_id is not null").join(kept, F.col("_id") == F.col("_keep"), "left_semi").groupBy("_id").agg(F.min_by("_row", "_order").alias("_row"))
+    return one.select("_row.*").unionByName(docs.where("doc_id is null"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

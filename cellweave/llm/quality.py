@@ -131,6 +131,13 @@ class Network:
     def _logit(self, z: np.ndarray) -> np.ndarray:
         return np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2
 
+    def gradients(self, z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the mean log loss and half of ``decay`` times the squared weights, by w1, b1, w2 and b2."""
+        h = np.tanh(z @ self.w1 + self.b1)
+        error = (1 / (1 + np.exp(-np.clip(h @ self.w2 + self.b2, -40, 40))) - y) / len(y)
+        back = np.outer(error, self.w2) * (1 - h * h)
+        return z.T @ back + self.decay * self.w1, back.sum(0), h.T @ error + self.decay * self.w2, error.sum(keepdims=True)
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> Network:
         """Trains on most rows; the rest choose the epoch and the temperature. One class or none: a constant score."""
         if len(y) < 20 or y.min() == y.max():
@@ -147,11 +154,7 @@ class Network:
         for _ in range(self.epochs):
             for part in np.array_split(rng.permutation(used), max(1, len(used) // 128)):
                 step += 1
-                h = np.tanh(z[part] @ self.w1 + self.b1)
-                error = (1 / (1 + np.exp(-np.clip(h @ self.w2 + self.b2, -40, 40))) - y[part]) / len(part)
-                back = np.outer(error, self.w2) * (1 - h * h)
-                grads = (z[part].T @ back + self.decay * self.w1, back.sum(0), h.T @ error + self.decay * self.w2, error.sum(keepdims=True))
-                for p, g, (m, v) in zip((self.w1, self.b1, self.w2, self.b2), grads, state, strict=True):
+                for p, g, (m, v) in zip((self.w1, self.b1, self.w2, self.b2), self.gradients(z[part], y[part]), state, strict=True):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     p -= self.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -182,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[np.nd
     """Context vectors and frequencies of all texts, and a network fitted on at most ``most`` labelled documents.
 
     ``most`` bounds what reaches the driver (some 600 bytes a row); the labelled rows of least hash are taken. A
-    doc_id with several labels has the least of them. Held-out rows (CRC-32 of doc_id mod 5 is 0) are never used.
+    doc_id with several labels has the least of them, one with several texts that of least hash. Held-out rows (CRC-32
+    of doc_id mod 5 is 0) are never used.
     """
     vectors, frequency = context_vectors(docs)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -196,6 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[np.nd
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), rows], names=["doc_id", "quality", "x"])
 
     rows = docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", whole().alias("text"))
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
     found = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").toPandas()
     x = np.array(found["x"].tolist(), float).reshape(-1, WIDTH)
     order = np.lexsort((*x.T[:3], found["doc_id"].to_numpy()))
@@ -207,7 +212,9 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int
     score >= ``threshold``.
 
     A null text counts as empty and gets the score of an empty text. Without labels of both classes every score is the
-    labels' smoothed mean. Labels, doc_id and other columns are never inputs of a score.
+    labels' smoothed mean. Labels, doc_id and other columns are never inputs of a score. Equal texts have equal scores;
+    repeated rows and null doc_ids keep a row each; ``row`` holds the columns of ``docs`` whatever their names; an empty
+    table gives no rows.
     """
     share = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))
 

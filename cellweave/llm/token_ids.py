@@ -1,14 +1,16 @@
-"""Token-ID output: concatenated id arrays with Elias-Fano document boundaries.
+"""Token-ID output: concatenated id arrays with Elias-Fano document boundaries, in binary files.
 
-File format (one block, all numbers little-endian)::
+File format (all numbers little-endian)::
 
-    4s  magic "EFID"       u8  bytes per id (2 or 4)    u8 low bits l    u16 select sampling step
-    u64 documents m        u64 ids U                    u64 high-bit bytes    u64 null doc_ids (they come first)
-    i64[m] doc_ids         low part: m boundaries of l bits     high part: unary coded     u64[] select samples
+    4s  magic "EFI2"       u8  bytes per id (2 or 4)    u8 low bits of the ends    u8 low bits of the doc_ids    u8 0
+    u32 shard              u32 block                    u64 documents m            u64 ids U
+    u64 high-bit bytes of the ends    u64 high-bit bytes of the doc_ids    u64 null doc_ids (they come first)    i64 least doc_id
+    ends: low part, high part in unary, u64[] select samples        doc_ids, less the least one: the same
     ids, concatenated
 
-The m boundaries are the cumulative ends of the documents; ``select(i)`` returns the i-th end from the samples and a
-scan of a few words of the high part, so a reader needs about 2 + log2(U/m) bits a document and no 64-bit table.
+Both the documents' cumulative ends and their ascending doc_ids are Elias-Fano sequences: ``select(i)`` returns the i-th
+value from a sample and a scan of a few bytes of the high part, in about 2 + log2(U/m) bits a document. There is no
+64-bit table of either.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import os
 import struct
 import sys
+import uuid
 import zlib
 from array import array
 
@@ -24,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_count, slices, small_batches, stash, text_bytes, whole
-from .words import Rolling
+from .common import put_file, shared_dir, shuffle_count, slices, small_batches, stash, text_bytes, whole
+from .words import slice_hashes
 
-HEAD = struct.Struct("<4sBBHQQQQ")
+HEAD = struct.Struct("<4sBBBBIIQQQQQq")
 STEP = 64
+#: Sub-shards of the documents without a doc_id, and ranges of doc_id a shard is put together from.
+NULLS, FINE = 16, 16
 
 
 class EliasFano:
@@ -75,28 +80,49 @@ class EliasFano:
         return high | (parts.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
-def pack_block(doc_ids: list, ids: list[bytes], width: int) -> bytes:
-    """A block of the file format; null doc_ids must come first."""
+def _parts(ef: EliasFano) -> list[bytes]:
+    return [ef.low.tobytes(), ef.high.tobytes(), ef.samples.astype("<u8").tobytes()]
+
+
+def pack_block(doc_ids: list, ids: list[bytes], width: int, shard: int = 0, block: int = 0) -> bytes:
+    """The bytes of a file; null doc_ids must come first, the others ascend."""
     sizes = np.array([len(x) // width for x in ids], np.int64)
     ends = np.cumsum(sizes)
     ef = EliasFano.encode(ends, int(ends[-1]) if len(ends) else 0)
-    docs = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    head = HEAD.pack(b"EFID", width, ef.low_bits, STEP, len(ids), int(sizes.sum()), len(ef.high), sum(d is None for d in doc_ids))
-    return b"".join([head, docs.tobytes(), ef.low.tobytes(), ef.high.tobytes(), ef.samples.astype("<u8").tobytes(), *ids])
+    known = [d for d in doc_ids if d is not None]
+    least = known[0] if known else 0
+    docs = EliasFano.encode(np.array([d - least for d in known], np.uint64), known[-1] - least if known else 0)
+    head = HEAD.pack(b"EFI2", width, ef.low_bits, docs.low_bits, 0, shard, block, len(ids), int(sizes.sum()), len(ef.high), len(docs.high), len(ids) - len(known), least)
+    return b"".join([head, *_parts(ef), *_parts(docs), *ids])
+
+
+class Block:
+    """A file opened: its ids and, through select, each document's doc_id and place among them."""
+
+    def __init__(self, data: bytes):
+        magic, width, low, doc_low, _, self.shard, self.block, self.m, total, high, doc_high, self.nulls, self.least = HEAD.unpack_from(data)
+        if magic != b"EFI2":
+            raise ValueError("not a file of token ids")
+        at = HEAD.size
+
+        def take(dtype, count):
+            nonlocal at
+            out = np.frombuffer(data, dtype, count, at)
+            at += out.nbytes
+            return out
+
+        def sequence(n, low_bits, high_bytes):
+            return EliasFano(n, low_bits, take("u1", (n * low_bits + 7) // 8), take("u1", high_bytes), take("<u8", (n + STEP - 1) // STEP))
 
+        self.ends, self.docs = sequence(self.m, low, high), sequence(self.m - self.nulls, doc_low, doc_high)
+        self.ids = take(f"<u{width}", total)
 
-def open_block(block: bytes) -> tuple[list, EliasFano, np.ndarray]:
-    """doc_ids, boundaries and the concatenated ids of a block."""
-    magic, width, low_bits, step, m, total, high, nulls = HEAD.unpack_from(block)
-    if magic != b"EFID" or step != STEP:
-        raise ValueError("not a block of token ids")
-    at = HEAD.size
-    parts = []
-    for dtype, count in (("<i8", m), ("u1", (m * low_bits + 7) // 8), ("u1", high), ("<u8", (m + STEP - 1) // STEP), (f"<u{width}", total)):
-        parts.append(np.frombuffer(block, dtype, count, at))
-        at += parts[-1].nbytes
-    docs = [None] * nulls + parts[0][nulls:].tolist()
-    return docs, EliasFano(m, low_bits, *parts[1:4]), parts[4]
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.nulls else self.least + self.docs.select(i - self.nulls)
+
+    def span(self, i: int) -> tuple[int, int]:
+        """Where the ids of document ``i`` start and end."""
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
 
 
 class _Pieces(dict):
@@ -121,12 +147,11 @@ class _Pieces(dict):
 
 
 class _Units:
-    """An open-addressing table from 64-bit hashes of text units to their ids, in numpy arrays: some 40 bytes a unit.
-
-    Emptied at ``MOST`` units, so a worker's memory is bounded.
+    """An open-addressing table from 64-bit hashes of text units to their bytes and ids, in numpy arrays: some 60 bytes
+    a unit. Emptied at ``MOST`` units or ``BYTES`` of text, so a worker's memory is bounded.
     """
 
-    MOST = 1_500_000
+    MOST, BYTES = 1_500_000, 48 << 20
 
     def __init__(self, dtype: str):
         self.dtype = dtype
@@ -137,6 +162,10 @@ class _Units:
         self.keys, self.slots = np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.int32)
         self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 18, self.dtype)
+        self.letters, self.text_start, self.text_size, self.text_used = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
+
+    def full(self) -> bool:
+        return self.n > self.MOST or self.text_used > self.BYTES
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The unit of each hash, -1 where there is none; hashes are not 0."""
@@ -166,7 +195,7 @@ class _Units:
     def _room(array: np.ndarray, n: int) -> np.ndarray:
         return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
 
-    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+    def add(self, hashes: np.ndarray, texts: list[bytes], ids: list[bytes]) -> None:
         """New units; hashes are distinct and none is held."""
         m, flat = len(ids), np.frombuffer(b"".join(ids), self.dtype)
         if 2 * (self.n + m) > len(self.keys):
@@ -180,8 +209,25 @@ class _Units:
         self.pool[self.used : self.used + len(flat)] = flat
         self.size[self.n : self.n + m] = sizes
         self.start[self.n : self.n + m] = self.used + np.cumsum(sizes) - sizes
+        letters, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(x) for x in texts], np.int32)
+        self.letters, self.text_start, self.text_size = self._room(self.letters, self.text_used + len(letters)), self._room(self.text_start, self.n + m), self._room(self.text_size, self.n + m)
+        self.letters[self.text_used : self.text_used + len(letters)] = letters
+        self.text_size[self.n : self.n + m] = lengths
+        self.text_start[self.n : self.n + m] = self.text_used + np.cumsum(lengths) - lengths
         self._place(hashes, np.arange(self.n, self.n + m, dtype=np.int32))
-        self.n, self.used = self.n + m, self.used + len(flat)
+        self.n, self.used, self.text_used = self.n + m, self.used + len(flat), self.text_used + len(letters)
+
+    def others(self, units: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which slices of ``data`` are not, byte for byte, the text of their unit; the slices follow each other."""
+        wrong = self.text_size[units] != ends - starts
+        at = np.flatnonzero(~wrong)
+        if len(at):
+            n = (ends - starts)[at]
+            first = np.cumsum(n) - n
+            inside = np.arange(int(n.sum())) - np.repeat(first, n)
+            differs = self.letters[inside + np.repeat(self.text_start[units[at]], n)] != data[inside + np.repeat(starts[at], n)]
+            wrong[at] = np.logical_or.reduceat(differs, first)
+        return np.flatnonzero(wrong)
 
     def ids(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the units in order, and how many each has."""
@@ -193,9 +239,10 @@ class WordwiseEncoder:
     """Ids of a byte-level BPE file of the tokenizers library, through caches of its pre-tokens.
 
     Byte-level BPE merges only inside a pre-token, and a pre-token never crosses a space that follows no white space. So
-    texts are cut before such spaces into units, found by hash; a new unit is cut by the tokenizer's pattern and its new
-    pieces are encoded by the tokenizer. A text where white space stands before a space goes through the pattern as a
-    whole, one that holds an added token through the tokenizer.
+    texts are cut before such spaces into units, found by hash and compared byte by byte with the unit held; a new unit
+    is cut by the tokenizer's pattern and its new pieces are encoded by the tokenizer. A text where white space stands
+    before a space, or with a unit whose hash another unit has, goes through the pattern as a whole, one that holds an
+    added token through the tokenizer.
     """
 
     #: Fixed value: the pre-token pattern of this vocabulary.
@@ -248,24 +295,26 @@ class WordwiseEncoder:
         cut[heads] = True
         starts = np.flatnonzero(cut)
         ends = np.concatenate([starts[1:], [len(data)]]) if len(starts) else starts
-        odd = np.unique(np.searchsorted(offsets, inner[self._after_blank(data, inner)], "right") - 1).tolist()
+        odd = [np.searchsorted(offsets, inner[self._after_blank(data, inner)], "right") - 1]
         raw = data.tobytes()
         text = lambda d: raw[offsets[d] : offsets[d + 1]].decode()
         whole_texts = {d for d in range(n) if any(t in text(d) for t in self.added)} if any(t.encode() in raw for t in self.added) else set()
-        hashes = np.maximum(Rolling(data).slices(starts, ends), np.uint64(1))
-        if self.units.n > self.units.MOST:
+        hashes = np.maximum(slice_hashes(data, starts, ends), np.uint64(1))
+        if self.units.full():
             self.units.clear()
         units = self.units.find(hashes)
         missing = np.flatnonzero(units < 0)
         if len(missing):
             new, first = np.unique(hashes[missing], return_index=True)
-            self.units.add(new, [self.by_pattern(raw[a:b].decode()) for a, b in zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), strict=True)])
+            texts = [raw[a:b] for a, b in zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), strict=True)]
+            self.units.add(new, texts, [self.by_pattern(x.decode()) for x in texts])
             units[missing] = self.units.find(hashes[missing])
+        odd.append(np.searchsorted(offsets, starts[self.units.others(units, data, starts, ends)], "right") - 1)
         ids, sizes = self.units.ids(units)
         counts = np.bincount(np.searchsorted(offsets, starts, "right") - 1, sizes, n).astype(np.int64)
         bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
         out = [ids[a:b].tobytes() + self.end for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        for d in odd:
+        for d in np.unique(np.concatenate(odd)).tolist():
             out[d] = self.by_pattern(text(d)) + self.end
         for d in whole_texts:
             out[d] = self.direct(text(d)) + self.end
@@ -294,32 +343,68 @@ def _encoder(path: str, end_id: int) -> WordwiseEncoder:
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int = 0, bounds: list | None = None) -> DataFrame:
-    """(shard, doc_id, ids) of every whole text, ``end_id`` appended; shard by ``bounds`` of doc_id, nulls in shard 0."""
+    """(shard, doc_id, tie, ids) of every whole text, ``end_id`` appended.
+
+    Documents without a doc_id are dealt to the first ``NULLS`` shards by ``tie``, a hash of the text, the others to those
+    after by ``bounds`` of doc_id.
+    """
     edges = np.array(bounds or [], np.int64)
 
     def run(batches):
         encoder = _encoder(tokenizer, end_id)
         for batch in batches:
-            ids = pa.array(encoder.encode_all(batch.column(1)), pa.binary())
-            known = batch.column(0).cast(pa.int64())
-            shard = np.searchsorted(edges, known.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), known, ids], names=["shard", "doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), whole().alias("text")).mapInArrow(run, "shard int, doc_id long, ids binary")
-
-
-def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = 1 << 20) -> DataFrame:
-    """The corpus in the file format: a table (shard, block, m, n_ids, payload), in ascending doc_id order.
-
-    doc_id ranges (from quantiles of the id column alone) go to tasks; each sorts its documents, by spilling if need
-    be, and streams out blocks of about ``block_ids`` ids, so memory is bounded by a block and the longest document.
-    Equal doc_ids follow each other, shorter and then byte-wise smaller id lists first.
+            ids = pa.array(encoder.encode_all(batch.column(2)), pa.binary())
+            known, tie = batch.column(0), batch.column(1)
+            shard = NULLS + np.searchsorted(edges, known.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right")
+            shard = np.where(known.is_null().to_numpy(zero_copy_only=False), tie.to_numpy() % NULLS, shard).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), known, tie, ids], names=["shard", "doc_id", "tie", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.pmod(F.xxhash64(whole()), F.lit(1 << 20)).alias("tie"), whole().alias("text"))
+    return rows.mapInArrow(run, "shard int, doc_id long, tie long, ids binary")
+
+
+def shard_bounds(docs: DataFrame, shards: int) -> list[int]:
+    """doc_ids that cut the corpus into about ``shards`` ranges of equal bytes: finer ranges of equally many documents,
+    whose bytes are summed over all rows, are put together. What reaches the driver is a row a fine range."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("d"), F.octet_length(whole()).cast("long").alias("b")).where("d is not null")
+    fine = shards * FINE
+    cuts = sorted({int(x) for x in ids.approxQuantile("d", [i / fine for i in range(1, fine)], 1 / (2 * fine))})
+    if not cuts:
+        return []
+
+    def place(batches):
+        edges = np.array(cuts, np.int64)
+        for batch in batches:
+            at = np.searchsorted(edges, batch.column(0).to_numpy(), "right")
+            n = np.bincount(at, batch.column(1).to_numpy(), len(edges) + 1).astype(np.int64)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["r", "b"])
+
+    sums = dict(ids.mapInArrow(place, "r long, b long").groupBy("r").agg(F.sum("b").alias("b")).collect())
+    most, held, out = sum(sums.values()) / shards, 0, []
+    for r, cut in enumerate(cuts):
+        held += sums.get(r, 0)
+        if held >= most:
+            out.append(cut)
+            held = 0
+    return out
+
+
+def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = 1 << 24) -> tuple[str, DataFrame]:
+    """The corpus in files of the format; their folder, and a table (shard, block, m, n_ids) of them.
+
+    doc_id ranges of about equal bytes go to tasks; each sorts its documents, by spilling if need be, and streams out
+    files of about ``block_ids`` ids, so memory is bounded by a file and the longest document (whose ids must fit a
+    cell, 2 GB). A file appears under its name when it is complete, and a task that runs again writes the same file, so
+    lost executors do no harm. Equal doc_ids follow each other, by a hash of the text, then shorter and byte-wise
+    smaller id lists first.
     """
     spark = docs.sparkSession
     small_batches(spark)
     n = shuffle_count(spark)
-    bounds = docs.select(F.col("doc_id").cast("long").alias("d")).dropna().approxQuantile("d", [i / n for i in range(1, n)], 0.002 if n < 400 else 1 / (4 * n))
+    bounds = shard_bounds(docs, n)
     width = _encoder(tokenizer, end_id).width
+    folder = f"{shared_dir(spark)}/cellweave/token-ids-{uuid.uuid4().hex}"
 
     def run(batches):
         held: list = []
@@ -327,12 +412,13 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: in
 
         def flush():
             nonlocal held, block, size
-            out = pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([block], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([size // width], pa.int64()), pa.array([pack_block([d for d, _ in held], [x for _, x in held], width)], pa.binary())], names=["shard", "block", "m", "n_ids", "payload"])
+            put_file(f"{folder}/{now:06d}-{block:06d}.efid", pack_block([d for d, _ in held], [x for _, x in held], width, now, block))
+            out = pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([block], pa.int32()), pa.array([len(held)], pa.int64()), pa.array([size // width], pa.int64())], names=["shard", "block", "m", "n_ids"])
             held, block, size = [], block + 1, 0
             return out
 
         for batch in batches:
-            for shard, doc, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for shard, doc, ids in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
                 if held and (shard != now or size >= block_ids * width):
                     yield flush()
                 if shard != now:
@@ -342,25 +428,32 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: in
         if held:
             yield flush()
 
-    dealt = encode(docs, tokenizer, end_id, sorted({int(b) for b in bounds})).repartition(n, "shard").sortWithinPartitions("shard", "doc_id", F.length("ids"), "ids")
-    return stash(dealt.mapInArrow(run, "shard int, block long, m long, n_ids long, payload binary"), "token-ids", "zstd")
+    dealt = encode(docs, tokenizer, end_id, bounds).repartition(n + NULLS, "shard").sortWithinPartitions("shard", "doc_id", "tie", F.length("ids"), "ids")
+    return folder, stash(dealt.mapInArrow(run, "shard int, block int, m long, n_ids long"), "token-files")
 
 
-def read_index(blocks: DataFrame) -> DataFrame:
+def read_files(folder: str, files: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens and the CRC-32 of its ids as 32-bit little-endian numbers."""
+    spark = files.sparkSession
+    schema = "shard int, block int, doc_id long, local long, n_tokens long, ids_crc32 long"
 
     def run(batches):
         for batch in batches:
-            for shard, block, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                docs, ef, ids = open_block(payload)
-                ends = ef.decode().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                m = len(docs)
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * m, pa.int32()), pa.array([block] * m, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["shard", "block", "doc_id", "local", "n_tokens", "ids_crc32"])
-
-    rows = blocks.select("shard", "block", "payload").mapInArrow(run, "shard int, block long, doc_id long, local long, n_tokens long, ids_crc32 long")
-    sizes = blocks.select("shard", "block", "n_ids")
+            for content in batch.column(0):
+                file = Block(content.as_buffer())
+                for a in range(0, file.m, 8192):
+                    some = range(a, min(a + 8192, file.m))
+                    spans = [file.span(i) for i in some]
+                    crc = [zlib.crc32(file.ids[x:y].astype("<u4").tobytes()) for x, y in spans]
+                    columns = [[file.shard] * len(some), [file.block] * len(some), [file.doc_id(i) for i in some], [x for x, _ in spans], [y - x for x, y in spans], crc]
+                    types = [pa.int32(), pa.int32(), *[pa.int64()] * 4]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "block", "doc_id", "local", "n_tokens", "ids_crc32"])
+
+    if files.isEmpty():
+        rows = spark.createDataFrame([], schema)
+    else:
+        rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.efid").load(folder).select("content").mapInArrow(run, schema)
+    sizes = files.select("shard", "block", "n_ids")
     before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n_ids")).select("shard", before(Window.orderBy("shard")).alias("base"))
     inside = sizes.select("shard", "block", before(Window.partitionBy("shard").orderBy("block")).alias("inside"))
@@ -369,12 +462,12 @@ def read_index(blocks: DataFrame) -> DataFrame:
 
 
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Encode, write, read back: (doc_id, start, n_tokens, ids_crc32), one row per document.
+    """Encode, write files, read them back: (doc_id, start, n_tokens, ids_crc32), one row per document.
 
     Null and empty texts are a lone ``end_id``. Null doc_ids come first; repeated doc_ids each keep a row. An empty
     table gives no rows. Columns other than doc_id and text are ignored.
     """
-    return read_index(write_blocks(docs, tokenizer, end_id))
+    return read_files(*write_files(docs, tokenizer, end_id))
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

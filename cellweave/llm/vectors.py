@@ -2,7 +2,10 @@
 
 Each shard inserts its vectors in batches: greedy searches from the medoid propose neighbours, relaxed pruning keeps
 those not much nearer to a kept neighbour than to the point, and edges back are pruned alike. All searches of a batch
-advance together in numpy. Largest inner product becomes nearest in Euclidean distance by one more coordinate.
+advance together in numpy. Largest inner product becomes nearest in Euclidean distance by one more coordinate. Graphs are built
+and searched on vectors scaled by a power of two, queries on unit length, so no magnitude is out of a float's range; the
+scores are those of the original vectors. Vectors are compared with those of their own length only: a shard holds one
+length.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import stash
 
 DEGREE, BEAM, RELAX = 32, 64, 1.2
-#: A shard's vectors at most, about, and the least number of shards; queries of one search task.
-SHARD, SHARDS, QUERIES = 50_000, 12, 16_384
+#: A shard's vectors at most, about, and the least number of shards a length is dealt to.
+SHARD, SHARDS = 50_000, 12
 
 
 def _distances(x: np.ndarray, norms: np.ndarray, points: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -131,89 +134,125 @@ def _matrix(column) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows divided by powers of two of their largest component, then by their norm, in float64; zeros stay."""
+    top = np.abs(x).max(1, initial=0)
+    x = np.ldexp(x, -np.frexp(top)[1][:, None])
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 0.1)
+
+
+def lift(x: np.ndarray) -> np.ndarray:
+    """Vectors over a power of two, with a coordinate more that gives all the same norm, as float32."""
+    x = np.ldexp(x, -int(np.frexp(np.abs(x).max(initial=0))[1]))
+    squared = np.einsum("nd,nd->n", x, x)
+    return np.concatenate([x, np.sqrt(np.maximum(squared.max() - squared, 0))[:, None]], axis=1).astype(np.float32)
+
+
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, v) of the vectors that take part: not null, of finite components, not all zero, of the commonest length."""
+    """(vec_id, d, v) of the vectors that take part: not null, of finite components, not all zero; d is the length."""
     v = F.col("embedding")
-    good = rows.where(v.isNotNull() & F.col("vec_id").isNotNull() & (F.size(v) > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
+    good = rows.where(v.isNotNull() & F.col("vec_id").isNotNull() & (F.size(v) > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), F.size(v).alias("d"), v.cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = good.where(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
-    length = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return good.where(F.size("v") == (length["d"] if length else 0))
+    return good.where(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
+
+
+def shard_table(vectors: DataFrame) -> DataFrame:
+    """(d, first, shards): the shards of each length, at least ``SHARDS`` and one for ``SHARD`` vectors. A row a length."""
+    counts = vectors.groupBy("d").agg(F.count(F.lit(1)).alias("n")).withColumn("shards", F.greatest(F.lit(SHARDS), F.ceil(F.col("n") / SHARD)).cast("int"))
+    before = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    return stash(counts.select("d", F.coalesce(F.sum("shards").over(before), F.lit(0)).cast("int").alias("first"), "shards"), "shards")
 
 
-def build_index(vectors: DataFrame, keep: int, shards: int) -> DataFrame:
-    """(shard, x, graph, start, ids): a graph over each shard's distinct vectors, written to the shared folder.
+#: A shard's graph; then, in the same shape, the queries put to it.
+INDEX = "shard int, n long, start long, x binary, lifted binary, graph binary, ids binary, ends binary, query_id long, q array<double>"
+
+
+def build_index(vectors: DataFrame, keep: int, table: DataFrame, shards: int) -> DataFrame:
+    """``INDEX`` rows: a graph over each shard's distinct vectors, written to the shared folder.
 
     ids of a vector are its ``keep`` least vec_ids: more of equal vectors can't be among so many nearest.
     """
     least = Window.partitionBy("v").orderBy("vec_id")
     rows = vectors.withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= keep)
-    rows = rows.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    rows = rows.groupBy("d", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    rows = rows.join(table, "d").select((F.col("first") + F.pmod(F.xxhash64("v"), F.col("shards"))).cast("int").alias("shard"), "v", "ids")
 
-    def build(table: pa.Table) -> pa.Table:
-        exact = _matrix(table.column("v"))
-        first = np.array([i[0].as_py() for i in table.column("ids")])
-        order = np.argsort(first, kind="stable")
+    def build(rows: pa.Table) -> pa.Table:
+        exact = _matrix(rows.column("v"))
+        order = np.argsort(np.array([i[0].as_py() for i in rows.column("ids")]), kind="stable")
         exact = exact[order]
-        squared = np.einsum("nd,nd->n", exact, exact)
-        lifted = np.concatenate([exact, np.sqrt(np.maximum(squared.max() - squared, 0))[:, None]], axis=1).astype(np.float32)
+        lifted = lift(exact)
         graph, start = build_graph(lifted)
-        ids = table.column("ids").take(pa.array(order)).combine_chunks()
+        ids = rows.column("ids").take(pa.array(order)).combine_chunks()
         flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy()
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "n": pa.array([len(exact)], pa.int64()), "start": pa.array([start], pa.int64()), "x": [exact.tobytes()], "lifted": [lifted.tobytes()], "graph": [graph.tobytes()], "ids": [flat.astype(np.int64).tobytes()], "ends": [(ends - ends[0]).astype(np.int64).tobytes()]})
+        return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()), "n": pa.array([len(exact)], pa.int64()), "start": pa.array([start], pa.int64()), "x": [exact.tobytes()], "lifted": [lifted.tobytes()], "graph": [graph.tobytes()], "ids": [flat.astype(np.int64).tobytes()], "ends": [(ends - ends[0]).astype(np.int64).tobytes()], "query_id": pa.array([None], pa.int64()), "q": pa.array([None], pa.list_(pa.float64()))})
+
+    return stash(rows.repartitionByRange(shards, "shard").groupBy("shard").applyInArrow(build, INDEX), "graphs")
+
+
+class Graph:
+    """A shard's index, opened."""
+
+    def __init__(self, row: dict):
+        n = row["n"]
+        self.start, self.exact, self.lifted = row["start"], np.frombuffer(row["x"]).reshape(n, -1), np.frombuffer(row["lifted"], np.float32).reshape(n, -1)
+        self.graph, self.ids, self.ends = np.frombuffer(row["graph"], np.int32).reshape(n, -1), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
+        self.norms = np.einsum("nd,nd->n", self.lifted, self.lifted)
 
-    schema = "shard int, n long, start long, x binary, lifted binary, graph binary, ids binary, ends binary"
-    return stash(rows.groupBy("shard").applyInArrow(build, schema), "graphs")
+    def search(self, names: np.ndarray, q: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
+        """(query_id, vec_id, score) of the k+1 nearest distinct vectors found, all their ids."""
+        points = np.concatenate([unit(q), np.zeros((len(q), 1))], axis=1).astype(np.float32)
+        found = beam_search(self.lifted, self.norms, self.graph, self.start, points, max(beam, k + 1))[0][:, : k + 1]
+        asked, place = np.nonzero(found >= 0)
+        near = found[asked, place]
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = np.einsum("nd,nd->n", self.exact[near], q[asked])
+        n = self.ends[near + 1] - self.ends[near]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - self.ends[near], n)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names[asked], n)), pa.array(self.ids[at]), pa.array(np.repeat(scores, n))], names=["query_id", "vec_id", "score"])
 
 
-def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, beam: int) -> DataFrame:
-    """(query_id, vec_id, score) candidates: from every shard the k+1 nearest distinct vectors found, with their ids.
+def search_index(index: DataFrame, queries: DataFrame, table: DataFrame, shards: int, k: int, beam: int) -> DataFrame:
+    """(query_id, vec_id, score) candidates: from every shard of the query's length the k+1 nearest distinct vectors
+    found, with their ids.
 
-    Queries go to every shard in blocks of about ``QUERIES``, so a task holds one graph and one block.
+    A task gets a shard: its graph comes first and is loaded once, then the queries stream past it, so a graph moves
+    once and memory is a graph and a batch of queries.
     """
-    blocks = max(1, -(-queries.count() // QUERIES))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    dealt = queries.select("query_id", "q", block.alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if len(left) and len(right):
-            row = {c: left.column(c)[0].as_py() for c in left.column_names}
-            n = row["n"]
-            exact, lifted = np.frombuffer(row["x"]).reshape(n, -1), np.frombuffer(row["lifted"], np.float32).reshape(n, -1)
-            graph, ids, ends = np.frombuffer(row["graph"], np.int32).reshape(n, -1), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
-            norms = np.einsum("nd,nd->n", lifted, lifted)
-            names, q = right.column("query_id").to_numpy(), _matrix(right.column("q"))
-            for a in range(0, len(q), 1024):
-                points = np.concatenate([q[a : a + 1024], np.zeros((len(q[a : a + 1024]), 1))], axis=1).astype(np.float32)
-                found, _ = beam_search(lifted, norms, graph, row["start"], points, max(beam, k + 1))
-                found = found[:, : k + 1]
-                for i, near in enumerate(found):
-                    near = near[near >= 0]
-                    scores = exact[near] @ q[a + i]
-                    for at, s in zip(near.tolist(), scores.tolist(), strict=True):
-                        own = ids[ends[at] : ends[at + 1]]
-                        out[0] += [names[a + i]] * len(own)
-                        out[1] += own.tolist()
-                        out[2] += [s] * len(own)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    return graphs.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
+    dealt = queries.join(table, "d").select("query_id", "q", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shards") - 1)).alias("shard"))
+    rows = index.unionByName(dealt, allowMissingColumns=True)
+
+    def search(batches):
+        graph, held = None, None
+        for batch in batches:
+            shard = batch.column(0).to_numpy()
+            first = batch.column(batch.schema.get_field_index("query_id")).is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(first | np.concatenate([[True], shard[1:] != shard[:-1]])).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(batch)], strict=True):
+                if first[a]:
+                    graph, held = Graph({c: batch.column(c)[a].as_py() for c in batch.schema.names[1:8]}), shard[a]
+                    a += 1
+                for lo in range(a, b if held == shard[b - 1] else a, 1024):  # a shard may have no vector, so no graph
+                    part = batch.slice(lo, min(1024, b - lo))
+                    yield graph.search(part.column("query_id").to_numpy(), _matrix(part.column("q")), k, beam)
+
+    ordered = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
+    return ordered.select(*index.columns).mapInArrow(search, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, by inner product, ties to the less vec_id.
 
-    ``vectors`` and ``queries`` are (vec_id, embedding). A query's own vec_id is no candidate. Vectors null, zero, of
-    another length, or with null or non-finite components take no part, as queries neither. Repeated rows count once.
-    An empty side gives no rows.
+    ``vectors`` and ``queries`` are (vec_id, embedding). A query's own vec_id is no candidate. Vectors null, empty, zero,
+    or with null or non-finite components take no part, as queries neither. Vectors of different lengths have no inner
+    product: a query's candidates are those of its length. Products past a double's range score an infinity. Rows that
+    repeat an id and vector count once; of different vectors of one id the nearest counts. An empty side gives no rows.
     """
     good = stash(usable(vectors).distinct(), "vectors")
-    asked = stash(usable(queries).distinct().select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "queries")
-    shards = max(SHARDS, -(-good.count() // SHARD))
-    found = search_index(build_index(good, k + 1, shards), asked, shards, k, beam)
+    asked = stash(usable(queries).distinct().select(F.col("vec_id").alias("query_id"), "d", F.col("v").alias("q")), "queries")
+    table = shard_table(good)
+    shards = max(1, table.agg(F.sum("shards")).first()[0] or 0)
+    found = search_index(build_index(good, k + 1, table, shards), asked, table, shards, k, beam)
     found = found.where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
