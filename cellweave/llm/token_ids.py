@@ -131,7 +131,7 @@ class _Pieces(dict):
     When the young one is full it becomes the old one, so frequent pieces stay and memory is bounded.
     """
 
-    FULL = 250_000
+    FULL = 100_000
 
     def __init__(self, make):
         super().__init__()
@@ -151,7 +151,7 @@ class _Units:
     a unit. Emptied at ``MOST`` units or ``BYTES`` of text, so a worker's memory is bounded.
     """
 
-    MOST, BYTES = 1_500_000, 48 << 20
+    MOST, BYTES = 800_000, 24 << 20
 
     def __init__(self, dtype: str):
         self.dtype = dtype
@@ -219,20 +219,27 @@ class _Units:
 
     def others(self, units: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Which slices of ``data`` are not, byte for byte, the text of their unit; the slices follow each other."""
-        wrong = self.text_size[units] != ends - starts
+        n = ends - starts
+        wrong = self.text_size[units] != n
         at = np.flatnonzero(~wrong)
         if len(at):
-            n = (ends - starts)[at]
-            first = np.cumsum(n) - n
-            inside = np.arange(int(n.sum())) - np.repeat(first, n)
-            differs = self.letters[inside + np.repeat(self.text_start[units[at]], n)] != data[inside + np.repeat(starts[at], n)]
-            wrong[at] = np.logical_or.reduceat(differs, first)
+            units, starts, n = units[at], starts[at], n[at]
+            whole_run = len(at) == len(wrong)
+            first = starts if whole_run else np.cumsum(n) - n
+            place = np.repeat((self.text_start[units] - first).astype(np.int32), n)
+            place += np.arange(first[0], first[0] + len(place), dtype=np.int32)
+            here = data[starts[0] : starts[0] + len(place)] if whole_run else data[np.arange(len(place)) + np.repeat(starts - first, n)]
+            differs = self.letters[place] != here
+            if differs.any():
+                wrong[at] = np.logical_or.reduceat(differs, first - first[0])
         return np.flatnonzero(wrong)
 
     def ids(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the units in order, and how many each has."""
-        sizes = self.size[units].astype(np.int64)
-        return self.pool[np.arange(int(sizes.sum())) + np.repeat(self.start[units] - (np.cumsum(sizes) - sizes), sizes)], sizes
+        sizes = self.size[units]
+        place = np.repeat((self.start[units] - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
+        place += np.arange(len(place), dtype=np.int32)
+        return self.pool[place], sizes
 
 
 class WordwiseEncoder:
@@ -390,7 +397,7 @@ def shard_bounds(docs: DataFrame, shards: int) -> list[int]:
     return out
 
 
-def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = 1 << 24) -> tuple[str, DataFrame]:
+def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = 1 << 22) -> tuple[str, DataFrame]:
     """The corpus in files of the format; their folder, and a table (shard, block, m, n_ids) of them.
 
     doc_id ranges of about equal bytes go to tasks; each sorts its documents, by spilling if need be, and streams out
