@@ -15,6 +15,7 @@ value from a sample and a scan of a few bytes of the high part, in about 2 + log
 
 from __future__ import annotations
 
+import math
 import os
 import struct
 import sys
@@ -71,13 +72,21 @@ class EliasFano:
             word &= word - 1
         return (byte * 8 + (word & -word).bit_length() - 1 - i << self.low_bits) | self._low(i)
 
-    def decode(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+    def range(self, a: int, b: int) -> np.ndarray:
+        """The values a to b - 1: from the samples around them, only that part of the sequence is unpacked."""
+        if a >= b:
+            return np.zeros(0, np.uint64)
+        first, after = a // STEP, -(-b // STEP)
+        byte = int(self.samples[first]) // 8
+        stop = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[byte:stop], bitorder="little")) + 8 * byte
+        ones = ones[np.searchsorted(ones, int(self.samples[first])) :][a - first * STEP :][: b - a]
+        high = (ones - np.arange(a, b)).astype(np.uint64) << np.uint64(self.low_bits)
         if not self.low_bits:
             return high
-        parts = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return high | (parts.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        start = a * self.low_bits
+        bits = np.unpackbits(self.low[start // 8 : (b * self.low_bits + 7) // 8], bitorder="little")[start % 8 :][: (b - a) * self.low_bits]
+        return high | (bits.reshape(b - a, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
 def _parts(ef: EliasFano) -> list[bytes]:
@@ -120,6 +129,10 @@ class Block:
     def doc_id(self, i: int) -> int | None:
         return None if i < self.nulls else self.least + self.docs.select(i - self.nulls)
 
+    def doc_ids(self, a: int, b: int) -> pa.Array:
+        known = self.docs.range(max(a - self.nulls, 0), max(b - self.nulls, 0)).astype(np.int64) + self.least
+        return pa.concat_arrays([pa.nulls(b - a - len(known), pa.int64()), pa.array(known)])
+
     def span(self, i: int) -> tuple[int, int]:
         """Where the ids of document ``i`` start and end."""
         return self.ends.select(i - 1) if i else 0, self.ends.select(i)
@@ -373,21 +386,16 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 0, bounds: list | None
 def shard_bounds(docs: DataFrame, shards: int) -> list[int]:
     """doc_ids that cut the corpus into about ``shards`` ranges of equal bytes: finer ranges of equally many documents,
     whose bytes are summed over all rows, are put together. What reaches the driver is a row a fine range."""
+    from pyspark.ml.feature import Bucketizer
+
     ids = docs.select(F.col("doc_id").cast("long").alias("d"), F.octet_length(whole()).cast("long").alias("b")).where("d is not null")
     fine = shards * FINE
-    cuts = sorted({int(x) for x in ids.approxQuantile("d", [i / fine for i in range(1, fine)], 1 / (2 * fine))})
+    cuts = sorted({int(x) for x in ids.select("d").approxQuantile("d", [i / fine for i in range(1, fine)], 1 / (2 * fine))})
     if not cuts:
         return []
 
-    def place(batches):
-        edges = np.array(cuts, np.int64)
-        for batch in batches:
-            at = np.searchsorted(edges, batch.column(0).to_numpy(), "right")
-            n = np.bincount(at, batch.column(1).to_numpy(), len(edges) + 1).astype(np.int64)
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["r", "b"])
-
-    sums = dict(ids.mapInArrow(place, "r long, b long").groupBy("r").agg(F.sum("b").alias("b")).collect())
+    split = Bucketizer(splits=[-math.inf, *map(float, cuts), math.inf], inputCol="x", outputCol="r").transform(ids.select(F.col("d").cast("double").alias("x"), "b"))
+    sums = {int(r): b for r, b in split.groupBy("r").agg(F.sum("b").alias("b")).collect()}
     most, held, out = sum(sums.values()) / shards, 0, []
     for r, cut in enumerate(cuts):
         held += sums.get(r, 0)
@@ -449,12 +457,13 @@ def read_files(folder: str, files: DataFrame) -> DataFrame:
             for content in batch.column(0):
                 file = Block(content.as_buffer())
                 for a in range(0, file.m, 8192):
-                    some = range(a, min(a + 8192, file.m))
-                    spans = [file.span(i) for i in some]
-                    crc = [zlib.crc32(file.ids[x:y].astype("<u4").tobytes()) for x, y in spans]
-                    columns = [[file.shard] * len(some), [file.block] * len(some), [file.doc_id(i) for i in some], [x for x, _ in spans], [y - x for x, y in spans], crc]
-                    types = [pa.int32(), pa.int32(), *[pa.int64()] * 4]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "block", "doc_id", "local", "n_tokens", "ids_crc32"])
+                    b = min(a + 8192, file.m)
+                    ends = file.ends.range(a, b).astype(np.int64)
+                    starts = np.concatenate([[file.ends.select(a - 1) if a else 0], ends[:-1]])
+                    wide = file.ids[starts[0] : ends[-1]].astype("<u4")
+                    crc = [zlib.crc32(wide[x:y]) for x, y in zip((starts - starts[0]).tolist(), (ends - starts[0]).tolist(), strict=True)]
+                    same = [pa.array(np.full(b - a, x, np.int32)) for x in (file.shard, file.block)]
+                    yield pa.RecordBatch.from_arrays([*same, file.doc_ids(a, b), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["shard", "block", "doc_id", "local", "n_tokens", "ids_crc32"])
 
     if files.isEmpty():
         rows = spark.createDataFrame([], schema)

@@ -315,13 +315,16 @@ def test_elias_fano_selects():
     for n, most in ((0, 1), (1, 0), (1, 9), (500, 3), (500, 100_000), (64, 0), (70, (1 << 63) - 1)):
         v = np.sort(rng.integers(0, most, n, endpoint=True))
         ef = EliasFano.encode(v, int(v[-1]) if n else 0)
-        assert ef.decode().tolist() == v.tolist() == [ef.select(i) for i in range(n)]
+        assert ef.range(0, n).tolist() == v.tolist() == [ef.select(i) for i in range(n)]
+        for a, b in rng.integers(0, n, (20, 2), endpoint=True):
+            assert ef.range(a, b).tolist() == v[a:b].tolist()
     v = np.sort(rng.integers(0, 10_000_000, 20_000))
     ef = EliasFano.encode(v, 10_000_000)
     assert (ef.low.nbytes + ef.high.nbytes) * 8 / len(v) < 2.1 + np.log2(10_000_000 / len(v))
     lists = [rng.integers(0, 60_000, k).astype("<u2") for k in (3, 0, 1, 700)]
     file = Block(pack_block([None, -4, 5, 1 << 40], [x.tobytes() for x in lists], 2, 3, 9))
     assert [file.doc_id(i) for i in range(4)] == [None, -4, 5, 1 << 40] and file.ids.tolist() == np.concatenate(lists).tolist()
+    assert [file.doc_ids(a, b).to_pylist() for a, b in ((0, 4), (0, 1), (2, 3))] == [[None, -4, 5, 1 << 40], [None], [5]]
     assert [file.span(i) for i in range(4)] == [(0, 3), (3, 3), (3, 4), (4, 704)] and (file.shard, file.block) == (3, 9)
     many = pack_block(list(range(10**12, 10**12 + 4000 * 7, 7)), [b"ab"] * 4000, 2)
     assert len(many) < 4000 * 2 + 4000 * 2  # both tables in under two bytes a document
