@@ -47,6 +47,24 @@ def stash(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstash(df: DataFrame) -> None:
+    """Delete tables that ``stash`` wrote and ``df`` reads; only for ones that nothing to come depends on."""
+    spark = df.sparkSession
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for folder in folders:
+        if "/cellweave/" not in folder:
+            raise ValueError(f"{folder} is no kept table")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def parts_for(docs: DataFrame, column: str = "text", most: int = 64 << 20) -> int:
+    """Partitions that hold ``most`` bytes of a column each, at least the session's shuffle partitions, so that tasks stay
+    the same size as the input grows."""
+    total = docs.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
+    return max(shuffle_count(docs.sparkSession), -(-total // most))
+
+
 def shuffle_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

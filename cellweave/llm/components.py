@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, unstash
 
 
 def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -21,6 +21,8 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         least = now.join(heard, now["id"] == heard["b"]).select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("c"))
         jump = now.select(F.col("id").alias("c"), F.col("comp").alias("up"))
         new = stash(least.join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("up", "c")).alias("comp")), "labels")
+        unstash(now)
         if new.where("old <> comp").isEmpty():
+            unstash(both)
             return new.select("id", "comp")
         now = new.select("id", "comp")

@@ -1,4 +1,4 @@
-"""Repeated-substring removal by prefix doubling over content-chosen positions.
+"""Repeated-substring removal by winnowed anchors and hashed windows, in place of prefix doubling; README has why.
 
 A suffix array of every byte sorts each position once a round. Here the positions that enter a round are first thinned
 so that no match is lost: of every ``length``-byte window the position of its least ``GRAM``-byte hash is an anchor,
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_count, slices, small_batches, stash, text_bytes, whole
+from .common import parts_for, slices, small_batches, stash, text_bytes, whole
 from .words import Rolling, mix
 
 GRAM = 16
@@ -195,7 +195,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
         raise ValueError(f"length must be over {GRAM}")
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = teams = shuffle_count(spark)
+    buckets = teams = parts_for(docs)
 
     def rank(batches):
         for batch in batches:
