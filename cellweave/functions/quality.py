@@ -11,6 +11,43 @@ from .grid import MAX_MM
 WITT_A, WITT_EXP, INCH_TO_CM = 15.096, 0.412, 2.54
 
 
+# Latitude bands, and by month their heights in km of 0 and of -20 degrees.
+BANDS = ((24, 32), (32, 38), (38, 44), (44, 51))
+ISOTHERMS = {
+    1: ((2.8, 5.5), (2.0, 4.8), (1.5, 4.2), (1.0, 3.8)),
+    2: ((3.0, 5.6), (2.2, 5.0), (1.6, 4.3), (1.1, 3.9)),
+    3: ((3.5, 6.0), (2.8, 5.5), (2.2, 4.8), (1.7, 4.3)),
+    4: ((4.0, 6.5), (3.3, 6.0), (2.8, 5.5), (2.3, 4.8)),
+    5: ((4.5, 7.0), (3.8, 6.5), (3.3, 6.0), (2.8, 5.5)),
+    6: ((4.8, 7.3), (4.2, 7.0), (3.8, 6.5), (3.3, 6.0)),
+    7: ((5.0, 7.5), (4.5, 7.2), (4.0, 6.8), (3.5, 6.3)),
+    8: ((5.0, 7.5), (4.5, 7.2), (4.0, 6.8), (3.5, 6.3)),
+    9: ((4.8, 7.3), (4.0, 6.8), (3.5, 6.3), (3.0, 5.8)),
+    10: ((4.2, 6.8), (3.5, 6.2), (2.8, 5.5), (2.2, 5.0)),
+    11: ((3.5, 6.2), (2.8, 5.5), (2.0, 4.8), (1.5, 4.2)),
+    12: ((3.0, 5.7), (2.2, 5.0), (1.6, 4.3), (1.1, 3.9)),
+}
+SIZE_EXP = 0.206
+
+
+def climate_isotherms(lat: Column, month: Column) -> tuple[Column, Column]:
+    """Heights of 0 and -20 degrees by month and latitude band, 3.5 and 6 km outside the bands."""
+    def pick(i, default):
+        out = F.lit(default)
+        for m, heights in ISOTHERMS.items():
+            for (lo, hi), h in zip(BANDS, heights, strict=True):
+                out = F.when((month == m) & (lat >= lo) & (lat < hi), h[i]).otherwise(out)
+        return out
+
+    return pick(0, 3.5), pick(1, 6.0)
+
+
+def size_from_index(shi: Column) -> Column:
+    """Size in mm from a column index; null for no index, or a size outside 5 to 300 mm."""
+    mm = F.lit(WITT_A) * F.pow(shi, F.lit(SIZE_EXP))
+    return F.when((shi > 0) & mm.between(5.0, MAX_MM), mm)
+
+
 def is_bad(v: Column) -> Column:
     return v.isNull() | F.isnan(v) | (v < 0) | (v > MAX_MM)
 

@@ -48,10 +48,12 @@ def annulus_medians(cells: DataFrame, annuli: DataFrame, by: list[str], least: i
 
 
 def above_median(cells: DataFrame, annuli: DataFrame, by: list[str], least: int, factor: float) -> DataFrame:
-    """Active cells over ``factor`` times their annulus's median (at least 1 mm) go: azimuthal and spoke passes."""
+    """Active cells over ``factor`` times their annulus's median (at least 1 mm) go: azimuthal and spoke passes.
+
+    An annulus with under ``least`` active cells is left alone."""
     medians = annulus_medians(cells, annuli, by, least)
     rows = cells.join(annuli, CELL, "left").join(medians, ["day", *by], "left")
-    return zeroed(rows, (F.col("mm") >= ACTIVE_MM) & (F.col("mm") > F.greatest("med", F.lit(1.0)) * factor)).select(*cells.columns)
+    return zeroed(rows, F.col("med").isNotNull() & (F.col("mm") >= ACTIVE_MM) & (F.col("mm") > F.greatest("med", F.lit(1.0)) * factor)).select(*cells.columns)
 
 
 def radial_rings(cells: DataFrame, annuli: DataFrame, width: float = 10.0, least: int = 5, ring: float = 1.12, far_ring: float = 1.18, far_km: float = 100.0, inner_km: float = 75.0, outer_km: float = 50.0, margin: float = 5.0) -> DataFrame:
@@ -79,46 +81,104 @@ def median_with_zeros(values: Column, total: Column) -> Column:
     return (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2
 
 
-def persistence(cells: DataFrame, annuli: DataFrame, frames: int = 21, least_frames: int = 7, least_cells: int = 5, range_frac: float = 0.6, cell_frac: float = 0.35, burst: float = 1.75, storm: float = 1.5) -> DataFrame:
+#: Fixed value: from here on a cell counts as active for the persistence pass.
+PERSISTENT_MM = 25.4
+
+
+def persistence(cells: DataFrame, annuli: DataFrame, frames: int = 21, least_frames: int = 7, least_cells: int = 5, range_frac: float = 0.6, cell_frac: float = 0.35, burst: float = 1.75, storm: float = 1.5, active: float = PERSISTENT_MM, inputs: DataFrame | None = None) -> DataFrame:
     """Chronic cells of chronic annuli go, unless the cell or its annulus is far above its own history.
 
-    The history of a day is the ``frames`` frames before it as they came in, so days don't wait for each other.
+    The history of a day is the ``frames`` frames before it as they came in (``inputs``, else ``cells``), so days don't
+    wait for each other.
     """
-    days = cells.select("day").distinct().withColumn("f", F.row_number().over(Window.orderBy("day")))
+    inputs = cells if inputs is None else inputs
+    days = inputs.select("day").distinct().withColumn("f", F.row_number().over(Window.orderBy("day")))
     past = days.withColumn("h", F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.lit(frames)), lambda k: F.col("f") - k), lambda x: x > 0)))
     counted = past.withColumn("n_frames", F.count(F.lit(1)).over(Window.partitionBy("day"))).where(F.col("n_frames") >= least_frames)
     steps = counted.join(days.select(F.col("day").alias("hday"), F.col("f").alias("h")), "h").select("day", "hday", "n_frames")
     placed = cells.join(annuli, CELL)
-    history = placed.select(F.col("day").alias("hday"), *CELL, "site_idx", "bin", F.col("mm").alias("v"))
+    history = inputs.join(annuli, CELL).select(F.col("day").alias("hday"), *CELL, "site_idx", "bin", F.col("mm").alias("v"))
     old = steps.join(history, "hday")
     positive = F.sort_array(F.collect_list(F.when(F.col("v") > 0, F.col("v"))))
-    by_cell = old.groupBy("day", *CELL).agg(F.count_if(F.col("v") >= ACTIVE_MM).alias("hits"), positive.alias("vs"), F.max("n_frames").alias("n_frames"))
+    by_cell = old.groupBy("day", *CELL).agg(F.count_if(F.col("v") >= active).alias("hits"), positive.alias("vs"), F.max("n_frames").alias("n_frames"))
     by_cell = by_cell.select("day", *CELL, (F.col("hits") / F.col("n_frames")).alias("cell_frac"), median_with_zeros(F.col("vs"), F.col("n_frames")).alias("cell_med"))
     sizes = annuli.groupBy("site_idx", "bin").agg(F.count(F.lit(1)).alias("n_cells")).where(F.col("n_cells") >= least_cells)
     ring = ["site_idx", "bin"]
-    by_ring = old.groupBy("day", *ring).agg(F.count_distinct(F.when(F.col("v") >= ACTIVE_MM, F.col("hday"))).alias("hits"), positive.alias("vs"), F.max("n_frames").alias("n_frames")).join(sizes, ring)
+    by_ring = old.groupBy("day", *ring).agg(F.count_distinct(F.when(F.col("v") >= active, F.col("hday"))).alias("hits"), positive.alias("vs"), F.max("n_frames").alias("n_frames")).join(sizes, ring)
     by_ring = by_ring.select("day", *ring, (F.col("hits") / F.col("n_frames")).alias("ring_frac"), median_with_zeros(F.col("vs"), F.col("n_frames") * F.col("n_cells")).alias("ring_med"))
     today = placed.groupBy("day", *ring).agg(F.sort_array(F.collect_list(F.when(F.col("mm") > 0, F.col("mm")))).alias("vs")).join(sizes, ring).select("day", *ring, median_with_zeros(F.col("vs"), F.col("n_cells")).alias("today_med"))
+    placed = cells.join(annuli, CELL, "left")
     rows = placed.join(by_cell, KEY, "left").join(by_ring, ["day", *ring], "left").join(today, ["day", *ring], "left")
-    stormy = (F.col("today_med") >= F.greatest("ring_med", F.lit(1.0)) * storm) & (F.col("today_med") >= ACTIVE_MM)
-    hit = (F.col("mm") >= ACTIVE_MM) & (F.col("ring_frac") >= range_frac) & (F.col("cell_frac") >= cell_frac) & (F.col("mm") < F.greatest("cell_med", F.lit(1.0)) * burst) & ~F.coalesce(stormy, F.lit(False))
+    stormy = (F.col("today_med") >= F.greatest("ring_med", F.lit(1.0)) * storm) & (F.col("today_med") >= active)
+    hit = (F.col("mm") >= active) & (F.col("ring_frac") >= range_frac) & (F.col("cell_frac") >= cell_frac) & (F.col("mm") < F.greatest("cell_med", F.lit(1.0)) * burst) & ~F.coalesce(stormy, F.lit(False))
     return zeroed(rows, hit).select(*cells.columns)
 
 
-def echo_coverage(voxels: DataFrame, echo_dbz: float = 5.0, least: float = 0.32) -> DataFrame:
-    """Voxels (vol, k, j, i, dbz) of volumes that keep enough echo in their 3 x 3 x 3 surroundings, outside counting
-    none; echoes are counted by 27 shifted keys, so no volume is one task."""
+def of_sites(before: DataFrame, after: DataFrame, flagged: DataFrame) -> DataFrame:
+    """``before`` with what ``after`` set to 0, in the cells of ``flagged`` only."""
+    gone = after.where("mm = 0").join(flagged.select(*CELL).distinct(), CELL, "left_semi").select(*KEY, F.lit(True).alias("_gone"))
+    return zeroed(before.join(gone, KEY, "left"), F.col("_gone")).drop("_gone")
+
+
+def site_passes(annuli: DataFrame, flagged: DataFrame, rows: int, cols: int) -> list:
+    """(name, pass) of the stricter passes over the cells of ``flagged`` sites; ``annuli`` has bin, coarse and sector."""
+    only = lambda run: lambda cells: of_sites(cells, run(cells), flagged)
+    return [
+        ("site_isolated", only(lambda c: speckle(c, rows, cols, 2.0))),
+        ("site_radial_ring", only(lambda c: radial_rings(c, annuli, ring=1.05, far_ring=1.10))),
+        ("site_azimuthal", only(lambda c: above_median(c, annuli, ["site_idx", "coarse"], 8, 1.6))),
+        ("site_filament", only(lambda c: filament(c, rows, cols, margin=12.0))),
+        ("site_polar_spoke", only(lambda c: above_median(c, annuli, ["site_idx", "bin", "sector"], 4, 1.5))),
+    ]
+
+
+def all_passes(annuli: DataFrame, flagged: DataFrame, rows: int, cols: int, inputs: DataFrame) -> list:
+    """(name, pass) in their order; ``inputs`` are the frames before any pass."""
+    return [
+        ("isolated", lambda c: speckle(c, rows, cols)),
+        ("radial_ring", lambda c: radial_rings(c, annuli)),
+        ("azimuthal", lambda c: above_median(c, annuli, ["site_idx", "bin"], 8, 2.5)),
+        ("filament", lambda c: filament(c, rows, cols)),
+        ("persistent_range", lambda c: persistence(c, annuli, inputs=inputs)),
+        *site_passes(annuli, flagged, rows, cols),
+    ]
+
+
+def echo_counts(echo: DataFrame) -> DataFrame:
+    """(vol, k, j, i, n): echoes in the 3 x 3 x 3 surroundings of every voxel next to one, by 27 shifted keys, so no
+    volume is one task."""
     steps = F.array(*map(F.lit, (-1, 0, 1)))
-    echo = voxels.where(F.col("dbz") >= echo_dbz).select("vol", "k", "j", "i")
-    around = echo
     for c in ("k", "j", "i"):
-        around = around.withColumn("_d", F.explode(steps)).withColumn(c, F.col(c) + F.col("_d")).drop("_d")
-    counts = around.groupBy("vol", "k", "j", "i").agg(F.count(F.lit(1)).alias("_n"))
-    return voxels.join(counts, ["vol", "k", "j", "i"], "left").where(F.coalesce("_n", F.lit(0)) / 27.0 >= least).drop("_n")
+        echo = echo.withColumn("_d", F.explode(steps)).withColumn(c, F.col(c) + F.col("_d")).drop("_d")
+    return echo.groupBy("vol", "k", "j", "i").agg(F.count(F.lit(1)).alias("n"))
 
 
-def shallow_echo(voxels: DataFrame, weak_dbz: float = 20.0) -> DataFrame:
-    """Columns whose only echo is a weak one at the lowest level lose it."""
-    stats = voxels.groupBy("vol", "j", "i").agg(F.max("k").alias("_top"), F.max("dbz").alias("_max"))
-    keep = stats.where(~((F.col("_top") == 0) & (F.col("_max") < weak_dbz))).select("vol", "j", "i")
-    return voxels.join(keep, ["vol", "j", "i"], "left_semi")
+def remove_clutter(voxels: DataFrame, levels: int, echo_dbz: float = 5.0, coverage: float = 0.32, weak_dbz: float = 20.0, shallow: bool = True) -> DataFrame:
+    """``voxels`` (vol, k, j, i, dbz) without echoes of low coverage, weak echoes of the lowest level with none above,
+    the lower third under a clear middle with echo aloft, and echoes whose coverage is low after that.
+
+    Voxels without echo stay, but for those below an anvil; outside a volume there is no echo.
+    """
+    key, column = ["vol", "k", "j", "i"], ["vol", "j", "i"]
+    is_echo = F.col("dbz") >= echo_dbz
+    few = lambda echo: echo.join(echo_counts(echo.select(*key)), key).where(F.col("n") / 27.0 < coverage).select(*key)
+    mid, high = max(1, levels // 3), min(levels - 1, 2 * levels // 3)
+    any_of = lambda c: F.max(F.when(is_echo & c, 1).otherwise(0)) == 1
+    k = F.col("k")
+    stats = voxels.groupBy(*column).agg(any_of(k >= 1).alias("_above"), any_of(k >= high).alias("_aloft"), any_of((k >= mid) & (k < high)).alias("_mid"), any_of(k < mid).alias("_low"))
+    rows = voxels.join(few(voxels.where(is_echo)).withColumn("_few", F.lit(True)), key, "left").join(stats, column)
+    gone = F.coalesce("_few", F.lit(False))
+    if shallow and levels >= 3:
+        gone = gone | ((k == 0) & is_echo & (F.col("dbz") < weak_dbz) & ~F.col("_above"))
+    if levels >= 4:
+        gone = gone | ((k < mid) & F.col("_aloft") & ~F.col("_mid") & F.col("_low"))
+    left = rows.where(~gone).select(*voxels.columns)
+    return left.join(few(left.where(is_echo)), key, "left_anti")
+
+
+def native_qc(voxels: DataFrame, levels: int, **how) -> DataFrame:
+    """Voxels (vol, k, j, i, dbz, nobs, necho, weight) of enough confidence, then without clutter."""
+    from cellweave.functions.quality import keep_reflectivity
+
+    kept = voxels.where(keep_reflectivity(F.col("nobs"), F.col("necho"), F.col("weight")))
+    return remove_clutter(kept.select("vol", "k", "j", "i", "dbz"), levels, **how)

@@ -71,18 +71,31 @@ def ks_distance(over: DataFrame, group: list[str]) -> DataFrame:
     return over.withColumn("_d", F.greatest(i / n - cdf, cdf - (i - 1) / n)).groupBy(*group).agg(F.max("_d").alias("ks"))
 
 
-def threshold_scan(values: DataFrame, percentiles: tuple[int, ...] = tuple(range(50, 95, 5)), least: int = 10) -> DataFrame:
-    """Scores of threshold candidates u (percentiles of a region's values): tail stability, fit and count.
-
-    Per candidate with ``least`` or more excesses: L-moment shape and scale, KS distance, change of shape from the last
-    candidate and 1 / sqrt(n); each scaled to 0..1 within the region (constant: 0, missing: 1), score their mean.
+def residual_life(fits: DataFrame) -> DataFrame:
+    """(region, u, mrl): how far from a line the mean excesses (region, u, l1) at u and the later candidates are: the RMSE
+    of the least-squares line over their mean, 1 where they are under three."""
+    later = fits.select("region", F.col("u").alias("_v"), F.col("l1").alias("_m"))
+    rows = fits.select("region", "u").join(later, "region").where(F.col("_v") >= F.col("u")).groupBy("region", "u")
+    n, mean = F.count(F.lit(1)), F.avg("_m")
+    miss = F.regr_syy("_m", "_v") - F.pow(F.regr_sxy("_m", "_v"), F.lit(2.0)) / F.regr_sxx("_m", "_v")
+    return rows.agg(F.when(n >= 3, F.sqrt(F.greatest(miss, F.lit(0.0)) / n) / F.greatest(mean, F.lit(1e-6))).otherwise(1.0).alias("mrl"))
+
+
+def threshold_scan(values: DataFrame, percentiles: tuple[int, ...] = tuple(range(50, 95, 5)), least: int = 10, least_values: int = 20, default: float = 50.8) -> DataFrame:
+    """Scores of threshold candidates u (percentiles of a region's values): fit, mean residual life, stability, count.
+
+    Per candidate with ``least`` or more excesses: L-moment shape (within 0.5 of 0) and scale, KS distance, residual-life
+    score, change of shape from the last candidate and 1 / sqrt(n); each scaled to 0..1 within the region (constant: 0,
+    missing: 1), score their mean; the least is selected. A region of under ``least_values`` values, or without a
+    candidate, has one row: ``default``.
     """
-    points = values.groupBy("region").agg(F.percentile("mm", F.array(*(F.lit(p / 100) for p in percentiles))).alias("us"))
-    candidates = points.select("region", F.explode(F.array_distinct("us")).alias("u"))
+    values = values.where(F.col("mm") > 0)
+    points = values.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), F.percentile("mm", F.array(*(F.lit(p / 100) for p in percentiles))).alias("us"))
+    candidates = points.where(F.col("_n") >= least_values).select("region", F.explode(F.array_distinct("us")).alias("u"))
     over = values.join(F.broadcast(candidates), "region").where("mm > u").withColumn("x", F.col("mm") - F.col("u"))
-    fits = gpd_from_l_moments(l_moments(over, ["region", "u"], "x")).where(F.col("n") >= least).select("region", "u", "n", "xi", "scale")
+    fits = gpd_from_l_moments(l_moments(over, ["region", "u"], "x")).where(F.col("n") >= least).select("region", "u", "n", F.least(F.greatest("xi", F.lit(-0.5)), F.lit(0.5)).alias("xi"), "scale", "l1")
     ks = ks_distance(over.join(F.broadcast(fits), ["region", "u"]), ["region", "u"])
-    rows = fits.join(ks, ["region", "u"])
+    rows = fits.join(ks, ["region", "u"]).join(residual_life(fits), ["region", "u"])
     rows = rows.withColumn("stability", F.abs(F.col("xi") - F.lag("xi").over(Window.partitionBy("region").orderBy("u")))).withColumn("penalty", F.lit(1.0) / F.sqrt("n"))
     w = Window.partitionBy("region")
 
@@ -90,6 +103,24 @@ def threshold_scan(values: DataFrame, percentiles: tuple[int, ...] = tuple(range
         lo, hi = F.min(c).over(w), F.max(c).over(w)
         return F.when(F.col(c).isNull(), 1.0).when(hi == lo, 0.0).otherwise((F.col(c) - lo) / (hi - lo))
 
-    rows = rows.select("*", ((scaled("ks") + scaled("stability") + scaled("penalty")) / 3).alias("score"))
+    rows = rows.select("*", ((scaled("ks") + scaled("mrl") + scaled("stability") + scaled("penalty")) / 4).alias("score"))
     first = F.row_number().over(w.orderBy("score", "u"))
-    return rows.withColumn("selected", (first == 1).cast("int"))
+    scored = rows.withColumn("selected", (first == 1).cast("int")).select("region", "u", "n", "xi", "ks", "mrl", "score", "selected")
+    other = points.join(fits.select("region").distinct(), "region", "left_anti").select("region")
+    none = values.join(other, "region").groupBy("region").agg(F.count_if(F.col("mm") > default).alias("n"))
+    nothing = [F.lit(None).cast("double").alias(c) for c in ("ks", "mrl", "score")]
+    return scored.unionByName(none.select("region", F.lit(default).alias("u"), "n", F.lit(0.0).alias("xi"), *nothing, F.lit(1).alias("selected")))
+
+
+def pooled_parameters(sums: DataFrame, shapes: DataFrame, region, u: float, least: int = 10, least_over: int = 5) -> DataFrame:
+    """Parameters of every cell from pooled sums (weighted ny, n, s1, s2; plain n_nz, n_over, over, x1, x2).
+
+    Cells of under ``least`` pooled nonzero years have none. Occurrence, mean and deviation (variance at least 1e-6) are
+    weighted; the tail's scale is the plain mean excess times 1 - xi where ``least_over`` excesses are pooled, else the
+    plain deviation, at least 1; xi is the region's (region, xi), 0 without one.
+    """
+    rows = sums.where(F.col("n_nz") >= least).withColumn("region", region).join(shapes.select("region", "xi"), "region", "left").withColumn("xi", F.coalesce("xi", F.lit(0.0)))
+    mu = F.col("s1") / F.col("n")
+    spread = F.sqrt(F.greatest(F.col("x2") / F.col("n_nz") - F.pow(F.col("x1") / F.col("n_nz"), F.lit(2.0)), F.lit(0.0)))
+    scale = F.when((F.col("n_over") >= least_over) & (F.col("xi") < 1), F.col("over") / F.col("n_over") * (F.lit(1.0) - F.col("xi"))).otherwise(F.greatest(spread, F.lit(1.0)))
+    return rows.select(*CELL, (F.col("n") / F.col("ny")).alias("p_occ"), mu.alias("mu"), F.sqrt(F.greatest(F.col("s2") / F.col("n") - mu * mu, F.lit(1e-6))).alias("sigma"), "xi", scale.alias("scale"), F.lit(u).alias("u"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import clock
 from cellweave.functions.grid import MAX_MM
+from cellweave.functions.quality import climate_isotherms
 
 
 def window_coverage(times: DataFrame, group: list[str], edge_s: int = 1800, gap_s: int = 3600, least: int = 6) -> DataFrame:
@@ -22,7 +25,7 @@ def window_coverage(times: DataFrame, group: list[str], edge_s: int = 1800, gap_
 
 def manifest(obs: DataFrame) -> DataFrame:
     """A row per source and day: files (distinct minutes), read errors, active cells, peak."""
-    from cellweave.functions.quality import day_status, is_bad, sanitize
+    from cellweave.functions.quality import climate_isotherms, day_status, is_bad, sanitize
 
     rows = obs.withColumn("day", clock.convective_day(F.col("ts"))).withColumn("bad", is_bad(F.col("mm"))).withColumn("v", sanitize(F.col("mm")))
     out = rows.groupBy("source", "day").agg(F.count(F.lit(1)).alias("source_files"), F.count_if("bad").alias("read_errors"), F.count_distinct(F.when(F.col("v") >= 29, F.col("cell_row") * 1000 + F.col("cell_col"))).alias("active_cells"), F.max("v").alias("max_mm"))
@@ -122,3 +125,42 @@ def isotherm_height(levels: Column, kelvin: float, default: float) -> Column:
     cross = F.filter(pair, lambda x: ((x["t0"] - kelvin) * (x["t1"] - kelvin) <= 0) & (x["t0"] != x["t1"]))
     at = F.transform(cross, lambda x: x["h0"] + (x["h1"] - x["h0"]) * (F.lit(kelvin) - x["t0"]) / (x["t1"] - x["t0"]))
     return F.coalesce(F.try_element_at(at, F.lit(-1)), F.lit(default))
+
+
+def filter_features(cells: DataFrame, lat: Column) -> DataFrame:
+    """(day, cell, v, lat, doy, s, c): what the probability filter scores; the angle is 2 pi (doy - 1) / 366."""
+    angle = (F.dayofyear("day") - 1) * (2 * math.pi / 366)
+    return cells.select("day", "cell_row", "cell_col", F.col("mm").alias("v"), lat.alias("lat"), F.dayofyear("day").alias("doy"), F.sin(angle).alias("s"), F.cos(angle).alias("c"))
+
+
+def indexed_volume(values: DataFrame, n_lon: int, n_lat: int, n_alt: int) -> DataFrame:
+    """(vol, k, j, i, dbz) of sparse values (vol, flat, v): indices outside the volume and values that are not finite are
+    left out, of duplicates the largest stays. A dense volume is the same with all indices."""
+    from cellweave.operators.legacy import decode_index
+
+    at = decode_index(F.col("flat"), n_lon, n_lat)
+    rows = values.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")) & (F.col("flat") >= 0)).select("vol", at.alias("x"), "v")
+    return rows.where(F.col("x.k") < n_alt).groupBy("vol", F.col("x.k").alias("k"), F.col("x.j").alias("j"), F.col("x.i").alias("i")).agg(F.max("v").alias("dbz"))
+
+
+def snap(value: Column, first: float, step: float) -> Column:
+    """Index of the nearest of first, first + step, ...; the lower one on ties."""
+    return F.ceil((value - first) / step - 0.5).cast("int")
+
+
+def isotherms(points: DataFrame, cells: DataFrame, south: float, west: float, step: float) -> DataFrame:
+    """``points`` (lat, lon, month, ...) with h0 and h20 of the nearest reanalysis cell (month, j, k, h0, h20), clamped
+    to 0.5..7 and h0 + 1..12 km; where there is none, the climate's. Snapping makes the nearest cell an equi-join."""
+    placed = points.withColumn("j", snap(F.col("lat"), south, step)).withColumn("k", snap(F.col("lon"), west, step))
+    rows = placed.join(cells, ["month", "j", "k"], "left")
+    h0 = F.least(F.greatest("h0", F.lit(0.5)), F.lit(7.0))
+    low, high = climate_isotherms(F.col("lat"), F.col("month"))
+    own = F.col("h0").isNotNull()
+    h20 = F.least(F.greatest(F.col("h20"), h0 + 1.0), F.lit(12.0))
+    return rows.withColumn("_h0", F.when(own, h0).otherwise(low)).withColumn("h20", F.when(own, h20).otherwise(high)).withColumn("h0", F.col("_h0")).drop("_h0", "j", "k")
+
+
+def format_counts(files: DataFrame, group: str, name: str, suffix: str) -> DataFrame:
+    """(group, compressed, plain): files by suffix, in any case; a compressed one is not a plain one."""
+    lower = F.lower(name)
+    return files.groupBy(group).agg(F.count_if(lower.endswith(suffix + ".gz")).alias("compressed"), F.count_if(lower.endswith(suffix)).alias("plain"))

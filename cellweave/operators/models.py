@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.operators.climate import CELL
 from cellweave.operators.extremes import return_levels
-from cellweave.operators.simulation import normal
+from cellweave.operators.simulation import normal, uniform
 
 
-def region_clusters(annual: DataFrame, k: int = 6, least_years: int = 5) -> DataFrame:
-    """(cell, region) by K-means on standardised mean log, deviation, years with hail and latitude index."""
+def region_clusters(annual: DataFrame, k: int = 6, least_years: int = 5, starts: int = 10) -> DataFrame:
+    """(cell, region) by K-means on standardised mean log, deviation, years with hail and latitude index; of ``starts``
+    beginnings the one of least cost."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
@@ -23,21 +22,21 @@ def region_clusters(annual: DataFrame, k: int = 6, least_years: int = 5) -> Data
         return stats.select(*CELL, F.lit(0).alias("region"))
     rows = VectorAssembler(inputCols=["n", "mu", "sd", "cell_row"], outputCol="raw").transform(stats)
     rows = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows).transform(rows)
-    model = KMeans(k=k if n >= 10 * k else max(1, n // 10), seed=42, maxIter=50).fit(rows) if n >= 20 else None
-    if model is None:
+    if n < 20:
         return stats.select(*CELL, F.lit(0).alias("region"))
+    fits = [KMeans(k=k if n >= 10 * k else max(1, n // 10), seed=42 + i, maxIter=50).fit(rows) for i in range(starts)]
+    model = min(fits, key=lambda m: m.summary.trainingCost)
     return model.transform(rows).select(*CELL, F.col("prediction").alias("region"))
 
 
-def classifier_report(rows: DataFrame, rounds: int = 20) -> DataFrame:
-    """(split, n, auc) of gradient-boosted trees on size, day of year and place; every fourth year is the test."""
+def classifier_report(rows: DataFrame, features: list[str], rounds: int = 200) -> DataFrame:
+    """(split, n, auc) of gradient-boosted trees on ``features`` of (label, day, ...); every fourth year is the test, so
+    no year is on both sides."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
 
-    angle = (F.dayofyear("day") - 1) * (2 * math.pi / 366)
-    rows = rows.select("label", "day", F.col("mm"), F.log1p("mm").alias("log"), F.sin(angle).alias("s"), F.cos(angle).alias("c"), F.col("cell_row").cast("double").alias("r"), F.col("cell_col").cast("double").alias("k"))
-    rows = VectorAssembler(inputCols=["mm", "log", "s", "c", "r", "k"], outputCol="features").transform(rows)
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(rows.select("label", "day", *features))
     test = F.year("day") % 4 == 3
     fitted = GBTClassifier(maxDepth=4, maxIter=rounds, stepSize=0.05, subsamplingRate=0.8, seed=42).fit(rows.where(~test))
     auc = BinaryClassificationEvaluator()
@@ -47,15 +46,38 @@ def classifier_report(rows: DataFrame, rounds: int = 20) -> DataFrame:
     return rows.sparkSession.createDataFrame(out, "split string, n long, auc double")
 
 
-def bootstrap(parameters: DataFrame, periods: tuple[int, ...], replicates: int = 50, jitter: tuple[float, float, float] = (0.05, 0.12, 0.12)) -> DataFrame:
-    """(rp, low, mid, high): 2.5, 50 and 97.5 percentiles over replicates of the median level.
+#: What orders cells for a bounded sample, as SQL text.
+SAMPLE_ORDER = "(cell_row * 7919 + cell_col * 104729) % 10007"
+
+
+def draw(replicate: str, i: str, n: str) -> str:
+    """SQL text of which of n cells, from 1, the i-th draw of a replicate takes."""
+    return f"CAST(least(floor({uniform(replicate, i, 21)} * {n}), {n} - 1) AS INT) + 1"
+
+
+def jittered(replicate: str, i: str, jitter: tuple[float, float, float] = (0.05, 0.12, 0.12)) -> tuple[str, str, str]:
+    """SQL texts of jittered p_occ, xi and scale."""
+    noise = lambda d: normal(replicate, i, d)
+    p, xi, scale = (f"({c} * (1 + {j!r}e0 * {noise(d)}))" for c, j, d in (("p_occ", jitter[0], 11), ("xi", jitter[1], 13), ("scale", jitter[2], 15)))
+    return f"least(greatest({p}, 1e-6), 1e0)", xi, scale
+
+
+def bootstrap(parameters: DataFrame, rp: int = 100, replicates: int = 250, cells: int = 150) -> DataFrame:
+    """One row: the median level at ``rp`` of a bounded sample of cells, and the 2.5 and 97.5 percentiles, over
+    replicates that draw as many cells again and jitter their parameters, of the replicate's median; the interval's
+    width relative to the median; warn over 0.5. Levels of 0 don't count."""
+    from pyspark.sql import Window
 
-    Occurrence, shape and scale of each cell are jittered by normals of a counter-based stream.
-    """
-    rows = parameters.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("cell", F.col("cell_row") * 10000 + F.col("cell_col"))
-    noise = lambda d: F.expr(normal("rep", "cell", d))
-    rows = rows.withColumn("p_occ", F.least(F.greatest(F.col("p_occ") * (noise(11) * jitter[0] + 1), F.lit(1e-6)), F.lit(1.0))).withColumn("xi", F.col("xi") + F.abs("xi") * noise(13) * jitter[1]).withColumn("scale", F.col("scale") * F.greatest(noise(15) * jitter[2] + 1, F.lit(0.1)))
-    keyed = rows.withColumn("cell_row", F.col("rep") * 100000 + F.col("cell_row"))
-    levels = return_levels(keyed, periods).withColumn("rep", F.floor(F.col("cell_row") / 100000))
-    medians = levels.groupBy("rp", "rep").agg(F.median("mm").alias("m"))
-    return medians.groupBy("rp").agg(*(F.percentile("m", F.lit(p)).alias(n) for n, p in (("low", 0.025), ("mid", 0.5), ("high", 0.975))))
+    order = Window.orderBy(F.expr(SAMPLE_ORDER), *CELL)
+    sample = parameters.orderBy(F.expr(SAMPLE_ORDER), *CELL).limit(cells).withColumn("i", F.row_number().over(order).cast("int"))
+    n = sample.count()
+    point = return_levels(sample, (rp,)).where("mm > 0").agg(F.median("mm").alias("mid"))
+    grid = parameters.sparkSession.range(1, replicates + 1).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(1), F.lit(max(n, 1)))).alias("d"))
+    drawn = grid.withColumn("i", F.expr(draw("rep", "d", str(max(n, 1))))).join(sample, "i")
+    p, xi, scale = jittered("rep", "d")
+    moved = drawn.withColumn("_p", F.expr(p)).withColumn("_xi", F.expr(xi)).withColumn("_scale", F.expr(scale)).select("rep", "d", "mu", "sigma", "u", F.col("_p").alias("p_occ"), F.col("_xi").alias("xi"), F.col("_scale").alias("scale"))
+    levels = return_levels(moved.withColumnRenamed("rep", "cell_row").withColumnRenamed("d", "cell_col"), (rp,))
+    medians = levels.where("mm > 0").groupBy("cell_row").agg(F.median("mm").alias("m"))
+    ends = medians.agg(*(F.percentile("m", F.lit(q)).alias(c) for c, q in (("low", 0.025), ("high", 0.975))))
+    out = ends.crossJoin(point).withColumn("width", (F.col("high") - F.col("low")) / F.greatest("mid", F.lit(1.0)))
+    return out.select("low", "mid", "high", "width", F.when(F.col("width") > 0.5, "warn").otherwise("pass").alias("status"))

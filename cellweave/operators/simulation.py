@@ -51,17 +51,23 @@ def doy_cdf(catalog: DataFrame, width: float = 10.0) -> DataFrame:
     return share.select("doy", "p", F.sum("p").over(Window.orderBy("doy")).alias("cdf"))
 
 
-def yearly_counts(spark, rate, years: int, most: int = 1000) -> DataFrame:
+def yearly_counts(spark, rate, years: int) -> DataFrame:
     """(sim_year, n): Poisson counts by inverse transform over a table of the distribution function.
 
-    ``rate`` is a scalar column; the table has ``most`` rows and reaches far past any rate it is used with.
+    ``rate`` is a scalar column. The table ends 12 deviations and 50 past the rate, where the function is 1 to the last
+    bit, so no draw is cut.
     """
-    k = spark.range(most).select(F.col("id").alias("k"), rate.alias("rate"))
+    top = F.ceil(rate + F.sqrt(rate) * 12 + 50).cast("long")
+    k = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), top)).alias("k")).withColumn("rate", rate)
     logs = k.withColumn("lf", F.sum(F.ln(F.greatest("k", F.lit(1)))).over(Window.orderBy("k")))
     pmf = F.exp(F.col("k") * F.ln("rate") - F.col("rate") - F.col("lf"))
     table = logs.select("k", F.sum(pmf).over(Window.orderBy("k")).alias("cdf"))
-    drawn = spark.range(1, years + 1).select(F.col("id").alias("sim_year")).withColumn("u", F.expr(uniform("sim_year", "0", 0)))
-    return drawn.join(F.broadcast(table), F.col("cdf") < F.col("u"), "left").groupBy("sim_year").agg(F.count("k").alias("n"))
+    steps = table.select("k", F.coalesce(F.lag("cdf").over(Window.orderBy("k")), F.lit(0.0)).alias("lo"), "cdf")
+    last = F.max("k").over(Window.partitionBy())
+    steps = steps.withColumn("hi", F.when(F.col("k") == last, 1.0).otherwise(F.least("cdf", F.lit(1.0)))).where("lo < hi")
+    drawn = spark.range(1, years + 1).select(F.col("id").alias("sim_year")).withColumn("u", F.expr(uniform("sim_year", "0", 0))).withColumn("_part", _part(F.col("u")))
+    found = drawn.join(F.broadcast(_parted(steps, "lo", "hi")), "_part").where((F.col("u") > F.col("lo")) & (F.col("u") <= F.col("hi")))
+    return found.select("sim_year", F.col("k").alias("n"))
 
 
 def template_table(catalog: DataFrame, decay: float = 30.0) -> DataFrame:
@@ -89,8 +95,11 @@ def _parted(table: DataFrame, lo: str, hi: str) -> DataFrame:
     return table.withColumn("_part", F.explode(F.sequence(_part(F.col(lo)), _part(F.col(hi)))))
 
 
-def simulate(catalog: DataFrame, years: int) -> DataFrame:
-    """(sim_year, event_idx, draw_doy, template_id, scale, drow, dcol, grown) of every simulated event."""
+def simulate(catalog: DataFrame, years: int, fixed_sigma: float | None = None, shift_cells: float = 3.0, grow: float = 0.25) -> DataFrame:
+    """(sim_year, event_idx, draw_doy, template_id, scale, drow, dcol, grown) of every simulated event.
+
+    The older catalogues are parameters: ``fixed_sigma`` for the intensity's deviation, ``shift_cells`` 0 for none.
+    """
     spark = catalog.sparkSession
     rate = catalog.agg(F.count(F.lit(1)) / F.count_distinct(F.year("start_date"))).scalar()
     events = yearly_counts(spark, rate, years).where("n > 0").repartition(-(-years // YEARS_A_TASK), "sim_year").select("sim_year", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("event_idx"))
@@ -101,11 +110,12 @@ def simulate(catalog: DataFrame, years: int) -> DataFrame:
     drawn = drawn.withColumn("v", F.expr(uniform("sim_year", "event_idx", 2))).withColumn("_part", _part(F.col("v")))
     picked = drawn.join(_parted(template_table(catalog), "lo", "hi"), ["draw_doy", "_part"]).where((F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi")))
     n = F.count(F.lit(1)).over(Window.partitionBy())
-    rank = catalog.select(F.col("event_id").alias("template_id"), ((F.row_number().over(Window.orderBy("peak_hail_mm", "event_id")) - 1) / (n - 1)).alias("pct"))
+    rank = catalog.select(F.col("event_id").alias("template_id"), ((F.row_number().over(Window.orderBy("peak_hail_mm", "event_id")) - 1) / F.greatest(n - 1, F.lit(1))).alias("pct"))
     s = F.least(F.greatest(F.col("pct") * 0.15 + 0.10, F.lit(0.10)), F.greatest(F.lit(0.25), sigma(catalog).scalar()))
+    s = s if fixed_sigma is None else F.lit(fixed_sigma)
     out = picked.join(rank, "template_id").withColumn("scale", F.exp(s * F.expr(normal("sim_year", "event_idx", 3))))
-    shift = lambda d: F.bround(F.expr(normal("sim_year", "event_idx", d)) * 3).cast("int")
-    return out.select("sim_year", "event_idx", "draw_doy", "template_id", "scale", shift(5).alias("drow"), shift(7).alias("dcol"), (F.expr(uniform("sim_year", "event_idx", 9)) < 0.25).alias("grown"))
+    shift = lambda d: F.bround(F.expr(normal("sim_year", "event_idx", d)) * shift_cells).cast("int")
+    return out.select("sim_year", "event_idx", "draw_doy", "template_id", "scale", shift(5).alias("drow"), shift(7).alias("dcol"), (F.expr(uniform("sim_year", "event_idx", 9)) < grow).alias("grown"))
 
 
 def simulated_cells(events: DataFrame, cells: DataFrame, rows: int, cols: int) -> DataFrame:
@@ -122,12 +132,13 @@ def simulated_cells(events: DataFrame, cells: DataFrame, rows: int, cols: int) -
     return inside.join(known, CELL).groupBy("sim_year", "event_idx", *CELL).agg(F.max("mm").alias("mm"))
 
 
-def empirical_levels(annual: DataFrame, years: int, periods: tuple[int, ...]) -> DataFrame:
+def empirical_levels(annual: DataFrame, years: int, periods: tuple[int, ...], extra: int = 0) -> DataFrame:
     """(rp, cell, mm): the annual maximum of rank max(1, int(years / rp)) in descending order, 0 past the nonzero ones.
 
-    Only the ranks asked for are kept, so the window stops at the largest.
+    Only the ranks asked for are kept, so the window stops at the largest. The older maps counted ranks from 0, which is
+    ``extra`` 1.
     """
-    ranks = {rp: max(1, years // rp) for rp in periods}
+    ranks = {rp: max(1, years // rp) + extra for rp in periods}
     ranked = annual.withColumn("k", F.row_number().over(Window.partitionBy(*CELL).orderBy(F.desc("mm")))).where(F.col("k") <= max(ranks.values()))
     asked = F.explode(F.array(*(F.struct(F.lit(rp).alias("rp"), F.lit(k).alias("k")) for rp, k in ranks.items())))
     every = annual.select(*CELL).distinct().select(*CELL, asked.alias("x")).select(*CELL, "x.rp", "x.k")
@@ -135,13 +146,14 @@ def empirical_levels(annual: DataFrame, years: int, periods: tuple[int, ...]) ->
 
 
 def exceedance_table(cells: DataFrame, years: int, periods: tuple[int, ...]) -> DataFrame:
-    """(rp, peak, cells, events): each column sorted on its own over the years, so a row is not one year."""
+    """(rp, peak, peak_cells, n_cells, n_events): each column sorted on its own over the years, so a row is not one year;
+    peak_cells are the cells of the event that had the peak."""
     per_event = cells.groupBy("sim_year", "event_idx").agg(F.max("mm").alias("peak"), F.count_if(F.col("mm") >= 25.4).alias("n"))
-    per_year = per_event.groupBy("sim_year").agg(F.max("peak").alias("peak"), F.sum("n").alias("n_cells"), F.count(F.lit(1)).alias("n_events"))
+    per_year = per_event.groupBy("sim_year").agg(F.max("peak").alias("peak"), F.max_by("n", F.struct("peak", -F.col("event_idx"))).alias("peak_cells"), F.sum("n").alias("n_cells"), F.count(F.lit(1)).alias("n_events"))
     every = cells.sparkSession.range(1, years + 1).select(F.col("id").alias("sim_year")).join(per_year, "sim_year", "left").fillna(0)
     asked = F.explode(F.array(*(F.struct(F.lit(rp).alias("rp"), F.lit(max(1, years // rp)).alias("k")) for rp in periods)))
     out = cells.sparkSession.range(1).select(asked.alias("x")).select("x.*")
-    for c in ("peak", "n_cells", "n_events"):
+    for c in ("peak", "peak_cells", "n_cells", "n_events"):
         ranked = every.select(c, F.row_number().over(Window.orderBy(F.desc(c))).alias("k"))
         out = out.join(ranked, "k")
     return out.drop("k")

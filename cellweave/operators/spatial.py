@@ -74,10 +74,10 @@ def window_median(targets: DataFrame, cells: DataFrame, half: int, rows: int, co
     return targets.join(medians, ["day", *CELL])
 
 
-def pooled(stats: DataFrame, radius_km: float, decay_km: float, half: int, lat: Column, lon: Column, sums: list[str]) -> DataFrame:
+def pooled(stats: DataFrame, radius_km: float, decay_km: float, half: int, lat: Column, lon: Column, sums: list[str], plain: tuple[str, ...] = ()) -> DataFrame:
     """Kernel-weighted sums of additive statistics over the cells within ``radius_km`` and ``half`` rows and columns.
 
-    Weights are exp(-km / decay_km). Statistics are summed before they are pooled, so a pair of cells moves one row;
+    Weights are exp(-km / decay_km); those of ``plain`` are summed without weight. Statistics are summed before they are pooled, so a pair of cells moves one row;
     tiles of side ``half`` bound the partners of a cell.
     """
     tile = lambda c: F.floor(F.col(c) / half).cast("int")
@@ -85,8 +85,30 @@ def pooled(stats: DataFrame, radius_km: float, decay_km: float, half: int, lat:
     placed = stats.withColumn("_lat", lat).withColumn("_lon", lon).withColumn("_tr", tile("cell_row")).withColumn("_tc", tile("cell_col"))
     target = placed.select(*CELL, F.col("_lat").alias("lat0"), F.col("_lon").alias("lon0"), "_tr", "_tc")
     target = _around(target, near, "_tr", "_tc")
-    source = placed.select(F.col("cell_row").alias("r2"), F.col("cell_col").alias("c2"), "_lat", "_lon", "_tr", "_tc", *sums)
+    source = placed.select(F.col("cell_row").alias("r2"), F.col("cell_col").alias("c2"), "_lat", "_lon", "_tr", "_tc", *sums, *plain)
     pairs = target.join(source, ["_tr", "_tc"]).where((F.abs(F.col("cell_row") - F.col("r2")) <= half) & (F.abs(F.col("cell_col") - F.col("c2")) <= half))
     pairs = pairs.withColumn("km", F.round(grid.haversine_km(F.col("lat0"), F.col("lon0"), F.col("_lat"), F.col("_lon")), 6)).where(F.col("km") <= radius_km)
     w = F.exp(-F.col("km") / decay_km)
-    return pairs.groupBy(*CELL).agg(F.count(F.lit(1)).alias("partners"), F.sum(w).alias("weight"), *(F.sum(w * F.col(s)).alias(s) for s in sums))
+    return pairs.groupBy(*CELL).agg(F.count(F.lit(1)).alias("partners"), F.sum(w).alias("weight"), *(F.sum(w * F.col(s)).alias(s) for s in sums), *(F.sum(s).alias(s) for s in plain))
+
+
+def joint_exceedance(cells: DataFrame, bands: tuple[tuple[int, int], ...], north: float = 50.0) -> DataFrame:
+    """(km_from, pairs, chi) of cells (cell, lat, lon, hit): per distance band the share of pairs that both hit, over the
+    square of the share of cells that hit.
+
+    Tiles as wide as the farthest band, at the latitude ``north`` where a degree is shortest, make it an equi-join: a
+    cell meets the nine tiles around it.
+    """
+    far = max(b for _, b in bands)
+    high = far / 111.0
+    wide = high / float(np.cos(np.radians(north)))
+    near = F.array(*map(F.lit, (-1, 0, 1)))
+    tiled = cells.withColumn("_tr", F.floor(F.col("lat") / high).cast("int")).withColumn("_tc", F.floor(F.col("lon") / wide).cast("int"))
+    one = _around(tiled, near, "_tr", "_tc")
+    two = tiled.select(F.col("cell_row").alias("r2"), F.col("cell_col").alias("c2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("hit").alias("hit2"), "_tr", "_tc")
+    first = (F.col("cell_row") < F.col("r2")) | ((F.col("cell_row") == F.col("r2")) & (F.col("cell_col") < F.col("c2")))
+    pairs = one.join(two, ["_tr", "_tc"]).where(first).withColumn("km", F.round(grid.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 6))
+    band = F.coalesce(*(F.when((F.col("km") >= a) & (F.col("km") < b), a) for a, b in bands))
+    share = cells.agg(F.avg(F.col("hit").cast("int"))).scalar()
+    out = pairs.groupBy(band.alias("km_from")).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("hit") & F.col("hit2")).alias("joint")).where("km_from is not null")
+    return out.select("km_from", "pairs", (F.col("joint") / F.col("pairs") / F.greatest(share * share, F.lit(1e-9))).alias("chi"))

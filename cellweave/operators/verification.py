@@ -59,12 +59,34 @@ def capped_sample(rows: DataFrame, group: str, most: int, order) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
-def range_debias(pairs: DataFrame, bins: int, reference_bin: int, least: int = 30) -> DataFrame:
-    """(source, bin, factor): median ratio of report to grid by range bin, 1 where pairs are few, relative to the
-    reference bin and clipped to 0.45..1.15. Diagnostic only."""
+def range_centers(edges: tuple[float, ...]) -> list[float]:
+    return [(a + b) / 2 for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def range_debias(pairs: DataFrame, edges: tuple[float, ...], reference_km: float = 125.0, least: int = 30, least_in: float = 1.0, least_mm: float = 5.0) -> DataFrame:
+    """(source, bin, n, factor) of pairs (source, km, size_in, mm): the median ratio of report to grid by range bin, 1
+    where pairs are few, relative to the bin nearest ``reference_km`` and clipped to 0.45..1.15. Diagnostic only.
+
+    Every bin has a factor, so the interpolation between bins happens where factors are applied.
+    """
+    centers = range_centers(edges)
+    reference = min(range(len(centers)), key=lambda i: abs(centers[i] - reference_km))
+    from cellweave.functions.grid import edge_bin
+
     ratio = F.col("size_in") * 25.4 / F.col("mm")
-    fits = pairs.where("mm > 0 and size_in > 0").groupBy("source", "bin").agg(F.count(F.lit(1)).alias("n"), F.median(ratio).alias("m"))
-    every = pairs.select("source").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    inside = F.col("km").between(edges[0], edges[-1]) & (F.col("km") < edges[-1])
+    fits = pairs.where((F.col("mm") >= least_mm) & (F.col("size_in") >= least_in) & inside).groupBy("source", edge_bin(F.col("km"), edges).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.median(ratio).alias("m"))
+    every = pairs.select("source").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(len(centers) - 1))))
     rows = every.join(fits, ["source", "bin"], "left").withColumn("f", F.when(F.col("n") >= least, F.col("m")).otherwise(1.0))
-    at = F.max(F.when(F.col("bin") == reference_bin, F.col("f"))).over(Window.partitionBy("source"))
+    at = F.max(F.when(F.col("bin") == reference, F.col("f"))).over(Window.partitionBy("source"))
     return rows.select("source", "bin", F.coalesce("n", F.lit(0)).alias("n"), F.least(F.greatest(F.col("f") / at, F.lit(0.45)), F.lit(1.15)).alias("factor"))
+
+
+def apply_range_debias(cells: DataFrame, factors: DataFrame, edges: tuple[float, ...]) -> DataFrame:
+    """``cells`` (source, km, mm) times the factor interpolated between bin centres, clamped beyond the first and last."""
+    from cellweave.operators.ingest import interpolate
+
+    listed = factors.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "factor"))), lambda x: x["factor"]).alias("_f"))
+    centers = F.array(*map(F.lit, range_centers(edges)))
+    rows = cells.join(F.broadcast(listed), "source", "left")  # a row a source
+    return rows.withColumn("mm", F.col("mm") * F.coalesce(interpolate(F.col("km"), centers, F.col("_f")), F.lit(1.0))).drop("_f")

@@ -14,8 +14,8 @@ from cellweave.sources.tables import COLS, OBS, ROWS, SITE
 KM, SECTOR = 100.0, 90.0
 DAYS = f"raster AS (SELECT CAST(ts - INTERVAL 12 HOUR AS DATE) AS day, cell_row, cell_col, max({CLEAN}) AS mm FROM obs GROUP BY ALL HAVING max({CLEAN}) > 0)"
 ANNULI = f"""gridc AS (SELECT range // {COLS} AS cell_row, range % {COLS} AS cell_col, 49e0 - range // {COLS} * 1.25e0 AS lat, -120e0 + range % {COLS} * 2e0 AS lon FROM range({ROWS * COLS})),
-  sited AS (SELECT cell_row, cell_col, lat, lon, arg_min((site_idx, site_lat, site_lon), (km, site_idx)) AS s, min(km) AS km FROM (SELECT *, round({grid.haversine_sql('lat', 'lon', 'site_lat', 'site_lon')}, 6) AS km FROM gridc, site WHERE site_idx % 10 = 0) GROUP BY ALL),
-  annuli AS (SELECT cell_row, cell_col, s[1] AS site_idx, CAST(least(floor(km / {KM}e0), 39) AS INTEGER) AS bin,
+  sited AS (SELECT cell_row, cell_col, lat, lon, arg_min((site_idx, site_lat, site_lon), (km, site_idx)) AS s, min(km) AS km FROM (SELECT *, round({grid.haversine_sql('lat', 'lon', 'site_lat', 'site_lon')}, 6) AS km FROM gridc, site) GROUP BY ALL),
+  annuli AS (SELECT cell_row, cell_col, km, s[1] AS site_idx, CAST(least(floor(km / {KM}e0), 39) AS INTEGER) AS bin,
     CAST(floor(round((degrees(atan2((lon - s[3]) * cos(radians(s[2])), lat - s[2])) + 360e0) % 360e0, 6) / {SECTOR}e0) AS INTEGER) % 4 AS sector FROM sited)"""
 
 
@@ -30,7 +30,7 @@ def annuli(t):
     sites = t.site()
     near = spatial.nearest_site(cells, sites, lat, lon).join(F.broadcast(sites) if sites.count() <= spatial.MOST_SITES else sites, "site_idx")
     azimuth = F.round(grid.azimuth_deg(F.col("site_lat"), F.col("site_lon"), lat, lon), 6)
-    return near.select(*climate.CELL, "site_idx", grid.range_bin(F.col("km"), KM).alias("bin"), (F.floor(azimuth / SECTOR) % 4).cast("int").alias("sector"))
+    return near.withColumn("lat", lat).withColumn("lon", lon).select(*climate.CELL, "km", "lat", "lon", "site_lat", "site_lon", "site_idx", grid.range_bin(F.col("km"), KM).alias("bin"), (F.floor(azimuth / SECTOR) % 4).cast("int").alias("sector"))
 
 
 def shown(t, cells):
@@ -59,12 +59,12 @@ def ring_sql(by: str, least: int) -> str:
     return f"meds AS (SELECT day, {by}, median(mm) AS med FROM raster JOIN annuli USING (cell_row, cell_col) WHERE mm >= 5 GROUP BY ALL HAVING count(*) >= {least})"
 
 
-@query(OBS, SITE, DAYS, ANNULI, ring_sql("site_idx, bin", 8), sql=ZEROED.format(hit="r.mm >= 5 AND r.mm > 2.5 * greatest(med, 1)", joins="JOIN annuli a USING (cell_row, cell_col) LEFT JOIN meds m ON m.day = r.day AND m.site_idx = a.site_idx AND m.bin = a.bin"))
+@query(OBS, SITE, DAYS, ANNULI, ring_sql("site_idx, bin", 8), sql=ZEROED.format(hit="med IS NOT NULL AND r.mm >= 5 AND r.mm > 2.5 * greatest(med, 1)", joins="JOIN annuli a USING (cell_row, cell_col) LEFT JOIN meds m ON m.day = r.day AND m.site_idx = a.site_idx AND m.bin = a.bin"))
 def azimuthal_filter(t):
     return shown(t, artefacts.above_median(raster(t), annuli(t), ["site_idx", "bin"], 8, 2.5))
 
 
-@query(OBS, SITE, DAYS, ANNULI, ring_sql("site_idx, bin, sector", 4), sql=ZEROED.format(hit="r.mm >= 5 AND r.mm > 1.5 * greatest(med, 1)", joins="JOIN annuli a USING (cell_row, cell_col) LEFT JOIN meds m ON m.day = r.day AND m.site_idx = a.site_idx AND m.bin = a.bin AND m.sector = a.sector"))
+@query(OBS, SITE, DAYS, ANNULI, ring_sql("site_idx, bin, sector", 4), sql=ZEROED.format(hit="med IS NOT NULL AND r.mm >= 5 AND r.mm > 1.5 * greatest(med, 1)", joins="JOIN annuli a USING (cell_row, cell_col) LEFT JOIN meds m ON m.day = r.day AND m.site_idx = a.site_idx AND m.bin = a.bin AND m.sector = a.sector"))
 def polar_spoke_filter(t):
     return shown(t, artefacts.above_median(raster(t), annuli(t), ["site_idx", "bin", "sector"], 4, 1.5))
 
@@ -83,12 +83,12 @@ def radial_ring_filter(t):
 PERSIST = """days AS (SELECT day, row_number() OVER (ORDER BY day) AS f FROM (SELECT DISTINCT day FROM raster)),
   steps AS (SELECT d.day, h.day AS hday, count(*) OVER (PARTITION BY d.day) AS nf FROM days d JOIN days h ON h.f BETWEEN d.f - 21 AND d.f - 1),
   dense AS (SELECT d.day, a.*, coalesce(mm, 0) AS v FROM days d CROSS JOIN annuli a LEFT JOIN raster r ON r.day = d.day AND r.cell_row = a.cell_row AND r.cell_col = a.cell_col),
-  bycell AS (SELECT s.day, cell_row, cell_col, avg(CAST(v >= 5 AS INTEGER)) AS cf, median(v) AS cm FROM steps s JOIN dense x ON x.day = s.hday WHERE nf >= 7 GROUP BY ALL),
-  byring AS (SELECT s.day, site_idx, bin, count(DISTINCT CASE WHEN v >= 5 THEN hday END) / any_value(nf) AS rf, median(v) AS rm FROM steps s JOIN dense x ON x.day = s.hday WHERE nf >= 7 GROUP BY s.day, site_idx, bin HAVING count(*) / any_value(nf) >= 5),
+  bycell AS (SELECT s.day, cell_row, cell_col, avg(CAST(v >= 25.4 AS INTEGER)) AS cf, median(v) AS cm FROM steps s JOIN dense x ON x.day = s.hday WHERE nf >= 7 GROUP BY ALL),
+  byring AS (SELECT s.day, site_idx, bin, count(DISTINCT CASE WHEN v >= 25.4 THEN hday END) / any_value(nf) AS rf, median(v) AS rm FROM steps s JOIN dense x ON x.day = s.hday WHERE nf >= 7 GROUP BY s.day, site_idx, bin HAVING count(*) / any_value(nf) >= 5),
   today AS (SELECT day, site_idx, bin, median(v) AS tm FROM dense GROUP BY ALL HAVING count(*) >= 5)"""
 
 
-@query(OBS, SITE, DAYS, ANNULI, PERSIST, sql=ZEROED.format(hit="r.mm >= 5 AND rf >= 0.6 AND cf >= 0.35 AND r.mm < 1.75 * greatest(cm, 1) AND NOT coalesce(tm >= 1.5 * greatest(rm, 1) AND tm >= 5, false)", joins="JOIN annuli a USING (cell_row, cell_col) LEFT JOIN bycell c ON c.day = r.day AND c.cell_row = r.cell_row AND c.cell_col = r.cell_col LEFT JOIN byring g ON g.day = r.day AND g.site_idx = a.site_idx AND g.bin = a.bin LEFT JOIN today d ON d.day = r.day AND d.site_idx = a.site_idx AND d.bin = a.bin"))
+@query(OBS, SITE, DAYS, ANNULI, PERSIST, sql=ZEROED.format(hit="r.mm >= 25.4 AND rf >= 0.6 AND cf >= 0.35 AND r.mm < 1.75 * greatest(cm, 1) AND NOT coalesce(tm >= 1.5 * greatest(rm, 1) AND tm >= 25.4, false)", joins="JOIN annuli a USING (cell_row, cell_col) LEFT JOIN bycell c ON c.day = r.day AND c.cell_row = r.cell_row AND c.cell_col = r.cell_col LEFT JOIN byring g ON g.day = r.day AND g.site_idx = a.site_idx AND g.bin = a.bin LEFT JOIN today d ON d.day = r.day AND d.site_idx = a.site_idx AND d.bin = a.bin"))
 def persistence_filter(t):
     return shown(t, artefacts.persistence(raster(t), annuli(t)))
 
@@ -104,28 +104,3 @@ def speckle_fraction(t):
 def range_profile(t):
     rows = raster(t).join(annuli(t), climate.CELL)
     return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("mm"), 6).alias("mean_mm"), F.round(F.percentile("mm", F.lit(0.95)), 6).alias("p95")).where("n >= 10")
-
-
-@query()
-def artefact_chain(t):
-    """Passes in order, each on the last one's output, with the cells each removed."""
-    rings = keep(annuli(t), "annuli")
-    now, out = keep(raster(t), "raster"), None
-    passes = (("speckle", lambda c: artefacts.speckle(c, ROWS, COLS)), ("radial", lambda c: artefacts.radial_rings(c, rings, width=KM)), ("azimuthal", lambda c: artefacts.above_median(c, rings, ["site_idx", "bin"], 8, 2.5)), ("filament", lambda c: artefacts.filament(c, ROWS, COLS, half=2)))
-    for i, (name, run) in enumerate(passes):
-        after = keep(run(now), name)
-        row = artefacts.removed(now, after).select(F.lit(i).alias("step"), F.lit(name).alias("pass"), "n_removed")
-        out = row if out is None else out.unionByName(row)
-        now = after
-    return out
-
-
-VOXELS = "vox AS (SELECT vol, k, j, i, max(dbz) AS dbz FROM (SELECT l_suppkey % 3 AS vol, l_linenumber - 1 AS k, l_partkey % 12 AS j, l_orderkey % 12 AS i, l_quantity * 1e0 AS dbz FROM lineitem WHERE l_orderkey % 4 = 0) GROUP BY ALL)"
-
-
-@query(VOXELS, "cov AS (SELECT v.vol, v.k, v.j, v.i, any_value(v.dbz) AS dbz, count(e.vol) AS n FROM vox v LEFT JOIN vox e ON e.vol = v.vol AND e.dbz >= 30 AND abs(e.k - v.k) <= 1 AND abs(e.j - v.j) <= 1 AND abs(e.i - v.i) <= 1 GROUP BY ALL HAVING count(e.vol) / 27e0 >= 0.32)", sql="SELECT vol, k, j, i, dbz FROM cov WHERE (vol, j, i) NOT IN (SELECT (vol, j, i) FROM cov GROUP BY vol, j, i HAVING max(k) = 0 AND max(dbz) < 45)")
-def clutter_removal(t):
-    """Voxels with enough echo around them, then columns with more than a weak lowest echo."""
-    rows = t.read("lineitem").select((F.col("l_suppkey") % 3).alias("vol"), (F.col("l_linenumber") - 1).alias("k"), (F.col("l_partkey") % 12).alias("j"), (F.col("l_orderkey") % 12).alias("i"), F.col("l_quantity").alias("dbz"))
-    voxels = rows.groupBy("vol", "k", "j", "i").agg(F.max("dbz").alias("dbz"))
-    return artefacts.shallow_echo(artefacts.echo_coverage(voxels, echo_dbz=30.0), weak_dbz=45.0)

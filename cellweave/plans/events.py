@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweave.functions import grid
-from cellweave.operators import climate, events, spatial
+from cellweave.operators import climate, events, extremes, spatial
 from cellweave.plans.climate import ANNUAL, YEARS, r6
+from cellweave.plans.extremes import PERIODS, TAIL, U, levels_sql, region
 from cellweave.plans.registry import query
+from cellweave.sources.shared import keep
 from cellweave.sources.tables import CELL_DAY, CELL_DAY_FINE, SITE
 
 
@@ -86,7 +88,7 @@ def event_summary(t):
     return catalog(t).groupBy("duration_days").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_active_cells"), 6).alias("mean_cells"), F.round(F.median("peak_hail_mm"), 6).alias("median_peak"), F.round(F.max("peak_hail_mm"), 6).alias("max_peak"))
 
 
-RADIUS, DECAY, HALF = 20.0, 10.0, 3
+RADIUS, DECAY, HALF = 150.0, 75.0, 29
 STATS = "stats AS (SELECT cell_row, cell_col, count(*) * 1e0 AS n, sum(ln(mm)) AS s1, sum(ln(mm) * ln(mm)) AS s2 FROM annual WHERE mm > 0 GROUP BY ALL)"
 POOL = f"""pairs AS (SELECT a.cell_row, a.cell_col, b.n, b.s1, b.s2, round({grid.haversine_sql(*(x.replace('cell_', p + '.cell_') for p in ('a', 'b') for x in (LAT_SQL, LON_SQL)))}, 6) AS km
     FROM stats a JOIN stats b ON abs(a.cell_row - b.cell_row) <= {HALF} AND abs(a.cell_col - b.cell_col) <= {HALF}),
@@ -101,7 +103,7 @@ def pool(t):
 
 @query(CELL_DAY, ANNUAL, STATS, POOL, sql="SELECT cell_row, cell_col, partners, round(s1 / n, 6) AS mu, round(sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 1e-6)), 6) AS sigma FROM pool")
 def pooled_cdf(t):
-    """Distance-weighted log-moments of annual maxima, variance at least 1e-6."""
+    """Distance-weighted log-moments of annual maxima within 150 km, variance at least 1e-6."""
     mu = F.col("s1") / F.col("n")
     return pool(t).select(*climate.CELL, "partners", F.round(mu, 6).alias("mu"), F.round(F.sqrt(F.greatest(F.col("s2") / F.col("n") - mu * mu, F.lit(1e-6))), 6).alias("sigma"))
 
@@ -111,19 +113,47 @@ def pooled_occurrence(t):
     return pool(t).select(*climate.CELL, F.round(F.col("n") / F.col("weight") / climate.years_of(t.cell_day()).scalar(), 6).alias("p_occ"))
 
 
-@query(CELL_DAY, ANNUAL, sql=f"""SELECT band, count(*) AS pairs, round(avg(shared / nullif(own, 0)), 6) AS chi FROM (
-    SELECT CASE WHEN km < 15 THEN 'near' WHEN km < 40 THEN 'middle' ELSE 'far' END AS band, shared, own FROM (
-      SELECT round({grid.haversine_sql(*(x.replace('cell_', p + '.cell_') for p in ('a', 'b') for x in (LAT_SQL, LON_SQL)))}, 6) AS km, len(list_intersect(a.ys, b.ys)) AS shared, len(a.ys) AS own
-      FROM top a JOIN top b ON a.id < b.id)) GROUP BY band""".replace("FROM top a", "FROM (SELECT cell_row * 25 + cell_col AS id, cell_row, cell_col, list(year) AS ys FROM annual WHERE mm >= 150 AND (cell_row * 25 + cell_col) % 5 = 0 GROUP BY ALL) a").replace("JOIN top b", "JOIN (SELECT cell_row * 25 + cell_col AS id, cell_row, cell_col, list(year) AS ys FROM annual WHERE mm >= 150 AND (cell_row * 25 + cell_col) % 5 = 0 GROUP BY ALL) b"))
+_PAIR_KM = grid.haversine_sql(*(x.replace('cell_', p + '.cell_') for p in ('a', 'b') for x in (LAT_SQL, LON_SQL)))
+POOLED_FIT = f"""pstats AS (SELECT cell_row, cell_col, (SELECT n_years FROM years) * 1e0 AS ny, count(*) * 1e0 AS n, sum(ln(mm)) AS s1, sum(ln(mm) * ln(mm)) AS s2, count(*) FILTER (WHERE mm > {U}) AS n_over, coalesce(sum(mm - {U}) FILTER (WHERE mm > {U}), 0) AS over, sum(mm) AS x1, sum(mm * mm) AS x2 FROM annual WHERE mm > 0 GROUP BY ALL),
+  ppairs AS (SELECT a.cell_row, a.cell_col, b.* EXCLUDE (cell_row, cell_col), round({_PAIR_KM}, 6) AS km FROM pstats a JOIN pstats b ON abs(a.cell_row - b.cell_row) <= {HALF} AND abs(a.cell_col - b.cell_col) <= {HALF}),
+  psums AS (SELECT cell_row, cell_col, sum(exp(-km / {DECAY}e0) * ny) AS ny, sum(exp(-km / {DECAY}e0) * n) AS n, sum(exp(-km / {DECAY}e0) * s1) AS s1, sum(exp(-km / {DECAY}e0) * s2) AS s2, sum(n) AS n_nz, sum(n_over) AS n_over, sum(over) AS over, sum(x1) AS x1, sum(x2) AS x2 FROM ppairs WHERE km <= {RADIUS} GROUP BY ALL HAVING sum(n) >= 10),
+  parameters AS (SELECT cell_row, cell_col, n / ny AS p_occ, s1 / n AS mu, sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 1e-6)) AS sigma, coalesce(xi, 0) AS xi, {U}e0 AS u,
+    CASE WHEN n_over >= 5 AND coalesce(xi, 0) < 1 THEN over / n_over * (1 - coalesce(xi, 0)) ELSE greatest(sqrt(greatest(x2 / n_nz - pow(x1 / n_nz, 2), 0)), 1) END AS scale FROM psums LEFT JOIN regional ON region = cell_row % 6)"""
+
+
+@query(CELL_DAY, ANNUAL, YEARS, TAIL, POOLED_FIT, levels_sql(PERIODS), sql="SELECT rp, cell_row, cell_col, round(mm, 4) AS mm FROM levels")
+def smooth_levels(t):
+    """Return levels of the fits pooled over 150 km, with the region's tail shape."""
+    days = t.cell_day()
+    annual, logs, over = climate.annual_max(days).where("mm > 0"), F.ln("mm"), F.col("mm") - U
+    stats = annual.groupBy(*climate.CELL).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(logs).alias("s1"), F.sum(logs * logs).alias("s2"), F.count_if(over > 0).alias("n_over"), F.sum(F.when(over > 0, over).otherwise(0.0)).alias("over"), F.sum("mm").alias("x1"), F.sum(F.col("mm") * F.col("mm")).alias("x2"))
+    stats = stats.withColumn("ny", climate.years_of(days).scalar().cast("double")).withColumn("n_nz", F.col("n"))
+    sums = spatial.pooled(stats, RADIUS, DECAY, HALF, *center(), ["ny", "n", "s1", "s2"], ("n_nz", "n_over", "over", "x1", "x2"))
+    excess = annual.where(over > 0).select(region().alias("region"), over.alias("x"))
+    shapes = extremes.gpd_from_l_moments(extremes.l_moments(excess, ["region"], "x")).select("region", F.when(F.col("n") >= 50, F.least(F.greatest("xi", F.lit(-0.5)), F.lit(0.5))).otherwise(0.0).alias("xi"))
+    return extremes.return_levels(extremes.pooled_parameters(sums, shapes, region(), U), PERIODS).select("rp", *climate.CELL, F.round("mm", 4).alias("mm"))
+
+
+BANDS = ((50, 150), (150, 300), (300, 600))
+
+
+def _cut(lo: str) -> str:
+    return " ".join(f"WHEN km >= {a} AND km < {b} THEN {a}" for a, b in BANDS)
+
+
+TAILS = f"""peaks AS (SELECT cell_row, cell_col, max(mm) AS mm FROM annual WHERE year BETWEEN 1996 AND 1998 GROUP BY ALL HAVING max(mm) >= 25.4),
+  picked AS MATERIALIZED (SELECT *, mm >= 50 AS hit FROM peaks),
+  tpairs AS (SELECT a.hit AND b.hit AS both_hit, round({grid.haversine_sql('(49e0 - a.cell_row * 1.25e0)', '(-120e0 + a.cell_col * 2e0)', '(49e0 - b.cell_row * 1.25e0)', '(-120e0 + b.cell_col * 2e0)')}, 6) AS km FROM picked a JOIN picked b ON (a.cell_row, a.cell_col) < (b.cell_row, b.cell_col)),
+  chis AS (SELECT CASE {_cut('km')} END AS km_from, count(*) AS pairs, count(*) FILTER (WHERE both_hit) / count(*) / greatest(pow((SELECT avg(CAST(hit AS INTEGER)) FROM picked), 2), 1e-9) AS chi FROM tpairs GROUP BY 1)"""
+
+
+@query(CELL_DAY, ANNUAL, TAILS, sql="SELECT km_from, pairs, round(chi, 6) AS chi FROM chis WHERE km_from IS NOT NULL")
 def tail_dependence(t):
-    """Joint exceedance of 150 mm in a year by distance band, over all pairs of cells; the grid bounds their number."""
-    top = climate.annual_max(t.cell_day()).where("mm >= 150").withColumn("id", F.col("cell_row") * 25 + F.col("cell_col")).groupBy("id", *climate.CELL).agg(F.collect_list("year").alias("ys"))
-    lat, lon = center()
-    a = top.select("id", lat.alias("lat1"), lon.alias("lon1"), F.col("ys").alias("y1"))
-    b = top.select(F.col("id").alias("id2"), lat.alias("lat2"), lon.alias("lon2"), F.col("ys").alias("y2"))
-    km = F.round(grid.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), 6)
-    rows = a.join(F.broadcast(b), F.col("id") < F.col("id2")).withColumn("km", km)
-    band = F.when(F.col("km") < 15, "near").when(F.col("km") < 40, "middle").otherwise("far")
-    return rows.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.size(F.array_intersect("y1", "y2")) / F.size("y1")), 6).alias("chi"))
+    """chi of joint exceedance of 50 mm by distance band, over all pairs of cells up to 600 km apart."""
+    return tails(t).select("km_from", "pairs", F.round("chi", 6).alias("chi"))
 
 
+def tails(t):
+    peaks = climate.annual_max(t.cell_day()).where("year between 1996 and 1998").groupBy(*climate.CELL).agg(F.max("mm").alias("mm")).where("mm >= 25.4")
+    cells = peaks.select(*climate.CELL, (F.lit(49.0) - F.col("cell_row") * 1.25).alias("lat"), (F.lit(-120.0) + F.col("cell_col") * 2.0).alias("lon"), (F.col("mm") >= 50).alias("hit"))
+    return spatial.joint_exceedance(keep(cells, "tail-cells"), BANDS)

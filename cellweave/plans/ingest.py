@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cellweave.functions import clock, quality
 from cellweave.operators import climate, ingest, models
 from cellweave.plans.climate import CLEAN, r6
+from cellweave.plans.extremes import CHAIN, levels_sql
 from cellweave.plans.registry import query
 from cellweave.sources.shared import keep
 from cellweave.sources.tables import CELL_DAY, OBS
@@ -155,22 +156,13 @@ def region_clusters(t):
     return models.region_clusters(climate.annual_max(t.cell_day()))
 
 
-@query()
-def hail_classifier(t):
-    """Scores of gradient-boosted trees for hail on the training set, years split into training and test."""
-    from cellweave.plans.verification import pairs
-    from cellweave.operators import verification as V
-
-    pos = pairs(t).where("size_in >= 1 and mm >= 25.4").select("day", *climate.CELL, "mm", F.lit(1.0).alias("label"))
-    neg = V.without_report(t.cell_day(), t.report()).select("day", *climate.CELL, "mm", F.lit(0.0).alias("label"))
-    return models.classifier_report(keep(pos.unionByName(neg), "training"))
+_P, _XI, _SCALE = models.jittered("rep", "d")
 
 
-@query()
+@query(*CHAIN, f"sample AS MATERIALIZED (SELECT *, CAST(row_number() OVER (ORDER BY {models.SAMPLE_ORDER}, cell_row, cell_col) AS INTEGER) AS i FROM parameters QUALIFY i <= 150)", "size AS (SELECT count(*) AS n FROM sample)", levels_sql((100,)).replace("levels AS", "point AS").replace("FROM parameters", "FROM sample"), f"drawn AS (SELECT rep, d, {models.draw('rep', 'd', 'n')} AS i FROM (SELECT a.range AS rep, b.range AS d, n FROM range(1, 251) a, range(1, 151) b, size WHERE b.range <= n))", f"moved AS (SELECT rep AS cell_row, d AS cell_col, mu, sigma, u, {_P} AS p_occ, {_XI} AS xi, {_SCALE} AS scale FROM drawn JOIN sample USING (i))", levels_sql((100,)).replace("FROM parameters", "FROM moved"), "meds AS (SELECT median(mm) AS m FROM levels WHERE mm > 0 GROUP BY cell_row)", sql="SELECT round(low, 4) AS low, round(mid, 4) AS mid, round(high, 4) AS high, round((high - low) / greatest(mid, 1), 4) AS width, CASE WHEN (high - low) / greatest(mid, 1) > 0.5 THEN 'warn' ELSE 'pass' END AS status FROM (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM meds), (SELECT median(mm) AS mid FROM point WHERE mm > 0)")
 def bootstrap_ci(t):
-    """Median return levels of jittered parameters: percentiles over replicates."""
-    from cellweave.plans.extremes import PERIODS, parameters
-
-    return models.bootstrap(keep(parameters(t), "parameters"), PERIODS[:4])
-
+    """Interval of the 100-year level by 250 replicates of 150 cells with jittered parameters."""
+    from cellweave.plans.extremes import parameters
 
+    out = models.bootstrap(keep(parameters(t), "parameters"))
+    return out.select(*(F.round(c, 4).alias(c) for c in ("low", "mid", "high", "width")), "status")

@@ -34,13 +34,13 @@ def feature_vectors(t):
     return t.cell_day().withColumn("log_mm", F.log1p("mm")).withColumn("s", F.sin(angle)).withColumn("c", F.cos(angle)).select("day", *climate.CELL, *r6("mm", "log_mm", "s", "c"))
 
 
-BANDS = ((24, 32, 4.8, 7.3), (32, 38, 4.2, 7.0), (38, 44, 3.8, 6.5), (44, 51, 3.3, 6.0))
+JUNE = tuple((lo, hi, *h) for (lo, hi), h in zip(quality.BANDS, quality.ISOTHERMS[6], strict=True))
 
 
-@query(SITE, sql="SELECT site_idx, CASE " + " ".join(f"WHEN site_lat >= {a} AND site_lat < {b} THEN {h}e0" for a, b, h, _ in BANDS) + " ELSE 3.5e0 END AS h0, CASE " + " ".join(f"WHEN site_lat >= {a} AND site_lat < {b} THEN {h}e0" for a, b, _, h in BANDS) + " ELSE 6.0e0 END AS h20 FROM site")
+@query(SITE, sql="SELECT site_idx, CASE " + " ".join(f"WHEN site_lat >= {a} AND site_lat < {b} THEN {h}e0" for a, b, h, _ in JUNE) + " ELSE 3.5e0 END AS h0, CASE " + " ".join(f"WHEN site_lat >= {a} AND site_lat < {b} THEN {h}e0" for a, b, _, h in JUNE) + " ELSE 6.0e0 END AS h20 FROM site")
 def isotherm_lookup(t):
     """Freezing levels by latitude band for June, the fallback pair elsewhere."""
-    pick = lambda n: F.coalesce(*(F.when((F.col("site_lat") >= b[0]) & (F.col("site_lat") < b[1]), b[n]) for b in BANDS))
+    pick = lambda n: F.coalesce(*(F.when((F.col("site_lat") >= b[0]) & (F.col("site_lat") < b[1]), b[n]) for b in JUNE))
     return t.site().select("site_idx", F.coalesce(pick(2), F.lit(3.5)).alias("h0"), F.coalesce(pick(3), F.lit(6.0)).alias("h20"))
 
 
@@ -140,7 +140,7 @@ def systematic_days(t):
     return every_nth_day(t.cell_day(), 10).select("day", *climate.CELL, *r6("mm"))
 
 
-@query(OBS, SITE, DAYS, ANNULI, "listed AS (SELECT * FROM annuli WHERE site_idx IN (0, 20, 40))", "meds AS (SELECT day, site_idx, bin, sector, median(mm) AS med FROM raster JOIN listed USING (cell_row, cell_col) WHERE mm >= 5 GROUP BY ALL HAVING count(*) >= 4)", sql="SELECT r.day, r.cell_row, r.cell_col, round(CASE WHEN r.mm >= 5 AND r.mm > 1.5 * greatest(med, 1) THEN 0 ELSE r.mm END, 6) AS mm FROM raster r LEFT JOIN listed a USING (cell_row, cell_col) LEFT JOIN meds m ON m.day = r.day AND m.site_idx = a.site_idx AND m.bin = a.bin AND m.sector = a.sector")
+@query(OBS, SITE, DAYS, ANNULI, "listed AS (SELECT * FROM annuli WHERE site_idx IN (0, 20, 40))", "meds AS (SELECT day, site_idx, bin, sector, median(mm) AS med FROM raster JOIN listed USING (cell_row, cell_col) WHERE mm >= 5 GROUP BY ALL HAVING count(*) >= 4)", sql="SELECT r.day, r.cell_row, r.cell_col, round(CASE WHEN med IS NOT NULL AND r.mm >= 5 AND r.mm > 1.5 * greatest(med, 1) THEN 0 ELSE r.mm END, 6) AS mm FROM raster r LEFT JOIN listed a USING (cell_row, cell_col) LEFT JOIN meds m ON m.day = r.day AND m.site_idx = a.site_idx AND m.bin = a.bin AND m.sector = a.sector")
 def site_remediation(t):
     """Polar spokes of listed sites only; other sites' cells don't change."""
     flagged = annuli(t).where(F.col("site_idx").isin(0, 20, 40))
@@ -154,11 +154,11 @@ def calendar_labels(t):
     return t.cell_day().groupBy(F.month(d).alias("month"), F.date_format(d, "MMdd").alias("mmdd"), (F.year(d) % 4 == 0).alias("leap")).agg(F.count(F.lit(1)).alias("n"), F.min(clock.doy_distance(F.dayofyear(d), F.lit(15))).alias("from_mid_january"))
 
 
-@query(CELL_DAY, "p AS (SELECT year(day) AS year, count(*) AS n FROM cell_day GROUP BY 1)", sql="SELECT year, n, n - first_value(n) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS since_first, last_value(n) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_n FROM p")
+@query(CELL_DAY, "p AS (SELECT year(day) AS year, count(*) AS n FROM cell_day GROUP BY 1)", sql="SELECT year, n, n - first_value(n) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS since_first, last_value(n) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_n, n - lag(n) OVER (ORDER BY year) AS since_last FROM p")
 def yearly_trend(t):
     w = Window.orderBy("year").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = t.cell_day().groupBy(F.year("day").alias("year")).agg(F.count(F.lit(1)).alias("n"))
-    return rows.select("year", "n", (F.col("n") - F.first("n").over(w)).alias("since_first"), F.last("n").over(w).alias("last_n"))
+    return rows.select("year", "n", (F.col("n") - F.first("n").over(w)).alias("since_first"), F.last("n").over(w).alias("last_n"), (F.col("n") - F.lag("n").over(Window.orderBy("year"))).alias("since_last"))
 
 
 @query()

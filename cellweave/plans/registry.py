@@ -6,10 +6,13 @@ FLAGSHIP = "return_periods"
 
 QUERIES: dict = {}
 SQL: dict = {}
+#: SQL that states a query at a size another engine manages, for tests: the catalogue of 40 years.
+SMALL_SQL: dict = {}
 
 
-def query(*ctes: str, sql: str | None = None):
-    """Register a query of one ``Tables`` argument; ``sql`` follows the common table expressions."""
+def query(*ctes: str, sql: str | None = None, small: bool = False):
+    """Register a query of one ``Tables`` argument; ``sql`` follows the common table expressions, and states a smaller
+    size than the query's where ``small``."""
 
     def add(make):
         from cellweave.sources.tables import Tables
@@ -20,7 +23,7 @@ def query(*ctes: str, sql: str | None = None):
         run.__name__, run.__doc__ = make.__name__, make.__doc__
         QUERIES[make.__name__] = run
         if sql:
-            SQL[make.__name__] = (f"WITH RECURSIVE {', '.join(ctes)} " if ctes else "") + sql
+            (SMALL_SQL if small else SQL)[make.__name__] = (f"WITH RECURSIVE {', '.join(ctes)} " if ctes else "") + sql
         return make
 
     return add
@@ -28,4 +31,4 @@ def query(*ctes: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from cellweave.plans import artefacts, checks, climate, events, extremes, ingest, legacy, simulation, verification  # noqa: F401
+    from cellweave.plans import artefacts, checks, climate, events, extremes, features, fine, ingest, legacy, simulation, verification  # noqa: F401

@@ -75,27 +75,58 @@ def doy_cdf(t):
     return simulation.doy_cdf(history(t)[0]).select("doy", F.round("p", 8).alias("p"), F.round("cdf", 8).alias("cdf"))
 
 
-@query(*BASE, COUNTS, sql="SELECT sim_year, n FROM counts")
+@query(*BASE, COUNTS, sql="SELECT sim_year, n FROM counts", small=True)
 def sim_counts(t):
     catalog = history(t)[0]
     return simulation.yearly_counts(t.spark, catalog.agg(F.count(F.lit(1)) / F.count_distinct(F.year("start_date"))).scalar(), SIM_YEARS)
 
 
-@query(*BASE, SIGMA, DOY, COUNTS, SIM, sql="SELECT sim_year, event_idx, draw_doy, template_id, round(scale, 6) AS scale, drow, dcol, grown FROM sim")
+@query(*BASE, SIGMA, DOY, COUNTS, SIM, sql="SELECT sim_year, event_idx, draw_doy, template_id, round(scale, 6) AS scale, drow, dcol, grown FROM sim", small=True)
 def sim_events(t):
     return simulation.simulate(history(t)[0], SIM_YEARS).withColumn("scale", F.round("scale", 6))
 
 
-@query(*BASE, SIGMA, DOY, COUNTS, SIM, CELLS, sql="SELECT sim_year, cell_row, cell_col, round(mm, 4) AS mm FROM sann")
+@query(*BASE, SIGMA, DOY, COUNTS, SIM, CELLS, sql="SELECT sim_year, cell_row, cell_col, round(mm, 4) AS mm FROM sann", small=True)
 def sim_annual_max(t):
     return annual_max(t).withColumn("mm", F.round("mm", 4))
 
 
-@query(*BASE, SIGMA, DOY, COUNTS, SIM, CELLS, "k AS (SELECT * FROM (VALUES " + ", ".join(f"({p}, {max(1, YEARS // p)})" for p in PERIODS) + ") AS x(rp, k))", "rk AS (SELECT cell_row, cell_col, mm, row_number() OVER (PARTITION BY cell_row, cell_col ORDER BY mm DESC) AS k FROM sann)", sql="SELECT rp, c.cell_row, c.cell_col, round(coalesce(mm, 0), 4) AS mm FROM (SELECT DISTINCT cell_row, cell_col FROM sann) c CROSS JOIN k LEFT JOIN rk ON rk.cell_row = c.cell_row AND rk.cell_col = c.cell_col AND rk.k = k.k")
+@query(*BASE, SIGMA, DOY, COUNTS, SIM, CELLS, "k AS (SELECT * FROM (VALUES " + ", ".join(f"({p}, {max(1, YEARS // p)})" for p in PERIODS) + ") AS x(rp, k))", "rk AS (SELECT cell_row, cell_col, mm, row_number() OVER (PARTITION BY cell_row, cell_col ORDER BY mm DESC) AS k FROM sann)", sql="SELECT rp, c.cell_row, c.cell_col, round(coalesce(mm, 0), 4) AS mm FROM (SELECT DISTINCT cell_row, cell_col FROM sann) c CROSS JOIN k LEFT JOIN rk ON rk.cell_row = c.cell_row AND rk.cell_col = c.cell_col AND rk.k = k.k", small=True)
 def empirical_rp(t):
     return levels(t).withColumn("mm", F.round("mm", 4))
 
 
-@query(*BASE, SIGMA, DOY, COUNTS, SIM, CELLS, "per AS (SELECT y.sim_year, coalesce(max(peak), 0) AS peak, coalesce(sum(n), 0) AS n_cells, count(event_idx) AS n_events FROM yrs y LEFT JOIN (SELECT sim_year, event_idx, max(mm) AS peak, count(*) FILTER (WHERE mm >= 25.4) AS n FROM scells GROUP BY ALL) e ON e.sim_year = y.sim_year GROUP BY y.sim_year)", "a AS (SELECT peak, row_number() OVER (ORDER BY peak DESC) AS k FROM per), b AS (SELECT n_cells, row_number() OVER (ORDER BY n_cells DESC) AS k FROM per), c AS (SELECT n_events, row_number() OVER (ORDER BY n_events DESC) AS k FROM per)", sql="SELECT rp, round(peak, 4) AS peak, CAST(n_cells AS BIGINT) AS n_cells, n_events FROM (VALUES " + ", ".join(f"({p}, {max(1, YEARS // p)})" for p in PERIODS) + ") AS x(rp, k) JOIN a USING (k) JOIN b USING (k) JOIN c USING (k)")
+@query(*BASE, SIGMA, DOY, COUNTS, SIM, CELLS, "per AS (SELECT y.sim_year, coalesce(max(peak), 0) AS peak, coalesce(arg_max(n, (peak, -event_idx)), 0) AS peak_cells, coalesce(sum(n), 0) AS n_cells, count(event_idx) AS n_events FROM yrs y LEFT JOIN (SELECT sim_year, event_idx, max(mm) AS peak, count(*) FILTER (WHERE mm >= 25.4) AS n FROM scells GROUP BY ALL) e ON e.sim_year = y.sim_year GROUP BY y.sim_year)", "a AS (SELECT peak, row_number() OVER (ORDER BY peak DESC) AS k FROM per), e AS (SELECT peak_cells, row_number() OVER (ORDER BY peak_cells DESC) AS k FROM per), b AS (SELECT n_cells, row_number() OVER (ORDER BY n_cells DESC) AS k FROM per), c AS (SELECT n_events, row_number() OVER (ORDER BY n_events DESC) AS k FROM per)", sql="SELECT rp, round(peak, 4) AS peak, CAST(peak_cells AS BIGINT) AS peak_cells, CAST(n_cells AS BIGINT) AS n_cells, n_events FROM (VALUES " + ", ".join(f"({p}, {max(1, YEARS // p)})" for p in PERIODS) + ") AS x(rp, k) JOIN a USING (k) JOIN e USING (k) JOIN b USING (k) JOIN c USING (k)", small=True)
 def pet_tables(t):
-    return exceedance(t).select("rp", F.round("peak", 4).alias("peak"), "n_cells", "n_events")
+    return exceedance(t).select("rp", F.round("peak", 4).alias("peak"), "peak_cells", "n_cells", "n_events")
+
+
+def map_simulation(t, years):
+    """The second, older simulation for maps: templates stay in place, deviation 0.15."""
+    catalog, cells = history(t)
+    events_ = simulation.simulate(catalog, years, fixed_sigma=0.15, shift_cells=0.0, grow=0.0)
+    return keep(simulation.simulated_cells(events_, cells, ROWS, COLS).groupBy("sim_year", *climate.CELL).agg(F.max("mm").alias("mm")), "map-annual")
+
+
+OLD = SIM.replace("exp(least(greatest(pct * 0.15e0 + 0.10e0, 0.10e0), greatest(0.25e0, (SELECT sigma FROM sig)))", "exp(0.15e0").replace("* 3, 0)", "* 0, 0)").replace(" < 0.25 AS grown", " < 0 AS grown")
+
+
+@query(*BASE, SIGMA, DOY, COUNTS, OLD, CELLS, sql=f"SELECT t AS threshold_mm, cell_row, cell_col, round(count(*) FILTER (WHERE mm >= t) / {YEARS}, 6) AS p FROM sann, (SELECT unnest([25.4e0, 50.8e0, 101.6e0]) AS t) GROUP BY ALL", small=True)
+def map_occurrence(t):
+    """Share of simulated years at or over each threshold, by cell, in the second simulation."""
+    return map_occurrence_of(t, SIM_YEARS)
+
+
+def map_occurrence_of(t, years):
+    rows = map_simulation(t, years).withColumn("threshold_mm", F.explode(F.array(*map(F.lit, (25.4, 50.8, 101.6)))))
+    return rows.groupBy("threshold_mm", *climate.CELL).agg(F.round(F.count_if(F.col("mm") >= F.col("threshold_mm")) / years, 6).alias("p"))
+
+
+@query(*BASE, SIGMA, DOY, COUNTS, OLD, CELLS, "k AS (SELECT * FROM (VALUES " + ", ".join(f"({p}, {max(1, YEARS // p) + 1})" for p in (5, 10, 20)) + ") AS x(rp, k))", "rk AS (SELECT cell_row, cell_col, mm, row_number() OVER (PARTITION BY cell_row, cell_col ORDER BY mm DESC) AS k FROM sann)", sql="SELECT rp, cell_row, cell_col, round(mm, 4) AS mm FROM rk JOIN k USING (k) WHERE mm >= 25.4", small=True)
+def map_levels(t):
+    """Levels of the second simulation by ranks from 0; under 25.4 mm no value."""
+    return map_levels_of(t, SIM_YEARS)
+
+
+def map_levels_of(t, years, periods=(5, 10, 20)):
+    return simulation.empirical_levels(map_simulation(t, years), years, periods, extra=1).where("mm >= 25.4").withColumn("mm", F.round("mm", 4))

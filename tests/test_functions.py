@@ -148,9 +148,19 @@ def test_radial_ring(spark):
 
 def test_persistence_keeps_bursts(spark):
     annuli = spark.createDataFrame([(0, c, 0, 0) for c in range(6)], "cell_row int, cell_col int, site_idx long, bin int")
-    rows = [(D(2013, 5, d), 0, c, 20.0) for d in range(1, 12) for c in (0, 1)] + [(D(2013, 5, 12), 0, 0, 20.0), (D(2013, 5, 12), 0, 1, 80.0)]
+    rows = [(D(2013, 5, d), 0, c, 30.0) for d in range(1, 12) for c in (0, 1)] + [(D(2013, 5, 12), 0, 0, 30.0), (D(2013, 5, 12), 0, 1, 80.0)]
     out = artefacts.persistence(cells(spark, rows), annuli).where("day = date'2013-05-12'")
     assert {r.cell_col: r.mm for r in out.collect()} == {0: 0.0, 1: 80.0}
+    weak = cells(spark, [(d, r, c, 20.0) for d, r, c, _ in rows])  # under 25.4 mm a cell isn't active here
+    assert weak.exceptAll(artefacts.persistence(weak, annuli)).isEmpty()
+
+
+def test_an_annulus_with_few_active_cells_is_left_alone(spark):
+    annuli = spark.createDataFrame([(0, c, 0, 0) for c in range(9)], "cell_row int, cell_col int, site_idx long, bin int")
+    few = cells(spark, [(D(2013, 5, 1), 0, c, 60.0) for c in range(7)])
+    assert few.exceptAll(artefacts.above_median(few, annuli, ["site_idx", "bin"], 8, 2.5)).isEmpty()
+    enough = cells(spark, [(D(2013, 5, 1), 0, c, 60.0 if c == 8 else 10.0) for c in range(9)])
+    assert {r.cell_col for r in artefacts.above_median(enough, annuli, ["site_idx", "bin"], 8, 2.5).where("mm = 0").collect()} == {8}
 
 
 def test_mann_kendall_of_a_rising_series(spark):
