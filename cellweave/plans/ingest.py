@@ -137,8 +137,9 @@ def characteristic_size(t):
 
 @query(OBS, f"clean AS (SELECT ts, cell_row, cell_col, {CLEAN} AS mm FROM obs)", sql="SELECT CAST(ts - INTERVAL 12 HOUR AS DATE) AS day, cell_row, cell_col, max(mm) AS mm FROM clean GROUP BY ALL")
 def stream_daily_max(t):
-    """The daily maxima through a stream that reads what is there and stops."""
+    """The daily maxima through a stream that reads what is there and stops; changed keys go to files, batch by batch."""
     import posixpath
+    import uuid
 
     from cellweave.sources.shared import keep as kept
     from cellweave.streaming import daily
@@ -146,8 +147,9 @@ def stream_daily_max(t):
     source = kept(t.obs().select("ts", *climate.CELL, "mm"), "stream-source")
     path = posixpath.dirname(source.inputFiles()[0])
     stream = daily.daily_max_stream(t.spark.readStream.schema(source.schema).parquet(path))
-    folder = t.spark.conf.get("spark.checkpoint.dir")
-    return t.spark.table(daily.run_to_table(stream, folder))
+    folder = f"{t.spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    daily.upsert_batches(stream, f"{folder}/state", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+    return daily.read_upserts(t.spark, f"{folder}/out", ["day", *climate.CELL])
 
 
 @query()

@@ -41,3 +41,106 @@ def run_manifest(spark: SparkSession, metrics: dict) -> DataFrame:
     """One row: metrics as a map and as JSON."""
     pairs = F.create_map(*(F.lit(str(x)) for kv in sorted(metrics.items()) for x in kv))
     return spark.range(1).select(pairs.alias("metrics")).withColumn("json", F.to_json("metrics"))
+
+
+def write_tagged(cells: DataFrame, path: str, tags: dict) -> None:
+    """A new table of daily cells with its tags beside it; both appear complete or not at all."""
+    write_cell_days(cells, f"{path}/cells")
+    run_manifest(cells.sparkSession, tags).select("metrics", "json").write.parquet(f"{path}/tags")
+
+
+def read_tags(spark: SparkSession, path: str) -> dict:
+    """Tags of a tagged table; a table without tags has none."""
+    row = spark.read.parquet(f"{path}/tags").select(F.from_json("json", "map<string,string>").alias("m")).first()
+    return dict(row["m"]) if row else {}
+
+
+def peaks(cells: DataFrame, tags: DataFrame) -> DataFrame:
+    """(day, peak_mm): the day's stored peak where its tags (day, max_mm) have one, else the cells' maximum."""
+    found = cells.groupBy("day").agg(F.max("mm").alias("_max"))
+    rows = found.join(tags.select("day", "max_mm"), "day", "full")
+    return rows.select("day", F.coalesce("max_mm", "_max", F.lit(0.0)).alias("peak_mm"))
+
+
+def largest(spark: SparkSession, path: str, column: str):
+    """Largest value of one column, the only one read; where Spark may, from row-group statistics alone."""
+    return spark.read.parquet(path).agg(F.max(column)).first()[0]
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    done = [f.getPath() for f in store.listStatus(folder) if store.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName()[1:]) for p in done if p.getName()[:1] == "v")
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest complete version of a manifest, CSV with a header, by date; empty where there is none."""
+    versions = _versions(spark, path)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("header", True).csv(f"{path}/v{versions[-1]}")
+
+
+def upsert_manifest(spark: SparkSession, path: str, rows: DataFrame) -> int:
+    """Merge rows by ``date`` into a stored manifest, the new ones winning, and write it sorted as the next version.
+
+    The version's folder is claimed by creating a file in it that must not exist, so of two writers one fails instead of
+    losing the other's rows; readers see a version when it is complete.
+    """
+    from pyspark.sql import Window
+
+    schema = rows.schema.simpleString()[7:-1].replace(":", " ")
+    version = (_versions(spark, path) or [0])[-1] + 1
+    claim = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/claim-v{version}")
+    claim.getFileSystem(spark._jsc.hadoopConfiguration()).create(claim, False).close()
+    old = read_manifest(spark, path, schema).withColumn("_new", F.lit(0))
+    both = old.unionByName(rows.withColumn("_new", F.lit(1)))
+    first = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("_new"), *(F.desc(c) for c in rows.columns)))
+    both.withColumn("_n", first).where("_n = 1").drop("_n", "_new").orderBy("date").coalesce(1).write.option("header", True).csv(f"{path}/v{version}")
+    return version
+
+
+def append_events(events: DataFrame, path: str, first_year: int, last_year: int, most_rows: int = 100_000) -> None:
+    """Add simulated events of a span of years to a table, in files of at most ``most_rows``. A span is a partition that is
+    overwritten, so a repeated run writes the same table."""
+    rows = events.where(F.col("sim_year").between(first_year, last_year)).withColumn("span", F.lit(f"{first_year:07d}-{last_year:07d}"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", most_rows).partitionBy("span").parquet(path)
+
+
+def write_sorted(rows: DataFrame, path: str, *order: str) -> None:
+    """Files in global order of the columns."""
+    rows.orderBy(*order).write.parquet(path)
+
+
+def write_single(rows: DataFrame, path: str, form: str = "csv") -> None:
+    """One CSV file with a header, or one JSON-lines file, of a small table such as a summary."""
+    writer = rows.coalesce(1).write
+    (writer.option("header", True).csv if form == "csv" else writer.json)(path)
+
+
+def write_event_table(catalog: DataFrame, cells: DataFrame, path: str) -> None:
+    """Events and their cells as two tables, the cells in event order within files."""
+    catalog.write.parquet(f"{path}/events")
+    cells.repartition("event_id").sortWithinPartitions("event_id", "cell_row", "cell_col").write.parquet(f"{path}/event_cells")
+
+
+def read_event_table(spark: SparkSession, path: str) -> DataFrame:
+    """Each event's row with its cells as an array, in event order of the catalogue."""
+    cells = spark.read.parquet(f"{path}/event_cells").groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("cell_row", "cell_col", "mm"))).alias("cells"))
+    return spark.read.parquet(f"{path}/events").join(cells, "event_id", "left")
+
+
+def write_sites(sites: DataFrame, path: str) -> None:
+    sites.select("site_id", "lat", "lon").orderBy("site_id").coalesce(1).write.option("header", True).csv(path)
+
+
+def read_sites(spark: SparkSession, path: str) -> DataFrame:
+    """(site_idx, site_id, site_lat, site_lon): indices from 0 in order of the id."""
+    from pyspark.sql import Window
+
+    rows = spark.read.schema("site_id string, lat double, lon double").option("header", True).csv(path)
+    return rows.select((F.row_number().over(Window.orderBy("site_id")) - 1).alias("site_idx"), "site_id", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"))
