@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import clock
 from cellweave.functions.grid import MAX_MM
-from cellweave.functions.quality import climate_isotherms
+from cellweave.functions.quality import climate_isotherms, day_status
 
 
 def window_coverage(times: DataFrame, group: list[str], edge_s: int = 1800, gap_s: int = 3600, least: int = 6) -> DataFrame:
@@ -25,7 +25,7 @@ def window_coverage(times: DataFrame, group: list[str], edge_s: int = 1800, gap_
 
 def manifest(obs: DataFrame) -> DataFrame:
     """A row per source and day: files (distinct minutes), read errors, active cells, peak."""
-    from cellweave.functions.quality import climate_isotherms, day_status, is_bad, sanitize
+    from cellweave.functions.quality import climate_isotherms, day_status, day_status, is_bad, sanitize
 
     rows = obs.withColumn("day", clock.convective_day(F.col("ts"))).withColumn("bad", is_bad(F.col("mm"))).withColumn("v", sanitize(F.col("mm")))
     out = rows.groupBy("source", "day").agg(F.count(F.lit(1)).alias("source_files"), F.count_if("bad").alias("read_errors"), F.count_distinct(F.when(F.col("v") >= 29, F.col("cell_row") * 1000 + F.col("cell_col"))).alias("active_cells"), F.max("v").alias("max_mm"))
@@ -164,3 +164,17 @@ def format_counts(files: DataFrame, group: str, name: str, suffix: str) -> DataF
     """(group, compressed, plain): files by suffix, in any case; a compressed one is not a plain one."""
     lower = F.lower(name)
     return files.groupBy(group).agg(F.count_if(lower.endswith(suffix + ".gz")).alias("compressed"), F.count_if(lower.endswith(suffix)).alias("plain"))
+
+
+def split_lines(lines: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Lines (line, ...) cut at white space into text columns; missing ones are null."""
+    words = F.split(F.trim("line"), r"\s+")
+    return lines.select("*", *(F.try_element_at(words, F.lit(i + 1)).alias(n) for i, n in enumerate(names)))
+
+
+def rebuild_manifest(cells: DataFrame, listed: DataFrame) -> DataFrame:
+    """(day, files, active, max_mm, status) from daily cells and a listing (day, files); days of either are there."""
+    found = cells.groupBy("day").agg(F.count(F.lit(1)).alias("active"), F.round(F.max("mm"), 1).alias("max_mm"))
+    rows = found.join(listed, "day", "full").fillna(0, ["files", "active"]).fillna(0.0, ["max_mm"])
+    status = day_status(F.col("files"), F.col("active"), F.lit(0))
+    return rows.select("day", "files", "active", "max_mm", status.alias("status"))

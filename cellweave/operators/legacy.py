@@ -9,8 +9,16 @@ from cellweave.operators.climate import CELL
 from cellweave.operators.verification import correlation
 
 
-def month_climatology(rows: DataFrame, chunk: str, month: str, value: str) -> DataFrame:
-    """Per month the mean over chunks of each chunk's mean, so a long chunk doesn't outweigh a short one."""
+def month_climatology(rows: DataFrame, chunk: str, month: str, value: str, needed: tuple[int, ...] = ()) -> DataFrame:
+    """Per month the mean over chunks of each chunk's mean, so a long chunk doesn't outweigh a short one.
+
+    ``needed`` months that no chunk has are an error when the result is computed.
+    """
+    if needed:
+        has = rows.select(F.collect_set(F.col(month).cast("int")).alias("has"))
+        missing = F.array_except(F.array(*map(F.lit, needed)), "has")
+        checked = has.select(F.when(F.size(missing) > 0, F.raise_error(F.concat(F.lit("missing months: "), F.array_join(missing.cast("array<string>"), ", ")))).cast("int").alias("_fault"))
+        rows = rows.crossJoin(checked).where("_fault is null").drop("_fault")
     return rows.groupBy(chunk, month).agg(F.avg(value).alias("_chunk_mean")).groupBy(month).agg(F.avg("_chunk_mean").alias("mean"), F.count(F.lit(1)).alias("n_chunks"))
 
 

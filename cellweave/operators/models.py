@@ -81,3 +81,19 @@ def bootstrap(parameters: DataFrame, rp: int = 100, replicates: int = 250, cells
     ends = medians.agg(*(F.percentile("m", F.lit(q)).alias(c) for c, q in (("low", 0.025), ("high", 0.975))))
     out = ends.crossJoin(point).withColumn("width", (F.col("high") - F.col("low")) / F.greatest("mid", F.lit(1.0)))
     return out.select("low", "mid", "high", "width", F.when(F.col("width") > 0.5, "warn").otherwise("pass").alias("status"))
+
+
+def model_probabilities(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` with ``p``, the probability of label 1 by the pipeline model stored at ``path`` (its own stages make the
+    features); null for all rows where there is no model, or one that doesn't fit the rows, so that the closed-form
+    filter is used. Only this library's own model format is read, never a pickle."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    try:
+        scored = PipelineModel.load(path).transform(rows)
+        return scored.select(*rows.columns, vector_to_array("probability")[1].alias("p"))
+    except (Py4JJavaError, PySparkException):
+        return rows.withColumn("p", F.lit(None).cast("double"))
