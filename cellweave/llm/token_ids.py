@@ -22,6 +22,7 @@ import sys
 import uuid
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -144,7 +145,7 @@ class _Pieces(dict):
     When the young one is full it becomes the old one, so frequent pieces stay and memory is bounded.
     """
 
-    FULL = 100_000
+    FULL = 50_000
 
     def __init__(self, make):
         super().__init__()
@@ -164,7 +165,7 @@ class _Units:
     a unit. Emptied at ``MOST`` units or ``BYTES`` of text, so a worker's memory is bounded.
     """
 
-    MOST, BYTES = 800_000, 24 << 20
+    MOST, BYTES = 1_000_000, 24 << 20
 
     def __init__(self, dtype: str):
         self.dtype = dtype
@@ -208,16 +209,16 @@ class _Units:
     def _room(array: np.ndarray, n: int) -> np.ndarray:
         return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
 
-    def add(self, hashes: np.ndarray, texts: list[bytes], ids: list[bytes]) -> None:
+    def add(self, hashes: np.ndarray, texts: list[bytes], ids: list[list[int]]) -> None:
         """New units; hashes are distinct and none is held."""
-        m, flat = len(ids), np.frombuffer(b"".join(ids), self.dtype)
+        m, sizes = len(ids), np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum()))
         if 2 * (self.n + m) > len(self.keys):
             held = np.flatnonzero(self.keys)
             keys, units = self.keys[held], self.slots[held]
             size = 1 << (2 * (self.n + m)).bit_length()
             self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int32)
             self._place(keys, units)
-        sizes = np.array([len(x) for x in ids], np.int32) // np.dtype(self.dtype).itemsize
         self.start, self.size, self.pool = self._room(self.start, self.n + m), self._room(self.size, self.n + m), self._room(self.pool, self.used + len(flat))
         self.pool[self.used : self.used + len(flat)] = flat
         self.size[self.n : self.n + m] = sizes
@@ -260,9 +261,8 @@ class WordwiseEncoder:
 
     Byte-level BPE merges only inside a pre-token, and a pre-token never crosses a space that follows no white space. So
     texts are cut before such spaces into units, found by hash and compared byte by byte with the unit held; a new unit
-    is cut by the tokenizer's pattern and its new pieces are encoded by the tokenizer. A text where white space stands
-    before a space, or with a unit whose hash another unit has, goes through the pattern as a whole, one that holds an
-    added token through the tokenizer.
+    is encoded by the tokenizer. A text where white space stands before a space, or with a unit whose hash another unit
+    has, is cut by the tokenizer's pattern and its pieces are encoded, one that holds an added token is encoded as a whole.
     """
 
     #: Fixed value: the pre-token pattern of this vocabulary.
@@ -327,7 +327,8 @@ class WordwiseEncoder:
         if len(missing):
             new, first = np.unique(hashes[missing], return_index=True)
             texts = [raw[a:b] for a, b in zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), strict=True)]
-            self.units.add(new, texts, [self.by_pattern(x.decode()) for x in texts])
+            encode = self.tokenizer.encode
+            self.units.add(new, texts, [encode(x.decode(), add_special_tokens=False).ids for x in texts])
             units[missing] = self.units.find(hashes[missing])
         odd.append(np.searchsorted(offsets, starts[self.units.others(units, data, starts, ends)], "right") - 1)
         ids, sizes = self.units.ids(units)

@@ -279,7 +279,7 @@ def test_units_keep_their_ids_as_the_table_grows():
     for _ in range(6):
         keys = np.setdiff1d(rng.integers(1, 1 << 62, 60_000, dtype=np.uint64), np.array(list(want), np.uint64))
         lists = [rng.integers(0, 60_000, k).astype("<u2") for k in rng.integers(0, 5, len(keys))]
-        units.add(keys, [str(k).encode() for k in keys.tolist()], [x.tobytes() for x in lists])
+        units.add(keys, [str(k).encode() for k in keys.tolist()], [x.tolist() for x in lists])
         want.update(zip(keys.tolist(), lists, strict=True))
     asked = rng.choice(np.array(list(want), np.uint64), 5000)
     found = units.find(asked)
