@@ -29,7 +29,9 @@ from .words import Rolling, mix
 GRAM = 16
 #: Bytes ranked at a time; a longer document is cut, windows overlapping.
 PORTION = 1 << 19
-LEAST = -(1 << 63)
+#: Names of documents without a doc_id: the least numbers, by a hash of the text, so that they don't share a task. In order
+#: they are equal to each other and before all others.
+LEAST, UNNAMED = -(1 << 63), 1 << 40
 _LOW48 = np.uint64((1 << 48) - 1)
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -129,6 +131,10 @@ def _gathered(table: pa.Table, unpack) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(p) for p in parts)
 
 
+def _order(doc: np.ndarray) -> np.ndarray:
+    return np.maximum(doc, LEAST + UNNAMED)
+
+
 def _settled(doc: np.ndarray, gram: np.ndarray, context: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Documents and keys of anchors whose context a smaller document has, and of one copy of each context that shares
     its gram with another context of another document."""
@@ -138,8 +144,9 @@ def _settled(doc: np.ndarray, gram: np.ndarray, context: np.ndarray) -> dict[str
     new_class = new_gram | np.concatenate([[True], context[1:] != context[:-1]])
     which_gram = np.cumsum(new_gram) - 1
     heads = np.flatnonzero(new_gram)
-    settled = doc[np.flatnonzero(new_class)][np.cumsum(new_class) - 1] < doc
-    mixed = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
+    place = _order(doc)
+    settled = place[np.flatnonzero(new_class)][np.cumsum(new_class) - 1] < place
+    mixed = np.minimum.reduceat(place, heads) != np.maximum.reduceat(place, heads)
     mixed &= np.add.reduceat(new_class.astype(np.int32), heads) > 1
     is_open = ~settled & mixed[which_gram]
     keys = lambda m: (doc[m], _key(doc[m], gram[m], context[m]))
@@ -188,7 +195,8 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
     string that also starts in a document of smaller doc_id; ``kept`` holds the remaining bytes if ``kept_bytes``.
 
     A null text is empty. Null doc_ids count as smaller than all others and equal to each other; rows with one doc_id
-    don't remove from each other. Documents shorter than ``length`` stay whole. Other columns are ignored; an empty
+    don't remove from each other and share a task, so no doc_id may be that of much of the corpus. The 2^40 least numbers
+    are no doc_ids. Documents shorter than ``length`` stay whole. Other columns are ignored; an empty
     table gives no rows.
     """
     if length <= GRAM:
@@ -238,7 +246,8 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
         order = np.lexsort((doc, ranks))
         doc, ranks = doc[order], ranks[order]
         new = np.concatenate([[True], ranks[1:] != ranks[:-1]])
-        again = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        place = _order(doc)
+        again = place > place[np.flatnonzero(new)][np.cumsum(new) - 1]
         return _by_team(teams, {"repeated": (doc[again], _key(doc[again], ranks[again]))})
 
     def remove(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -270,16 +279,16 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
         return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string()), "kept": pa.array(out[4], pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    named = rows.select(F.coalesce("doc_id", F.lit(LEAST)).alias("id"), "text")
+    name = F.coalesce("doc_id", F.lit(LEAST) + F.pmod(F.xxhash64("text"), F.lit(UNNAMED)))
+    named = rows.select(name.alias("id"), "text")
     ranked = named.mapInArrow(rank, "bucket int, docs binary, counts binary, r0 binary, r1 binary")
     info = ranked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settle, _TEAM)
 
     def assign(batches):
         for batch in batches:
-            ids = batch.column(0).fill_null(LEAST)
-            yield pa.RecordBatch.from_arrays([pa.array(_team(ids.to_numpy(), teams)), batch.column(0), ids, batch.column(1)], names=["team", "doc_id", "id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(_team(batch.column(1).to_numpy(), teams)), *batch.columns], names=["team", "doc_id", "id", "text"])
 
-    moved = rows.mapInArrow(assign, "team int, doc_id long, id long, text string").repartition(teams, "team")
+    moved = rows.select("doc_id", name.alias("id"), "text").mapInArrow(assign, "team int, doc_id long, id long, text string").repartition(teams, "team")
     info = stash(info, "ranks")
     windows = moved.groupBy("team").cogroup(info.groupBy("team")).applyInArrow(expand, "bucket int, docs binary, counts binary, r0 binary")
     again = windows.groupBy("bucket").applyInArrow(match, _TEAM)

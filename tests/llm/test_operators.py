@@ -133,6 +133,15 @@ def test_substrings(docs, rows, empty):
     assert repeated_substrings(empty).collect() == []
 
 
+def test_documents_without_an_id_are_equals(spark):
+    from cellweave.llm.substrings import repeated_substrings
+
+    shared = "".join(chr(97 + x) for x in np.random.default_rng(2).integers(0, 26, 120))
+    rows = [(None, f"{i} " * 30 + shared) for i in range(20)] + [(-(1 << 62), shared), (5, "q" * 9 + shared[:60])]
+    out = Counter((r.doc_id, r.n_removed) for r in repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == {(None, 0): 20, (-(1 << 62), 120): 1, (5, 60): 1}
+
+
 def test_substrings_of_a_document_longer_than_a_portion(spark, monkeypatch):
     from cellweave.llm import substrings as S
 
