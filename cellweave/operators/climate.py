@@ -60,4 +60,8 @@ def percentile_table(rows: DataFrame, group: list[str], value: str, percentiles)
 
 
 def ecdf(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    return rows.withColumn("ecdf", F.cume_dist().over(Window.partitionBy(*group).orderBy(value)))
+    """``rows`` with the share of their group at or below their value; ranks come from counts by value."""
+    from cellweave.operators.ranks import value_ranks
+
+    shares = value_ranks(rows, group, value).select(*group, value, ((F.col("before") + F.col("n")) / F.col("total")).alias("ecdf"))
+    return rows.join(shares, [*group, value]).select(*rows.columns, "ecdf")

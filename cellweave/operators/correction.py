@@ -23,9 +23,9 @@ def with_source(rows: DataFrame, label_days: DataFrame) -> DataFrame:
     return rows.join(known, "day", "left").withColumn("source", F.when(F.col("_known"), GRIDDED).otherwise(OTHER)).drop("_known")
 
 
-def calibrated(rows: DataFrame) -> DataFrame:
+def calibrated(rows: DataFrame, keep) -> DataFrame:
     """Rows (day, cell, source, mm) with mm recalibrated, or for ``GRIDDED`` moved to the other source's distribution."""
-    knots = quantile_knots(rows.where("mm > 0"), ["source"])
+    knots = keep(quantile_knots(rows.where("mm > 0"), ["source"]), "knots")
     mapped = quantile_map(rows, knots, GRIDDED, OTHER).withColumn("mm", F.col("mapped")).drop("mapped")
     return mapped.select(*rows.columns).unionByName(rows.where(F.col("source") == OTHER).withColumn("mm", recalibrate(F.col("mm"))))
 
@@ -37,7 +37,7 @@ def corrected(raw: DataFrame, label_days: DataFrame, annuli: DataFrame, flagged:
     the environment filter, and the quality cap. ``keep(df, name)`` cuts lineage between passes. Rows of a day meet in one
     aggregate; passes are joins on day and cell, or annulus.
     """
-    before = keep(calibrated(with_source(raw, label_days)), "calibrated")
+    before = keep(calibrated(with_source(raw, label_days), keep), "calibrated")
     frames = keep(before.where(F.col("source") == GRIDDED).select(*KEY, "mm"), "frames")
     now = frames
     for name, run in all_passes(annuli, flagged, rows, cols, frames):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import specfun
 from cellweave.operators.climate import CELL
+from cellweave.operators.ranks import quantiles, value_ranks
 
 
 def lognormal_fit(annual: DataFrame, least: int = 3) -> DataFrame:
@@ -15,12 +16,23 @@ def lognormal_fit(annual: DataFrame, least: int = 3) -> DataFrame:
     return annual.where("mm > 0").groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.avg(logs).alias("mu"), F.stddev_samp(logs).alias("sigma")).where(F.col("n") >= least)
 
 
-def l_moments(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Probability-weighted moments b0, b1, b2 and the L-moment ratios, from ranks within a group."""
-    w = Window.partitionBy(*group)
-    ranked = rows.withColumn("_j", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    j, n, v = F.col("_j"), F.col("_n"), F.col(value)
-    sums = ranked.where("_n >= 3").groupBy(*group).agg(F.max("_n").alias("n"), F.avg(v).alias("b0"), F.avg(v * j / (n - 1)).alias("b1"), F.avg(v * j * (j - 1) / ((n - 1) * (n - 2))).alias("b2"))
+def l_moments(rows: DataFrame, group: list[str], value: str, wide: bool = False) -> DataFrame:
+    """Probability-weighted moments b0, b1, b2 and the L-moment ratios, from ranks within a group.
+
+    ``wide`` groups, few and large, are ranked by counts of their values, so that no task holds one: the ranks a to
+    a + m - 1 of m equal values add up in closed form.
+    """
+    v = F.col(value)
+    if wide:
+        a, m, n = F.col("before"), F.col("n").cast("double"), F.col("total").cast("double")
+        end = a + m
+        first, second = m * a + m * (m - 1) / 2, (end * (end - 1) * (end - 2) - a * (a - 1) * (a - 2)) / 3
+        sums = value_ranks(rows, group, value).where("total >= 3").groupBy(*group).agg(F.max("total").alias("n"), (F.sum(v * m) / F.max(n)).alias("b0"), (F.sum(v * first / (n - 1)) / F.max(n)).alias("b1"), (F.sum(v * second / ((n - 1) * (n - 2))) / F.max(n)).alias("b2"))
+    else:
+        w = Window.partitionBy(*group)
+        ranked = rows.withColumn("_j", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+        j, n = F.col("_j"), F.col("_n")
+        sums = ranked.where("_n >= 3").groupBy(*group).agg(F.max("_n").alias("n"), F.avg(v).alias("b0"), F.avg(v * j / (n - 1)).alias("b1"), F.avg(v * j * (j - 1) / ((n - 1) * (n - 2))).alias("b2"))
     l1, l2, l3 = F.col("b0"), F.col("b1") * 2 - F.col("b0"), F.col("b2") * 6 - F.col("b1") * 6 + F.col("b0")
     return sums.select(*group, "n", l1.alias("l1"), l2.alias("l2"), (l2 / F.when(l1 != 0, l1)).alias("l_cv"), (l3 / F.when(l2 != 0, l2)).alias("l_skew"))
 
@@ -39,7 +51,7 @@ def regional_gpd(annual: DataFrame, region, u: float, least_region: int = 50, le
     """
     rows = annual.where("mm > 0").withColumn("region", region)
     over = rows.where(F.col("mm") > u).withColumn("x", F.col("mm") - u)
-    shape = gpd_from_l_moments(l_moments(over, ["region"], "x"))
+    shape = gpd_from_l_moments(l_moments(over, ["region"], "x", wide=True))
     regional = shape.select("region", F.when(F.col("n") >= least_region, F.least(F.greatest("xi", F.lit(-0.5)), F.lit(0.5))).otherwise(0.0).alias("xi"), F.col("l1").alias("mean_excess"))
     cells = rows.groupBy("region", *CELL).agg(F.count(F.lit(1)).alias("n_years_hail"), F.count_if(F.col("mm") > u).alias("n_exc"), F.avg(F.when(F.col("mm") > u, F.col("mm") - u)).alias("own_excess"))
     joined = cells.where(F.col("n_years_hail") >= least_years).join(F.broadcast(regional), "region", "left").withColumn("xi", F.coalesce("xi", F.lit(0.0)))
@@ -63,12 +75,14 @@ def return_levels(parameters: DataFrame, periods: tuple[int, ...]) -> DataFrame:
 
 
 def ks_distance(over: DataFrame, group: list[str]) -> DataFrame:
-    """Kolmogorov-Smirnov distance of excesses ``x`` from the group's generalized Pareto (xi, scale)."""
-    w = Window.partitionBy(*group)
+    """Kolmogorov-Smirnov distance of excesses ``x`` from the group's generalized Pareto (xi, scale), over distinct values
+    and their counts."""
+    fits = over.groupBy(*group).agg(F.max("xi").alias("xi"), F.max("scale").alias("scale"))
+    rows = value_ranks(over.select(*group, "x"), group, "x").join(F.broadcast(fits), group)  # a row a candidate
     x = F.col("x") / F.col("scale")
     cdf = F.when(F.abs("xi") < 1e-6, F.lit(1.0) - F.exp(-x)).otherwise(F.lit(1.0) - F.pow(F.greatest(F.lit(1.0) + F.col("xi") * x, F.lit(1e-12)), F.lit(-1.0) / F.col("xi")))
-    i, n = F.row_number().over(w.orderBy("x")), F.count(F.lit(1)).over(w)
-    return over.withColumn("_d", F.greatest(i / n - cdf, cdf - (i - 1) / n)).groupBy(*group).agg(F.max("_d").alias("ks"))
+    low, high = F.col("before") / F.col("total"), (F.col("before") + F.col("n")) / F.col("total")
+    return rows.withColumn("_d", F.greatest(high - cdf, cdf - low)).groupBy(*group).agg(F.max("_d").alias("ks"))
 
 
 def residual_life(fits: DataFrame) -> DataFrame:
@@ -90,10 +104,11 @@ def threshold_scan(values: DataFrame, percentiles: tuple[int, ...] = tuple(range
     candidate, has one row: ``default``.
     """
     values = values.where(F.col("mm") > 0)
-    points = values.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), F.percentile("mm", F.array(*(F.lit(p / 100) for p in percentiles))).alias("us"))
-    candidates = points.where(F.col("_n") >= least_values).select("region", F.explode(F.array_distinct("us")).alias("u"))
+    points = values.groupBy("region").agg(F.count(F.lit(1)).alias("_n"))
+    us = quantiles(values, ["region"], "mm", [p / 100 for p in percentiles]).select("region", F.col("q").alias("u")).distinct()
+    candidates = us.join(points.where(F.col("_n") >= least_values), "region").select("region", "u")
     over = values.join(F.broadcast(candidates), "region").where("mm > u").withColumn("x", F.col("mm") - F.col("u"))
-    fits = gpd_from_l_moments(l_moments(over, ["region", "u"], "x")).where(F.col("n") >= least).select("region", "u", "n", F.least(F.greatest("xi", F.lit(-0.5)), F.lit(0.5)).alias("xi"), "scale", "l1")
+    fits = gpd_from_l_moments(l_moments(over, ["region", "u"], "x", wide=True)).where(F.col("n") >= least).select("region", "u", "n", F.least(F.greatest("xi", F.lit(-0.5)), F.lit(0.5)).alias("xi"), "scale", "l1")
     ks = ks_distance(over.join(F.broadcast(fits), ["region", "u"]), ["region", "u"])
     rows = fits.join(ks, ["region", "u"]).join(residual_life(fits), ["region", "u"])
     rows = rows.withColumn("stability", F.abs(F.col("xi") - F.lag("xi").over(Window.partitionBy("region").orderBy("u")))).withColumn("penalty", F.lit(1.0) / F.sqrt("n"))

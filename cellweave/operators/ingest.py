@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellweave.functions import clock
 from cellweave.functions.grid import MAX_MM
 from cellweave.functions.quality import climate_isotherms, day_status
+from cellweave.operators.ranks import quantiles
 
 
 def window_coverage(times: DataFrame, group: list[str], edge_s: int = 1800, gap_s: int = 3600, least: int = 6) -> DataFrame:
@@ -76,9 +77,8 @@ def without_near_times(coarse: DataFrame, fine: DataFrame, seconds: int) -> Data
 
 
 def quantile_knots(rows: DataFrame, group: list[str], steps: int = 200) -> DataFrame:
-    """(group, k, q): exact quantiles at k / steps, linear interpolation."""
-    points = F.array(*(F.lit(k / steps) for k in range(steps + 1)))
-    return rows.groupBy(*group).agg(F.percentile("mm", points).alias("qs")).select(*group, F.posexplode("qs").alias("k", "q"))
+    """(group, k, q): exact quantiles of mm at k / steps, linear interpolation; no task holds a group."""
+    return quantiles(rows, group, "mm", [k / steps for k in range(steps + 1)])
 
 
 def interpolate(value: Column, xs: Column, ys: Column) -> Column:

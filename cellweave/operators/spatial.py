@@ -10,36 +10,40 @@ from pyspark.sql import functions as F
 from cellweave.functions import grid
 from cellweave.operators.climate import CELL
 
-#: Sites that may be held as one array; more need a tiled join.
+#: Sites that a task compares at a time.
 MOST_SITES = 20_000
 
 
 def nearest_site(cells: DataFrame, sites: DataFrame, lat: Column, lon: Column) -> DataFrame:
     """Adds site_idx and km of the nearest site, the least index on ties (distances rounded to 1e-6 km).
 
-    Sites, whose number is checked, go to the tasks as arrays and are compared in numpy blocks: a higher-order function
-    over them is interpreted and some twenty times slower, and no pair is ever a row.
+    Sites go to the tasks as arrays of ``MOST_SITES`` at most, compared in numpy blocks: a higher-order function over them
+    is interpreted and some twenty times slower, and no pair is ever a row. A site is 24 bytes on the driver.
     """
-    rows = sites.select("site_idx", "site_lat", "site_lon").orderBy("site_idx").limit(MOST_SITES + 1).collect()
-    if len(rows) > MOST_SITES:
-        raise ValueError(f"more than {MOST_SITES} sites")
+    rows = sites.select("site_idx", "site_lat", "site_lon").orderBy("site_idx").collect()
     if not rows:
         return cells.select(*cells.columns, F.lit(None).cast("long").alias("site_idx"), F.lit(None).cast("double").alias("km"))
-    index = np.array([r[0] for r in rows])
-    phi2, lam2 = (np.radians([float(r[i]) for r in rows]) for i in (1, 2))
 
-    @F.pandas_udf("struct<site_idx: long, km: double>")
-    def near(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
-        out = []
-        for a in range(0, len(lat), 256):
-            phi1, lam1 = (np.radians(x.to_numpy(float)[a : a + 256, None]) for x in (lat, lon))
-            h = np.sin((phi2 - phi1) / 2) ** 2 + np.cos(phi1) * np.cos(phi2) * np.sin((lam2 - lam1) / 2) ** 2
-            km = np.round(2 * grid.EARTH_KM * np.arcsin(np.sqrt(np.clip(h, 0, 1))), 6)
-            best = km.argmin(1)
-            out.append(pd.DataFrame({"site_idx": index[best], "km": km[np.arange(len(best)), best]}))
-        return pd.concat(out) if out else pd.DataFrame({"site_idx": np.zeros(0, int), "km": np.zeros(0)})
+    def nearest_of(part):
+        index = np.array([r[0] for r in part])
+        phi2, lam2 = (np.radians([float(r[i]) for r in part]) for i in (1, 2))
 
-    return cells.withColumn("_near", near(lat, lon)).select(*cells.columns, F.col("_near.site_idx").alias("site_idx"), F.col("_near.km").alias("km"))
+        @F.pandas_udf("struct<km: double, site_idx: long>")
+        def near(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
+            out = []
+            for a in range(0, len(lat), 256):
+                phi1, lam1 = (np.radians(x.to_numpy(float)[a : a + 256, None]) for x in (lat, lon))
+                h = np.sin((phi2 - phi1) / 2) ** 2 + np.cos(phi1) * np.cos(phi2) * np.sin((lam2 - lam1) / 2) ** 2
+                km = np.round(2 * grid.EARTH_KM * np.arcsin(np.sqrt(np.clip(h, 0, 1))), 6)
+                best = km.argmin(1)
+                out.append(pd.DataFrame({"km": km[np.arange(len(best)), best], "site_idx": index[best]}))
+            return pd.concat(out) if out else pd.DataFrame({"km": np.zeros(0), "site_idx": np.zeros(0, int)})
+
+        return near(lat, lon)
+
+    found = [nearest_of(rows[a : a + MOST_SITES]) for a in range(0, len(rows), MOST_SITES)]
+    best = F.least(*found) if len(found) > 1 else found[0]
+    return cells.withColumn("_near", best).select(*cells.columns, F.col("_near.site_idx").alias("site_idx"), F.col("_near.km").alias("km"))
 
 
 def _around(rows: DataFrame, steps: Column, *columns: str) -> DataFrame:
@@ -52,26 +56,60 @@ def _around(rows: DataFrame, steps: Column, *columns: str) -> DataFrame:
 def overlapping_days(cells: DataFrame, steps: DataFrame, buffer: int) -> DataFrame:
     """The days of ``steps`` (day, prev_day) of which a cell lies within ``buffer`` rows and columns of one of prev_day.
 
-    Both sides are tiled by the buffer, so a cell meets only the nine tiles around it.
+    Both sides are tiled by the buffer, so a cell meets only the nine tiles around it, and a semi-join stops at the first
+    near one.
     """
     tile = lambda c: F.floor(F.col(c) / buffer).cast("int")
     near = F.array(*map(F.lit, (-1, 0, 1)))
     now = cells.join(steps, "day").select("day", "prev_day", F.col("cell_row").alias("r1"), F.col("cell_col").alias("c1"), tile("cell_row").alias("tr"), tile("cell_col").alias("tc"))
     now = _around(now, near, "tr", "tc")
     before = cells.select(F.col("day").alias("prev_day"), F.col("cell_row").alias("r2"), F.col("cell_col").alias("c2"), tile("cell_row").alias("tr"), tile("cell_col").alias("tc"))
-    hits = now.join(before, ["prev_day", "tr", "tc"]).where((F.abs(F.col("r1") - F.col("r2")) <= buffer) & (F.abs(F.col("c1") - F.col("c2")) <= buffer))
-    return hits.select("day").distinct()
+    same = (now["prev_day"] == before["prev_day"]) & (now["tr"] == before["tr"]) & (now["tc"] == before["tc"])
+    near_cell = (F.abs(F.col("r1") - F.col("r2")) <= buffer) & (F.abs(F.col("c1") - F.col("c2")) <= buffer)
+    return now.join(before, same & near_cell, "left_semi").select("day").distinct()
+
+
+#: Half sizes from which windows are cut out of tiles instead of being a row a cell, and the side of a tile.
+WIDE, SIDE = 3, 64
 
 
 def window_median(targets: DataFrame, cells: DataFrame, half: int, rows: int, cols: int) -> DataFrame:
     """Adds the median over the (2 half + 1)^2 window around each target, absent cells 0, edges replicated."""
+    found = _tiled_medians if half >= WIDE else _listed_medians
+    return targets.join(found(targets, cells, half, rows, cols), ["day", *CELL])
+
+
+def _listed_medians(targets: DataFrame, cells: DataFrame, half: int, rows: int, cols: int) -> DataFrame:
+    """A row for each cell of a small window."""
     steps = F.sequence(F.lit(-half), F.lit(half))
     clamp = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1))
     around = targets.select("day", *CELL, F.explode(steps).alias("dr")).select("*", F.explode(steps).alias("dc"))
     around = around.select("day", *CELL, clamp(F.col("cell_row") + F.col("dr"), rows).alias("r"), clamp(F.col("cell_col") + F.col("dc"), cols).alias("c"))
     values = cells.select("day", F.col("cell_row").alias("r"), F.col("cell_col").alias("c"), F.col("mm").alias("v"))
-    medians = around.join(values, ["day", "r", "c"], "left").groupBy("day", *CELL).agg(F.median(F.coalesce("v", F.lit(0.0))).alias("med"))
-    return targets.join(medians, ["day", *CELL])
+    return around.join(values, ["day", "r", "c"], "left").groupBy("day", *CELL).agg(F.median(F.coalesce("v", F.lit(0.0))).alias("med"))
+
+
+def _tiled_medians(targets: DataFrame, cells: DataFrame, half: int, rows: int, cols: int) -> DataFrame:
+    """Large windows are cut from a dense tile with a rim of ``half`` cells: a cell moves once for each of the tiles, four
+    at most, that it can be in a window of, and a group is a tile of one day."""
+    side = max(SIDE, half)
+    spread = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-half, half) for c in (-half, half)))
+    tile = lambda c: F.floor(F.col(c) / side).cast("int")
+    near = cells.select("day", *CELL, "mm", F.lit(False).alias("asked"), F.explode(spread).alias("d"))
+    near = near.select("day", F.floor((F.col("cell_row") + F.col("d.r")) / side).cast("int").alias("_tr"), F.floor((F.col("cell_col") + F.col("d.c")) / side).cast("int").alias("_tc"), *CELL, "mm", "asked").distinct()
+    every = near.unionByName(targets.select("day", tile("cell_row").alias("_tr"), tile("cell_col").alias("_tc"), *CELL, F.lit(0.0).alias("mm"), F.lit(True).alias("asked")))
+
+    def cut(part: pd.DataFrame) -> pd.DataFrame:
+        asked = part[part["asked"]]
+        held = part[~part["asked"]]
+        row0, col0 = int(part["_tr"].iloc[0]) * side - half, int(part["_tc"].iloc[0]) * side - half
+        dense = np.zeros((side + 2 * half, side + 2 * half))
+        dense[held["cell_row"].to_numpy() - row0, held["cell_col"].to_numpy() - col0] = held["mm"].to_numpy()
+        step = np.arange(-half, half + 1)
+        medians = [np.median(dense[np.ix_(np.clip(r + step, 0, rows - 1) - row0, np.clip(c + step, 0, cols - 1) - col0)]) for r, c in zip(asked["cell_row"], asked["cell_col"], strict=True)]
+        return asked[["day", *CELL]].assign(med=np.array(medians, float))
+
+    return every.groupBy("day", "_tr", "_tc").applyInPandas(cut, "day date, cell_row int, cell_col int, med double")
 
 
 def pooled(stats: DataFrame, radius_km: float, decay_km: float, half: int, lat: Column, lon: Column, sums: list[str], plain: tuple[str, ...] = ()) -> DataFrame:

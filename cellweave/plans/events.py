@@ -130,7 +130,7 @@ def smooth_levels(t):
     stats = stats.withColumn("ny", climate.years_of(days).scalar().cast("double")).withColumn("n_nz", F.col("n"))
     sums = spatial.pooled(stats, RADIUS, DECAY, HALF, *center(), ["ny", "n", "s1", "s2"], ("n_nz", "n_over", "over", "x1", "x2"))
     excess = annual.where(over > 0).select(region().alias("region"), over.alias("x"))
-    shapes = extremes.gpd_from_l_moments(extremes.l_moments(excess, ["region"], "x")).select("region", F.when(F.col("n") >= 50, F.least(F.greatest("xi", F.lit(-0.5)), F.lit(0.5))).otherwise(0.0).alias("xi"))
+    shapes = extremes.gpd_from_l_moments(extremes.l_moments(excess, ["region"], "x", wide=True)).select("region", F.when(F.col("n") >= 50, F.least(F.greatest("xi", F.lit(-0.5)), F.lit(0.5))).otherwise(0.0).alias("xi"))
     return extremes.return_levels(extremes.pooled_parameters(sums, shapes, region(), U), PERIODS).select("rp", *climate.CELL, F.round("mm", 4).alias("mm"))
 
 

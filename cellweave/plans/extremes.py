@@ -8,6 +8,7 @@ from cellweave.functions import specfun
 from cellweave.operators import climate, extremes
 from cellweave.plans.climate import ANNUAL, YEARS, r6
 from cellweave.plans.registry import query
+from cellweave.sources.shared import keep
 from cellweave.sources.tables import CELL_DAY
 
 U = 50.8
@@ -72,7 +73,7 @@ def lmoment_ratios(t):
 @query(CELL_DAY, ANNUAL, f"over AS (SELECT cell_row % 6 AS region, mm - {U}e0 AS x FROM annual WHERE mm > {U}e0)", moments_sql("lm", "over", "region", "x"), sql=f"SELECT region, n, round({XI}, 6) AS xi, round({SCALE}, 6) AS scale FROM lm")
 def gpd_lmoment_fit(t):
     over = annual(t).where(F.col("mm") > U).select(region().alias("region"), (F.col("mm") - U).alias("x"))
-    return extremes.gpd_from_l_moments(extremes.l_moments(over, ["region"], "x")).select("region", "n", *r6("xi", "scale"))
+    return extremes.gpd_from_l_moments(extremes.l_moments(over, ["region"], "x", wide=True)).select("region", "n", *r6("xi", "scale"))
 
 
 @query(CELL_DAY, ANNUAL, TAIL, sql="SELECT region, cell_row, cell_col, n_exc, round(xi, 6) AS xi, round(scale, 6) AS scale FROM tail")
@@ -115,6 +116,6 @@ SCAN = f"""vals AS (SELECT cell_row % 6 AS region, mm FROM annual WHERE mm > 0),
 
 @query(CELL_DAY, ANNUAL, SCAN, sql="SELECT region, round(u, 4) AS u, n, round(xi, 4) AS xi, round(ks, 4) AS ks, round(mrl, 4) AS mrl, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY region ORDER BY score, u) = 1 AS INTEGER) AS selected FROM scored UNION ALL SELECT region, 50.8, count(*) FILTER (WHERE mm > 50.8), 0, NULL, NULL, NULL, 1 FROM vals WHERE region NOT IN (SELECT region FROM fits) GROUP BY region")
 def threshold_scan(t):
-    out = extremes.threshold_scan(annual(t).where("mm > 0").select(region().alias("region"), "mm"))
+    out = extremes.threshold_scan(keep(annual(t).where("mm > 0").select(region().alias("region"), "mm"), "values"))
     r4 = [F.round(c, 4).alias(c) for c in ("u", "xi", "ks", "mrl", "score")]
     return out.select("region", r4[0], "n", *r4[1:], "selected")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -249,3 +250,45 @@ def test_trailing_frames_resume(spark):
     resumed = daily.trailing_frames(every.where("day >= date'2024-01-18'"), state)
     assert sorted(r.day.day for r in resumed.collect()) == list(range(10, 31))
     assert resumed.exceptAll(daily.trailing_frames(every, None)).isEmpty()
+
+
+def test_tiled_medians_are_the_listed_ones(spark):
+    import random
+
+    from cellweave.operators import spatial
+
+    rng = random.Random(7)
+    rows = {(D(2013, 5, 1 + rng.randrange(2)), rng.randrange(90), rng.randrange(140)): float(rng.randrange(1, 90)) for _ in range(6000)}
+    table = cells(spark, [(*k, v) for k, v in rows.items()])
+    targets = table.where("mm > 60 or cell_row < 3 or cell_col > 137")
+    for half in (2, 4):
+        tiled = spatial._tiled_medians(targets, table, half, 90, 140)
+        listed = spatial._listed_medians(targets, table, half, 90, 140)
+        assert tiled.count() == targets.count() and tiled.exceptAll(listed).isEmpty()
+
+
+def test_nearest_of_more_sites_than_a_task_compares_at_once(spark, monkeypatch):
+    from cellweave.operators import spatial
+
+    sites = spark.range(25).selectExpr("id AS site_idx", "30 + id % 5 AS site_lat", "-100 + CAST(id / 5 AS int) AS site_lon")
+    points = spark.range(40).selectExpr("29.5 + id % 7 AS lat", "-100.5 + id % 6 AS lon")
+    one = spatial.nearest_site(points, sites, F.col("lat"), F.col("lon")).collect()
+    monkeypatch.setattr(spatial, "MOST_SITES", 4)
+    assert Counter(one) == Counter(spatial.nearest_site(points, sites, F.col("lat"), F.col("lon")).collect())
+
+
+def test_quantiles_and_ranks_of_large_groups(spark):
+    import numpy as np
+
+    from cellweave.operators import extremes, ranks
+
+    rng = np.random.default_rng(3)
+    data = {"a": np.round(rng.gamma(2, 20, 500), 1), "b": rng.random(7) * 300, "c": np.array([5.0])}
+    rows = spark.createDataFrame([(g, float(x)) for g, xs in data.items() for x in xs] + [("a", None)], "g string, x double")
+    ps = [0.0, 0.1, 0.5, 0.9, 0.99, 1.0]
+    for r in ranks.quantiles(rows, ["g"], "x", ps).collect():
+        assert abs(r.q - np.quantile(data[r.g], ps[r.k])) < 1e-9
+    some = rows.where("x is not null")
+    wide, plain = ({r.g: r for r in extremes.l_moments(some, ["g"], "x", wide=w).collect()} for w in (True, False))
+    assert set(wide) == set(plain) == {"a", "b"}
+    assert all(abs(wide[g][c] - plain[g][c]) < 1e-9 for g in wide for c in ("n", "l1", "l2", "l_cv", "l_skew"))
