@@ -142,16 +142,16 @@ def update_ledger(docs: DataFrame, path: str, rules: tuple = ALL_RULES) -> DataF
     A part is written once and appears when complete, so scans side by side only repeat work and a lost executor none.
     """
     spark = docs.sparkSession
-    part = f"{path}/part={uuid.uuid4().hex}"
-    scan_unseen(docs, open_ledger(spark, path), rules).write.option("compression", "zstd").parquet(part)
+    part, known = f"{path}/part={uuid.uuid4().hex}", open_ledger(spark, path)
+    scan_unseen(docs, None if known.isEmpty() else known, rules).write.option("compression", "zstd").parquet(part)
     return spark.read.schema(LEDGER).parquet(part)
 
 
-def findings(docs: DataFrame, ledger: DataFrame, rules: tuple = ALL_RULES) -> DataFrame:
-    """(row, spans): each row of ``docs``, whatever its columns, and the spans of its text. Only blobs with findings are
-    joined, so most rows meet no partner; a blob that several parts of the ledger hold counts once."""
+def findings(docs: DataFrame, ledger: DataFrame, rules: tuple = ALL_RULES, carry: list[str] | None = None) -> DataFrame:
+    """(row, spans): of each row of ``docs`` the columns ``carry``, else all, and the spans of its text. Only blobs with
+    findings are joined, so most rows meet no partner; a blob that several parts of the ledger hold counts once."""
     known = ledger.where((F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), blob_id(whole()).alias("blob"))
+    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), blob_id(whole()).alias("blob"))
     return rows.join(known, "blob", "left").select("row", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
@@ -163,7 +163,7 @@ def scan_history(versions: DataFrame, path: str, rules: tuple = ALL_RULES) -> Da
     """
     thin = versions.select("path", "version", "text")
     update_ledger(thin, path, rules)
-    rows = findings(thin, open_ledger(versions.sparkSession, path), rules)
+    rows = findings(thin, open_ledger(versions.sparkSession, path), rules, ["path", "version"])
     return rows.select("row.path", "row.version", F.size("spans").alias("n_spans"), listed(F.col("spans")).alias("spans"))
 
 
@@ -184,7 +184,7 @@ def secret_report(docs: DataFrame, path: str | None = None, rules: tuple = ALL_R
     base = [k for k, *_ in RULES]
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     only = F.filter("spans", lambda s: s["kind"].isin(base))
-    rows = findings(thin, open_ledger(docs.sparkSession, path), rules)
+    rows = findings(thin, open_ledger(docs.sparkSession, path), rules, ["doc_id"])
     return rows.select("row.doc_id", *(count(k).alias(f"n_{k}") for k in base), F.sha2(F.encode(listed(only), "UTF-8"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
