@@ -13,6 +13,7 @@ from cellweave.plans.events import ACTIVE, STEPS, active, center
 from cellweave.plans.extremes import CHAIN, U, levels_sql, parameters, region
 from cellweave.plans.ingest import PANEL, panel
 from cellweave.plans.registry import query
+from cellweave.sources.shared import keep
 from cellweave.sources.tables import CELL_DAY, OBS, REPORT, SITE
 
 
@@ -163,8 +164,8 @@ def yearly_trend(t):
 
 @query()
 def gpd_likelihood_fit(t):
-    """Maximum-likelihood tails by region; a region's annual excesses fit one task."""
+    """Maximum-likelihood tails by region."""
     over = climate.annual_max(t.cell_day()).where(F.col("mm") > U).select(region().alias("region"), (F.col("mm") - U).alias("x"))
-    return legacy.fit_gpd(over, "region")
+    return legacy.fit_gpd(keep(over, "excesses"), "region")
 
 
