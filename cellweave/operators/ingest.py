@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import clock
 from cellweave.functions.grid import MAX_MM
-from cellweave.functions.quality import climate_isotherms, day_status
+from cellweave.functions.quality import climate_isotherms, day_status, is_bad, sanitize
 from cellweave.operators.ranks import quantiles
 
 
@@ -25,9 +25,7 @@ def window_coverage(times: DataFrame, group: list[str], edge_s: int = 1800, gap_
 
 
 def manifest(obs: DataFrame) -> DataFrame:
-    """A row per source and day: files (distinct minutes), read errors, active cells, peak."""
-    from cellweave.functions.quality import climate_isotherms, day_status, day_status, is_bad, sanitize
-
+    """A row per source and day: files (an observation is one), read errors, active cells, peak."""
     rows = obs.withColumn("day", clock.convective_day(F.col("ts"))).withColumn("bad", is_bad(F.col("mm"))).withColumn("v", sanitize(F.col("mm")))
     out = rows.groupBy("source", "day").agg(F.count(F.lit(1)).alias("source_files"), F.count_if("bad").alias("read_errors"), F.count_distinct(F.when(F.col("v") >= 29, F.col("cell_row") * 1000 + F.col("cell_col"))).alias("active_cells"), F.max("v").alias("max_mm"))
     return out.withColumn("status", day_status(F.col("source_files"), F.col("active_cells"), F.col("read_errors")))

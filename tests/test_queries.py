@@ -40,7 +40,7 @@ def test_query_matches_sql(spark, con, name):
 
     got = normal(registry.QUERIES[name](spark, SF).toPandas())
     want = normal(con.sql(registry.SQL[name]).df())
-    pd.testing.assert_frame_equal(got, want, check_exact=False, atol=2e-4, rtol=1e-9)
+    pd.testing.assert_frame_equal(got, want, check_exact=False, atol=2e-6, rtol=1e-9)
 
 
 def test_entry(spark):

@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the supplie
 def same(got, want):
     import pandas as pd
 
-    pd.testing.assert_frame_equal(normal(got), normal(want), check_exact=False, atol=2e-4, rtol=1e-9)
+    pd.testing.assert_frame_equal(normal(got), normal(want), check_exact=False, atol=2e-6, rtol=1e-9)
 
 
 def test_every_supplier_may_be_the_nearest_site(spark, con):  # noqa: F811
