@@ -8,7 +8,6 @@ from cellweave.functions import clock, grid, quality
 from cellweave.operators import artefacts, climate, spatial
 from cellweave.plans.climate import CLEAN, r6
 from cellweave.plans.registry import query
-from cellweave.sources.shared import keep
 from cellweave.sources.tables import COLS, OBS, ROWS, SITE
 
 KM, SECTOR = 100.0, 90.0
