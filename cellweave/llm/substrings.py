@@ -32,6 +32,8 @@ PORTION = 1 << 19
 #: Names of documents without a doc_id: the least numbers, by a hash of the text, so that they don't share a task. In order
 #: they are equal to each other and before all others.
 LEAST, UNNAMED = -(1 << 63), 1 << 40
+#: What comes of a document, besides its doc_id.
+OUTCOME = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 _LOW48 = np.uint64((1 << 48) - 1)
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -190,6 +192,13 @@ def _windows(rolling: Rolling, lo: np.ndarray, hi: np.ndarray, length: int) -> t
     return which, start, rolling.slices(start, start + length)
 
 
+def outcome(data: np.ndarray, gone: np.ndarray, kept_bytes: bool) -> tuple:
+    """A document's ``OUTCOME``, given which of its bytes go."""
+    kept = data[~gone].tobytes()
+    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
+    return len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept if kept_bytes else None
+
+
 def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) after removing every byte under a ``length``-byte
     string that also starts in a document of smaller doc_id; ``kept`` holds the remaining bytes if ``kept_bytes``.
@@ -271,10 +280,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
                     np.add.at(cover, hit + length, -1)
                 gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    g = gone[a:b]
-                    kept = data[a:b][~g].tobytes()
-                    runs = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if b > a else 0
-                    for have, x in zip(out, (b - a, int(g.sum()), runs, hashlib.sha256(kept).hexdigest(), kept if kept_bytes else None), strict=True):
+                    for have, x in zip(out, outcome(data[a:b], gone[a:b], kept_bytes), strict=True):
                         have.append(x)
         return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "n_spans": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string()), "kept": pa.array(out[4], pa.binary())})
 

@@ -110,6 +110,7 @@ def test_long_media_are_resized_strip_by_strip(monkeypatch):
 
 
 def test_substrings(docs, rows, empty):
+    from cellweave.llm.doubling import doubled_substrings
     from cellweave.llm.substrings import repeated_substrings
 
     least = lambda d: -(1 << 63) if d is None else d
@@ -128,9 +129,32 @@ def test_substrings(docs, rows, empty):
                 gone[p : p + 50] = True
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         want.append((d, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    out = repeated_substrings(docs).collect()
-    assert Counter(want) == Counter(tuple(r)[:5] for r in out)
-    assert repeated_substrings(empty).collect() == []
+    for remove in (repeated_substrings, doubled_substrings):
+        assert Counter(want) == Counter(tuple(r)[:5] for r in remove(docs).collect())
+        assert remove(empty).collect() == []
+
+
+def test_ranks_follow_the_order_of_the_strings(spark, monkeypatch):
+    """Ranks of 16, 32 and 50 bytes: those of sorted strings that two documents hold; a piece ends inside a document."""
+    from cellweave.llm import doubling as D
+
+    monkeypatch.setattr(D, "PORTION", 64)
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("ab\xe9"), 7)) * int(rng.integers(5, 30)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, i // 2, texts[i % 9]) for i in range(12)], "key long, id long, text string")
+    seen, kept = [], D.reranked
+    monkeypatch.setattr(D, "reranked", lambda pairs: seen.append((pairs.toPandas(), (names := kept(pairs)).toPandas())) or names)
+    D.repeated_starts(docs, 50).collect()
+    assert len(seen) == 3
+    for size, (pairs, names) in zip((16, 32, 50), seen, strict=True):
+        holders = {}
+        for i in range(12):
+            b = texts[i % 9].encode()
+            for p in range(len(b) - size + 1 if len(b) >= 50 else 0):
+                holders.setdefault(b[p : p + size], set()).add(i // 2)
+        strings = {(r.a, r.b): texts[r.key % 9].encode()[r["at"] : r["at"] + size] for _, r in pairs.iterrows()}
+        got = [(strings[r.a, r.b], r.least) for r in names.sort_values("rank").itertuples()]
+        assert got == sorted((s, min(ids)) for s, ids in holders.items() if len(ids) > 1)
 
 
 def test_documents_without_an_id_are_equals(spark):
