@@ -1,17 +1,20 @@
-"""Repeated-substring removal by winnowed anchors and hashed windows, in place of prefix doubling; README has why.
-
-A suffix array of every byte sorts each position once a round. Here the positions that enter a round are first thinned
-so that no match is lost: of every ``length``-byte window the position of its least ``GRAM``-byte hash is an anchor,
-which depends on the window's bytes alone, so equal windows have equal anchors at equal places. The rounds then rank
-anchors at growing offsets, and go on only with those whose rank is not yet unique:
-
-1. by their GRAM bytes, and by their context, all bytes of the windows they stand for (up to 2 * length - GRAM);
-2. an anchor whose context also stands in a smaller document is settled, all its windows repeat; one whose GRAM bytes
-   stand nowhere else is settled too, none repeats;
-3. of the others, one copy of each context goes on, and its windows are ranked at full length.
-
-Ranks are 48-bit hashes within a bucket of the GRAM hash, and 64-bit hashes of windows; rounds are bucketed exchanges
-of packed arrays, so a position costs 12 bytes, not a row.
+"""Repeated-substring removal by prefix doubling over thinned positions.
+
+A suffix array of every byte sorts each position once a round (``doubling`` does that). Here the positions that enter a
+round are first thinned so that no match is lost: of every ``length``-byte window the position of its least ``GRAM``-byte
+hash is an anchor, which depends on the window's bytes alone, so equal windows have equal anchors at equal places.
+
+1. Anchors are ranked by their GRAM bytes, and by their context, all bytes of the windows they stand for (up to
+   2 * length - GRAM). An anchor whose context also stands in a smaller document is settled, all its windows repeat; one
+   whose GRAM bytes stand nowhere else is settled too, none repeats.
+2. Of the others, one copy of each context goes on with all its windows, which are ranked by prefix doubling: a round
+   sorts the pairs (rank at i, rank at i + step) of 16, then 32 bytes, and so on, the last step overlapping so that exactly
+   ``length`` bytes are ranked. Only positions whose pair another document shares enter the next round.
+
+A rank is a name, equal for equal strings, and not a place in an order: a hash of the pair, so any task can tell the rank
+of any position. Ranks have 48 bits within a bucket of the GRAM hash for anchors, 32 within a bucket in rounds before the
+last, where a collision costs a needless row and no error, and 64 in the last. Rounds are bucketed exchanges of packed
+arrays, sorted bucket by bucket, so a position costs 4 to 12 bytes, not a row.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ LEAST, UNNAMED = -(1 << 63), 1 << 40
 #: What comes of a document, besides its doc_id.
 OUTCOME = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 _LOW48 = np.uint64((1 << 48) - 1)
+_LOW32 = np.uint64((1 << 32) - 1)
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -156,7 +160,7 @@ def _settled(doc: np.ndarray, gram: np.ndarray, context: np.ndarray) -> dict[str
 
 
 def _by_team(teams: int, kinds: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    """A row (team, settled, open, repeated) for each team whose documents have keys of any kind."""
+    """A row (team, and keys by kind) for each team whose documents have keys of any kind."""
     rows: dict[int, dict[str, bytes]] = {}
     for kind, (doc, key) in kinds.items():
         team = _team(doc, teams)
@@ -164,14 +168,16 @@ def _by_team(teams: int, kinds: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.
         heads, firsts = np.unique(team[order], return_index=True)
         for t, a, b in zip(heads.tolist(), firsts.tolist(), [*firsts[1:].tolist(), *[len(order)] * bool(len(heads))], strict=True):
             rows.setdefault(t, {})[kind] = np.unique(key[order[a:b]]).tobytes()
-    return pa.table({"team": pa.array(list(rows), pa.int32()), **{k: pa.array([r.get(k, b"") for r in rows.values()], pa.binary()) for k in ("settled", "open", "repeated")}})
+    return pa.table({"team": pa.array(list(rows), pa.int32()), **{k: pa.array([r.get(k, b"") for r in rows.values()], pa.binary()) for k in KINDS}})
 
 
 def _team(doc: np.ndarray, teams: int) -> np.ndarray:
     return (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(teams)).astype(np.int32)
 
 
-_TEAM = "team int, settled binary, open binary, repeated binary"
+#: settled and open contexts, windows shared with another document by the round before the last, repeated windows
+KINDS = ("settled", "open", "shared", "repeated")
+_TEAM = "team int, " + ", ".join(f"{k} binary" for k in KINDS)
 
 
 def _known(info: pa.Table, kind: str) -> np.ndarray:
@@ -184,12 +190,28 @@ def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(at, len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
 
 
-def _windows(rolling: Rolling, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor's windows: the anchor's index, the start and the full-length rank."""
+def spans(length: int) -> list[int]:
+    """The bytes that each round ranks: doubled, and in the end ``length``."""
+    out = [GRAM]
+    while out[-1] < length:
+        out.append(min(2 * out[-1], length))
+    return out
+
+
+def _rank(rolling: Rolling, start: np.ndarray, ranked: list[int]) -> np.ndarray:
+    """Ranks of the ``ranked[-1]`` bytes from each start: pairs of ranks of the span before, the second at its end."""
+    if len(ranked) == 1:
+        return rolling.slices(start, start + ranked[0])
+    first = _rank(rolling, start, ranked[:-1])
+    second = _rank(rolling, start + (ranked[-1] - ranked[-2]), ranked[:-1])
+    return mix(mix(first + np.uint64(0x9E3779B97F4A7C15)) + second)
+
+
+def _windows(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each anchor's windows: the anchor's index and the start."""
     n = hi - lo + 1
     which = np.repeat(np.arange(len(n)), n)
-    start = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
-    return which, start, rolling.slices(start, start + length)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
 
 
 def outcome(data: np.ndarray, gone: np.ndarray, kept_bytes: bool) -> tuple:
@@ -213,6 +235,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
     spark = docs.sparkSession
     small_batches(spark)
     buckets = teams = parts_for(docs)
+    rounds = [spans(length)[:n] for n in range(2, len(spans(length)) + 1)]
 
     def rank(batches):
         for batch in batches:
@@ -233,31 +256,49 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
         found = [_settled(doc[m], gram[m], context[m]) for m in (part == i for i in range(8)) if m.any()]
         return _by_team(teams, {k: tuple(np.concatenate([f[k][i] for f in found]) for i in (0, 1)) for k in ("settled", "open")})
 
-    def expand(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, known = left.column("id").to_numpy(), _known(right, "open")
-        found: list[list] = [[], []]
-        for column_ids, column in _chunks(left, ids):
-            for a, data, offsets in _portions(column):
-                for _, piece, ends in _pieces(data, offsets, length):
-                    rolling, doc, at, lo, hi = _anchors(piece, ends, length)
-                    name = column_ids[a + doc]
-                    gram, context = _ranks(rolling, at, lo, hi, length)
-                    some = _among(_key(name, gram & _LOW48, context), known)
-                    which, _, ranks = _windows(rolling, lo[some], hi[some], length)
-                    found[0].append(name[some][which])
-                    found[1].append(ranks)
-        doc, ranks = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found)
-        batch = _dealt((ranks % np.uint64(buckets)).astype(np.int32), doc.astype(np.int64), [ranks], lambda v: v.tobytes())
-        return pa.Table.from_batches([batch])
-
-    def match(table: pa.Table) -> pa.Table:
-        doc, ranks = _gathered(table, lambda v: np.frombuffer(v, np.uint64))
-        order = np.lexsort((doc, ranks))
-        doc, ranks = doc[order], ranks[order]
-        new = np.concatenate([[True], ranks[1:] != ranks[:-1]])
-        place = _order(doc)
-        again = place > place[np.flatnonzero(new)][np.cumsum(new) - 1]
-        return _by_team(teams, {"repeated": (doc[again], _key(doc[again], ranks[again]))})
+    def expand(ranked: list[int]):
+        """Pack the ranks of the open windows, after the first round only of those that the round before found shared."""
+        last = ranked[-1] == length
+
+        def pack(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            ids, known, shared = left.column("id").to_numpy(), _known(right, "open"), _known(right, "shared")
+            found: list[list] = [[], []]
+            for column_ids, column in _chunks(left, ids):
+                for a, data, offsets in _portions(column):
+                    for _, piece, ends in _pieces(data, offsets, length):
+                        rolling, doc, at, lo, hi = _anchors(piece, ends, length)
+                        name = column_ids[a + doc]
+                        gram, context = _ranks(rolling, at, lo, hi, length)
+                        some = _among(_key(name, gram & _LOW48, context), known)
+                        which, start = _windows(lo[some], hi[some])
+                        name = name[some][which]
+                        if len(ranked) > 2:
+                            before = _among(_key(name, _rank(rolling, start, ranked[:-1]) & _LOW32), shared)
+                            name, start = name[before], start[before]
+                        found[0].append(name)
+                        found[1].append(_rank(rolling, start, ranked))
+            doc, ranks = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found)
+            bucket = (ranks if last else ranks >> np.uint64(32)) % np.uint64(buckets)
+            return pa.Table.from_batches([_dealt(bucket.astype(np.int32), doc.astype(np.int64), [ranks], lambda v: v.astype("<u8" if last else "<u4").tobytes())])
+
+        return pack
+
+    def match(last: bool):
+        """In the last round the windows that a smaller document has, before it those that any other document has."""
+
+        def sort(table: pa.Table) -> pa.Table:
+            doc, ranks = _gathered(table, lambda v: np.frombuffer(v, "<u8" if last else "<u4"))
+            order = np.lexsort((doc, ranks))
+            doc, ranks = doc[order], ranks[order].astype(np.uint64)
+            place = _order(doc)
+            heads = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
+            ends = np.append(heads[1:], len(ranks))
+            again = place > np.repeat(place[heads], ends - heads)
+            if not last:
+                again = np.repeat(np.logical_or.reduceat(again, heads), ends - heads)
+            return _by_team(teams, {"repeated" if last else "shared": (doc[again], _key(doc[again], ranks[again]))})
+
+        return sort
 
     def remove(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("id").to_numpy()
@@ -274,8 +315,8 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
                     whole_run, some = _among(keys, settled), _among(keys, is_open)
                     np.add.at(cover, shift + lo[whole_run], 1)
                     np.add.at(cover, shift + hi[whole_run] + length, -1)
-                    which, start, ranks = _windows(rolling, lo[some], hi[some], length)
-                    hit = shift + start[_among(_key(name[some][which], ranks), repeated)]
+                    which, start = _windows(lo[some], hi[some])
+                    hit = shift + start[_among(_key(name[some][which], _rank(rolling, start, rounds[-1])), repeated)]
                     np.add.at(cover, hit, 1)
                     np.add.at(cover, hit + length, -1)
                 gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
@@ -296,10 +337,11 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
 
     moved = rows.select("doc_id", name.alias("id"), "text").mapInArrow(assign, "team int, doc_id long, id long, text string").repartition(teams, "team")
     info = stash(info, "ranks")
-    windows = moved.groupBy("team").cogroup(info.groupBy("team")).applyInArrow(expand, "bucket int, docs binary, counts binary, r0 binary")
-    again = windows.groupBy("bucket").applyInArrow(match, _TEAM)
-    every = info.unionByName(again)
-    return moved.groupBy("team").cogroup(every.groupBy("team")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = info
+    for upto in rounds:
+        windows = moved.groupBy("team").cogroup(found.groupBy("team")).applyInArrow(expand(upto), "bucket int, docs binary, counts binary, r0 binary")
+        found = info.unionByName(windows.groupBy("bucket").applyInArrow(match(upto is rounds[-1]), _TEAM))
+    return moved.groupBy("team").cogroup(found.groupBy("team")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def _chunks(table: pa.Table, ids: np.ndarray):
