@@ -61,16 +61,16 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     mark = np.zeros(len(data) - length + 2, np.int8)
     np.add.at(mark, offsets[long], 1)
     np.add.at(mark, offsets[long] + sizes[long] - length + 1, -1)
-    start = np.flatnonzero(np.cumsum(mark[:-1]))
-    places = np.arange(len(data) - GRAM + 1)
-    keys = rolling.slices(places, places + GRAM) & ~_PLACE | places.astype(np.uint64)
-    at = (_sliding_min(keys, length - GRAM + 1)[start] & _PLACE).astype(np.int64)
-    new = np.ones(len(start), bool)
-    new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:] - 1, [len(start) - 1]])
-    lo = start[first]
-    return rolling, np.searchsorted(offsets, lo, "right") - 1, at[first], lo, start[last]
+    inside = np.cumsum(mark[:-1], dtype=np.int8).view(bool)
+    keys = rolling.every(GRAM)
+    keys &= ~_PLACE
+    keys |= np.arange(len(keys), dtype=np.uint64)
+    least = _sliding_min(keys, length - GRAM + 1)
+    edge = np.ones(len(least) + 1, bool)
+    edge[1:-1] = (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])
+    lo, hi = np.flatnonzero(edge[:-1] & inside), np.flatnonzero(edge[1:] & inside)
+    at = (least[lo] & _PLACE).astype(np.int64)
+    return rolling, np.searchsorted(offsets, lo, "right") - 1, at, lo, hi
 
 
 def _portions(column: pa.Array):
@@ -97,7 +97,14 @@ def _ranks(rolling: Rolling, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, len
 
 def _key(doc: np.ndarray, *ranks: np.ndarray) -> np.ndarray:
     """One number for a document and ranks in it."""
-    out = mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    return _keyed(_seed(doc), *ranks)
+
+
+def _seed(doc: np.ndarray) -> np.ndarray:
+    return mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+
+
+def _keyed(out: np.ndarray, *ranks: np.ndarray) -> np.ndarray:
     for r in ranks:
         out = mix(out + r * np.uint64(0xA0761D6478BD642F))
     return out
@@ -204,7 +211,9 @@ def _rank(rolling: Rolling, start: np.ndarray, ranked: list[int]) -> np.ndarray:
         return rolling.slices(start, start + ranked[0])
     first = _rank(rolling, start, ranked[:-1])
     second = _rank(rolling, start + (ranked[-1] - ranked[-2]), ranked[:-1])
-    return mix(mix(first + np.uint64(0x9E3779B97F4A7C15)) + second)
+    first *= np.uint64(0x9E3779B97F4A7C15)
+    first += second
+    return mix(first)
 
 
 def _windows(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,11 +280,10 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
                         gram, context = _ranks(rolling, at, lo, hi, length)
                         some = _among(_key(name, gram & _LOW48, context), known)
                         which, start = _windows(lo[some], hi[some])
-                        name = name[some][which]
                         if len(ranked) > 2:
-                            before = _among(_key(name, _rank(rolling, start, ranked[:-1]) & _LOW32), shared)
-                            name, start = name[before], start[before]
-                        found[0].append(name)
+                            before = _among(_keyed(_seed(name[some])[which], _rank(rolling, start, ranked[:-1]) & _LOW32), shared)
+                            which, start = which[before], start[before]
+                        found[0].append(name[some][which])
                         found[1].append(_rank(rolling, start, ranked))
             doc, ranks = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found)
             bucket = (ranks if last else ranks >> np.uint64(32)) % np.uint64(buckets)
@@ -316,7 +324,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
                     np.add.at(cover, shift + lo[whole_run], 1)
                     np.add.at(cover, shift + hi[whole_run] + length, -1)
                     which, start = _windows(lo[some], hi[some])
-                    hit = shift + start[_among(_key(name[some][which], _rank(rolling, start, rounds[-1])), repeated)]
+                    hit = shift + start[_among(_keyed(_seed(name[some])[which], _rank(rolling, start, rounds[-1])), repeated)]
                     np.add.at(cover, hit, 1)
                     np.add.at(cover, hit + length, -1)
                 gone = np.cumsum(cover[:-1], dtype=np.int32) > 0

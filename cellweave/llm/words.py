@@ -32,10 +32,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: all bits of the result depend on all bits of x."""
     x = x ^ x >> np.uint64(31)
-    x = x * np.uint64(0x7FB5D329728EA185)
-    x = x ^ x >> np.uint64(27)
-    x = x * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ x >> np.uint64(33)
+    x *= np.uint64(0x7FB5D329728EA185)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x81DADEF4BC2DD44D)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 class Rolling:
@@ -49,6 +50,13 @@ class Rolling:
     def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.prefix[ends] - self.prefix[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
+    def every(self, width: int) -> np.ndarray:
+        """``slices`` of ``width`` bytes from every place that has them, in order: no gathers."""
+        x = self.prefix[width:] - self.prefix[:-width]
+        x *= self.down[: len(x)]
+        x += np.uint64(width)
+        return mix(x)
+
 
 #: Bytes over which a slice is hashed by BLAKE2b.
 LONG = 256

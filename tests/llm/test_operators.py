@@ -134,6 +134,16 @@ def test_substrings(docs, rows, empty):
         assert remove(empty).collect() == []
 
 
+def test_hashes_of_every_place_and_rounds():
+    from cellweave.llm.substrings import spans
+    from cellweave.llm.words import Rolling
+
+    data = np.random.default_rng(4).integers(0, 256, 500).astype(np.uint8)
+    rolling, at = Rolling(data), np.arange(485)
+    assert (rolling.every(16) == rolling.slices(at, at + 16)).all()
+    assert (spans(50), spans(17), spans(200)) == ([16, 32, 50], [16, 17], [16, 32, 64, 128, 200])
+
+
 def test_ranks_follow_the_order_of_the_strings(spark, monkeypatch):
     """Ranks of 16, 32 and 50 bytes: those of sorted strings that two documents hold; a piece ends inside a document."""
     from cellweave.llm import doubling as D
