@@ -174,7 +174,7 @@ def _by_team(teams: int, kinds: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.
         order = np.argsort(team, kind="stable")
         heads, firsts = np.unique(team[order], return_index=True)
         for t, a, b in zip(heads.tolist(), firsts.tolist(), [*firsts[1:].tolist(), *[len(order)] * bool(len(heads))], strict=True):
-            rows.setdefault(t, {})[kind] = np.unique(key[order[a:b]]).tobytes()
+            rows.setdefault(t, {})[kind] = np.unique(key[order[a:b]].astype(KINDS[kind])).tobytes()
     return pa.table({"team": pa.array(list(rows), pa.int32()), **{k: pa.array([r.get(k, b"") for r in rows.values()], pa.binary()) for k in KINDS}})
 
 
@@ -182,17 +182,19 @@ def _team(doc: np.ndarray, teams: int) -> np.ndarray:
     return (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(teams)).astype(np.int32)
 
 
-#: settled and open contexts, windows shared with another document by the round before the last, repeated windows
-KINDS = ("settled", "open", "shared", "repeated")
+#: Keys of settled and open contexts, of windows shared with another document in a round before the last (where a collision
+#: only costs a row, so they are short), and of repeated windows.
+KINDS = {"settled": "<u8", "open": "<u8", "shared": "<u4", "repeated": "<u8"}
 _TEAM = "team int, " + ", ".join(f"{k} binary" for k in KINDS)
 
 
 def _known(info: pa.Table, kind: str) -> np.ndarray:
     """All keys of a kind in a team's rows, sorted."""
-    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in info.column(kind))]))
+    return np.sort(np.concatenate([np.zeros(0, KINDS[kind]), *(np.frombuffer(x.as_buffer(), KINDS[kind]) for x in info.column(kind))]))
 
 
 def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    keys = keys.astype(known.dtype, copy=False)
     at = np.searchsorted(known, keys)
     return known[np.minimum(at, len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
 
@@ -345,11 +347,13 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
 
     moved = rows.select("doc_id", name.alias("id"), "text").mapInArrow(assign, "team int, doc_id long, id long, text string").repartition(teams, "team")
     info = stash(info, "ranks")
-    found = info
+    opened = known = info.withColumn("settled", F.lit(b""))
     for upto in rounds:
-        windows = moved.groupBy("team").cogroup(found.groupBy("team")).applyInArrow(expand(upto), "bucket int, docs binary, counts binary, r0 binary")
-        found = info.unionByName(windows.groupBy("bucket").applyInArrow(match(upto is rounds[-1]), _TEAM))
-    return moved.groupBy("team").cogroup(found.groupBy("team")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        windows = moved.groupBy("team").cogroup(known.groupBy("team")).applyInArrow(expand(upto), "bucket int, docs binary, counts binary, r0 binary")
+        found = windows.groupBy("bucket").applyInArrow(match(upto is rounds[-1]), _TEAM)
+        known = opened.unionByName(found)
+    every = info.unionByName(found)
+    return moved.groupBy("team").cogroup(every.groupBy("team")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def _chunks(table: pa.Table, ids: np.ndarray):
