@@ -30,6 +30,9 @@ from .common import parts_for, slices, small_batches, stash, text_bytes, whole
 from .words import Rolling, mix
 
 GRAM = 16
+#: A context of a longer window would hold 1024 bytes, from where on texts exist (Thue-Morse words) that ``Rolling`` can't
+#: tell apart.
+LONGEST = 512
 #: Bytes ranked at a time; a longer document is cut, windows overlapping.
 PORTION = 1 << 19
 #: Names of documents without a doc_id: the least numbers, by a hash of the text, so that they don't share a task. In order
@@ -124,8 +127,8 @@ def _dealt(groups: np.ndarray, doc: np.ndarray, values: list[np.ndarray], pack)
     """A row per group present: its documents, their counts, and each of ``values`` packed, documents in order."""
     order = np.lexsort((doc, groups))
     groups, doc = groups[order], doc[order]
-    heads = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, int)
-    ends = np.concatenate([heads[1:], [len(groups)]])
+    heads = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])[: len(groups)])
+    ends = np.append(heads[1:], len(groups))[: len(heads)]
     rows: list[list] = [[] for _ in range(3 + len(values))]
     for a, b in zip(heads.tolist(), ends.tolist(), strict=True):
         names, counts = np.unique(doc[a:b], return_counts=True)
@@ -239,10 +242,10 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
     A null text is empty. Null doc_ids count as smaller than all others and equal to each other; rows with one doc_id
     don't remove from each other and share a task, so no doc_id may be that of much of the corpus. The 2^40 least numbers
     are no doc_ids. Documents shorter than ``length`` stay whole. Other columns are ignored; an empty
-    table gives no rows.
+    table gives no rows. ``length`` is over ``GRAM`` and at most ``LONGEST``.
     """
-    if length <= GRAM:
-        raise ValueError(f"length must be over {GRAM}")
+    if not GRAM < length <= LONGEST:
+        raise ValueError(f"length must be over {GRAM} and at most {LONGEST}")
     spark = docs.sparkSession
     small_batches(spark)
     buckets = teams = parts_for(docs)

@@ -141,6 +141,17 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 0.1)
 
 
+def inner_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row, in double precision; where products leave a double's range, of rows over powers of two, which are
+    multiplied back last, so that a sum past the range is an infinity and none is undefined."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.einsum("nd,nd->n", x, y)
+        bad = np.flatnonzero(~np.isfinite(out))
+        ex, ey = (np.frexp(np.abs(v[bad]).max(1, initial=0))[1] for v in (x, y))
+        out[bad] = np.ldexp(np.einsum("nd,nd->n", np.ldexp(x[bad], -ex[:, None]), np.ldexp(y[bad], -ey[:, None])), ex + ey)
+    return out
+
+
 def lift(x: np.ndarray) -> np.ndarray:
     """Vectors over a power of two, with a coordinate more that gives all the same norm, as float32."""
     x = np.ldexp(x, -int(np.frexp(np.abs(x).max(initial=0))[1]))
@@ -205,8 +216,7 @@ class Graph:
         found = beam_search(self.lifted, self.norms, self.graph, self.start, points, max(beam, k + 1))[0][:, : k + 1]
         asked, place = np.nonzero(found >= 0)
         near = found[asked, place]
-        with np.errstate(over="ignore", invalid="ignore"):
-            scores = np.einsum("nd,nd->n", self.exact[near], q[asked])
+        scores = inner_products(self.exact[near], q[asked])
         n = self.ends[near + 1] - self.ends[near]
         at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - self.ends[near], n)
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(names[asked], n)), pa.array(self.ids[at]), pa.array(np.repeat(scores, n))], names=["query_id", "vec_id", "score"])
