@@ -9,6 +9,7 @@ from .near_dedup import op4_near_dedup
 from .packing import op5_packing
 from .quality import op7_quality
 from .secrets import OP8_SQL, op8_secrets
+from .simhash import op12_simhash
 from .substrings import op2_substrings
 from .token_ids import op9_token_ids
 from .vectors import op3_nearest
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_token_ids": op9_token_ids,
     "op10_mixing": op10_mixing,
+    "op12_simhash": op12_simhash,
 }
 
 SQL = {
