@@ -6,6 +6,7 @@ from .licenses import OP6_SQL, op6_licenses
 from .media import op1_media
 from .mixing import OP10_SQL, op10_mixing
 from .near_dedup import op4_near_dedup
+from .negatives import OP11_SQL, op11_hard_negatives
 from .packing import op5_packing
 from .quality import op7_quality
 from .secrets import OP8_SQL, op8_secrets
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_token_ids": op9_token_ids,
     "op10_mixing": op10_mixing,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_simhash": op12_simhash,
 }
 
@@ -32,4 +34,5 @@ SQL = {
     "op6_licenses": OP6_SQL,
     "op8_secrets": OP8_SQL,
     "op10_mixing": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
 }
