@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import specfun
 from cellweave.operators.climate import CELL
+from cellweave.operators.likelihood import gpd_likelihood
 from cellweave.operators.ranks import quantiles, value_ranks
 
 
@@ -67,11 +68,11 @@ def cell_parameters(annual: DataFrame, n_years: int, region, u: float) -> DataFr
     return both.withColumn("p_occ", F.col("n") / n_years).withColumn("sigma", F.greatest("sigma", F.lit(1e-3))).withColumn("xi", F.coalesce("xi", F.lit(0.0))).withColumn("u", F.coalesce("u", F.lit(u)))
 
 
-def return_levels(parameters: DataFrame, periods: tuple[int, ...]) -> DataFrame:
-    """(rp, cell, mm): the parameters' quantiles, all in generated code."""
+def return_levels(parameters: DataFrame, periods: tuple[int, ...], cap: float = 0.9999, most: float = 300.0) -> DataFrame:
+    """(rp, cell, mm): the parameters' quantiles, all in generated code; the tail's probability at most ``cap``."""
     f_u = specfun.normal_cdf("((ln(u) - mu) / sigma)")
     rows = parameters.withColumn("f_u", F.expr(f_u)).withColumn("rp", F.explode(F.array(*map(F.lit, periods))))
-    return rows.select("rp", *CELL, F.expr(specfun.return_level("rp", "p_occ", "mu", "sigma", "xi", "scale", "u", "f_u")).alias("mm"))
+    return rows.select("rp", *CELL, F.expr(specfun.return_level("rp", "p_occ", "mu", "sigma", "xi", "scale", "u", "f_u", cap, most)).alias("mm"))
 
 
 def ks_distance(over: DataFrame, group: list[str]) -> DataFrame:
@@ -95,10 +96,11 @@ def residual_life(fits: DataFrame) -> DataFrame:
     return rows.agg(F.when(n >= 3, F.sqrt(F.greatest(miss, F.lit(0.0)) / n) / F.greatest(mean, F.lit(1e-6))).otherwise(1.0).alias("mrl"))
 
 
-def threshold_scan(values: DataFrame, percentiles: tuple[int, ...] = tuple(range(50, 95, 5)), least: int = 10, least_values: int = 20, default: float = 50.8) -> DataFrame:
+def threshold_scan(values: DataFrame, percentiles: tuple[int, ...] = tuple(range(50, 95, 5)), least: int = 10, least_values: int = 20, default: float = 50.8, fit: str = "likelihood") -> DataFrame:
     """Scores of threshold candidates u (percentiles of a region's values): fit, mean residual life, stability, count.
 
-    Per candidate with ``least`` or more excesses: L-moment shape (within 0.5 of 0) and scale, KS distance, residual-life
+    Per candidate with ``least`` or more excesses: shape (within 0.5 of 0) and scale, the likeliest or, where ``fit`` is
+    "moments", those of the L-moments, all regions and candidates in one aggregation; KS distance, residual-life
     score, change of shape from the last candidate and 1 / sqrt(n); each scaled to 0..1 within the region (constant: 0,
     missing: 1), score their mean; the least is selected. A region of under ``least_values`` values, or without a
     candidate, has one row: ``default``.
@@ -108,7 +110,11 @@ def threshold_scan(values: DataFrame, percentiles: tuple[int, ...] = tuple(range
     us = quantiles(values, ["region"], "mm", [p / 100 for p in percentiles]).select("region", F.col("q").alias("u")).distinct()
     candidates = us.join(points.where(F.col("_n") >= least_values), "region").select("region", "u")
     over = values.join(F.broadcast(candidates), "region").where("mm > u").withColumn("x", F.col("mm") - F.col("u"))
-    fits = gpd_from_l_moments(l_moments(over, ["region", "u"], "x", wide=True)).where(F.col("n") >= least).select("region", "u", "n", F.least(F.greatest("xi", F.lit(-0.5)), F.lit(0.5)).alias("xi"), "scale", "l1")
+    if fit == "moments":
+        fits = gpd_from_l_moments(l_moments(over, ["region", "u"], "x", wide=True))
+    else:
+        fits = gpd_likelihood(over, ["region", "u"]).withColumn("scale", F.greatest("scale", F.lit(1e-6))).withColumnRenamed("mean", "l1")
+    fits = fits.where(F.col("n") >= least).select("region", "u", "n", F.least(F.greatest("xi", F.lit(-0.5)), F.lit(0.5)).alias("xi"), "scale", "l1")
     ks = ks_distance(over.join(F.broadcast(fits), ["region", "u"]), ["region", "u"])
     rows = fits.join(ks, ["region", "u"]).join(residual_life(fits), ["region", "u"])
     rows = rows.withColumn("stability", F.abs(F.col("xi") - F.lag("xi").over(Window.partitionBy("region").orderBy("u")))).withColumn("penalty", F.lit(1.0) / F.sqrt("n"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellweave.functions import grid
-from cellweave.operators import climate, events, extremes, spatial
+from cellweave.functions import grid, specfun
+from cellweave.operators import climate, events, extremes, likelihood, spatial
 from cellweave.plans.climate import ANNUAL, YEARS, r6
 from cellweave.plans.extremes import PERIODS, TAIL, U, levels_sql, region
 from cellweave.plans.registry import query
@@ -134,6 +134,29 @@ def smooth_levels(t):
     return extremes.return_levels(extremes.pooled_parameters(sums, shapes, region(), U), PERIODS).select("rp", *climate.CELL, F.round("mm", 4).alias("mm"))
 
 
+LIKELY_POOL = f"""near_cells AS (SELECT a.cell_row, a.cell_col, b.cell_row AS r2, b.cell_col AS c2, round({_PAIR_KM}, 6) AS km FROM pstats a JOIN pstats b ON abs(a.cell_row - b.cell_row) <= {HALF} AND abs(a.cell_col - b.cell_col) <= {HALF}),
+  pool_over AS (SELECT p.cell_row, p.cell_col, mm - {U} AS x FROM near_cells p JOIN annual b ON b.cell_row = p.r2 AND b.cell_col = p.c2 WHERE km <= {RADIUS} AND mm > {U}),
+  {likelihood.fits_sql('ml', 'pool_over', 'cell_row, cell_col')},
+  likely AS (SELECT cell_row, cell_col, p.n / p.ny AS p_occ, s1 / p.n AS mu, sqrt(greatest(s2 / p.n - (s1 / p.n) * (s1 / p.n), 1e-6)) AS sigma, {U}e0 AS u,
+    CASE WHEN ml.n >= 5 THEN least(greatest(xi, -0.5e0), 0.5e0) ELSE 0 END AS xi, CASE WHEN ml.n >= 5 THEN greatest(scale, 1.27e0) ELSE 12.7e0 END AS scale
+    FROM psums p LEFT JOIN ml USING (cell_row, cell_col) WHERE p.n >= 10)"""
+V1_PERIODS = (10, 25, 50, 100, 200, 250, 500)
+LIKELY_LEVELS = f"levels AS (SELECT rp, cell_row, cell_col, {specfun.return_level('rp', 'p_occ', 'mu', 'sigma', 'xi', 'scale', 'u', 'f_u', 1 - 1e-9, 508.0)} AS mm FROM (SELECT *, {specfun.normal_cdf('((ln(u) - mu) / sigma)')} AS f_u, unnest({list(V1_PERIODS)}) AS rp FROM likely))"
+
+
+@query(CELL_DAY, ANNUAL, YEARS, "regional AS (SELECT 0 AS region, 0e0 AS xi)", POOLED_FIT, LIKELY_POOL, LIKELY_LEVELS, sql="SELECT rp, cell_row, cell_col, round(mm, 4) AS mm FROM levels")
+def pooled_likelihood_levels(t):
+    """Return levels of fits pooled over 150 km, each tail the likeliest of the pooled excesses."""
+    days = t.cell_day()
+    annual, logs, over = keep(climate.annual_max(days).where("mm > 0"), "annual"), F.ln("mm"), F.col("mm") - U
+    n_years = climate.years_of(days).scalar().cast("double")
+    stats = annual.groupBy(*climate.CELL).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(logs).alias("s1"), F.sum(logs * logs).alias("s2"), F.collect_list(F.when(over > 0, over)).alias("excesses"))
+    stats = keep(stats.withColumn("ny", n_years).withColumn("n_nz", F.col("n")), "cell-sums")
+    sums = spatial.pooled(stats, RADIUS, DECAY, HALF, *center(), ["ny", "n", "s1", "s2"], ("n_nz",))
+    fitted = likelihood.pooled_likelihood(sums, likelihood.pooled_tails(stats, RADIUS, HALF, *center()), U)
+    return extremes.return_levels(fitted, V1_PERIODS, 1 - 1e-9, 508.0).select("rp", *climate.CELL, F.round("mm", 4).alias("mm"))
+
+
 BANDS = ((50, 150), (150, 300), (300, 600))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweave.functions import specfun
-from cellweave.operators import climate, extremes
+from cellweave.operators import climate, extremes, likelihood
 from cellweave.plans.climate import ANNUAL, YEARS, r6
 from cellweave.plans.registry import query
 from cellweave.sources.shared import keep
@@ -102,11 +102,14 @@ def rp_monotonicity(t):
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), falls.alias("falls"), F.when(falls > 0, "fail").otherwise("pass").alias("status"))
 
 
-SCAN = f"""vals AS (SELECT cell_row % 6 AS region, mm FROM annual WHERE mm > 0),
+CANDIDATES = f"""vals AS (SELECT cell_row % 6 AS region, mm FROM annual WHERE mm > 0),
   cands AS (SELECT DISTINCT region, u FROM (SELECT region, unnest(quantile_cont(mm, [{', '.join(str(p / 100) for p in range(50, 95, 5))}])) AS u FROM vals GROUP BY region HAVING count(*) >= 20)),
-  over AS (SELECT region, u, mm - u AS x FROM vals JOIN cands USING (region) WHERE mm > u), {moments_sql('lm', 'over', 'region, u', 'x')},
-  fits AS (SELECT region, u, n, least(greatest({XI}, -0.5e0), 0.5e0) AS xi, {SCALE} AS scale, l1 FROM lm WHERE n >= 10),
-  cdfs AS (SELECT region, u, row_number() OVER w AS i, count(*) OVER (PARTITION BY region, u) AS n,
+  over AS (SELECT region, u, mm - u AS x FROM vals JOIN cands USING (region) WHERE mm > u)"""
+MOMENT_FITS = f"""{moments_sql('lm', 'over', 'region, u', 'x')},
+  fits AS (SELECT region, u, n, least(greatest({XI}, -0.5e0), 0.5e0) AS xi, {SCALE} AS scale, l1 FROM lm WHERE n >= 10)"""
+LIKELY_FITS = f"""{likelihood.fits_sql('ml', 'over', 'region, u')},
+  fits AS (SELECT region, u, n, least(greatest(xi, -0.5e0), 0.5e0) AS xi, greatest(scale, 1e-6) AS scale, mean AS l1 FROM ml WHERE n >= 10)"""
+SCORES = f"""cdfs AS (SELECT region, u, row_number() OVER w AS i, count(*) OVER (PARTITION BY region, u) AS n,
     CASE WHEN abs(xi) < 1e-6 THEN 1 - exp(-x / scale) ELSE 1 - pow(greatest(1 + xi * x / scale, 1e-12), -1 / xi) END AS f FROM over JOIN fits USING (region, u) WINDOW w AS (PARTITION BY region, u ORDER BY x)),
   kss AS (SELECT region, u, max(greatest(i / n - f, f - (i - 1) / n)) AS ks FROM cdfs GROUP BY region, u),
   mrls AS (SELECT a.region, a.u, CASE WHEN count(*) >= 3 THEN sqrt(greatest(regr_syy(b.l1, b.u) - pow(regr_sxy(b.l1, b.u), 2) / regr_sxx(b.l1, b.u), 0) / count(*)) / greatest(avg(b.l1), 1e-6) ELSE 1 END AS mrl FROM fits a JOIN fits b ON a.region = b.region AND b.u >= a.u GROUP BY ALL),
@@ -114,8 +117,29 @@ SCAN = f"""vals AS (SELECT cell_row % 6 AS region, mm FROM annual WHERE mm > 0),
   scored AS (SELECT *, ({' + '.join(f"CASE WHEN {c} IS NULL THEN 1 WHEN max({c}) OVER r = min({c}) OVER r THEN 0 ELSE ({c} - min({c}) OVER r) / (max({c}) OVER r - min({c}) OVER r) END" for c in ('ks', 'mrl', 'stability', 'penalty'))}) / 4 AS score FROM parts WINDOW r AS (PARTITION BY region))"""
 
 
-@query(CELL_DAY, ANNUAL, SCAN, sql="SELECT region, round(u, 4) AS u, n, round(xi, 4) AS xi, round(ks, 4) AS ks, round(mrl, 4) AS mrl, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY region ORDER BY score, u) = 1 AS INTEGER) AS selected FROM scored UNION ALL SELECT region, 50.8, count(*) FILTER (WHERE mm > 50.8), 0, NULL, NULL, NULL, 1 FROM vals WHERE region NOT IN (SELECT region FROM fits) GROUP BY region")
-def threshold_scan(t):
-    out = extremes.threshold_scan(keep(annual(t).where("mm > 0").select(region().alias("region"), "mm"), "values"))
+SCANNED = "SELECT region, round(u, 4) AS u, n, round(xi, 4) AS xi, round(ks, 4) AS ks, round(mrl, 4) AS mrl, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY region ORDER BY score, u) = 1 AS INTEGER) AS selected FROM scored UNION ALL SELECT region, 50.8, count(*) FILTER (WHERE mm > 50.8), 0, NULL, NULL, NULL, 1 FROM vals WHERE region NOT IN (SELECT region FROM fits) GROUP BY region"
+
+
+def scanned(t, fit):
+    out = extremes.threshold_scan(keep(annual(t).where("mm > 0").select(region().alias("region"), "mm"), "values"), fit=fit)
     r4 = [F.round(c, 4).alias(c) for c in ("u", "xi", "ks", "mrl", "score")]
     return out.select("region", r4[0], "n", *r4[1:], "selected")
+
+
+@query(CELL_DAY, ANNUAL, CANDIDATES, LIKELY_FITS, SCORES, sql=SCANNED)
+def threshold_scan(t):
+    """Threshold candidates of every region with their likeliest fits."""
+    return scanned(t, "likelihood")
+
+
+@query(CELL_DAY, ANNUAL, CANDIDATES, MOMENT_FITS, SCORES, sql=SCANNED)
+def threshold_scan_moments(t):
+    """The same with fits by L-moments."""
+    return scanned(t, "moments")
+
+
+@query(CELL_DAY, ANNUAL, f"over AS (SELECT cell_row % 6 AS region, mm - {U}e0 AS x FROM annual WHERE mm > {U}e0)", likelihood.fits_sql("ml", "over", "region"), sql="SELECT region, n, round(mean, 4) AS mean, round(xi, 4) AS xi, round(scale, 4) AS scale FROM ml")
+def gpd_profile_fit(t):
+    """Likeliest tails of the regions, from one aggregation."""
+    over = annual(t).where(F.col("mm") > U).select(region().alias("region"), (F.col("mm") - U).alias("x"))
+    return likelihood.gpd_likelihood(over, ["region"]).select("region", "n", *(F.round(c, 4).alias(c) for c in ("mean", "xi", "scale")))
