@@ -31,4 +31,4 @@ def query(*ctes: str, sql: str | None = None, small: bool = False):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from cellweave.plans import artefacts, checks, climate, events, extremes, features, fine, ingest, legacy, older, simulation, streams, verification  # noqa: F401
+    from cellweave.plans import artefacts, checks, climate, events, extremes, features, files, fine, ingest, legacy, older, simulation, streams, verification  # noqa: F401

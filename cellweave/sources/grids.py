@@ -49,6 +49,40 @@ class _Header:
         return name, raw.decode("latin-1") if kind == 2 else np.frombuffer(raw, TYPES[kind], n)
 
 
+def read_tags(data: bytes) -> dict[str, str]:
+    """The global attributes of a classic NetCDF file as text."""
+    head = _Header(data)
+    head.number()
+    head.listed(lambda: (head.name(), head.number()))
+    return {name: v if isinstance(v, str) else ", ".join(map(str, v.tolist())) for name, v in head.listed(head.attribute)}
+
+
+def write_netcdf(variables: dict[str, np.ndarray], tags: dict[str, str]) -> bytes:
+    """A classic NetCDF file (version 2) of arrays, dimensions shared by those of equal length, with text attributes."""
+    codes = {np.dtype(t): k for k, t in TYPES.items() if k != 2}
+    number, name = struct.Struct(">i").pack, lambda x: number(len(x.encode())) + _padded(x.encode())
+    lengths = sorted({n for v in variables.values() for n in v.shape})
+    listed = lambda kind, items: number(kind if items else 0) + number(len(items)) + b"".join(items)
+    # The format's marks of lists of dimensions, variables and attributes, and of text.
+    dims = listed(10, [name(f"n{n}") + number(n) for n in lengths])
+    attributes = listed(12, [name(k) + number(2) + number(len(v.encode("latin-1", "replace"))) + _padded(v.encode("latin-1", "replace")) for k, v in tags.items()])
+    arrays = {k: np.ascontiguousarray(v, v.dtype.newbyteorder(">")) for k, v in variables.items()}
+
+    def header(at: int) -> bytes:
+        items = []
+        for k, v in arrays.items():
+            size = -(-v.nbytes // 4) * 4
+            items.append(name(k) + number(v.ndim) + b"".join(number(lengths.index(n)) for n in v.shape) + number(0) + number(0) + number(codes[v.dtype]) + number(size) + struct.pack(">q", at))
+            at += size
+        return b"CDF\x02" + number(0) + dims + attributes + listed(11, items)
+
+    return header(len(header(0))) + b"".join(_padded(v.tobytes()) for v in arrays.values())
+
+
+def _padded(data: bytes) -> bytes:
+    return data + b"\0" * (-len(data) % 4)
+
+
 def read_netcdf(data: bytes) -> dict[str, np.ndarray]:
     """Variables of a classic NetCDF file (version 1 or 2, without record dimension) by name."""
     head = _Header(data)
@@ -98,6 +132,17 @@ def block_maxima(row: np.ndarray, col: np.ndarray, v: np.ndarray) -> tuple[np.nd
     return heads // NCOLS, heads % NCOLS, np.maximum.reduceat(v[order], first) if len(heads) else v
 
 
+def cells_of(content: bytes | None, value: str = "MESH") -> tuple[np.ndarray, np.ndarray, np.ndarray, str | None]:
+    """Cells of a file's field, sparse where pixel_x is there, else dense, and what is wrong with it, if anything is."""
+    try:
+        field = read_netcdf(content or b"")
+        cells = sparse_cells(content, value) if "pixel_x" in field else dense_cells(field[value].reshape(field[value].shape[-2:]))
+        return *block_maxima(*cells), None
+    except (ValueError, KeyError, IndexError, struct.error) as e:
+        none = np.zeros(0)
+        return none, none, none, str(e) or "unreadable"
+
+
 def decode_grids(files: DataFrame, value: str = "MESH") -> DataFrame:
     """(path, cell_row, cell_col, mm, error) of decompressed files (path, content): sparse where pixel_x is there, else
     dense. A file that can't be read has one row with its error and no cell."""
@@ -105,14 +150,7 @@ def decode_grids(files: DataFrame, value: str = "MESH") -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                error = None
-                try:
-                    field = read_netcdf(content or b"")
-                    cells = sparse_cells(content, value) if "pixel_x" in field else dense_cells(field[value].reshape(field[value].shape[-2:]))
-                    row, col, v = block_maxima(*cells)
-                except (ValueError, KeyError, IndexError, struct.error) as e:
-                    row = col = v = np.zeros(0)
-                    error = str(e) or "unreadable"
+                row, col, v, error = cells_of(content, value)
                 n = max(len(row), error is not None)
                 missing = [None] * n
                 columns = [[path] * n, row.astype(np.int32) if len(row) else missing, col.astype(np.int32) if len(row) else missing, v if len(row) else missing, [error] * n]
