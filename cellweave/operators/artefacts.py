@@ -6,6 +6,8 @@ azimuth bin; it is one small table, joined by broadcast up to Spark's own thresh
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,74 +76,100 @@ def radial_rings(cells: DataFrame, annuli: DataFrame, width: float = 10.0, least
     return zeroed(placed, (F.col("mm") >= ACTIVE_MM) & (F.col("mm") > F.col("limit"))).select(*cells.columns)
 
 
-def median_with_zeros(values: Column, total: Column) -> Column:
-    """Median of ``total`` non-negative numbers of which ``values`` (sorted) are those over 0."""
-    zeros = total - F.size(values)
-    at = lambda k: F.when(k < zeros, 0.0).otherwise(F.try_element_at(values, (k - zeros + 1).cast("int")))
-    return (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2
-
-
 #: Fixed value: from here on a cell counts as active for the persistence pass.
 PERSISTENT_MM = 25.4
+#: Frames of a group of the persistence pass; those of the history before it come with it.
+SPAN = 256
+
+
+def padded_median(values: np.ndarray, total: int) -> float:
+    """Median of ``total`` numbers that are 0 but for ``values``, which are not negative."""
+    zeros = total - len(values)
+    low, high = (total - 1) // 2 - zeros, total // 2 - zeros
+    if high < 0:
+        return 0.0
+    part = np.partition(values, [max(low, 0), high])
+    return ((part[low] if low >= 0 else 0.0) + part[high]) / 2
 
 
-def persistence(cells: DataFrame, annuli: DataFrame, frames: int = 21, least_frames: int = 7, least_cells: int = 5, range_frac: float = 0.6, cell_frac: float = 0.35, burst: float = 1.75, storm: float = 1.5, active: float = PERSISTENT_MM, inputs: DataFrame | None = None) -> DataFrame:
+def chronic(number: np.ndarray, cell: np.ndarray, mm: np.ndarray, v: np.ndarray, first: int, n_cells: int, frames: int, least_frames: int, range_frac: float, cell_frac: float, burst: float, storm: float, active: float) -> np.ndarray:
+    """Rows of an annulus that go: (frame number, cell, mm to be filtered, v as history shows it), NaN where a row has none.
+
+    The last ``frames`` frames are a ring of columns, a row a cell: a frame that enters overwrites the one that leaves. Frames
+    before ``first`` are history only.
+    """
+    order = np.argsort(number, kind="stable")
+    cells, at = np.unique(cell, return_inverse=True)
+    held, last, gone = np.zeros((len(cells), frames)), None, []
+    heads = np.flatnonzero(np.concatenate([[True], number[order][1:] != number[order][:-1]]))
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
+        rows = order[a:b]
+        f = int(number[rows[0]])
+        if last is not None:
+            held[:, [k % frames for k in range(max(last + 1, f - frames), f)]] = 0
+        last, n = f, min(frames, f - 1)
+        high = rows[mm[rows] >= active]  # NaN is not
+        if f >= first and n >= least_frames and len(high) and (held >= active).any(0).sum() >= range_frac * n:
+            today = padded_median(mm[rows][mm[rows] > 0], n_cells)
+            usual = padded_median(held[held > 0], n * n_cells)
+            if not (today >= storm * max(usual, 1.0) and today >= active):
+                own = np.sort(held[at[high]], axis=1)[:, frames - n :]
+                med = (own[:, (n - 1) // 2] + own[:, n // 2]) / 2
+                gone.append(high[((own >= active).sum(1) >= cell_frac * n) & (mm[high] < burst * np.maximum(med, 1.0))])
+        held[:, f % frames] = 0
+        seen = rows[v[rows] > 0]
+        held[at[seen], f % frames] = v[seen]
+    return np.concatenate([np.zeros(0, int), *gone])
+
+
+def persistent(rows: DataFrame, days: DataFrame, annuli: DataFrame, step: int = 0, frames: int = 21, least_frames: int = 7, least_cells: int = 5, range_frac: float = 0.6, cell_frac: float = 0.35, burst: float = 1.75, storm: float = 1.5, active: float = PERSISTENT_MM) -> DataFrame:
+    """Rows (day, cell, mm, v, site_idx, bin, .., step) with chronic cells of chronic annuli set to 0 and ``step`` noted.
+
+    ``days`` (day) are all frames. History moves once: a group is an annulus over ``SPAN`` frames, with the ``frames`` before them,
+    so its size is bounded by the annulus's cells whatever the length of the archive. Rows without mm are history only and
+    not given back.
+    """
+    numbered = days.withColumn("_f", F.row_number().over(Window.orderBy("day")).cast("int"))  # a row a day
+    sizes = annuli.groupBy("site_idx", "bin").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    names = rows.columns
+    inside = rows.where("site_idx is not null").join(numbered, "day").join(sizes, ["site_idx", "bin"])
+    span = F.floor((F.col("_f") - 1) / SPAN).cast("int")
+    spans = F.when(F.pmod(F.col("_f") - 1, F.lit(SPAN)) >= SPAN - frames, F.array(span, span + 1)).otherwise(F.array(span))
+    spread = inside.withColumn("_span", F.explode(spans))
+    rules = (frames, least_frames, range_frac, cell_frac, burst, storm, active)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        first = key[2].as_py() * SPAN + 1
+        number = table.column("_f").to_numpy()
+        mm, v = (table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("mm", "v"))
+        cell = table.column("cell_row").to_numpy().astype(np.int64) << 32 | table.column("cell_col").to_numpy()
+        n_cells = int(table.column("_n")[0].as_py())
+        gone = chronic(number, cell, mm, v, first, n_cells, *rules) if n_cells >= least_cells else np.zeros(0, int)
+        steps = table.column("step").fill_null(-1).to_numpy().copy()
+        steps[gone], mm[gone] = step, 0.0
+        own = pa.array(np.flatnonzero((number >= first) & ~np.isnan(mm)))
+        changed = {"mm": pa.array(mm), "step": pa.array(steps, pa.int32(), mask=steps < 0)}
+        return pa.table({c: changed.get(c, table.column(c)) for c in names}).take(own)
+
+    schema = rows.schema.simpleString()[7:-1].replace(":", " ")
+    found = spread.groupBy("site_idx", "bin", "_span").applyInArrow(run, schema)
+    return found.unionByName(rows.where("site_idx is null and mm is not null"))
+
+
+def persistence(cells: DataFrame, annuli: DataFrame, inputs: DataFrame | None = None, **rules) -> DataFrame:
     """Chronic cells of chronic annuli go, unless the cell or its annulus is far above its own history.
 
-    The history of a day is the ``frames`` frames before it as they came in (``inputs``, else ``cells``), so days don't
-    wait for each other.
+    The history of a day is the 21 frames before it as they came in (``inputs``, else ``cells``), so days don't wait for each
+    other; ``rules`` are those of ``persistent``.
     """
-    inputs = cells if inputs is None else inputs
-    days = inputs.select("day").distinct().withColumn("f", F.row_number().over(Window.orderBy("day")))
-    past = days.withColumn("h", F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.lit(frames)), lambda k: F.col("f") - k), lambda x: x > 0)))
-    counted = past.withColumn("n_frames", F.count(F.lit(1)).over(Window.partitionBy("day"))).where(F.col("n_frames") >= least_frames)
-    steps = counted.join(days.select(F.col("day").alias("hday"), F.col("f").alias("h")), "h").select("day", "hday", "n_frames")
-    placed = cells.join(annuli, CELL)
-    history = inputs.join(annuli, CELL).select(F.col("day").alias("hday"), *CELL, "site_idx", "bin", F.col("mm").alias("v"))
-    old = steps.join(history, "hday")
-    positive = F.sort_array(F.collect_list(F.when(F.col("v") > 0, F.col("v"))))
-    by_cell = old.groupBy("day", *CELL).agg(F.count_if(F.col("v") >= active).alias("hits"), positive.alias("vs"), F.max("n_frames").alias("n_frames"))
-    by_cell = by_cell.select("day", *CELL, (F.col("hits") / F.col("n_frames")).alias("cell_frac"), median_with_zeros(F.col("vs"), F.col("n_frames")).alias("cell_med"))
-    sizes = annuli.groupBy("site_idx", "bin").agg(F.count(F.lit(1)).alias("n_cells")).where(F.col("n_cells") >= least_cells)
-    ring = ["site_idx", "bin"]
-    by_ring = old.groupBy("day", *ring).agg(F.count_distinct(F.when(F.col("v") >= active, F.col("hday"))).alias("hits"), positive.alias("vs"), F.max("n_frames").alias("n_frames")).join(sizes, ring)
-    by_ring = by_ring.select("day", *ring, (F.col("hits") / F.col("n_frames")).alias("ring_frac"), median_with_zeros(F.col("vs"), F.col("n_frames") * F.col("n_cells")).alias("ring_med"))
-    today = placed.groupBy("day", *ring).agg(F.sort_array(F.collect_list(F.when(F.col("mm") > 0, F.col("mm")))).alias("vs")).join(sizes, ring).select("day", *ring, median_with_zeros(F.col("vs"), F.col("n_cells")).alias("today_med"))
-    placed = cells.join(annuli, CELL, "left")
-    rows = placed.join(by_cell, KEY, "left").join(by_ring, ["day", *ring], "left").join(today, ["day", *ring], "left")
-    stormy = (F.col("today_med") >= F.greatest("ring_med", F.lit(1.0)) * storm) & (F.col("today_med") >= active)
-    hit = (F.col("mm") >= active) & (F.col("ring_frac") >= range_frac) & (F.col("cell_frac") >= cell_frac) & (F.col("mm") < F.greatest("cell_med", F.lit(1.0)) * burst) & ~F.coalesce(stormy, F.lit(False))
-    return zeroed(rows, hit).select(*cells.columns)
-
-
-def of_sites(before: DataFrame, after: DataFrame, flagged: DataFrame) -> DataFrame:
-    """``before`` with what ``after`` set to 0, in the cells of ``flagged`` only."""
-    gone = after.where("mm = 0").join(flagged.select(*CELL).distinct(), CELL, "left_semi").select(*KEY, F.lit(True).alias("_gone"))
-    return zeroed(before.join(gone, KEY, "left"), F.col("_gone")).drop("_gone")
-
-
-def site_passes(annuli: DataFrame, flagged: DataFrame, rows: int, cols: int) -> list:
-    """(name, pass) of the stricter passes over the cells of ``flagged`` sites; ``annuli`` has bin, coarse and sector."""
-    only = lambda run: lambda cells: of_sites(cells, run(cells), flagged)
-    return [
-        ("site_isolated", only(lambda c: speckle(c, rows, cols, 2.0))),
-        ("site_radial_ring", only(lambda c: radial_rings(c, annuli, ring=1.05, far_ring=1.10))),
-        ("site_azimuthal", only(lambda c: above_median(c, annuli, ["site_idx", "coarse"], 8, 1.6))),
-        ("site_filament", only(lambda c: filament(c, rows, cols, margin=12.0))),
-        ("site_polar_spoke", only(lambda c: above_median(c, annuli, ["site_idx", "bin", "sector"], 4, 1.5))),
-    ]
-
-
-def all_passes(annuli: DataFrame, flagged: DataFrame, rows: int, cols: int, inputs: DataFrame) -> list:
-    """(name, pass) in their order; ``inputs`` are the frames before any pass."""
-    return [
-        ("isolated", lambda c: speckle(c, rows, cols)),
-        ("radial_ring", lambda c: radial_rings(c, annuli)),
-        ("azimuthal", lambda c: above_median(c, annuli, ["site_idx", "bin"], 8, 2.5)),
-        ("filament", lambda c: filament(c, rows, cols)),
-        ("persistent_range", lambda c: persistence(c, annuli, inputs=inputs)),
-        *site_passes(annuli, flagged, rows, cols),
-    ]
+    none = F.lit(None).cast("double")
+    rows = cells.select(*KEY, F.col("mm").cast("double").alias("mm"), (F.col("mm").cast("double") if inputs is None else none).alias("v"))
+    if inputs is not None:
+        rows = rows.unionByName(inputs.select(*KEY, none.alias("mm"), F.col("mm").cast("double").alias("v")))
+    placed = rows.join(annuli.select(*CELL, "site_idx", "bin"), CELL, "left").withColumn("step", F.lit(None).cast("int"))
+    out = persistent(placed, (cells if inputs is None else inputs).select("day").distinct(), annuli, **rules).select(*KEY, "mm")
+    extra = [c for c in cells.columns if c not in (*KEY, "mm")]
+    return out.join(cells.select(*KEY, *extra), KEY).select(*cells.columns) if extra else out.select(*cells.columns)
 
 
 def echo_counts(echo: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.quality import environment_filter, recalibrate, sanitize
-from cellweave.operators.artefacts import ACTIVE_MM, KEY, all_passes
+from cellweave.operators.artefacts import ACTIVE_MM, KEY
 from cellweave.operators.climate import CELL
+from cellweave.operators.daypasses import all_passes
 from cellweave.operators.ingest import quantile_knots, quantile_map
 from cellweave.operators.spatial import window_median
 
@@ -30,21 +31,19 @@ def calibrated(rows: DataFrame, keep) -> DataFrame:
     return mapped.select(*rows.columns).unionByName(rows.where(F.col("source") == OTHER).withColumn("mm", recalibrate(F.col("mm"))))
 
 
-def corrected(raw: DataFrame, label_days: DataFrame, annuli: DataFrame, flagged: DataFrame, rows: int, cols: int, lat: Column, keep) -> tuple[DataFrame, DataFrame]:
+def corrected(raw: DataFrame, label_days: DataFrame, annuli: DataFrame, rows: int, cols: int, lat: Column, keep) -> tuple[DataFrame, DataFrame]:
     """(corrected cells, one row per day of what the chain did) of daily cells (day, cell, mm).
 
     Source by label set, calibration, for ``GRIDDED`` days the artefact passes with the frames before them as history,
-    the environment filter, and the quality cap. ``keep(df, name)`` cuts lineage between passes. Rows of a day meet in one
-    aggregate; passes are joins on day and cell, or annulus.
+    the environment filter, and the quality cap. ``annuli`` has bin, coarse, sector and whether the site is flagged. The
+    passes take three shuffles, by day, by annulus and by day; ``keep(df, name)`` writes what several steps read.
     """
     before = keep(calibrated(with_source(raw, label_days), keep), "calibrated")
-    frames = keep(before.where(F.col("source") == GRIDDED).select(*KEY, "mm"), "frames")
-    now = frames
-    for name, run in all_passes(annuli, flagged, rows, cols, frames):
-        now = keep(run(now), name)
-    after = before.where(F.col("source") == OTHER).select(*KEY, "mm").unionByName(now)
+    frames = before.where(F.col("source") == GRIDDED).select(*KEY, "mm")
+    now = keep(all_passes(frames, annuli, rows, cols).select(*KEY, "mm", F.col("v").alias("frame")), "passed")
+    after = before.where(F.col("source") == OTHER).select(*KEY, "mm").unionByName(now.select(*KEY, "mm"))
     done = keep(after.withColumn("mm", sanitize(environment_filter(F.col("mm"), lat, F.dayofyear("day")))), "corrected")
-    joined = with_source(raw, label_days).withColumnRenamed("mm", "raw").join(done, KEY).join(now.select(*KEY, F.col("mm").alias("passed")), KEY, "left").join(frames.select(*KEY, F.col("mm").alias("frame")), KEY, "left")
+    joined = with_source(raw, label_days).withColumnRenamed("mm", "raw").join(done, KEY).join(now.select(*KEY, F.col("mm").alias("passed"), "frame"), KEY, "left")
     n_in, n_out = F.count_if(F.col("raw") > 0), F.count_if(F.col("mm") > 0)
     stats = joined.groupBy("day", "source").agg(
         n_in.alias("in_pixels"),

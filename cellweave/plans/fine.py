@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweave.functions import clock, grid, quality
-from cellweave.operators import artefacts, climate, correction, events, spatial
+from cellweave.operators import artefacts, climate, correction, daypasses, events, spatial
 from cellweave.operators.correction import GRIDDED, OTHER
 from cellweave.plans.climate import CLEAN, r6
 from cellweave.plans.events import LAT_SQL, LON_SQL, center
@@ -43,10 +43,6 @@ def rings(t):
     return near.select(*climate.CELL, "site_idx", "km", "lat", "lon", "site_lat", "site_lon", grid.range_bin(F.col("km")).alias("bin"), grid.edge_bin(F.col("km"), grid.COARSE_EDGES).alias("coarse"), (F.floor(azimuth / 15.0) % 24).cast("int").alias("sector"))
 
 
-def flagged(annuli):
-    return annuli.where(WEST)
-
-
 def _window(src: str, name: str, half: int, least: str) -> str:
     return f"""{name} AS MATERIALIZED (SELECT t.day, t.cell_row, t.cell_col, any_value(t.mm) AS mm, median(coalesce(v.mm, 0)) AS med FROM {src} t, range(-{half}, {half + 1}) dr(a), range(-{half}, {half + 1}) dc(b)
   LEFT JOIN {src} v ON v.day = t.day AND v.cell_row = least(greatest(t.cell_row + a, 0), {GRID[0] - 1}) AND v.cell_col = least(greatest(t.cell_col + b, 0), {GRID[1] - 1}) WHERE t.mm {least} GROUP BY ALL)"""
@@ -122,6 +118,11 @@ def kept_rings(t):
     return keep(rings(t), "rings")
 
 
+def marked(t):
+    """The annuli with the flag of their sites."""
+    return keep(rings(t).withColumn("flagged", F.expr(WEST)), "rings")
+
+
 @query(*BASE, radial_sql("patch", "out"), sql=SHOWN)
 def fine_radial_rings(t):
     """Rings of 10 km."""
@@ -150,28 +151,19 @@ _SITE_NAMES, _SITE_SQL = site_passes_sql("patch", "s")
 @query(*BASE, *_SITE_SQL, sql=SHOWN.replace("out", _SITE_NAMES[-1]))
 def fine_site_remediation(t):
     """The five stricter passes over flagged sites, each on the last one's output."""
-    annuli, now = kept_rings(t), patch(t)
-    for name, run in artefacts.site_passes(annuli, flagged(annuli), *GRID):
-        now = keep(run(now), name)
-    return shown(now)
+    return shown(daypasses.by_day(daypasses.placed(patch(t), marked(t)), daypasses.SITE, *GRID, True))
 
 
-PASS_NAMES = ("isolated", "radial_ring", "azimuthal", "filament", "persistent_range", "site_isolated", "site_radial_ring", "site_azimuthal", "site_filament", "site_polar_spoke")
 _NAMES, _SQL = all_passes_sql("patch")
 
 
-@query(*BASE, *_SQL, sql=" UNION ALL ".join(f"SELECT {i} AS step, '{n}' AS pass, (SELECT count(*) FROM {a} x JOIN {b} y USING (day, cell_row, cell_col) WHERE x.mm > 0 AND y.mm = 0) AS n_removed" for i, (n, a, b) in enumerate(zip(PASS_NAMES, ["patch", *_NAMES], _NAMES))))
+@query(*BASE, *_SQL, sql=" UNION ALL ".join(f"SELECT {i} AS step, '{n}' AS pass, (SELECT count(*) FROM {a} x JOIN {b} y USING (day, cell_row, cell_col) WHERE x.mm > 0 AND y.mm = 0) AS n_removed" for i, (n, a, b) in enumerate(zip(daypasses.NAMES, ["patch", *_NAMES], _NAMES))))
 def artefact_chain(t):
     """All passes in order, each on the last one's output, with the cells each removed."""
-    annuli = kept_rings(t)
-    first = now = keep(patch(t), "patch")
-    out = None
-    for i, (name, run) in enumerate(artefacts.all_passes(annuli, flagged(annuli), *GRID, first)):
-        after = keep(run(now), name)
-        row = artefacts.removed(now, after).select(F.lit(i).alias("step"), F.lit(name).alias("pass"), "n_removed")
-        out = row if out is None else out.unionByName(row)
-        now = after
-    return out
+    out = daypasses.all_passes(keep(patch(t), "patch"), marked(t), *GRID)
+    counts = out.where("step is not null").groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+    names = F.posexplode(F.array(*map(F.lit, daypasses.NAMES))).alias("step", "pass")
+    return t.spark.range(1).select(names).join(counts, "step", "left").select("step", "pass", F.coalesce("n", F.lit(0)).alias("n_removed"))
 
 
 LABELS = f"marked AS MATERIALIZED (SELECT *, CASE WHEN day IN (SELECT day FROM labelled) THEN '{GRIDDED}' ELSE '{OTHER}' END AS source FROM patch)"
@@ -202,8 +194,7 @@ ENV = f"""done AS MATERIALIZED (SELECT day, cell_row, cell_col, CASE WHEN mm > 3
   FROM marked m JOIN done d USING (day, cell_row, cell_col) LEFT JOIN frames f USING (day, cell_row, cell_col) LEFT JOIN {_DONE[-1]} p USING (day, cell_row, cell_col) GROUP BY m.day, source""")
 def correction_chain(t):
     """The daily correction from raw cells to filtered ones, as a row of counts and peaks a day."""
-    annuli = kept_rings(t)
-    return correction.corrected(keep(patch(t), "patch"), label_days(t), annuli, flagged(annuli), *GRID, center()[0], keep)[1]
+    return correction.corrected(keep(patch(t), "patch"), label_days(t), marked(t), *GRID, center()[0], keep)[1]
 
 
 VOXELS = "vox AS (SELECT vol, k, j, i, max(dbz) AS dbz, max(nobs) AS nobs, max(necho) AS necho, max(weight) AS weight FROM (SELECT l_suppkey % 3 AS vol, l_linenumber - 1 AS k, l_partkey % 40 AS j, l_orderkey % 40 AS i, l_quantity - 25e0 AS dbz, l_suppkey % 7 AS nobs, l_partkey % 5 AS necho, l_quantity / 5e0 AS weight FROM lineitem) GROUP BY vol, k, j, i)"

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from cellweave.operators.artefacts import PERSISTENT_MM
+from cellweave.operators.artefacts import PERSISTENT_MM, padded_median
 from cellweave.operators.climate import CELL
 
 #: The state store that keyed state needs; to be set before the query starts.
@@ -26,13 +26,6 @@ _DAY_MS = 86_400_000
 _EPOCH = pd.Timestamp("1970-01-01")
 
 
-def padded_median(values: np.ndarray, total: int) -> float:
-    """Median of ``total`` numbers that are 0 but for ``values``, which are not negative."""
-    ordered = np.sort(values)
-    at = lambda k: 0.0 if k < total - len(ordered) else float(ordered[k - total + len(ordered)])
-    return (at((total - 1) // 2) + at(total // 2)) / 2
-
-
 class Frame:
     """An annulus's cells with signal on one day: places, what the pass filters, and what later days see as history."""
 
