@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.operators.climate import CELL
@@ -10,23 +12,121 @@ from cellweave.operators.extremes import return_levels
 from cellweave.operators.simulation import normal, uniform
 
 
-def region_clusters(annual: DataFrame, k: int = 6, least_years: int = 5, starts: int = 10) -> DataFrame:
-    """(cell, region) by K-means on standardised mean log, deviation, years with hail and latitude index; of ``starts``
-    beginnings the one of least cost."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    stats = annual.where("mm > 0").groupBy(*CELL).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.ln("mm")).alias("mu"), F.coalesce(F.stddev_samp(F.ln("mm")), F.lit(0.0)).alias("sd")).where(F.col("n") >= least_years)
-    n = stats.count()
+def region_features(annual: DataFrame, n_years: int, lat: Column, lon: Column, least_years: int = 5) -> DataFrame:
+    """(cell, f): mean of the nonzero annual maxima, share of years that have one, latitude and longitude, each less its mean
+    over its deviation (0 where it is constant), of the cells with ``least_years`` nonzero years, or all years if fewer."""
+    cells = annual.where("mm > 0").groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.avg("mm").alias("mean")).where(F.col("n") >= min(least_years, n_years))
+    raw = cells.select(*CELL, F.array("mean", F.col("n") / n_years, lat, lon).alias("x"))
+    ends = raw.agg(*(F.struct(F.avg(F.col("x")[k]).alias("m"), F.stddev_pop(F.col("x")[k]).alias("s")).alias(f"s{k}") for k in range(4))).first()
+    scaled = [((F.col("x")[k] - F.lit(ends[k].m)) / F.lit(ends[k].s) if ends[k].s else F.lit(0.0)) for k in range(4)]
+    return raw.select(*CELL, F.array(*scaled).alias("f"))
+
+
+def lloyd(rows: DataFrame, k: int, starts: int = 10, rounds: int = 100, seed: int = 42, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """(centres by start, cost by start) of K-means on arrays ``f``, all starts in the same passes over the rows.
+
+    A start begins with rows drawn far from the centres before them: the row of largest distance to them, times the power
+    of a number that hangs on the row and the start, is the next. A round sums every start's clusters partition by partition;
+    what comes back are starts * k sums. It ends when no centre moves.
+    """
+    def passed(step):
+        def run(batches):
+            total = None
+            for batch in batches:
+                part = step(np.stack(list(batch["f"])) if len(batch) else np.zeros((0, 4)), batch)
+                total = part if total is None else [a.merge(b) for a, b in zip(total, part, strict=True)]
+            yield from (pd.DataFrame(x.rows) for x in total or [])
+
+        return run
+
+    centres: list[list[np.ndarray]] = [[] for _ in range(starts)]
+    names = F.col("cell_row").cast("long") * 1_000_003 + F.col("cell_col")
+    keyed = rows.select("f", names.alias("name"))
+    for j in range(k):
+        held = [np.array(c) for c in centres]
+
+        def draw(f: np.ndarray, batch: pd.DataFrame, held=held, j=j):
+            out = []
+            for s in range(starts):
+                u = _uniform(batch["name"].to_numpy(), s * 64 + j + seed * 4096)
+                far = ((f[:, None] - held[s]) ** 2).sum(2).min(1) if j else np.ones(len(f))
+                score = np.where(far > 0, np.log(np.maximum(u, 1e-300)) / np.maximum(far, 1e-300), -np.inf)
+                best = int(score.argmax()) if len(f) else -1
+                out.append(_First([{"s": s, "score": score[best], "f": f[best].tolist()}] if best >= 0 else []))
+            return out
+
+        found = keyed.mapInPandas(passed(draw), "s int, score double, f array<double>").groupBy("s").agg(F.max_by("f", "score").alias("f")).collect()
+        for r in found:
+            centres[r.s].append(np.array(r.f))
+    at = np.array(centres)
+    cost = np.zeros(starts)
+    for _ in range(rounds):
+        now = at.copy()
+
+        def gather(f: np.ndarray, batch: pd.DataFrame, now=now):
+            out = []
+            for s in range(starts):
+                d = ((f[:, None] - now[s]) ** 2).sum(2)
+                near = d.argmin(1)
+                sums = np.zeros((k, f.shape[1]))
+                np.add.at(sums, near, f)
+                out.append(_Sums([{"s": s, "j": j, "n": int((near == j).sum()), "x": sums[j].tolist(), "cost": float(d[near == j, j].sum())} for j in range(k)]))
+            return out
+
+        sums = keyed.mapInPandas(passed(gather), "s int, j int, n long, x array<double>, cost double").groupBy("s", "j").agg(F.sum("n").alias("n"), *(F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(4)), F.sum("cost").alias("cost")).collect()
+        cost = np.zeros(starts)
+        for r in sums:
+            cost[r.s] += r["cost"]
+            if r.n:
+                at[r.s, r.j] = np.array([r[f"x{i}"] for i in range(4)]) / r.n
+        if np.abs(at - now).max() <= tolerance:
+            break
+    return at, cost
+
+
+class _First:
+    """The row of largest score."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows = rows
+
+    def merge(self, other: _First) -> _First:
+        return _First(sorted(self.rows + other.rows, key=lambda r: -r["score"])[:1])
+
+
+class _Sums:
+    """Cluster sums, to be added."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows = rows
+
+    def merge(self, other: _Sums) -> _Sums:
+        return _Sums([a | {"n": a["n"] + b["n"], "cost": a["cost"] + b["cost"], "x": [p + q for p, q in zip(a["x"], b["x"], strict=True)]} for a, b in zip(self.rows, other.rows, strict=True)])
+
+
+def _uniform(name: np.ndarray, stream: int) -> np.ndarray:
+    """Numbers in (0, 1) that hang on a row's name and a stream."""
+    x = name.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(stream * 0xBF58476D1CE4E5B9 % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return ((x ^ x >> np.uint64(31)) >> np.uint64(11)).astype(float) / (1 << 53) + 2.0**-54
+
+
+def region_clusters(annual: DataFrame, n_years: int, lat: Column, lon: Column, k: int = 6, least_years: int = 5, starts: int = 10) -> DataFrame:
+    """(cell, region) of all cells of ``annual``: -1 for those of too few years, else the cluster by K-means on the cells'
+    ``region_features``, of ``starts`` beginnings the one of least cost. Regions are numbered by their centres' latitude, from
+    the north. Under 10 * k cells there are max(1, n // 10) regions."""
+    features = region_features(annual, n_years, lat, lon, least_years)
+    n = features.count()
+    every = annual.select(*CELL).distinct()
     if not n:
-        return stats.select(*CELL, F.lit(0).alias("region"))
-    rows = VectorAssembler(inputCols=["n", "mu", "sd", "cell_row"], outputCol="raw").transform(stats)
-    rows = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows).transform(rows)
-    if n < 20:
-        return stats.select(*CELL, F.lit(0).alias("region"))
-    fits = [KMeans(k=k if n >= 10 * k else max(1, n // 10), seed=42 + i, maxIter=50).fit(rows) for i in range(starts)]
-    model = min(fits, key=lambda m: m.summary.trainingCost)
-    return model.transform(rows).select(*CELL, F.col("prediction").alias("region"))
+        return every.select(*CELL, F.lit(-1).alias("region"))
+    at, cost = lloyd(features, k if n >= 10 * k else max(1, n // 10), starts)
+    best = at[int(cost.argmin())]
+    best = best[np.lexsort((*best.T[[3, 1, 0]], -best[:, 2]))]
+    apart = [F.aggregate(F.zip_with("f", F.array(*map(F.lit, c.tolist())), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) for c in best]
+    nearest = F.array_position(F.array(*apart), F.array_min(F.array(*apart))) - 1
+    return every.join(features.select(*CELL, nearest.cast("int").alias("region")), CELL, "left").withColumn("region", F.coalesce("region", F.lit(-1)))
 
 
 def classifier_report(rows: DataFrame, features: list[str], rounds: int = 200) -> DataFrame:

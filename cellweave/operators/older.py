@@ -131,8 +131,10 @@ def decay_length(km: np.ndarray, rho: np.ndarray, low: float = 1.0, high: float
 
 
 def correlation_factor(km: np.ndarray, length: float) -> np.ndarray:
-    """Lower Cholesky factor of exp(-km / length), its negative eigenvalues raised to 1e-8 first. For the bounded sample
-    of cells that the copula has."""
+    """Lower Cholesky factor of exp(-km / length), its negative eigenvalues raised to 1e-8 first. For the bounded set of
+    cells that the copula has."""
+    if not len(km):
+        return np.zeros((0, 0))
     model = np.exp(-km / length)
     np.fill_diagonal(model, 1.0)
     values, vectors = np.linalg.eigh(model)
@@ -142,33 +144,6 @@ def correlation_factor(km: np.ndarray, length: float) -> np.ndarray:
     return np.linalg.cholesky(model + 1e-12 * np.eye(len(model)))
 
 
-def copula_aggregate(spark, factor: np.ndarray, values: list[np.ndarray], zero: np.ndarray, years: int, events: int, damage: float = 25.4, seed: int = 42) -> DataFrame:
-    """(sim_year, aggregate, footprint): the sum over cells of each year's largest of ``events`` correlated fields, and the
-    cells at or over ``damage``.
-
-    Correlated normals become probabilities, and each cell's probability its value: 0 up to ``zero``, else interpolated
-    in its sorted ``values`` from there to 1. A year's draws depend on the seed and the year only.
-    """
-    from math import erf, sqrt
-
-    cdf = np.vectorize(lambda x: (1 + erf(x / sqrt(2))) / 2)
-    points = [np.linspace(z, 1, len(v)) if len(v) else np.array([1.0]) for z, v in zip(zero, values, strict=True)]
-    share = spark.sparkContext.broadcast((factor, [v if len(v) else np.zeros(1) for v in values], points, zero))
-
-    def run(batches):
-        lower, ordered, at, none = share.value
-        for batch in batches:
-            rows = []
-            for year in batch["sim_year"]:
-                u = cdf(np.random.default_rng([seed, year]).standard_normal((events, len(lower))) @ lower.T)
-                field = np.column_stack([np.where(u[:, k] > none[k], np.interp(u[:, k], at[k], ordered[k]), 0.0) for k in range(len(lower))])
-                top = field.max(0)
-                rows.append((year, float(top.sum()), int((top >= damage).sum())))
-            yield pd.DataFrame(rows, columns=["sim_year", "aggregate", "footprint"])
-
-    return spark.range(1, years + 1).select(F.col("id").alias("sim_year")).mapInPandas(run, "sim_year long, aggregate double, footprint long")
-
-
 def inside_polygon_sql(lat: str, lon: str, corners: tuple[tuple[float, float], ...]) -> str:
     """SQL text of whether a point is inside a polygon of (lat, lon) corners: a ray to the east crosses an odd number of
     edges; an edge has its lower end."""

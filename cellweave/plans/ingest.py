@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cellweave.functions import clock, quality
 from cellweave.operators import climate, ingest, models
 from cellweave.plans.climate import CLEAN, r6
+from cellweave.plans.events import center
 from cellweave.plans.extremes import CHAIN, levels_sql
 from cellweave.plans.registry import query
 from cellweave.sources.shared import keep
@@ -154,8 +155,10 @@ def stream_daily_max(t):
 
 @query()
 def region_clusters(t):
-    """Cells in up to six regions by K-means on standardised features of their annual maxima."""
-    return models.region_clusters(climate.annual_max(t.cell_day()))
+    """Cells in up to six regions by K-means on mean hail, occurrence, latitude and longitude; ten starts."""
+    days = t.cell_day()
+    annual = keep(climate.annual_max(days), "annual")
+    return models.region_clusters(annual, climate.years_of(days).first()[0], *center())
 
 
 _P, _XI, _SCALE = models.jittered("rep", "d")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cellweave.functions import clock, grid
-from cellweave.operators import climate, events, extremes, ingest, older, spatial
+from cellweave.operators import climate, dependence, events, extremes, ingest, older, spatial
 from cellweave.plans import simulation
 from cellweave.plans.climate import r6
 from cellweave.plans.events import LAT_SQL, LON_SQL, active, center, grouped
@@ -160,63 +160,82 @@ def smooth_occurrence(t):
     return rows.select(*climate.CELL, F.posexplode(smooth).alias("i", "events")).select(marks[F.col("i")].alias("threshold_mm"), *climate.CELL, F.round("events", 6).alias("events"))
 
 
-PICKED = "picked AS MATERIALIZED (SELECT cell_row, cell_col, row_number() OVER (ORDER BY (cell_row * 7919 + cell_col * 104729) % 10007, cell_row, cell_col) AS i FROM (SELECT DISTINCT cell_row, cell_col FROM ecells) QUALIFY i <= 60)"
-PAIRED = f"""cp AS (SELECT a.i * 1000 + b.i AS pair, a.i, b.i AS j, round({grid.haversine_sql('(49e0 - a.cell_row * 1.25e0)', '(-120e0 + a.cell_col * 2e0)', '(49e0 - b.cell_row * 1.25e0)', '(-120e0 + b.cell_col * 2e0)')}, 6) AS km FROM picked a JOIN picked b ON a.i < b.i),
+KM = grid.haversine_sql('(49e0 - a.cell_row * 1.25e0)', '(-120e0 + a.cell_col * 2e0)', '(49e0 - b.cell_row * 1.25e0)', '(-120e0 + b.cell_col * 2e0)')
+DRAWS = 5000
+INDEXED = "picked AS MATERIALIZED (SELECT cell_row, cell_col, row_number() OVER (ORDER BY cell_row, cell_col) AS i FROM (SELECT DISTINCT cell_row, cell_col FROM ecells))"
+PAIRED = f"""drawn AS MATERIALIZED (SELECT range AS pair, {dependence.draw_sql('range', 1, 'n')} AS i, {dependence.draw_sql('range', 2, 'n')} AS j FROM range(1, {DRAWS + 1}), (SELECT count(*) AS n FROM picked)),
+  cp AS (SELECT pair, a.i, b.i AS j, round({KM}, 6) AS km FROM drawn JOIN picked a ON a.i = drawn.i JOIN picked b ON b.i = drawn.j WHERE drawn.i <> drawn.j),
   ev_i AS (SELECT i, event_id, mm FROM ecells JOIN picked USING (cell_row, cell_col)),
   xy AS (SELECT pair, event_id, max(x) AS x, max(y) AS y FROM (SELECT pair, event_id, mm AS x, 0e0 AS y FROM cp JOIN ev_i USING (i) UNION ALL SELECT pair, event_id, 0e0, mm FROM cp JOIN ev_i ON ev_i.i = cp.j) GROUP BY ALL),
   rk2 AS (SELECT pair, rank() OVER (PARTITION BY pair ORDER BY x) + (count(*) OVER (PARTITION BY pair, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY pair ORDER BY y) + (count(*) OVER (PARTITION BY pair, y) - 1) / 2 AS ry FROM xy),
   rhos AS (SELECT pair, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho FROM rk2 GROUP BY pair HAVING count(*) >= 5)"""
 
 
-def sampled_pairs(t):
-    """Event values of at most 60 sampled cells, and their pairs with distances."""
-    from pyspark.sql import Window
-
+def drawn_pairs(t):
+    """Event values of all cells by number, and 5,000 random pairs of cells with distances."""
     cells = keep(events.event_cells(grouped(t), active(t)), "event-cells")
-    order = ((F.col("cell_row") * 7919 + F.col("cell_col") * 104729) % 10007, *climate.CELL)
-    picked = cells.select(*climate.CELL).distinct().orderBy(*order).limit(60)
-    picked = keep(picked.withColumn("i", F.row_number().over(Window.orderBy(*order))), "sampled-cells")
+    numbered = keep(dependence.indexed(cells), "cell-numbers")
     lat, lon = F.lit(49.0) - F.col("cell_row") * 1.25, F.lit(-120.0) + F.col("cell_col") * 2.0
-    one, two = picked.select("i", lat.alias("a1"), lon.alias("o1")), picked.select(F.col("i").alias("j"), lat.alias("a2"), lon.alias("o2"))
-    pairs = one.join(F.broadcast(two), F.col("i") < F.col("j")).select((F.col("i") * 1000 + F.col("j")).alias("pair"), "i", "j", F.round(grid.haversine_km(F.col("a1"), F.col("o1"), F.col("a2"), F.col("o2")), 6).alias("km"))  # 60 rows
-    return cells.join(picked, climate.CELL).select("event_id", "i", "mm"), pairs
+    one, two = numbered.select("i", lat.alias("a1"), lon.alias("o1")), numbered.select(F.col("i").alias("j"), lat.alias("a2"), lon.alias("o2"))
+    pairs = dependence.drawn_pairs(t.spark, numbered.count(), DRAWS).join(one, "i").join(two, "j")
+    pairs = keep(pairs.select("pair", "i", "j", F.round(grid.haversine_km(F.col("a1"), F.col("o1"), F.col("a2"), F.col("o2")), 6).alias("km")), "pairs")
+    return cells.join(numbered, climate.CELL).select("event_id", "i", "mm"), pairs
+
 
+def decay_bins(t):
+    values, pairs = drawn_pairs(t)
+    return older.binned_correlation(older.pair_correlations(values, pairs).join(pairs.select("pair", "km"), "pair"))
 
-@query(CELL_DAY, ACTIVE, STEPS, GROUPS, PICKED, PAIRED, sql="SELECT (floor(km / 100) + 0.5) * 100 AS km_mid, count(*) AS n, round(avg(rho), 6) AS mean, round(quantile_cont(rho, 0.25), 6) AS p25, round(quantile_cont(rho, 0.75), 6) AS p75 FROM rhos JOIN cp USING (pair) WHERE rho IS NOT NULL AND km < 2000 GROUP BY 1 HAVING count(*) >= 3")
+
+@query(CELL_DAY, ACTIVE, STEPS, GROUPS, INDEXED, PAIRED, sql="SELECT (floor(km / 100) + 0.5) * 100 AS km_mid, count(*) AS n, round(avg(rho), 6) AS mean, round(quantile_cont(rho, 0.25), 6) AS p25, round(quantile_cont(rho, 0.75), 6) AS p75 FROM rhos JOIN cp USING (pair) WHERE rho IS NOT NULL AND km < 2000 GROUP BY 1 HAVING count(*) >= 3")
 def pair_decay(t):
-    """Rank correlation of sampled pairs of cells by distance."""
-    values, pairs = sampled_pairs(t)
-    rows = older.pair_correlations(values, pairs).join(pairs.select("pair", "km"), "pair")
-    return older.binned_correlation(rows).select("km_mid", "n", *r6("mean", "p25", "p75"))
+    """Rank correlation of 5,000 random pairs of cells by distance."""
+    return decay_bins(t).select("km_mid", "n", *r6("mean", "p25", "p75"))
 
 
 @query()
 def decay_length(t):
-    """One row: the distance over which rank correlations fall to 1/e, fitted to the distance bins."""
-    values, pairs = sampled_pairs(t)
-    rows = older.binned_correlation(older.pair_correlations(values, pairs).join(pairs.select("pair", "km"), "pair")).orderBy("km_mid").collect()
+    """One row: the distance over which the random pairs' correlations fall to 1/e, fitted to the distance bins."""
+    rows = decay_bins(t).orderBy("km_mid").collect()  # a row a distance bin
     length = older.decay_length(np.array([r.km_mid for r in rows]), np.array([r["mean"] for r in rows])) if rows else 30.0
     return t.spark.createDataFrame([(len(rows), round(length, 6))], "bins int, length_km double")
 
 
+def copula_cells(t):
+    """At most 800 cells by number, their distances, and the values of the catalogue's events in them."""
+    catalog, cells = simulation.history(t)
+    order = F.expr("(cell_row * 7919 + cell_col * 104729) % 10007")
+    numbered = keep(dependence.indexed(cells, order, most=dependence.MOST_CELLS), "cell-numbers")
+    at = np.array([(49.0 - r.cell_row * 1.25, -120.0 + r.cell_col * 2.0) for r in numbered.orderBy("i").collect()]).reshape(-1, 2)  # 800 rows at most
+    return catalog, numbered, dependence.planar_km(at[:, 0], at[:, 1]), cells.join(numbered, climate.CELL).select("event_id", "i", "mm")
+
+
+@query()
+def spearman_decay(t):
+    """One row: the decay length fitted to the rank correlations of all pairs of at most 800 cells' annual maxima."""
+    _, numbered, km, _ = copula_cells(t)
+    annual = climate.annual_max(t.cell_day()).join(numbered, climate.CELL).select("i", "year", "mm")
+    n = len(km)
+    length = dependence.fitted_length(km, dependence.rank_matrix(annual, n)) if n > 1 else None
+    return t.spark.createDataFrame([(n, n * (n - 1) // 2, length and round(length, 4))], "cells int, pairs int, length_km double")
+
+
+#: Years that the copula simulates, and its decay lengths.
+COPULA_YEARS, LENGTHS = 2000, (100, 150, 200)
+
+
 @query()
 def copula_aggregates(t):
-    """Annual aggregates of a Gaussian copula over sampled cells, for three decay lengths."""
-    values, pairs = sampled_pairs(t)
-    per = {r.i: np.sort(np.array(r.v)) for r in values.groupBy("i").agg(F.collect_list("mm").alias("v")).collect()}
-    n_events = max(values.select("event_id").distinct().count(), 1)
-    index = {i: k for k, i in enumerate(sorted(per))}
-    km = np.zeros((len(per), len(per)))
-    for r in pairs.collect():
-        if r.i in index and r.j in index:
-            km[index[r.i], index[r.j]] = km[index[r.j], index[r.i]] = r.km
-    ordered = [per[i] for i in sorted(per)]
-    zero = np.array([1 - len(v) / n_events for v in ordered])
+    """Annual aggregates of a Gaussian copula over the cells, 2,000 years for each of three decay lengths, with as many events a
+    year as the catalogue has."""
+    catalog, _, km, values = copula_cells(t)
+    size = catalog.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.year("start_date")).alias("years")).first()
     out = None
-    for length in (100, 150, 200):
-        one = older.copula_aggregate(t.spark, older.correlation_factor(km, length), ordered, zero, 1000, 20).withColumn("length_km", F.lit(length))
+    for length in LENGTHS:
+        one = dependence.copula_peaks(t.spark, older.correlation_factor(km, length), COPULA_YEARS if len(km) else 0, max(1, round(size.n / max(size.years, 1)))).withColumn("length_km", F.lit(length))
         out = one if out is None else out.unionByName(one)
-    return out.select("length_km", "sim_year", F.round("aggregate", 6).alias("aggregate"), "footprint")
+    found = dependence.quantiles_of(out, keep(values, "cell-values"), max(size.n, 1))
+    return dependence.annual_aggregates(found, ["length_km", "sim_year"]).select("length_km", "sim_year", F.round("aggregate", 6).alias("aggregate"), "footprint")
 
 
 CITIES = (("Dallas", 32.78, -96.80), ("Denver", 39.74, -104.99), ("Oklahoma City", 35.47, -97.52), ("Kansas City", 39.10, -94.58), ("Omaha", 41.26, -95.94), ("San Antonio", 29.42, -98.49))

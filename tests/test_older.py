@@ -33,18 +33,6 @@ def test_decay_length_and_factor():
     assert np.allclose(np.diag(low @ low.T), 1) and np.linalg.eigvalsh(low @ low.T).min() > 0
 
 
-def test_copula_aggregates(spark):
-    values = [np.sort(np.random.default_rng(i).gamma(2, 15, 40)) for i in range(4)]
-    zero = np.array([0.5, 0.6, 0.7, 1.0])
-    values[3] = np.zeros(0)
-    alone, tied = (older.copula_aggregate(spark, f, values, zero, 400, 5).toPandas() for f in (np.eye(4), np.tile([[1.0, 0, 0, 0]], (4, 1))))
-    again = older.copula_aggregate(spark, np.eye(4), values, zero, 400, 5).repartition(3).toPandas()
-    assert alone.sort_values("sim_year").reset_index(drop=True).equals(again.sort_values("sim_year").reset_index(drop=True))
-    assert (alone.footprint <= 3).all() and alone["aggregate"].max() <= sum(v.max() for v in values[:3])
-    assert tied["aggregate"].std() > alone["aggregate"].std()
-    assert alone["aggregate"].mean() == pytest.approx(tied["aggregate"].mean(), rel=0.1)
-
-
 def test_composite_level_inverts_its_distribution(spark):
     from math import erf, exp, log, sqrt
 
@@ -93,7 +81,7 @@ def test_chain_removes_what_each_pass_should(spark):
     rows = [(day, r, c, 6.0) for r, c in near if 5 <= r - ROW0 < 15 and 5 <= c - COL0 < 15] + [(day, ROW0 + 40, COL0 + 40, 90.0), (other, ROW0 + 9, COL0 + 9, 30.0), (other, ROW0, COL0, 2.0)]
     cells = spark.createDataFrame(rows, "day date, cell_row int, cell_col int, mm double")
     labels = spark.createDataFrame([(day,)], "day date")
-    done, stats = correction.corrected(cells, labels, annuli, annuli.where("false"), 520, 1180, F.lit(40.0), keep)
+    done, stats = correction.corrected(cells, labels, annuli.withColumn("flagged", F.lit(False)), 520, 1180, F.lit(40.0), keep)
     got = {r.day: r for r in stats.collect()}
     assert got[day].source == "GridRad" and got[day].in_pixels == 101 and got[day].artefacts_removed >= 1
     assert got[other].source == "MYRORSS/MRMS" and got[other].artefacts_removed == 0 and got[other].peak_in_mm == 30.0
