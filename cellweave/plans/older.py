@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cellweave.functions import clock, grid
-from cellweave.operators import climate, dependence, events, extremes, ingest, older, spatial
+from cellweave.operators import climate, dependence, events, extremes, ingest, older, polygons, spatial
 from cellweave.plans import simulation
 from cellweave.plans.climate import r6
 from cellweave.plans.events import LAT_SQL, LON_SQL, active, center, grouped
@@ -262,6 +262,24 @@ def polygon_mask(t):
     return cells.withColumn("lat", F.lit(49.0) - F.col("cell_row") * 1.25).withColumn("lon", F.lit(-120.0) + F.col("cell_col") * 2.0).select(*climate.CELL, F.expr(_INSIDE).alias("land"))
 
 
+#: Outlines for points: the land with a lake in it, a concave plain across its border, and two parts of a coast.
+OUTLINES = {
+    "land": (OUTLINE, ((45.9, -87.5), (41.7, -87.4), (41.6, -86.8), (45.8, -85.1))),
+    "plain": (((37.0, -104.0), (49.0, -104.0), (43.2, -100.6), (49.0, -96.5), (36.5, -94.6), (33.5, -98.9), (29.4, -98.5), (34.0, -103.5)),),
+    "coast": (((25.1, -82.0), (31.0, -83.2), (31.0, -79.9), (25.1, -79.9)), ((29.0, -98.0), (29.0, -88.9), (30.9, -88.0), (31.2, -97.2))),
+}
+_EDGES_SQL = ", ".join(f"('{name}', {min(p, q)[0]!r}e0, {min(p, q)[1]!r}e0, {max(p, q)[0]!r}e0, {max(p, q)[1]!r}e0)" for name, rings in OUTLINES.items() for ring in rings for p, q in zip(ring, ring[1:] + ring[:1], strict=True) if p[0] != q[0])
+
+
+@query(f"edges(polygon, lo, lo_lon, hi, hi_lon) AS (VALUES {_EDGES_SQL})", "spots AS (SELECT event_id, 24e0 + event_id * 37 % 2600 / 100e0 AS lat, -125e0 + (user_id * 53 + event_id * 11) % 5900 / 100e0 AS lon FROM events)", sql="SELECT event_id, polygon FROM spots JOIN edges ON lat >= lo AND lat < hi AND lon < lo_lon + (lat - lo) * (hi_lon - lo_lon) / (hi - lo) GROUP BY event_id, polygon HAVING count(*) % 2 = 1")
+def points_in_outlines(t):
+    """The outlines, concave, in parts and with a hole, that the places of events lie in."""
+    corners = [(name, r, i, float(a), float(b)) for name, rings in OUTLINES.items() for r, ring in enumerate(rings) for i, (a, b) in enumerate(ring)]
+    vertices = t.spark.createDataFrame(corners, "polygon string, ring int, seq int, lat double, lon double")
+    spots = t.read("events").select("event_id", (F.lit(24.0) + F.col("event_id") * 37 % 2600 / 100.0).alias("lat"), (F.lit(-125.0) + (F.col("user_id") * 53 + F.col("event_id") * 11) % 5900 / 100.0).alias("lon"))
+    return polygons.polygons_of(spots, vertices).select("event_id", "polygon")
+
+
 @query(sql="SELECT CAST(trunc((50.005e0 - lat) / 0.05e0) AS INTEGER) AS cell_row, CAST(trunc((lon + 125.005e0) / 0.05e0) AS INTEGER) AS cell_col, round(avg(CASE WHEN e < 0 THEN 0 ELSE e END), 6) AS elevation_m FROM (SELECT 24.5e0 + l_partkey * 31 % 2500 / 100e0 AS lat, -124.5e0 + l_suppkey * 17 % 5000 / 100e0 AS lon, l_quantity * 50 - 200 AS e FROM lineitem) GROUP BY ALL")
 def elevation_grid(t):
     """Elevation points averaged over the grid's cells."""
