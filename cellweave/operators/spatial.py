@@ -1,4 +1,4 @@
-"""Neighbourhood joins on the grid: nearest site, buffered overlap, kernel pooling, window medians."""
+"""Neighbourhood joins on the grid: buffered overlap, kernel pooling, window medians."""
 
 from __future__ import annotations
 
@@ -10,42 +10,6 @@ from pyspark.sql import functions as F
 from cellweave.functions import grid
 from cellweave.operators.climate import CELL
 
-#: Sites that a task compares at a time.
-MOST_SITES = 20_000
-
-
-def nearest_site(cells: DataFrame, sites: DataFrame, lat: Column, lon: Column) -> DataFrame:
-    """Adds site_idx and km of the nearest site, the least index on ties (distances rounded to 1e-6 km).
-
-    Sites go to the tasks as arrays of ``MOST_SITES`` at most, compared in numpy blocks: a higher-order function over them
-    is interpreted and some twenty times slower, and no pair is ever a row. A site is 24 bytes on the driver.
-    """
-    rows = sites.select("site_idx", "site_lat", "site_lon").orderBy("site_idx").collect()
-    if not rows:
-        return cells.select(*cells.columns, F.lit(None).cast("long").alias("site_idx"), F.lit(None).cast("double").alias("km"))
-
-    def nearest_of(part):
-        index = np.array([r[0] for r in part])
-        phi2, lam2 = (np.radians([float(r[i]) for r in part]) for i in (1, 2))
-
-        @F.pandas_udf("struct<km: double, site_idx: long>")
-        def near(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
-            out = []
-            for a in range(0, len(lat), 256):
-                phi1, lam1 = (np.radians(x.to_numpy(float)[a : a + 256, None]) for x in (lat, lon))
-                h = np.sin((phi2 - phi1) / 2) ** 2 + np.cos(phi1) * np.cos(phi2) * np.sin((lam2 - lam1) / 2) ** 2
-                km = np.round(2 * grid.EARTH_KM * np.arcsin(np.sqrt(np.clip(h, 0, 1))), 6)
-                best = km.argmin(1)
-                out.append(pd.DataFrame({"km": km[np.arange(len(best)), best], "site_idx": index[best]}))
-            return pd.concat(out) if out else pd.DataFrame({"km": np.zeros(0), "site_idx": np.zeros(0, int)})
-
-        return near(lat, lon)
-
-    found = [nearest_of(rows[a : a + MOST_SITES]) for a in range(0, len(rows), MOST_SITES)]
-    best = F.least(*found) if len(found) > 1 else found[0]
-    return cells.withColumn("_near", best).select(*cells.columns, F.col("_near.site_idx").alias("site_idx"), F.col("_near.km").alias("km"))
-
-
 def _around(rows: DataFrame, steps: Column, *columns: str) -> DataFrame:
     """Each row once for every combination of steps added to the columns."""
     for c in columns:

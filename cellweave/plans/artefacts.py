@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweave.functions import clock, grid, quality
-from cellweave.operators import artefacts, climate, spatial
+from cellweave.operators import artefacts, climate, nearest
 from cellweave.plans.climate import CLEAN, r6
 from cellweave.plans.registry import query
+from cellweave.sources.shared import keep
 from cellweave.sources.tables import COLS, OBS, ROWS, SITE
 
 KM, SECTOR = 100.0, 90.0
@@ -27,7 +28,7 @@ def annuli(t):
     cells = t.spark.range(ROWS * COLS).select(F.floor(F.col("id") / COLS).cast("int").alias("cell_row"), (F.col("id") % COLS).cast("int").alias("cell_col"))
     lat, lon = F.lit(49.0) - F.col("cell_row") * 1.25, F.lit(-120.0) + F.col("cell_col") * 2.0
     sites = t.site()
-    near = spatial.nearest_site(cells, sites, lat, lon).join(sites, "site_idx")
+    near = nearest.nearest_site(cells, sites, lat, lon, keep).join(sites, "site_idx")
     azimuth = F.round(grid.azimuth_deg(F.col("site_lat"), F.col("site_lon"), lat, lon), 6)
     return near.withColumn("lat", lat).withColumn("lon", lon).select(*climate.CELL, "km", "lat", "lon", "site_lat", "site_lon", "site_idx", grid.range_bin(F.col("km"), KM).alias("bin"), (F.floor(azimuth / SECTOR) % 4).cast("int").alias("sector"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweave.functions import grid, specfun
-from cellweave.operators import climate, events, extremes, likelihood, spatial
+from cellweave.operators import climate, events, extremes, likelihood, nearest, spatial
 from cellweave.plans.climate import ANNUAL, YEARS, r6
 from cellweave.plans.extremes import PERIODS, TAIL, U, levels_sql, region
 from cellweave.plans.registry import query
@@ -30,7 +30,7 @@ def active(t):
 @query(CELL_DAY_FINE, SITE, "cells AS (SELECT DISTINCT cell_row, cell_col FROM cell_day_fine)", f"d AS (SELECT cell_row, cell_col, site_idx, round({grid.haversine_sql(LAT_SQL, LON_SQL, 'site_lat', 'site_lon')}, 6) AS km FROM cells, site)", sql="SELECT cell_row, cell_col, arg_min(site_idx, (km, site_idx)) AS site_idx, round(min(km), 2) AS km FROM d GROUP BY ALL")
 def nearest_site(t):
     cells = t.cell_day_fine().select(*climate.CELL).distinct()
-    return spatial.nearest_site(cells, t.site(), *center()).withColumn("km", F.round("km", 2))
+    return nearest.nearest_site(cells, t.site(), *center(), keep).withColumn("km", F.round("km", 2))
 
 
 ACTIVE = "act AS (SELECT * FROM cell_day WHERE mm >= 29)"

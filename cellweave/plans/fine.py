@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweave.functions import clock, grid, quality
-from cellweave.operators import artefacts, climate, correction, daypasses, events, spatial
+from cellweave.operators import artefacts, climate, correction, daypasses, events, nearest, spatial
 from cellweave.operators.correction import GRIDDED, OTHER
 from cellweave.plans.climate import CLEAN, r6
 from cellweave.plans.events import LAT_SQL, LON_SQL, center
@@ -38,7 +38,7 @@ def rings(t):
     """The patch's cells with site, range bins, sector and what the features need."""
     cells = t.spark.range(SIDE * SIDE).select((F.lit(ROW0) + F.floor(F.col("id") / SIDE)).cast("int").alias("cell_row"), (F.lit(COL0) + F.col("id") % SIDE).cast("int").alias("cell_col"))
     lat, lon = center()
-    near = spatial.nearest_site(cells, t.site(), lat, lon).join(t.site(), "site_idx").withColumn("lat", lat).withColumn("lon", lon)
+    near = nearest.nearest_site(cells, t.site(), lat, lon, keep).join(t.site(), "site_idx").withColumn("lat", lat).withColumn("lon", lon)
     azimuth = F.round(grid.azimuth_deg(F.col("site_lat"), F.col("site_lon"), F.col("lat"), F.col("lon")), 6)
     return near.select(*climate.CELL, "site_idx", "km", "lat", "lon", "site_lat", "site_lon", grid.range_bin(F.col("km")).alias("bin"), grid.edge_bin(F.col("km"), grid.COARSE_EDGES).alias("coarse"), (F.floor(azimuth / 15.0) % 24).cast("int").alias("sector"))
 

@@ -267,16 +267,6 @@ def test_tiled_medians_are_the_listed_ones(spark):
         assert tiled.count() == targets.count() and tiled.exceptAll(listed).isEmpty()
 
 
-def test_nearest_of_more_sites_than_a_task_compares_at_once(spark, monkeypatch):
-    from cellweave.operators import spatial
-
-    sites = spark.range(25).selectExpr("id AS site_idx", "30 + id % 5 AS site_lat", "-100 + CAST(id / 5 AS int) AS site_lon")
-    points = spark.range(40).selectExpr("29.5 + id % 7 AS lat", "-100.5 + id % 6 AS lon")
-    one = spatial.nearest_site(points, sites, F.col("lat"), F.col("lon")).collect()
-    monkeypatch.setattr(spatial, "MOST_SITES", 4)
-    assert Counter(one) == Counter(spatial.nearest_site(points, sites, F.col("lat"), F.col("lon")).collect())
-
-
 def test_quantiles_and_ranks_of_large_groups(spark):
     import numpy as np
 
