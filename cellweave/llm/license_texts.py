@@ -64,7 +64,7 @@ def _full_texts():
     return tuple(out)
 
 
-#: All that a document may be; the SQL knows TEXTS.
+#: All that a document may be.
 ALL_TEXTS = TEXTS + _full_texts()
 
 #: Spellings that count as the same word, first to second.

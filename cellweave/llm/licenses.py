@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import whole
-from .license_texts import ALL_TEXTS, SPELLINGS, TEXTS
+from .license_texts import ALL_TEXTS, SPELLINGS
 
 #: Words before which a line that begins with copyright, or an item (c), goes on with a sentence of the licence.
 GOES_ON = "notices?|holders?|owners?|laws?|licen[cs]es?|permissions?|statements?|disclaims?|disclaimers?|interests?|treaty|treaties|protections?|infringements?|rights?|and|or|on|in|is|of|to|for|as|if|at|with|that|this|which|such|may|shall|will|are|resulting|doctrines|ownership|the (?:software|library|program)"
@@ -14,8 +14,6 @@ ITEM = "under|you|the|to|a|an|any|if|in|it|all|for|this|that|each|every|no|such|
 _YEAR = r"[\[<{(]?(?:[0-9]{4}|yyyy|year)"
 #: Lines that carry a copyright statement, in lower case: a sign, a year or a holder follows. Only a newline ends a line.
 COPYRIGHT = rf"(?md)^[\t ]*(?:©|copyright[\t ,:]*(?:\(c\)|©|{_YEAR})|copyright[\t :]+(?!(?:{GOES_ON})\b)[^\s,.;:)]|\(c\)[\t ]*(?:copyright|{_YEAR})|\(c\)[\t ]+(?!(?:{ITEM})\b)[^\s])[^\n]*$"
-#: What the SQL drops: every line that begins so.
-SQL_COPYRIGHT = r"(?m)^[\t ]*(?:copyright|\(c\)|©)[^\n]*$"
 #: Runs of ASCII other than letters and digits; bytes of other scripts stay.
 FILLER = r"[\x00-\x2f\x3a-\x60\x7b-\x7f©]+"
 MENTION = r"(?i)licen[cs]e"
@@ -68,8 +66,18 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _states_copyright_sql(line: str) -> str:
+    """``COPYRIGHT`` of one line in lower case, for patterns without look-ahead: a holder is what follows and is no sentence."""
+    start = lambda pattern: f"regexp_matches({line}, '^[\\t ]*{pattern}')"
+    sign = start(rf"(?:©|copyright[\t ,:]*(?:\(c\)|©|{_YEAR})|\(c\)[\t ]*(?:copyright|{_YEAR}))")
+    holder = f"({start(r'copyright[\t :]+[^\s,.;:)]')} AND NOT {start(rf'copyright[\t :]+(?:{GOES_ON})\b')})"
+    item = f"({start(r'\(c\)[\t ]+[^\s]')} AND NOT {start(rf'\(c\)[\t ]+(?:{ITEM})\b')})"
+    return f"({sign} OR {holder} OR {item})"
+
+
 def _canonical_sql(text: str) -> str:
-    same = f"' ' || regexp_replace(regexp_replace(lower({text}), '{SQL_COPYRIGHT}', '', 'g'), '{FILLER}', ' ', 'g') || ' '"
+    lines = f"array_to_string(list_transform(string_split(lower({text}), chr(10)), lambda x: CASE WHEN {_states_copyright_sql('x')} THEN '' ELSE x END), chr(10))"
+    same = f"' ' || regexp_replace({lines}, '{FILLER}', ' ', 'g') || ' '"
     for a, b in SPELLINGS:
         same = f"replace({same}, ' {a} ', ' {b} ')"
     return f"sha256(trim(regexp_replace({same}, ' +', ' ', 'g')))"
@@ -80,7 +88,7 @@ def _quoted(text: str) -> str:
 
 
 OP6_SQL = f"""
-WITH known AS (SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, {_canonical_sql('t')} AS digest FROM (VALUES {', '.join(f'({_quoted(i)}, {_quoted(t)})' for i, t in TEXTS)}) AS x(license_id, t)) GROUP BY digest),
+WITH known AS (SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, {_canonical_sql('t')} AS digest FROM (VALUES {', '.join(f'({_quoted(i)}, {_quoted(t)})' for i, t in ALL_TEXTS)}) AS x(license_id, t)) GROUP BY digest),
 docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
 lines AS (SELECT n, {_canonical_sql('line')} AS digest FROM (SELECT n, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '{MENTION}')),
 noted AS (SELECT n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM lines JOIN known USING (digest) GROUP BY n)

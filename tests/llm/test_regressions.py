@@ -50,3 +50,24 @@ def test_nearest_past_a_doubles_range_is_never_undefined(spark):
     assert out[(out.query_id == 20) & (out.vec_id == 7)].score.item() == 0
     for _, part in out.sort_values("rank").groupby("query_id"):
         assert part.score.is_monotonic_decreasing
+
+
+def test_licence_sql_states_the_query(spark, tmp_path):
+    """Every known text, wrapped, spelt otherwise, under copyright lines of many forms, and lines that only look like one."""
+    import textwrap
+
+    import duckdb
+
+    from cellweave.llm import licenses as L
+
+    heads = ["", "Copyright (c) 2019 A. Holder", "COPYRIGHT 1999-2004, B", "© 2001 C", "(c) Copyright D 2010", "(C) 2011 E", "  copyright: Foo Bar Ltd", "Copyright holders may not be named", "copyright notice", "(c) you must keep it", "(c) Example Inc", "copyright , 1990", "Copyright <YEAR> <OWNER>", "copyright law applies", "Copyrights F"]
+    texts = [f"{h}\n\n{t}" if h else t for k, (_, t) in enumerate(L.ALL_TEXTS) for h in (heads if k % 7 == 0 else heads[:2])]
+    texts += ["\n".join(textwrap.wrap(t, 60)) for _, t in L.ALL_TEXTS if len(t) < 20_000]
+    texts += [t.replace("license", "licence").upper() for _, t in L.ALL_TEXTS if len(t) < 20_000] + [None, "", "Copyright (c) 2020 X", "a\nReleased under the MIT Licence.\nLicensed under CC BY 4.0.\n", "über Licence ©"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(L.OP6_SQL)
+    got = L.op6_licenses(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want.fetchall())
+    assert sum(r.license_id is not None for r in got) > 60
