@@ -95,10 +95,11 @@ def _parted(table: DataFrame, lo: str, hi: str) -> DataFrame:
     return table.withColumn("_part", F.explode(F.sequence(_part(F.col(lo)), _part(F.col(hi)))))
 
 
-def simulate(catalog: DataFrame, years: int, fixed_sigma: float | None = None, shift_cells: float = 3.0, grow: float = 0.25) -> DataFrame:
+def simulate(catalog: DataFrame, years: int, fixed_sigma: float | None = None, shift_cells: float = 3.0, grow: float = 0.25, roll: int | None = None) -> DataFrame:
     """(sim_year, event_idx, draw_doy, template_id, scale, drow, dcol, grown) of every simulated event.
 
-    The older catalogues are parameters: ``fixed_sigma`` for the intensity's deviation, ``shift_cells`` 0 for none.
+    The older catalogues are parameters: ``fixed_sigma`` for the intensity's deviation, ``shift_cells`` 0 for none, ``roll`` for
+    shifts of up to so many rows and columns, each as likely as the others.
     """
     spark = catalog.sparkSession
     rate = catalog.agg(F.count(F.lit(1)) / F.count_distinct(F.year("start_date"))).scalar()
@@ -115,12 +116,26 @@ def simulate(catalog: DataFrame, years: int, fixed_sigma: float | None = None, s
     s = s if fixed_sigma is None else F.lit(fixed_sigma)
     out = picked.join(rank, "template_id").withColumn("scale", F.exp(s * F.expr(normal("sim_year", "event_idx", 3))))
     shift = lambda d: F.bround(F.expr(normal("sim_year", "event_idx", d)) * shift_cells).cast("int")
+    if roll is not None:
+        shift = lambda d: F.expr(rolled("sim_year", "event_idx", d, roll))
     return out.select("sim_year", "event_idx", "draw_doy", "template_id", "scale", shift(5).alias("drow"), shift(7).alias("dcol"), (F.expr(uniform("sim_year", "event_idx", 9)) < grow).alias("grown"))
 
 
-def simulated_cells(events: DataFrame, cells: DataFrame, rows: int, cols: int) -> DataFrame:
-    """(sim_year, event_idx, cell, mm): scaled, shifted, some grown by half-intensity neighbours, inside the grid and
-    among the cells that were ever active."""
+def rolled(year: str, event: str, draw: int, most: int) -> str:
+    """SQL text of a whole number from -most to most, all equally likely."""
+    return f"CAST(least(floor({uniform(year, event, draw)} * {2 * most + 1}), {2 * most}) AS INT) - {most}"
+
+
+def footprints(cells: DataFrame, damage: float, area_km2: float) -> DataFrame:
+    """(sim_year, event_idx, n_cells, max_mm, mean_mm, footprint_km2) of the cells at or over ``damage``; an event that has none, by
+    its intensity or because it left the grid, has no row."""
+    hit = cells.where(F.col("mm") >= damage).groupBy("sim_year", "event_idx")
+    return hit.agg(F.count(F.lit(1)).alias("n_cells"), F.max("mm").alias("max_mm"), F.avg("mm").alias("mean_mm"), (F.count(F.lit(1)) * F.lit(area_km2)).alias("footprint_km2"))
+
+
+def simulated_cells(events: DataFrame, cells: DataFrame, rows: int, cols: int, known_only: bool = True) -> DataFrame:
+    """(sim_year, event_idx, cell, mm): scaled, shifted, some grown by half-intensity neighbours, inside the grid and, where
+    ``known_only``, among the cells that were ever active."""
     shape = cells.select(F.col("event_id").alias("template_id"), "cell_row", "cell_col", "mm")
     joined = events.join(shape, "template_id")
     own = F.struct(F.lit(0).alias("r"), F.lit(0).alias("c"), F.lit(1.0).alias("f"))
@@ -128,8 +143,8 @@ def simulated_cells(events: DataFrame, cells: DataFrame, rows: int, cols: int) -
     spread = joined.withColumn("x", F.explode(F.when(F.col("grown"), F.array(own, *shell)).otherwise(F.array(own))))
     placed = spread.select("sim_year", "event_idx", (F.col("cell_row") + F.col("drow") + F.col("x.r")).alias("cell_row"), (F.col("cell_col") + F.col("dcol") + F.col("x.c")).alias("cell_col"), F.least(F.col("mm") * F.col("scale") * F.col("x.f"), F.lit(300.0)).alias("mm"))
     inside = placed.where(F.col("cell_row").between(0, rows - 1) & F.col("cell_col").between(0, cols - 1))
-    known = cells.select(*CELL).distinct()
-    return inside.join(known, CELL).groupBy("sim_year", "event_idx", *CELL).agg(F.max("mm").alias("mm"))
+    inside = inside.join(cells.select(*CELL).distinct(), CELL) if known_only else inside
+    return inside.groupBy("sim_year", "event_idx", *CELL).agg(F.max("mm").alias("mm"))
 
 
 def empirical_levels(annual: DataFrame, years: int, periods: tuple[int, ...], extra: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cellweave.operators import climate
 from cellweave.plans.registry import query
-from cellweave.sources import footers, gridsource
+from cellweave.sources import dimensions, footers, gridsource
 from cellweave.sources.shared import folder, keep
 
 
@@ -53,3 +53,22 @@ def footer_statistics(t):
         rows = found.select(F.lit(table).alias("table_name"), F.col("column").alias("column_name"), "n_rows", "n_nulls", year("low").alias("first_year"), year("high").alias("last_year"), F.col("low_number").alias("low"), F.col("high_number").alias("high"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+_PEOPLE = "people AS (SELECT lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 40 AS VARCHAR), 3, '0') AS geoid, 2000 + c_custkey % 7 AS year, CAST(floor(sum(greatest(c_acctbal, 0))) AS BIGINT) AS p FROM customer GROUP BY ALL)"
+_PLACES = "places AS (SELECT lpad(CAST(s_nationkey + 1 AS VARCHAR), 2, '0') || lpad(CAST(s_suppkey % 40 AS VARCHAR), 3, '0') AS geoid, avg(25e0 + s_suppkey * 7 % 24) AS lat, avg(-120e0 + s_suppkey * 13 % 50) AS lon, avg(s_suppkey % 5 / 4e0) AS beta, min(s_suppkey) AS k FROM supplier GROUP BY ALL)"
+
+
+@query(_PEOPLE, _PLACES, sql="SELECT p.geoid, y.year, round(lat, 6) AS lat, round(lon, 6) AS lon, round(pow(coalesce(r.p, 1) / coalesce(o.p, 1), CASE WHEN k % 3 = 0 THEN 1e0 ELSE beta END), 6) AS factor FROM places p CROSS JOIN (SELECT DISTINCT year FROM people) y LEFT JOIN (SELECT geoid, year, greatest(p, 1) * 1e0 AS p FROM people) o ON o.geoid = p.geoid AND o.year = y.year LEFT JOIN (SELECT geoid, greatest(p, 1) * 1e0 AS p FROM people WHERE year = 2003) r ON r.geoid = p.geoid")
+def dimension_files(t):
+    """Population factors of counties from CSV files of centroids, exponents and population, written from the tables first."""
+    place = folder(t.spark, "dimensions")
+    number = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    s = t.read("supplier").groupBy((F.col("s_nationkey") + 1).alias("state"), (F.col("s_suppkey") % 40).alias("county")).agg(F.avg(F.lit(25.0) + F.col("s_suppkey") * 7 % 24).alias("lat"), F.avg(F.lit(-120.0) + F.col("s_suppkey") * 13 % 50).alias("lon"), F.avg(F.col("s_suppkey") % 5 / 4.0).alias("beta"), F.min("s_suppkey").alias("k"))
+    s = keep(s.withColumn("geoid", F.concat(number(F.col("state"), 2), number(F.col("county"), 3))), "counties")
+    c = t.read("customer").groupBy(F.concat(number(F.col("c_nationkey") + 1, 2), number(F.col("c_custkey") % 40, 3)).alias("geoid"), (F.lit(2000) + F.col("c_custkey") % 7).alias("year")).agg(F.floor(F.sum(F.greatest("c_acctbal", F.lit(0.0)))).alias("trend_pop"))
+    out = {"centroids": s.select(F.col("state").alias("STATEFP"), F.col("county").alias("COUNTYFP"), F.col("lat").alias("LATITUDE"), F.col("lon").alias("LONGITUDE")), "beta": s.where("k % 3 <> 0").select("geoid", F.col("beta").alias("local_beta")), "population": c}
+    for name, rows in out.items():
+        rows.write.option("header", True).csv(f"{place}/{name}")
+    read = dimensions.read_centroids(t.spark, f"{place}/centroids"), dimensions.read_exponents(t.spark, f"{place}/beta"), dimensions.read_population(t.spark, f"{place}/population")
+    return dimensions.county_factors(*read, 2003).select("geoid", "year", *(F.round(x, 6).alias(x) for x in ("lat", "lon", "factor")))

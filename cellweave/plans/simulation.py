@@ -130,3 +130,21 @@ def map_levels(t):
 
 def map_levels_of(t, years, periods=(5, 10, 20)):
     return simulation.empirical_levels(map_simulation(t, years), years, periods, extra=1).where("mm >= 25.4").withColumn("mm", F.round("mm", 4))
+
+
+DAMAGE, ROLL = 25.4, 2
+ROLLED = OLD.replace(f"CAST(round_even({normal('sim_year', 'event_idx', 5)} * 0, 0) AS INTEGER) AS drow", f"{simulation.rolled('sim_year', 'event_idx', 5, ROLL)} AS drow").replace(f"CAST(round_even({normal('sim_year', 'event_idx', 7)} * 0, 0) AS INTEGER) AS dcol", f"{simulation.rolled('sim_year', 'event_idx', 7, ROLL)} AS dcol")
+ANYWHERE = CELLS.replace(" AND (r, c) IN (SELECT (cell_row, cell_col) FROM ecells)", "")
+
+
+@query(*BASE, SIGMA, DOY, COUNTS, ROLLED, ANYWHERE, sql=f"SELECT sim_year, event_idx, count(*) AS n_cells, round(max(mm), 4) AS max_mm, round(avg(mm), 4) AS mean_mm, count(*) * {AREA}e0 AS footprint_km2 FROM scells WHERE mm >= {DAMAGE} GROUP BY ALL", small=True)
+def rolled_footprints(t):
+    """Footprints of the older catalogue's events, moved by up to two rows and columns; events without damage have none."""
+    return rolled_footprints_of(t, SIM_YEARS)
+
+
+def rolled_footprints_of(t, years):
+    catalog, cells = history(t)
+    moved = simulation.simulate(catalog, years, fixed_sigma=0.15, shift_cells=0.0, grow=0.0, roll=ROLL)
+    found = simulation.footprints(simulation.simulated_cells(moved, cells, ROWS, COLS, known_only=False), DAMAGE, AREA)
+    return found.select("sim_year", "event_idx", "n_cells", F.round("max_mm", 4).alias("max_mm"), F.round("mean_mm", 4).alias("mean_mm"), "footprint_km2")

@@ -74,6 +74,10 @@ def test_other_queries_of_40_years_are_the_sql_ones(spark, con):  # noqa: F811
     same(simulation.simulation.yearly_counts(spark, rate, 40).toPandas(), con.sql(counts).df())
     same(simulation.map_occurrence_of(t, 40).toPandas(), con.sql(registry.SMALL_SQL["map_occurrence"]).df())
     same(simulation.map_levels_of(t, 40).toPandas(), con.sql(registry.SMALL_SQL["map_levels"]).df())
+    rolled = simulation.rolled_footprints_of(t, 40).toPandas()
+    same(rolled, con.sql(registry.SMALL_SQL["rolled_footprints"]).df())
+    every = simulation.simulation.simulate(catalog, 40, 0.15, 0.0, 0.0, roll=2).toPandas()
+    assert 0 < len(rolled) < len(every) and set(every.drow) == set(every.dcol) == {-2, -1, 0, 1, 2}
     assert "analytical_vs_stochastic" in registry.SMALL_SQL and checks.RPS
 
 
