@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from .helpers import SCHEMA, awkward, frame, prose
+from .helpers import awkward, frame, prose
 
 
 def plain_fingerprint(text, size=3):
