@@ -172,13 +172,36 @@ def persistence(cells: DataFrame, annuli: DataFrame, inputs: DataFrame | None =
     return out.join(cells.select(*KEY, *extra), KEY).select(*cells.columns) if extra else out.select(*cells.columns)
 
 
-def echo_counts(echo: DataFrame) -> DataFrame:
-    """(vol, k, j, i, n): echoes in the 3 x 3 x 3 surroundings of every voxel next to one, by 27 shifted keys, so no
-    volume is one task."""
-    steps = F.array(*map(F.lit, (-1, 0, 1)))
-    for c in ("k", "j", "i"):
-        echo = echo.withColumn("_d", F.explode(steps)).withColumn(c, F.col(c) + F.col("_d")).drop("_d")
-    return echo.groupBy("vol", "k", "j", "i").agg(F.count(F.lit(1)).alias("n"))
+#: Side of a tile of a volume, in voxels.
+TILE = 64
+
+
+def echo_counts(echo: DataFrame, levels: int) -> DataFrame:
+    """(vol, k, j, i, n): echoes in the 3 x 3 x 3 surroundings of every echo. A group is a tile of all levels with a rim of one
+    voxel, so an echo moves to four tiles at most and no volume is one task."""
+    corners = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in (-1, 1) for i in (-1, 1)))
+    tile = lambda c: F.floor(c / TILE).cast("int")
+    spread = echo.select("vol", *(F.col(c).cast("long").alias(c) for c in ("k", "j", "i")), F.explode(corners).alias("d"))
+    spread = spread.select("vol", tile(F.col("j") + F.col("d.j")).alias("_tj"), tile(F.col("i") + F.col("d.i")).alias("_ti"), "k", "j", "i").distinct()
+
+    def count(table: pa.Table) -> pa.Table:
+        k, j, i = (table.column(c).to_numpy() for c in ("k", "j", "i"))
+        j0, i0 = (int(table.column(c)[0].as_py()) * TILE - 1 for c in ("_tj", "_ti"))
+        dense = np.zeros((levels + 2, TILE + 4, TILE + 4), np.int16)
+        dense[k + 1, j - j0 + 1, i - i0 + 1] = 1
+        for axis in range(3):
+            near = np.zeros_like(dense)
+            inner = [slice(None)] * 3
+            for step in (-1, 0, 1):
+                inner[axis] = slice(1, -1)
+                near[tuple(inner)] += np.roll(dense, step, axis)[tuple(inner)]
+            dense = near
+        own = np.flatnonzero((j > j0) & (j <= j0 + TILE) & (i > i0) & (i <= i0 + TILE))
+        out = {c: table.column(c).take(pa.array(own)) for c in ("vol", "k", "j", "i")}
+        return pa.table(out | {"n": pa.array(dense[k[own] + 1, j[own] - j0 + 1, i[own] - i0 + 1].astype(np.int64))})
+
+    kind = dict(spread.dtypes)["vol"]
+    return spread.groupBy("vol", "_tj", "_ti").applyInArrow(count, f"vol {kind}, k long, j long, i long, n long")
 
 
 def remove_clutter(voxels: DataFrame, levels: int, echo_dbz: float = 5.0, coverage: float = 0.32, weak_dbz: float = 20.0, shallow: bool = True) -> DataFrame:
@@ -189,7 +212,7 @@ def remove_clutter(voxels: DataFrame, levels: int, echo_dbz: float = 5.0, covera
     """
     key, column = ["vol", "k", "j", "i"], ["vol", "j", "i"]
     is_echo = F.col("dbz") >= echo_dbz
-    few = lambda echo: echo.join(echo_counts(echo.select(*key)), key).where(F.col("n") / 27.0 < coverage).select(*key)
+    few = lambda echo: echo.join(echo_counts(echo.select(*key), levels), key).where(F.col("n") / 27.0 < coverage).select(*key)
     mid, high = max(1, levels // 3), min(levels - 1, 2 * levels // 3)
     any_of = lambda c: F.max(F.when(is_echo & c, 1).otherwise(0)) == 1
     k = F.col("k")

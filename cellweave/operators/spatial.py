@@ -33,35 +33,24 @@ def overlapping_days(cells: DataFrame, steps: DataFrame, buffer: int) -> DataFra
     return now.join(before, same & near_cell, "left_semi").select("day").distinct()
 
 
-#: Half sizes from which windows are cut out of tiles instead of being a row a cell, and the side of a tile.
-WIDE, SIDE = 3, 64
+#: Least side of a tile.
+SIDE = 64
 
 
 def window_median(targets: DataFrame, cells: DataFrame, half: int, rows: int, cols: int) -> DataFrame:
     """Adds the median over the (2 half + 1)^2 window around each target, absent cells 0, edges replicated."""
-    found = _tiled_medians if half >= WIDE else _listed_medians
-    return targets.join(found(targets, cells, half, rows, cols), ["day", *CELL])
-
-
-def _listed_medians(targets: DataFrame, cells: DataFrame, half: int, rows: int, cols: int) -> DataFrame:
-    """A row for each cell of a small window."""
-    steps = F.sequence(F.lit(-half), F.lit(half))
-    clamp = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1))
-    around = targets.select("day", *CELL, F.explode(steps).alias("dr")).select("*", F.explode(steps).alias("dc"))
-    around = around.select("day", *CELL, clamp(F.col("cell_row") + F.col("dr"), rows).alias("r"), clamp(F.col("cell_col") + F.col("dc"), cols).alias("c"))
-    values = cells.select("day", F.col("cell_row").alias("r"), F.col("cell_col").alias("c"), F.col("mm").alias("v"))
-    return around.join(values, ["day", "r", "c"], "left").groupBy("day", *CELL).agg(F.median(F.coalesce("v", F.lit(0.0))).alias("med"))
+    return targets.join(_tiled_medians(targets, cells, half, rows, cols), ["day", *CELL])
 
 
 def _tiled_medians(targets: DataFrame, cells: DataFrame, half: int, rows: int, cols: int) -> DataFrame:
-    """Large windows are cut from a dense tile with a rim of ``half`` cells: a cell moves once for each of the tiles, four
-    at most, that it can be in a window of, and a group is a tile of one day."""
-    side = max(SIDE, half)
+    """Windows are cut from a dense tile with a rim of ``half`` cells: a cell moves once for each of the tiles, four at most,
+    that it can be in a window of, and a group is a tile of one day."""
+    side = max(SIDE, 2 * half)
     spread = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-half, half) for c in (-half, half)))
-    tile = lambda c: F.floor(F.col(c) / side).cast("int")
-    near = cells.select("day", *CELL, "mm", F.lit(False).alias("asked"), F.explode(spread).alias("d"))
-    near = near.select("day", F.floor((F.col("cell_row") + F.col("d.r")) / side).cast("int").alias("_tr"), F.floor((F.col("cell_col") + F.col("d.c")) / side).cast("int").alias("_tc"), *CELL, "mm", "asked").distinct()
-    every = near.unionByName(targets.select("day", tile("cell_row").alias("_tr"), tile("cell_col").alias("_tc"), *CELL, F.lit(0.0).alias("mm"), F.lit(True).alias("asked")))
+    tile = lambda c: F.floor(c / side).cast("int")
+    near = cells.select("day", *CELL, F.col("mm").cast("double").alias("mm"), F.lit(False).alias("asked"), F.explode(spread).alias("d"))
+    near = near.select("day", tile(F.col("cell_row") + F.col("d.r")).alias("_tr"), tile(F.col("cell_col") + F.col("d.c")).alias("_tc"), *CELL, "mm", "asked").distinct()
+    every = near.unionByName(targets.select("day", tile(F.col("cell_row")).alias("_tr"), tile(F.col("cell_col")).alias("_tc"), *CELL, F.lit(0.0).alias("mm"), F.lit(True).alias("asked")))
 
     def cut(part: pd.DataFrame) -> pd.DataFrame:
         asked = part[part["asked"]]
@@ -69,9 +58,10 @@ def _tiled_medians(targets: DataFrame, cells: DataFrame, half: int, rows: int, c
         row0, col0 = int(part["_tr"].iloc[0]) * side - half, int(part["_tc"].iloc[0]) * side - half
         dense = np.zeros((side + 2 * half, side + 2 * half))
         dense[held["cell_row"].to_numpy() - row0, held["cell_col"].to_numpy() - col0] = held["mm"].to_numpy()
-        step = np.arange(-half, half + 1)
-        medians = [np.median(dense[np.ix_(np.clip(r + step, 0, rows - 1) - row0, np.clip(c + step, 0, cols - 1) - col0)]) for r, c in zip(asked["cell_row"], asked["cell_col"], strict=True)]
-        return asked[["day", *CELL]].assign(med=np.array(medians, float))
+        step, r, c = np.arange(-half, half + 1), asked["cell_row"].to_numpy()[:, None], asked["cell_col"].to_numpy()[:, None]
+        r, c = np.clip(r + step, 0, rows - 1) - row0, np.clip(c + step, 0, cols - 1) - col0
+        medians = [np.median(dense[r[a : a + 4096, :, None], c[a : a + 4096, None, :]].reshape(min(4096, len(r) - a), -1), axis=1) for a in range(0, len(r), 4096)]
+        return asked[["day", *CELL]].assign(med=np.concatenate([np.zeros(0), *medians]))
 
     return every.groupBy("day", "_tr", "_tc").applyInPandas(cut, "day date, cell_row int, cell_col int, med double")
 

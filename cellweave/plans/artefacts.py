@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweave.functions import clock, grid, quality
-from cellweave.operators import artefacts, climate, nearest
+from cellweave.operators import artefacts, climate, nearest, spatial
 from cellweave.plans.climate import CLEAN, r6
 from cellweave.plans.registry import query
 from cellweave.sources.shared import keep

@@ -2,7 +2,6 @@
 
 import datetime as dt
 import math
-from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,18 +251,43 @@ def test_trailing_frames_resume(spark):
     assert resumed.exceptAll(daily.trailing_frames(every, None)).isEmpty()
 
 
-def test_tiled_medians_are_the_listed_ones(spark):
+def listed_medians(targets, table, half, rows, cols):
+    """A row for each cell of a window."""
+    steps, clamp = F.sequence(F.lit(-half), F.lit(half)), lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1))
+    around = targets.select("day", "cell_row", "cell_col", F.explode(steps).alias("dr")).select("*", F.explode(steps).alias("dc"))
+    around = around.select("day", "cell_row", "cell_col", clamp(F.col("cell_row") + F.col("dr"), rows).alias("r"), clamp(F.col("cell_col") + F.col("dc"), cols).alias("c"))
+    values = table.select("day", F.col("cell_row").alias("r"), F.col("cell_col").alias("c"), F.col("mm").alias("v"))
+    return around.join(values, ["day", "r", "c"], "left").groupBy("day", "cell_row", "cell_col").agg(F.median(F.coalesce("v", F.lit(0.0))).alias("med"))
+
+
+def test_echo_counts_over_tiles(spark):
+    """Echoes of two volumes on the borders of tiles, and below the grid's lower corner."""
+    import numpy as np
+
+    from cellweave.operators import artefacts
+
+    rng = np.random.default_rng(9)
+    echo = {(int(v), int(k), int(j), int(i)) for v, k, j, i in zip(rng.integers(0, 2, 3000), rng.integers(0, 5, 3000), rng.integers(-3, 140, 3000), rng.integers(55, 75, 3000))}
+    out = artefacts.echo_counts(spark.createDataFrame(sorted(echo), "vol int, k int, j int, i int"), 5).collect()
+    step = (-1, 0, 1)
+    assert {(r.vol, r.k, r.j, r.i): r.n for r in out} == {(v, k, j, i): sum((v, k + a, j + b, i + c) in echo for a in step for b in step for c in step) for v, k, j, i in echo}
+    assert len(out) == len(echo)
+
+
+def test_tiled_medians_are_the_listed_ones(spark, monkeypatch):
     import random
 
     from cellweave.operators import spatial
 
+    monkeypatch.setattr(spatial, "SIDE", 16)
+
     rng = random.Random(7)
     rows = {(D(2013, 5, 1 + rng.randrange(2)), rng.randrange(90), rng.randrange(140)): float(rng.randrange(1, 90)) for _ in range(6000)}
     table = cells(spark, [(*k, v) for k, v in rows.items()])
     targets = table.where("mm > 60 or cell_row < 3 or cell_col > 137")
-    for half in (2, 4):
+    for half in (1, 4, 12):
         tiled = spatial._tiled_medians(targets, table, half, 90, 140)
-        listed = spatial._listed_medians(targets, table, half, 90, 140)
+        listed = listed_medians(targets, table, half, 90, 140)
         assert tiled.count() == targets.count() and tiled.exceptAll(listed).isEmpty()
 
 
