@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -186,7 +188,7 @@ def bootstrap(parameters: DataFrame, rp: int = 100, replicates: int = 250, cells
 def model_probabilities(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` with ``p``, the probability of label 1 by the pipeline model stored at ``path`` (its own stages make the
     features); null for all rows where there is no model, or one that doesn't fit the rows, so that the closed-form
-    filter is used. Only this library's own model format is read, never a pickle."""
+    filter is used, and a warning says why. Only this library's own model format is read, never a pickle."""
     from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
     from pyspark.ml import PipelineModel
@@ -195,5 +197,6 @@ def model_probabilities(rows: DataFrame, path: str) -> DataFrame:
     try:
         scored = PipelineModel.load(path).transform(rows)
         return scored.select(*rows.columns, vector_to_array("probability")[1].alias("p"))
-    except (Py4JJavaError, PySparkException):
+    except (Py4JJavaError, PySparkException) as e:
+        logging.getLogger(__name__).warning("no model is used: %s can't be applied: %s", path, str(e).splitlines()[0])
         return rows.withColumn("p", F.lit(None).cast("double"))

@@ -17,13 +17,16 @@ def list_files(spark: SparkSession, root: str, days: list[dt.date], layout: str
 
     Only the folders of ``days`` are listed, and no content is read. Missing folders have no files.
     """
-    out = spark.createDataFrame([], "path string, size long, listed_day date")
-    store = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for day in days:
-        folder = f"{root}/{day.strftime(layout)}"
-        if store.exists(spark._jvm.org.apache.hadoop.fs.Path(folder)):
-            files = spark.read.format("binaryFile").load(folder).select("path", F.col("length").alias("size"), F.lit(day).alias("listed_day"))
-            out = out.unionByName(files)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    store = jvm.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = {f"/{day.strftime(layout)}": day for day in days if store.exists(jvm.Path(f"{root}/{day.strftime(layout)}"))}
+    if not folders:
+        return spark.createDataFrame([], "path string, size long, listed_day date")
+    files = spark.read.format("binaryFile").load([root + f for f in folders])  # one scan, whatever the number of days
+    depth = layout.count("/") + 1
+    folder = F.concat(F.lit("/"), F.array_join(F.slice(F.split("path", "/"), F.lit(-depth - 1), F.lit(depth)), "/"))
+    listed = F.create_map(*(F.lit(x) for pair in folders.items() for x in pair))[folder]
+    out = files.select("path", F.col("length").alias("size"), listed.alias("listed_day"))
     lower = F.lower("path")
     keep = F.lit(False)
     for s in suffixes:

@@ -67,40 +67,32 @@ def largest(spark: SparkSession, path: str, column: str):
     return spark.read.parquet(path).agg(F.max(column)).first()[0]
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(folder):
-        return []
-    done = [f.getPath() for f in store.listStatus(folder) if store.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
-    return sorted(int(p.getName()[1:]) for p in done if p.getName()[:1] == "v")
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A manifest by date, the newest row of each; empty where there is none."""
+    return _newest(_manifest(spark, path, schema)).drop("version").orderBy("date")
 
 
-def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest complete version of a manifest, CSV with a header, by date; empty where there is none."""
-    versions = _versions(spark, path)
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("header", True).csv(f"{path}/v{versions[-1]}")
+def _manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows that were ever written, with their version; a manifest that isn't there is made, empty."""
+    full = f"{schema}, version long"
+    spark.createDataFrame([], full).write.mode("ignore").option("header", True).csv(path)
+    return spark.read.schema(full).option("header", True).csv(path)
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("date").agg(F.max_by(F.struct(*rows.columns), F.struct("version", *(c for c in rows.columns if c not in ("version", "date")))).alias("r")).select("r.*")
 
 
 def upsert_manifest(spark: SparkSession, path: str, rows: DataFrame) -> int:
-    """Merge rows by ``date`` into a stored manifest, the new ones winning, and write it sorted as the next version.
+    """Merge rows by ``date`` into a stored manifest, the new ones winning, as the next version, whose number is returned.
 
-    The version's folder is claimed by creating a file in it that must not exist, so of two writers one fails instead of
-    losing the other's rows; readers see a version when it is complete.
+    Rows are appended and a date's newest version is read, so a write that fails leaves nothing, and of two writers none
+    loses the other's dates; a date that both write in one version has the larger row.
     """
-    from pyspark.sql import Window
-
     schema = rows.schema.simpleString()[7:-1].replace(":", " ")
-    version = (_versions(spark, path) or [0])[-1] + 1
-    claim = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/claim-v{version}")
-    claim.getFileSystem(spark._jsc.hadoopConfiguration()).create(claim, False).close()
-    old = read_manifest(spark, path, schema).withColumn("_new", F.lit(0))
-    both = old.unionByName(rows.withColumn("_new", F.lit(1)))
-    first = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("_new"), *(F.desc(c) for c in rows.columns)))
-    both.withColumn("_n", first).where("_n = 1").drop("_n", "_new").orderBy("date").coalesce(1).write.option("header", True).csv(f"{path}/v{version}")
+    version = (_manifest(spark, path, schema).agg(F.max("version")).first()[0] or 0) + 1
+    one = _newest(rows.withColumn("version", F.lit(version).cast("long")))
+    one.select(*rows.columns, "version").coalesce(1).write.mode("append").option("header", True).csv(path)  # a row a day
     return version
 
 

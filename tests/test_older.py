@@ -55,6 +55,17 @@ def test_missing_month_is_an_error(spark):
         legacy.month_climatology(rows, "chunk", "month", "t", (1, 2, 3)).collect()
 
 
+def test_classifier_knows_what_can_be_known(spark):
+    """Labels that hang on a product of features are learnt, also for years it didn't see; labels by chance are not."""
+    rng = np.random.default_rng(8)
+    rows = [(dt.date(2010 + i % 8, 5, 1), *map(float, rng.normal(size=2)), float(rng.integers(0, 2))) for i in range(1600)]
+    table = spark.createDataFrame(rows, "day date, a double, b double, chance double")
+    auc = lambda label: {r.split: (r.n, r.auc) for r in models.classifier_report(table.withColumn("label", label), ["a", "b"], rounds=12).collect()}
+    known, chance = auc((F.col("a") * F.col("b") > 0).cast("double")), auc(F.col("chance"))
+    assert known["train"][0] == 1200 and known["test"][0] == 400
+    assert known["test"][1] > 0.95 and 0.4 < chance["test"][1] < 0.6
+
+
 def test_model_scores_and_the_fallback(spark, tmp_path):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression

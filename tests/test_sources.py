@@ -104,9 +104,13 @@ def test_manifest_versions(spark, tmp_path):
     assert sinks.upsert_manifest(spark, path, spark.createDataFrame([("20160102", "ok", 2), ("20160101", "error", 0)], schema)) == 1
     assert sinks.upsert_manifest(spark, path, spark.createDataFrame([("20160101", "ok", 5)], schema)) == 2
     assert [tuple(r) for r in sinks.read_manifest(spark, path, schema).collect()] == [("20160101", "ok", 5), ("20160102", "ok", 2)]
-    put(tmp_path / "m" / "claim-v3")
-    with pytest.raises(Exception, match="already exists"):
-        sinks.upsert_manifest(spark, path, spark.createDataFrame([("20160101", "lost", 5)], schema))
+    assert sinks.upsert_manifest(spark, path, spark.createDataFrame([("20160103", "no_hail_pixels", 0), ("20160103", "ok", 1)], schema)) == 3
+    assert [tuple(r) for r in sinks.read_manifest(spark, path, schema).collect()] == [("20160101", "ok", 5), ("20160102", "ok", 2), ("20160103", "ok", 1)]
+    with pytest.raises(Exception, match="lost"):  # dies while it writes: nothing of it is there, and nothing blocks the next
+        sinks.upsert_manifest(spark, path, spark.createDataFrame([("20160101", "bad", 9)], schema).withColumn("status", F.when(F.col("n") == 9, F.raise_error(F.lit("lost"))).otherwise(F.col("status"))))
+    assert sinks.read_manifest(spark, path, schema).first().n == 5
+    assert sinks.upsert_manifest(spark, path, spark.createDataFrame([("20160101", "ok", 6)], schema)) == 4
+    assert sinks.read_manifest(spark, path, schema).first().n == 6
 
 
 def test_tables_and_sinks(spark, tmp_path):
