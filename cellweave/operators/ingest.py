@@ -92,8 +92,8 @@ def interpolate(value: Column, xs: Column, ys: Column) -> Column:
 def quantile_map(rows: DataFrame, knots: DataFrame, source: str, target: str) -> DataFrame:
     """``mapped``: source values moved to the target's distribution; 0 and below stay 0. Knots are two bounded arrays."""
     arrays = knots.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]).alias("qs"))
-    pick = lambda s: arrays.where(F.col("source") == s).select("qs").scalar()
-    rows = rows.where(F.col("source") == source).withColumn("_x", pick(source)).withColumn("_y", pick(target))
+    both = arrays.where(F.col("source").isin(source, target)).agg(F.map_from_entries(F.collect_list(F.struct("source", "qs")))).scalar()  # knots are made once
+    rows = rows.where(F.col("source") == source).withColumn("_k", both).withColumn("_x", F.try_element_at("_k", F.lit(source))).withColumn("_y", F.try_element_at("_k", F.lit(target))).drop("_k")
     return rows.withColumn("mapped", F.when(F.col("mm") > 0, F.least(interpolate(F.col("mm"), F.col("_x"), F.col("_y")), F.lit(MAX_MM))).otherwise(0.0)).drop("_x", "_y")
 
 

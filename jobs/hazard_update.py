@@ -10,7 +10,8 @@ takes the rows over its high-water mark and leaves under ``out``
   maximum is the largest of its rows, so late observations of old days need no rewrite;
 - ``annual_max/year=``: annual cell maxima, made again for the years that got rows, from those years' partitions only;
 - ``level/rp=``: return levels of every fitted cell, made again from all annual maxima;
-- ``run/since=``: a row a run with its counts and the new mark, written last.
+- ``run/since=``: a row a run with its counts, the levels that fall below those of a shorter period, and the new mark, written
+  last.
 
 A run that dies leaves its mark unwritten; the next starts from the same mark, takes at least the same rows and overwrites
 the same partitions. A run that finds nothing new writes nothing. One run at a time may write to an ``out``.
@@ -18,7 +19,7 @@ the same partitions. A run that finds nothing new writes nothing. One run at a t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.quality import is_bad, sanitize
@@ -28,7 +29,7 @@ from jobs.common import command, config, log, put, stored
 CELL_DAY = "day date, cell_row int, cell_col int, mm double, year int, since long"
 ANNUAL = "cell_row int, cell_col int, mm double, year int"
 LEVEL = "cell_row int, cell_col int, mm double, rp int"
-RUN = "mark long, n_rows long, n_bad long, n_cell_days long, n_annual long, n_levels long, since long"
+RUN = "mark long, n_rows long, n_bad long, n_cell_days long, n_annual long, n_levels long, n_falls long, since long"
 
 
 def observed(rows: DataFrame, settings: dict) -> DataFrame:
@@ -48,6 +49,12 @@ def cell_days(spark: SparkSession, out: str) -> DataFrame:
     return stored(spark, f"{out}/cell_day", CELL_DAY, "year", "since").groupBy("day", *climate.CELL, "year").agg(F.max("mm").alias("mm"))
 
 
+def falls(levels: DataFrame, tolerance: float = 0.5) -> int:
+    """Levels that lie by more than ``tolerance`` mm under the cell's level of the next shorter period."""
+    before = F.lag("mm").over(Window.partitionBy(*climate.CELL).orderBy("rp"))
+    return levels.withColumn("_before", before).agg(F.count_if(F.col("mm") < F.col("_before") - tolerance)).first()[0]
+
+
 def run(spark: SparkSession, observations: str, out: str, settings: str | None = None) -> dict:
     """One update; returns what the run's row holds, ``n_rows`` 0 where nothing is new."""
     chosen = config(settings, "hazard_update.json")
@@ -68,6 +75,9 @@ def run(spark: SparkSession, observations: str, out: str, settings: str | None =
     fitted = extremes.cell_parameters(annual, n_years, F.expr(chosen["region"]), chosen["threshold_mm"])
     levels = extremes.return_levels(fitted, tuple(chosen["periods"])).withColumn("mm", F.round("mm", 6))  # sums differ in their last digits with the order of rows
     counts["n_levels"] = put(levels, f"{out}/level", "rp")
+    counts["n_falls"] = falls(stored(spark, f"{out}/level", LEVEL, "rp"))
+    if counts["n_falls"]:
+        log.warning("%d levels fall with the period", counts["n_falls"])
     row = {"mark": found["mark"], "n_rows": found.n_rows, "n_bad": found.n_bad, **counts, "since": since}
     put(spark.createDataFrame([tuple(row.values())], RUN), f"{out}/run", "since", form="json")
     return row

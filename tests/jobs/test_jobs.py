@@ -114,6 +114,27 @@ def test_an_update_that_died_is_repeated(spark, archive, monkeypatch, table):
     assert rows_of(H.output(spark, f"{path}/out")) == rows_of(H.output(spark, f"{path}/whole"))
 
 
+def test_scans_read_what_is_new_and_the_years_it_touches(spark, archive, capsys):
+    from jobs import hazard_update as H
+    from jobs.common import config
+
+    add, update, path = archive
+    add(observations(7, 0, 300, [2000, 2001, 2002]))
+    update()
+    rows = H.observed(spark.read.parquet(f"{path}/in"), config(f"{path}/settings.json", "hazard_update.json"))
+    rows.where("arrived > 40").explain("formatted")
+    assert "GreaterThan(seq,40)" in capsys.readouterr().out
+    H.cell_days(spark, f"{path}/out").where("year in (2001)").explain("formatted")
+    assert "PartitionFilters: [isnotnull(year" in capsys.readouterr().out
+
+
+def test_falling_levels_are_counted(spark):
+    from jobs.hazard_update import LEVEL, falls
+
+    rows = [(0, 0, 10.0, 10), (0, 0, 9.7, 50), (0, 0, 20.0, 100), (0, 1, 30.0, 10), (0, 1, 29.0, 50), (1, 1, None, 10)]
+    assert falls(spark.createDataFrame(rows, LEVEL)) == 1 and falls(spark.createDataFrame([], LEVEL)) == 0
+
+
 def test_an_update_of_nothing(spark, archive):
     from jobs.hazard_update import output
 
