@@ -55,14 +55,15 @@ def mmdd_climatology(t):
     return t.cell_day().groupBy(F.date_format("day", "MMdd").alias("mmdd"), *climate.CELL).agg(F.round(F.sum("mm"), 6).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@query(sql="SELECT strftime(d, '%m%d') AS mmdd, month(d) AS month, count(*) AS years, count(*) FILTER (WHERE year(d) % 4 = 0) AS leap_years FROM (SELECT unnest(generate_series(DATE '1996-01-01', DATE '2003-12-31', INTERVAL 1 DAY)) AS d) GROUP BY ALL")
+@query("span AS (SELECT unnest(generate_series(min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)), INTERVAL 1 DAY)) AS d FROM orders)", "had AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1)", sql="SELECT strftime(s.d, '%m%d') AS mmdd, month(s.d) AS month, count(*) AS years, count(*) FILTER (WHERE year(s.d) % 4 = 0 AND (year(s.d) % 100 <> 0 OR year(s.d) % 400 = 0)) AS leap_years, CAST(coalesce(sum(n), 0) AS BIGINT) AS reports FROM span s LEFT JOIN had ON had.d = s.d GROUP BY ALL")
 def calendar_days(t):
-    """The 366 day labels, in how many years of a span each occurs, and in how many leap ones."""
-    import datetime as dt
-
-    d = F.col("day")
-    days = listing.days_between(t.spark, dt.date(1996, 1, 1), dt.date(2003, 12, 31))
-    return days.groupBy(F.date_format(d, "MMdd").alias("mmdd"), F.month(d).alias("month")).agg(F.count(F.lit(1)).alias("years"), F.count_if(F.year(d) % 4 == 0).alias("leap_years"))
+    """The 366 day labels of the reports' span: in how many years each occurs, in how many leap ones, and its reports."""
+    day = F.to_date("o_orderdate")
+    had = t.read("orders").groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    ends = t.read("orders").agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
+    d, leap = F.col("day"), (F.year("day") % 4 == 0) & ((F.year("day") % 100 != 0) | (F.year("day") % 400 == 0))
+    days = listing.days_between(t.spark, ends.a, ends.b).join(had, "day", "left")
+    return days.groupBy(F.date_format(d, "MMdd").alias("mmdd"), F.month(d).alias("month")).agg(F.count(F.lit(1)).alias("years"), F.count_if(leap).alias("leap_years"), F.coalesce(F.sum("n"), F.lit(0)).alias("reports"))
 
 
 @query(sql="SELECT o_orderkey, CASE WHEN y < 80 THEN y + 2000 ELSE y + 1900 END AS year FROM (SELECT o_orderkey, o_custkey % 100 AS y FROM orders)")
@@ -255,11 +256,16 @@ OUTLINE = ((48.5, -124.5), (40.5, -124.5), (34.5, -120.5), (32.5, -117.0), (31.5
 _INSIDE = older.inside_polygon_sql("lat", "lon", OUTLINE)
 
 
-@query(sql=f"SELECT cell_row, cell_col, {_INSIDE} AS land FROM (SELECT CAST(range // {COLS} AS INTEGER) AS cell_row, CAST(range % {COLS} AS INTEGER) AS cell_col, 49e0 - range // {COLS} * 1.25e0 AS lat, -120e0 + range % {COLS} * 2e0 AS lon FROM range({ROWS * COLS}))")
+def corners(t, outlines):
+    rows = [(name, r, i, float(a), float(b)) for name, rings in outlines.items() for r, ring in enumerate(rings) for i, (a, b) in enumerate(ring)]
+    return t.spark.createDataFrame(rows, "polygon string, ring int, seq int, lat double, lon double")
+
+
+@query(CELL_DAY, sql=f"SELECT cell_row, cell_col, {_INSIDE} AS land FROM (SELECT DISTINCT cell_row, cell_col, 49e0 - cell_row * 1.25e0 AS lat, -120e0 + cell_col * 2e0 AS lon FROM cell_day)")
 def polygon_mask(t):
-    """Cells whose centre is inside an outline."""
-    cells = t.spark.range(ROWS * COLS).select(F.floor(F.col("id") / COLS).cast("int").alias("cell_row"), (F.col("id") % COLS).cast("int").alias("cell_col"))
-    return cells.withColumn("lat", F.lit(49.0) - F.col("cell_row") * 1.25).withColumn("lon", F.lit(-120.0) + F.col("cell_col") * 2.0).select(*climate.CELL, F.expr(_INSIDE).alias("land"))
+    """Which cells with daily maxima have their centre inside an outline."""
+    cells = t.cell_day().select(*climate.CELL, (F.lit(49.0) - F.col("cell_row") * 1.25).alias("lat"), (F.lit(-120.0) + F.col("cell_col") * 2.0).alias("lon")).distinct()
+    return polygons.mask_of(cells, corners(t, {"land": (OUTLINE,)})).select(*climate.CELL, "land")
 
 
 #: Outlines for points: the land with a lake in it, a concave plain across its border, and two parts of a coast.
@@ -274,10 +280,8 @@ _EDGES_SQL = ", ".join(f"('{name}', {min(p, q)[0]!r}e0, {min(p, q)[1]!r}e0, {max
 @query(f"edges(polygon, lo, lo_lon, hi, hi_lon) AS (VALUES {_EDGES_SQL})", "spots AS (SELECT event_id, 24e0 + event_id * 37 % 2600 / 100e0 AS lat, -125e0 + (user_id * 53 + event_id * 11) % 5900 / 100e0 AS lon FROM events)", sql="SELECT event_id, polygon FROM spots JOIN edges ON lat >= lo AND lat < hi AND lon < lo_lon + (lat - lo) * (hi_lon - lo_lon) / (hi - lo) GROUP BY event_id, polygon HAVING count(*) % 2 = 1")
 def points_in_outlines(t):
     """The outlines, concave, in parts and with a hole, that the places of events lie in."""
-    corners = [(name, r, i, float(a), float(b)) for name, rings in OUTLINES.items() for r, ring in enumerate(rings) for i, (a, b) in enumerate(ring)]
-    vertices = t.spark.createDataFrame(corners, "polygon string, ring int, seq int, lat double, lon double")
     spots = t.read("events").select("event_id", (F.lit(24.0) + F.col("event_id") * 37 % 2600 / 100.0).alias("lat"), (F.lit(-125.0) + (F.col("user_id") * 53 + F.col("event_id") * 11) % 5900 / 100.0).alias("lon"))
-    return polygons.polygons_of(spots, vertices).select("event_id", "polygon")
+    return polygons.polygons_of(spots, corners(t, OUTLINES)).select("event_id", "polygon")
 
 
 @query(sql="SELECT CAST(trunc((50.005e0 - lat) / 0.05e0) AS INTEGER) AS cell_row, CAST(trunc((lon + 125.005e0) / 0.05e0) AS INTEGER) AS cell_col, round(avg(CASE WHEN e < 0 THEN 0 ELSE e END), 6) AS elevation_m FROM (SELECT 24.5e0 + l_partkey * 31 % 2500 / 100e0 AS lat, -124.5e0 + l_suppkey * 17 % 5000 / 100e0 AS lon, l_quantity * 50 - 200 AS e FROM lineitem) GROUP BY ALL")
