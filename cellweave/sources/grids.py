@@ -83,8 +83,9 @@ def _padded(data: bytes) -> bytes:
     return data + b"\0" * (-len(data) % 4)
 
 
-def read_netcdf(data: bytes) -> dict[str, np.ndarray]:
-    """Variables of a classic NetCDF file (version 1 or 2, without record dimension) by name."""
+def read_header(data: bytes) -> dict[str, tuple[str, list[int], int]]:
+    """(numpy type, shape, first byte) of the variables of a classic NetCDF file (version 1 or 2, without record dimension), by
+    name; the header's bytes are enough."""
     head = _Header(data)
     head.number()
     dims = head.listed(lambda: (head.name(), head.number()))
@@ -95,11 +96,16 @@ def read_netcdf(data: bytes) -> dict[str, np.ndarray]:
         shape = [dims[head.number()][1] for _ in range(n)]
         head.listed(head.attribute)
         kind, _, begin = head.number(), head.number(), head.number(head.wide)
-        return name, np.frombuffer(data, TYPES[kind], math.prod(shape), begin).reshape(shape)
+        return name, (TYPES[kind], shape, begin)
 
     return dict(head.listed(variable))
 
 
+def read_netcdf(data: bytes) -> dict[str, np.ndarray]:
+    """Variables of a classic NetCDF file by name."""
+    return {k: np.frombuffer(data, kind, math.prod(shape), begin).reshape(shape) for k, (kind, shape, begin) in read_header(data).items()}
+
+
 def sparse_cells(content: bytes, value: str = "MESH") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, columns and values of a sparse field (pixel_x, pixel_y, run length pixel_count), rebased to the kept window;
     values finite, over 0, at most the cap and not the missing one."""

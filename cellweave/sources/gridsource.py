@@ -12,6 +12,7 @@ import datetime as dt
 import gzip
 import posixpath
 import re
+import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,10 +23,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from cellweave.sources.grids import COL0, ROW0, cells_of, read_tags, write_netcdf
+from cellweave.sources.grids import COL0, ROW0, cells_of, read_header, read_tags, write_netcdf
 
 PUSHDOWN = {"spark.sql.python.filterPushdown.enabled": "true"}
 CELLS = "path string, ts timestamp_ntz, day date, cell_row int, cell_col int, mm double, error string"
+POINTS = "path string, lat double, lon double, value double"
 TAGS = "path string, ts timestamp_ntz, day date, size long, tags map<string, string>, error string"
 SUFFIXES = (".netcdf", ".netcdf.gz", ".nc", ".nc.gz")
 #: What a partition reads, about, and how many days a filter may span for its folders to be listed one by one.
@@ -58,20 +60,37 @@ def convective(ts: dt.datetime | None) -> dt.date | None:
     return (ts - dt.timedelta(hours=12)).date() if ts else None
 
 
+#: Names of the coordinates of a dense field, in any case.
+LATS, LONS = ("lat", "latitude", "y"), ("lon", "longitude", "x")
+
+
 @dataclass
 class Files(InputPartition):
     paths: list[tuple[str, int]]
 
 
+@dataclass
+class Rows(InputPartition):
+    """Some rows of a dense field: where it, its rows' and its columns' coordinates are in the file."""
+
+    path: str
+    field: tuple[str, list[int], int]
+    lat: tuple[str, list[int], int]
+    lon: tuple[str, list[int], int]
+    first: int
+    last: int
+
+
 class GridFiles(DataSource):
-    """Options: ``path``; ``value``, the field's name (MESH); ``content`` cells, or tags for a row a file; ``layout`` of a day's folder."""
+    """Options: ``path``; ``value``, the field's name (MESH); ``content`` cells, tags for a row a file, or points for a row a number of
+    a dense field with coordinates, such as an elevation model; ``layout`` of a day's folder."""
 
     @classmethod
     def name(cls) -> str:
         return "grid_files"
 
     def schema(self) -> str:
-        return TAGS if self.options.get("content", "cells") == "tags" else CELLS
+        return {"tags": TAGS, "points": POINTS}.get(self.options.get("content", "cells"), CELLS)
 
     def reader(self, schema) -> GridReader:
         return GridReader(dict(self.options))
@@ -85,7 +104,8 @@ class GridFiles(DataSource):
 class GridReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.value, self.layout = options["path"].rstrip("/"), options.get("value", "MESH"), options.get("layout", "%Y/%m/%d")
-        self.tags, self.group = options.get("content", "cells") == "tags", int(options.get("groupbytes", GROUP_BYTES))
+        self.tags, self.points = (options.get("content", "cells") == x for x in ("tags", "points"))
+        self.group = int(options.get("groupbytes", GROUP_BYTES))
         self.first, self.last, self.days = dt.date.min, dt.date.max, None
 
     def pushFilters(self, filters):
@@ -124,7 +144,53 @@ class GridReader(DataSourceReader):
         found = {f.path: f.size for folder in folders for f in where.get_file_info(fs.FileSelector(folder, allow_not_found=True, recursive=calendar is None)) if f.type == fs.FileType.File and f.path.lower().endswith(SUFFIXES)}
         return sorted((p, n) for p, n in found.items() if self._wanted(p))
 
+    def _row_groups(self) -> list[InputPartition]:
+        """Rows of the files' fields, about a group of bytes each; of a file only its header is read for it."""
+        where, root = store(self.root)
+        out: list[InputPartition] = []
+        paths = [root] if where.get_file_info(root).type == fs.FileType.File else [p for p, _ in self.listed()]
+        for path in paths:
+            with where.open_input_file(path) as f:
+                head, size = b"", 1 << 16
+                while True:
+                    f.seek(0)
+                    head = f.read(size)
+                    try:
+                        held = read_header(head)
+                        break
+                    except (struct.error, UnicodeDecodeError, KeyError, IndexError):
+                        if len(head) < size:
+                            raise
+                        size *= 4
+            names = {k.lower(): k for k in held}
+            lat, lon = (next((held[names[n]] for n in known if n in names), None) for known in (LATS, LONS))
+            if self.value not in held or lat is None or lon is None or held[self.value][1] != [*lat[1], *lon[1]]:
+                raise ValueError(f"{path} has no field {self.value} over latitudes and longitudes")
+            kind, (n_rows, n_cols), _ = held[self.value]
+            step = max(1, self.group // max(1, n_cols * np.dtype(kind).itemsize))
+            out += [Rows(path, held[self.value], lat, lon, a, min(a + step, n_rows)) for a in range(0, n_rows, step)]
+        return out
+
+    def _point_rows(self, part: Rows) -> Iterator[pa.RecordBatch]:
+        where, _ = store(self.root)
+        with where.open_input_file(part.path) as f:
+
+            def numbers(place: tuple[str, list[int], int], first: int, n: int) -> np.ndarray:
+                kind = np.dtype(place[0])
+                f.seek(place[2] + first * kind.itemsize)
+                return np.frombuffer(f.read(n * kind.itemsize), kind).astype(float)
+
+            width = part.field[1][1]
+            lon = numbers(part.lon, 0, width)
+            step = max(1, 65_536 // max(1, width))
+            for a in range(part.first, part.last, step):
+                n = min(step, part.last - a)
+                lat, values = numbers(part.lat, a, n), numbers(part.field, a * width, n * width)
+                yield _batch(([part.path] * (n * width), pa.string()), (np.repeat(lat, width), pa.float64()), (np.tile(lon, n), pa.float64()), (values, pa.float64()), names=["path", "lat", "lon", "value"])
+
     def partitions(self) -> list[InputPartition]:
+        if self.points:
+            return self._row_groups() or [Files([])]
         groups, size = [Files([])], 0
         for path, n in self.listed():
             if groups[-1].paths and size + n > self.group:
@@ -134,7 +200,10 @@ class GridReader(DataSourceReader):
             size += n
         return groups
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Files | Rows) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, Rows):
+            yield from self._point_rows(partition)
+            return
         where, _ = store(self.root)
         for path, size in partition.paths:
             content, error = b"", None

@@ -146,3 +146,44 @@ def test_netcdf_round_trip():
     data = grids.write_netcdf(fields, {"k": "v", "long name": "é" * 5, "": ""})
     assert {k: v.tolist() for k, v in grids.read_netcdf(data).items()} == {k: v.tolist() for k, v in fields.items()}
     assert grids.read_tags(data) == {"k": "v", "long name": "é" * 5, "": ""}
+
+
+def elevation(seed, n_lat=40, n_lon=90):
+    rng = np.random.default_rng(seed)
+    lat, lon = np.linspace(30, 31, n_lat), np.linspace(-100, -98, n_lon)
+    return lat, lon, rng.uniform(-50, 3000, (n_lat, n_lon)).astype("f4")
+
+
+def test_elevation_models_as_points(spark, source, tmp_path):
+    """Rows of a dense field with coordinates, from one file and from a folder, averaged over cells."""
+    lat, lon, z = elevation(1)
+    (tmp_path / "dem").mkdir()
+    (tmp_path / "dem" / "a.nc").write_bytes(grids.write_netcdf({"Latitude": lat, "lon": lon, "z": z}, {"units": "m" * 70_000}))
+    for path in ("dem/a.nc", "dem"):
+        rows = source.option("content", "points").option("value", "z").option("groupbytes", "3000").load(f"{tmp_path}/{path}")
+        assert rows.rdd.getNumPartitions() == 5
+        got = {(r.lat, r.lon): r.value for r in rows.collect()}
+        assert got == {(a, b): float(z[i, j]) for i, a in enumerate(lat) for j, b in enumerate(lon)}
+    cells = {(r.cell_row, r.cell_col): r.elevation_m for r in grids.resample_elevation(rows.withColumnRenamed("value", "elevation_m")).collect()}
+    want = {}
+    for i, a in enumerate(lat):
+        for j, b in enumerate(lon):
+            want.setdefault((int((50.005 - a) / 0.05), int((b + 125.005) / 0.05)), []).append(max(float(z[i, j]), 0.0))
+    assert cells == {k: pytest.approx(np.mean(v)) for k, v in want.items()}
+    with pytest.raises(Exception, match="no field q"):
+        source.option("content", "points").option("value", "q").load(f"{tmp_path}/dem").collect()
+
+
+def test_a_task_reads_its_rows_only(tmp_path):
+    lat, lon, z = elevation(2, 4000, 90)
+    (tmp_path / "a.nc").write_bytes(grids.write_netcdf({"lat": lat, "lon": lon, "z": z}, {}))
+    reader = G.GridFiles({"path": f"{tmp_path}/a.nc", "content": "points", "value": "z", "groupbytes": "36000"}).reader(None)
+    parts = reader.partitions()
+    assert len(parts) == 40 and [(p.first, p.last) for p in parts[:2]] == [(0, 100), (100, 200)]
+    data = bytearray((tmp_path / "a.nc").read_bytes())
+    begin = parts[7].field[2]
+    data[begin : begin + 700 * 360] = b"\xff" * (700 * 360)
+    data[begin + 800 * 360 :] = b"\xff" * (len(data) - begin - 800 * 360)
+    (tmp_path / "a.nc").write_bytes(data)
+    values = np.concatenate([b.column("value").to_numpy() for b in reader.read(parts[7])])
+    assert (values == z[700:800].ravel()).all()
