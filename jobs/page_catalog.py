@@ -27,7 +27,7 @@ from jobs.common import command, config, log, put, stored
 PAGES = "page_id long, url string, html string"
 PAGE = "page_id long, url string, host string, n_chars long, n_links long, status string, batch long"
 TARGET = "target string, host string, ts timestamp_ntz, first_page long, n_refs long, batch long, kind string"
-HOST = "host string, n_pages long, n_linking long, n_unreadable long, status string"
+HOST = "host string, first_page long, n_pages long, n_linking long, n_unreadable long, status string"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
 
 
@@ -87,8 +87,8 @@ def target_rows(pages: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
 
 
 def host_rows(pages: DataFrame) -> DataFrame:
-    """(host, n_pages, n_linking, n_unreadable, status): the status of a source day, a host's pages as its files."""
-    counts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("status") == "ok").alias("n_linking"), F.count_if(F.col("status") == "unreadable").alias("n_unreadable"))
+    """(host, first_page, n_pages, n_linking, n_unreadable, status): the status of a source day, a host's pages as its files."""
+    counts = pages.groupBy("host").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("status") == "ok").alias("n_linking"), F.count_if(F.col("status") == "unreadable").alias("n_unreadable"))
     return counts.withColumn("status", day_status(F.col("n_pages"), F.col("n_linking"), F.col("n_unreadable")))
 
 
@@ -120,12 +120,13 @@ def run(spark: SparkSession, pages: str, out: str, checkpoint: str, settings: st
 
 
 def output(spark: SparkSession, out: str) -> DataFrame:
-    """(what, name, host, kind, ts, first_page, n): pages by address with their links, targets with their links so far, hosts
-    with their pages; kind is the status of pages and hosts."""
-    none, no_time = F.lit(None).cast("long"), F.lit(None).cast("timestamp_ntz")
-    pages = stored(spark, f"{out}/page", PAGE, "batch").select(F.lit("page").alias("what"), F.col("url").alias("name"), "host", F.col("status").alias("kind"), no_time.alias("ts"), F.col("page_id").alias("first_page"), F.col("n_links").alias("n"))
-    targets = stored(spark, f"{out}/target", TARGET, "batch", "kind").select(F.lit("target").alias("what"), F.col("target").alias("name"), "host", "kind", "ts", "first_page", F.col("n_refs").alias("n"))
-    hosts = stored(spark, f"{out}/host", HOST, "status").select(F.lit("host").alias("what"), F.col("host").alias("name"), "host", F.col("status").alias("kind"), no_time.alias("ts"), none.alias("first_page"), F.col("n_pages").alias("n"))
+    """(what, name, host, kind, time, first_page, n): pages by address with their links, targets with their links and the time in
+    their name, empty without one, hosts with their pages; kind is the status of pages and hosts."""
+    no_time = F.lit("").alias("time")
+    pages = stored(spark, f"{out}/page", PAGE, "batch").select(F.lit("page").alias("what"), F.col("url").alias("name"), "host", F.col("status").alias("kind"), no_time, F.col("page_id").alias("first_page"), F.col("n_links").alias("n"))
+    time = F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+    targets = stored(spark, f"{out}/target", TARGET, "batch", "kind").select(F.lit("target").alias("what"), F.col("target").alias("name"), "host", "kind", time.alias("time"), "first_page", F.col("n_refs").alias("n"))
+    hosts = stored(spark, f"{out}/host", HOST, "status").select(F.lit("host").alias("what"), F.col("host").alias("name"), "host", F.col("status").alias("kind"), no_time, "first_page", F.col("n_pages").alias("n"))
     return pages.unionByName(targets).unionByName(hosts)
 
 

@@ -77,10 +77,10 @@ def _job2_sql() -> str:
     regexp_extract(regexp_extract(target, '[^/]*$'), '(\\d{{8}})[T-](\\d{{6}})Z?', 1) || regexp_extract(regexp_extract(target, '[^/]*$'), '(\\d{{8}})[T-](\\d{{6}})Z?', 2) AS t
     FROM named WHERE target IS NOT NULL GROUP BY target),
   pages_ AS (SELECT page_id, url, {host.format('base')} AS host, CASE WHEN trim(html) = '' THEN 'unreadable' WHEN len(links) = 0 THEN 'no_links' ELSE 'ok' END AS status, len(links) AS n FROM found),
-  hosts AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'unreadable') AS bad FROM pages_ GROUP BY host)
-SELECT 'page' AS what, url AS name, host, status AS kind, CAST(NULL AS TIMESTAMP) AS ts, page_id AS first_page, CAST(n AS BIGINT) AS n FROM pages_
-UNION ALL SELECT 'target', target, host, CASE {kinds} ELSE 'other' END, try_strptime(t, '%Y%m%d%H%M%S'), first_page, n FROM targets
-UNION ALL SELECT 'host', host, host, CASE WHEN bad >= n THEN 'error' WHEN bad > 0 AND ok > 0 THEN 'ok_with_read_errors' WHEN bad > 0 THEN 'no_hail_pixels_with_read_errors' WHEN ok = 0 THEN 'no_hail_pixels' ELSE 'ok' END, NULL, NULL, n FROM hosts"""
+  hosts AS (SELECT host, min(page_id) AS first_page, count(*) AS n, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'unreadable') AS bad FROM pages_ GROUP BY host)
+SELECT 'page' AS what, url AS name, host, status AS kind, '' AS time, page_id AS first_page, CAST(n AS BIGINT) AS n FROM pages_
+UNION ALL SELECT 'target', target, host, CASE {kinds} ELSE 'other' END, coalesce(strftime(try_strptime(t, '%Y%m%d%H%M%S'), '%Y-%m-%d %H:%M:%S'), ''), first_page, n FROM targets
+UNION ALL SELECT 'host', host, host, CASE WHEN bad >= n THEN 'error' WHEN bad > 0 AND ok > 0 THEN 'ok_with_read_errors' WHEN bad > 0 THEN 'no_hail_pixels_with_read_errors' WHEN ok = 0 THEN 'no_hail_pixels' ELSE 'ok' END, '', first_page, n FROM hosts"""
 
 
 QUERIES = {"job1_hazard_update": job1_hazard_update, "job2_page_catalog": job2_page_catalog}
