@@ -259,8 +259,18 @@ def _best(scores: np.ndarray, ids: np.ndarray, same: np.ndarray, anchors: np.nda
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _first(want: int, anchors: np.ndarray, slots: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Rows that are among the first ``want`` of their anchor and slot."""
+    order = np.lexsort((ids, ~scores, slots, anchors))
+    new = np.ones(len(order), bool)
+    new[1:] = (anchors[order][1:] != anchors[order][:-1]) | (slots[order][1:] != slots[order][:-1])
+    heads = np.flatnonzero(new)
+    place = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order))))
+    return order[place < want]
+
+
 def scanned(blocks: DataFrame, asked: DataFrame, want: int, total: int) -> DataFrame:
-    """(anchor_id, slot, vec_id, score): of every visited block the ``want`` best of each search and slot.
+    """(anchor_id, slot, vec_id, score): of the visited blocks the ``want`` best of each search and slot, a batch at a time.
 
     A task gets blocks: each comes first and is opened once, then the searches stream past it. A block that very many
     searches visit is copied, and the searches are dealt to its copies.
@@ -278,6 +288,7 @@ def scanned(blocks: DataFrame, asked: DataFrame, want: int, total: int) -> DataF
             block, copy = batch.column("block").to_numpy(), batch.column("copy").to_numpy()
             new = np.concatenate([[True], (block[1:] != block[:-1]) | (copy[1:] != copy[:-1])]) if len(block) else np.zeros(0, bool)
             cuts = np.flatnonzero(new | first).tolist()
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for a, b in zip(cuts, [*cuts[1:], len(batch)], strict=True):
                 if first[a]:
                     d = batch.column("d")[a].as_py()
@@ -291,7 +302,10 @@ def scanned(blocks: DataFrame, asked: DataFrame, want: int, total: int) -> DataF
                     low, high = (part.column(c).to_pylist() for c in ("low", "high"))
                     bands = (None, None) if low[0] is None else (low, high)
                     row, slot, at = _best(scores, ids, label[:, None] == labels[None], anchors, *bands, want)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchors[row]), pa.array(slot, pa.int32()), pa.array(ids[at]), pa.array(scores[row, at])], names=["anchor_id", "slot", "vec_id", "score"])
+                    found.append((anchors[row], slot.astype(np.int32), ids[at], scores[row, at]))
+            every = [np.concatenate(x) for x in zip(*found, strict=True)]
+            best = _first(want, *every)
+            yield pa.RecordBatch.from_arrays([pa.array(x[best]) for x in every], names=["anchor_id", "slot", "vec_id", "score"])
 
     parts = max(shuffle_count(asked.sparkSession), -(-total // TASK))
     ordered = rows.repartition(parts, "block", "copy").sortWithinPartitions("block", "copy", F.col("ids").isNull())
