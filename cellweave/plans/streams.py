@@ -27,9 +27,12 @@ def stream_persistence(t):
     frames = cells.join(cells.select("day").distinct().withColumn("frame", number), "day").select("day", "frame", *climate.CELL, "mm", F.col("mm").alias("v"))
     frames, annuli, place = keep(frames, "numbered"), kept_rings(t), folder(t.spark, "stream-persistence")
     most = frames.agg(F.max("frame")).first()[0] or 0
-    before = {k: t.spark.conf.get(k, None) for k in persistence.ROCKSDB}
+    parts = "spark.sql.shuffle.partitions"
+    keys = max(1, annuli.select("site_idx", "bin").distinct().count())  # an annulus's state is in one partition; more than annuli stay empty
+    settings = {**persistence.ROCKSDB, parts: min(keys, int(t.spark.conf.get(parts)))}
+    before = {k: t.spark.conf.get(k, None) for k in settings}
     try:
-        for k, v in persistence.ROCKSDB.items():
+        for k, v in settings.items():
             t.spark.conf.set(k, v)
         for i in range(DELIVERIES):
             frames.where((F.col("frame") > most * i // DELIVERIES) & (F.col("frame") <= most * (i + 1) // DELIVERIES)).write.mode("append").parquet(f"{place}/in")
