@@ -150,14 +150,14 @@ def simulated_cells(events: DataFrame, cells: DataFrame, rows: int, cols: int, k
 def empirical_levels(annual: DataFrame, years: int, periods: tuple[int, ...], extra: int = 0) -> DataFrame:
     """(rp, cell, mm): the annual maximum of rank max(1, int(years / rp)) in descending order, 0 past the nonzero ones.
 
-    Only the ranks asked for are kept, so the window stops at the largest. The older maps counted ranks from 0, which is
-    ``extra`` 1.
+    A cell has a value a year at most, so its window is bounded by the years, and the ranks asked for are picked where it ends.
+    The older maps counted ranks from 0, which is ``extra`` 1.
     """
     ranks = {rp: max(1, years // rp) + extra for rp in periods}
-    ranked = annual.withColumn("k", F.row_number().over(Window.partitionBy(*CELL).orderBy(F.desc("mm")))).where(F.col("k") <= max(ranks.values()))
-    asked = F.explode(F.array(*(F.struct(F.lit(rp).alias("rp"), F.lit(k).alias("k")) for rp, k in ranks.items())))
-    every = annual.select(*CELL).distinct().select(*CELL, asked.alias("x")).select(*CELL, "x.rp", "x.k")
-    return every.join(ranked, [*CELL, "k"], "left").select("rp", *CELL, F.coalesce("mm", F.lit(0.0)).alias("mm"))
+    ranked = annual.select(*CELL, "mm", F.row_number().over(Window.partitionBy(*CELL).orderBy(F.desc("mm"))).alias("k"))
+    found = ranked.groupBy(*CELL).agg(*(F.max(F.when(F.col("k") == k, F.col("mm"))).alias(f"_{rp}") for rp, k in ranks.items()))
+    asked = F.explode(F.array(*(F.struct(F.lit(rp).alias("rp"), F.coalesce(f"_{rp}", F.lit(0.0)).alias("mm")) for rp in ranks)))
+    return found.select(*CELL, asked.alias("x")).select("x.rp", *CELL, "x.mm")
 
 
 def exceedance_table(cells: DataFrame, years: int, periods: tuple[int, ...]) -> DataFrame:

@@ -58,7 +58,7 @@ def annual_max(t, years=SIM_YEARS):
 
 def levels(t, years=SIM_YEARS, periods=PERIODS):
     """Empirical levels of the periods that the simulated years can show."""
-    return simulation.empirical_levels(keep(annual_max(t, years), "sim-annual"), years, tuple(p for p in periods if p <= years))
+    return simulation.empirical_levels(annual_max(t, years), years, tuple(p for p in periods if p <= years))
 
 
 def exceedance(t, years=SIM_YEARS, periods=PERIODS):
