@@ -160,14 +160,18 @@ def empirical_levels(annual: DataFrame, years: int, periods: tuple[int, ...], ex
     return found.select(*CELL, asked.alias("x")).select("x.rp", *CELL, "x.mm")
 
 
-def exceedance_table(cells: DataFrame, years: int, periods: tuple[int, ...]) -> DataFrame:
-    """(rp, peak, peak_cells, n_cells, n_events): each column sorted on its own over the years, so a row is not one year;
-    peak_cells are the cells of the event that had the peak."""
+def yearly_extremes(cells: DataFrame) -> DataFrame:
+    """(sim_year, peak, peak_cells, n_cells, n_events) of simulated cells; peak_cells are the cells of the event that had the peak."""
     per_event = cells.groupBy("sim_year", "event_idx").agg(F.max("mm").alias("peak"), F.count_if(F.col("mm") >= 25.4).alias("n"))
-    per_year = per_event.groupBy("sim_year").agg(F.max("peak").alias("peak"), F.max_by("n", F.struct("peak", -F.col("event_idx"))).alias("peak_cells"), F.sum("n").alias("n_cells"), F.count(F.lit(1)).alias("n_events"))
-    every = cells.sparkSession.range(1, years + 1).select(F.col("id").alias("sim_year")).join(per_year, "sim_year", "left").fillna(0)
+    return per_event.groupBy("sim_year").agg(F.max("peak").alias("peak"), F.max_by("n", F.struct("peak", -F.col("event_idx"))).alias("peak_cells"), F.sum("n").alias("n_cells"), F.count(F.lit(1)).alias("n_events"))
+
+
+def exceedance_table(per_year: DataFrame, years: int, periods: tuple[int, ...]) -> DataFrame:
+    """(rp, peak, peak_cells, n_cells, n_events): each column of ``yearly_extremes`` sorted on its own over the years, so a row is
+    not one year."""
+    every = per_year.sparkSession.range(1, years + 1).select(F.col("id").alias("sim_year")).join(per_year, "sim_year", "left").fillna(0)
     asked = F.explode(F.array(*(F.struct(F.lit(rp).alias("rp"), F.lit(max(1, years // rp)).alias("k")) for rp in periods)))
-    out = cells.sparkSession.range(1).select(asked.alias("x")).select("x.*")
+    out = per_year.sparkSession.range(1).select(asked.alias("x")).select("x.*")
     for c in ("peak", "peak_cells", "n_cells", "n_events"):
         ranked = every.select(c, F.row_number().over(Window.orderBy(F.desc(c))).alias("k"))
         out = out.join(ranked, "k")

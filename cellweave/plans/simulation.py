@@ -62,7 +62,7 @@ def levels(t, years=SIM_YEARS, periods=PERIODS):
 
 
 def exceedance(t, years=SIM_YEARS, periods=PERIODS):
-    return simulation.exceedance_table(keep(sim_cells(t, years), "sim-cells"), years, tuple(p for p in periods if p <= years))
+    return simulation.exceedance_table(keep(simulation.yearly_extremes(sim_cells(t, years)), "sim-years"), years, tuple(p for p in periods if p <= years))
 
 
 @query(*BASE, SIGMA, sql="SELECT round(sigma, 6) AS sigma FROM sig")
