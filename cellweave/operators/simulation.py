@@ -14,6 +14,8 @@ MODULUS, MULTIPLIER = 2147483647, 48271
 LENGTH = 366
 #: Parts of (0, 1) by which intervals are looked up, and years that one task draws.
 PARTS, YEARS_A_TASK = 1024, 500
+#: Cells of all templates, of 16 bytes each, up to which every task gets their shapes.
+SHAPED = 2_000_000
 
 
 def uniform(year: str, event: str, draw: int, seed: int = 42) -> str:
@@ -99,11 +101,12 @@ def simulate(catalog: DataFrame, years: int, fixed_sigma: float | None = None, s
     """(sim_year, event_idx, draw_doy, template_id, scale, drow, dcol, grown) of every simulated event.
 
     The older catalogues are parameters: ``fixed_sigma`` for the intensity's deviation, ``shift_cells`` 0 for none, ``roll`` for
-    shifts of up to so many rows and columns, each as likely as the others.
+    shifts of up to so many rows and columns, each as likely as the others. A year's events are left in one task, so what is
+    summed by year, with or without event or cell, needs no exchange.
     """
-    spark = catalog.sparkSession
+    spark, tasks = catalog.sparkSession, -(-years // YEARS_A_TASK)
     rate = catalog.agg(F.count(F.lit(1)) / F.count_distinct(F.year("start_date"))).scalar()
-    events = yearly_counts(spark, rate, years).where("n > 0").repartition(-(-years // YEARS_A_TASK), "sim_year").select("sim_year", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("event_idx"))
+    events = yearly_counts(spark, rate, years).where("n > 0").repartition(tasks, "sim_year").select("sim_year", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("event_idx"))
     cdf = doy_cdf(catalog)
     steps = cdf.select(F.col("doy").alias("draw_doy"), F.coalesce(F.lag("cdf").over(Window.orderBy("doy")), F.lit(0.0)).alias("clo"), F.col("cdf").alias("chi"))
     drawn = events.withColumn("u", F.expr(uniform("sim_year", "event_idx", 1))).withColumn("_part", _part(F.col("u")))
@@ -114,11 +117,11 @@ def simulate(catalog: DataFrame, years: int, fixed_sigma: float | None = None, s
     rank = catalog.select(F.col("event_id").alias("template_id"), ((F.row_number().over(Window.orderBy("peak_hail_mm", "event_id")) - 1) / F.greatest(n - 1, F.lit(1))).alias("pct"))
     s = F.least(F.greatest(F.col("pct") * 0.15 + 0.10, F.lit(0.10)), F.greatest(F.lit(0.25), sigma(catalog).scalar()))
     s = s if fixed_sigma is None else F.lit(fixed_sigma)
-    out = picked.join(rank, "template_id").withColumn("scale", F.exp(s * F.expr(normal("sim_year", "event_idx", 3))))
+    out = picked.join(F.broadcast(rank), "template_id").withColumn("scale", F.exp(s * F.expr(normal("sim_year", "event_idx", 3))))
     shift = lambda d: F.bround(F.expr(normal("sim_year", "event_idx", d)) * shift_cells).cast("int")
     if roll is not None:
         shift = lambda d: F.expr(rolled("sim_year", "event_idx", d, roll))
-    return out.select("sim_year", "event_idx", "draw_doy", "template_id", "scale", shift(5).alias("drow"), shift(7).alias("dcol"), (F.expr(uniform("sim_year", "event_idx", 9)) < grow).alias("grown"))
+    return out.select("sim_year", "event_idx", "draw_doy", "template_id", "scale", shift(5).alias("drow"), shift(7).alias("dcol"), (F.expr(uniform("sim_year", "event_idx", 9)) < grow).alias("grown")).repartition(tasks, "sim_year")
 
 
 def rolled(year: str, event: str, draw: int, most: int) -> str:
@@ -133,18 +136,34 @@ def footprints(cells: DataFrame, damage: float, area_km2: float) -> DataFrame:
     return hit.agg(F.count(F.lit(1)).alias("n_cells"), F.max("mm").alias("max_mm"), F.avg("mm").alias("mean_mm"), (F.count(F.lit(1)) * F.lit(area_km2)).alias("footprint_km2"))
 
 
+def template_shapes(cells: DataFrame) -> DataFrame:
+    """(template_id, grown, rows, cols, mms): a template's cells in order, as they are and grown by half-intensity neighbours.
+
+    Scaling and the ceiling keep the order of intensities and halving is exact, so the greatest of a cell's intensities can be
+    taken here, once a template, and not in every event that is drawn from it.
+    """
+    shape = cells.select(F.col("event_id").alias("template_id"), *CELL, "mm")
+    shell = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(f).alias("f")) for r, c, f in ((0, 0, 1.0), (-1, 0, 0.5), (1, 0, 0.5), (0, -1, 0.5), (0, 1, 0.5))))
+    spread = shape.withColumn("x", F.explode(shell)).select("template_id", (F.col("cell_row") + F.col("x.r")).alias("cell_row"), (F.col("cell_col") + F.col("x.c")).alias("cell_col"), (F.col("mm") * F.col("x.f")).alias("mm"))
+    wide = spread.groupBy("template_id", *CELL).agg(F.max("mm").alias("mm"))
+    both = shape.withColumn("grown", F.lit(False)).unionByName(wide.withColumn("grown", F.lit(True)))
+    packed = both.groupBy("template_id", "grown").agg(F.sort_array(F.collect_list(F.struct(*CELL, "mm"))).alias("x"))
+    return packed.select("template_id", "grown", F.col("x.cell_row").alias("rows"), F.col("x.cell_col").alias("cols"), F.col("x.mm").alias("mms"))
+
+
 def simulated_cells(events: DataFrame, cells: DataFrame, rows: int, cols: int, known_only: bool = True) -> DataFrame:
     """(sim_year, event_idx, cell, mm): scaled, shifted, some grown by half-intensity neighbours, inside the grid and, where
-    ``known_only``, among the cells that were ever active."""
-    shape = cells.select(F.col("event_id").alias("template_id"), "cell_row", "cell_col", "mm")
-    joined = events.join(shape, "template_id")
-    own = F.struct(F.lit(0).alias("r"), F.lit(0).alias("c"), F.lit(1.0).alias("f"))
-    shell = [F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(0.5).alias("f")) for r, c in ((-1, 0), (1, 0), (0, -1), (0, 1))]
-    spread = joined.withColumn("x", F.explode(F.when(F.col("grown"), F.array(own, *shell)).otherwise(F.array(own))))
-    placed = spread.select("sim_year", "event_idx", (F.col("cell_row") + F.col("drow") + F.col("x.r")).alias("cell_row"), (F.col("cell_col") + F.col("dcol") + F.col("x.c")).alias("cell_col"), F.least(F.col("mm") * F.col("scale") * F.col("x.f"), F.lit(300.0)).alias("mm"))
+    ``known_only``, among the cells that were ever active.
+
+    A row an event and cell, as a shape has each cell once. Events stay in the tasks they are in, as long as the templates
+    have no more than ``SHAPED`` cells together; beyond, events meet their templates by an exchange.
+    """
+    shapes = template_shapes(cells)
+    joined = events.join(F.broadcast(shapes) if cells.count() <= SHAPED else shapes, ["template_id", "grown"])
+    spread = joined.select("sim_year", "event_idx", "scale", "drow", "dcol", "rows", "cols", F.posexplode("mms").alias("i", "mm"))
+    placed = spread.select("sim_year", "event_idx", (F.col("rows")[F.col("i")] + F.col("drow")).alias("cell_row"), (F.col("cols")[F.col("i")] + F.col("dcol")).alias("cell_col"), F.least(F.col("mm") * F.col("scale"), F.lit(300.0)).alias("mm"))
     inside = placed.where(F.col("cell_row").between(0, rows - 1) & F.col("cell_col").between(0, cols - 1))
-    inside = inside.join(cells.select(*CELL).distinct(), CELL) if known_only else inside
-    return inside.groupBy("sim_year", "event_idx", *CELL).agg(F.max("mm").alias("mm"))
+    return inside.join(F.broadcast(cells.select(*CELL).distinct()), CELL, "left_semi").select(*placed.columns) if known_only else inside
 
 
 def empirical_levels(annual: DataFrame, years: int, periods: tuple[int, ...], extra: int = 0) -> DataFrame:

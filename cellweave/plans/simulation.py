@@ -105,7 +105,7 @@ def map_simulation(t, years):
     """The second, older simulation for maps: templates stay in place, deviation 0.15."""
     catalog, cells = history(t)
     events_ = simulation.simulate(catalog, years, fixed_sigma=0.15, shift_cells=0.0, grow=0.0)
-    return keep(simulation.simulated_cells(events_, cells, ROWS, COLS).groupBy("sim_year", *climate.CELL).agg(F.max("mm").alias("mm")), "map-annual")
+    return simulation.simulated_cells(events_, cells, ROWS, COLS).groupBy("sim_year", *climate.CELL).agg(F.max("mm").alias("mm"))
 
 
 OLD = SIM.replace("exp(least(greatest(pct * 0.15e0 + 0.10e0, 0.10e0), greatest(0.25e0, (SELECT sigma FROM sig)))", "exp(0.15e0").replace("* 3, 0)", "* 0, 0)").replace(" < 0.25 AS grown", " < 0 AS grown")
