@@ -35,6 +35,9 @@ GRAM = 16
 LONGEST = 512
 #: Bytes ranked at a time; a longer document is cut, windows overlapping.
 PORTION = 1 << 19
+#: Bytes of text of a team, and open windows packed at a time and packed bytes sorted at a time; a position takes up to 60
+#: bytes while it is sorted, so neither a team's windows nor a bucket's are ever unpacked together.
+TEAM, WINDOWS, SORTED = 16 << 20, 1 << 20, 4 << 20
 #: Names of documents without a doc_id: the least numbers, by a hash of the text, so that they don't share a task. In order
 #: they are equal to each other and before all others.
 LEAST, UNNAMED = -(1 << 63), 1 << 40
@@ -137,14 +140,23 @@ def _dealt(groups: np.ndarray, doc: np.ndarray, values: list[np.ndarray], pack)
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "docs", "counts", *(f"r{i}" for i in range(len(values)))])
 
 
-def _gathered(table: pa.Table, unpack) -> tuple[np.ndarray, ...]:
-    parts = [[] for _ in range(table.num_columns - 2)]
-    for row in zip(*(table.column(i) for i in range(1, table.num_columns)), strict=True):
-        docs, counts, *values = (x.as_buffer() for x in row)
-        parts[0].append(np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(counts, np.uint32)))
-        for have, v in zip(parts[1:], values, strict=True):
-            have.append(unpack(v))
-    return tuple(np.concatenate(p) for p in parts)
+def _gathered(table: pa.Table, unpack, low: int = 0):
+    """(doc, values...) of a bucket's rows, some of the values at a time: equal first values together, told by their bits from ``low``."""
+    parts = 1 + table.nbytes // SORTED
+    for part in range(parts):
+        found: list[list] = [[] for _ in range(table.num_columns - 2)]
+        for row in zip(*(table.column(i) for i in range(1, table.num_columns)), strict=True):
+            docs, counts, *values = (x.as_buffer() for x in row)
+            doc = np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(counts, np.uint32))
+            values = [unpack(v) for v in values]
+            if parts > 1:
+                some = (values[0] >> values[0].dtype.type(low)) % values[0].dtype.type(parts) == part
+                doc, values = doc[some], [v[some] for v in values]
+            for have, x in zip(found, (doc, *values), strict=True):
+                have.append(x)
+        out = tuple(np.concatenate(x) for x in found)
+        if len(out[0]):
+            yield out
 
 
 def _order(doc: np.ndarray) -> np.ndarray:
@@ -181,6 +193,29 @@ def _by_team(teams: int, kinds: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.
     return pa.table({"team": pa.array(list(rows), pa.int32()), **{k: pa.array([r.get(k, b"") for r in rows.values()], pa.binary()) for k in KINDS}})
 
 
+def _tables(found, teams: int) -> pa.Table:
+    """The rows of ``_by_team`` for each of ``found``."""
+    return pa.concat_tables([_by_team(teams, {}), *(_by_team(teams, x) for x in found)])
+
+
+def _matched(table: pa.Table, last: bool, teams: int) -> pa.Table:
+    """Of a bucket's windows in the last round those that a smaller document has, before it those that any other has."""
+
+    def found():
+        for doc, ranks in _gathered(table, lambda v: np.frombuffer(v, "<u8" if last else "<u4"), 44 if last else 12):
+            order = np.lexsort((doc, ranks))
+            doc, ranks = doc[order], ranks[order].astype(np.uint64)
+            place = _order(doc)
+            heads = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
+            ends = np.append(heads[1:], len(ranks))
+            again = place > np.repeat(place[heads], ends - heads)
+            if not last:
+                again = np.repeat(np.logical_or.reduceat(again, heads), ends - heads)
+            yield {"repeated" if last else "shared": (doc[again], _key(doc[again], ranks[again]))}
+
+    return _tables(found(), teams)
+
+
 def _team(doc: np.ndarray, teams: int) -> np.ndarray:
     return (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(teams)).astype(np.int32)
 
@@ -248,7 +283,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
         raise ValueError(f"length must be over {GRAM} and at most {LONGEST}")
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = teams = parts_for(docs)
+    buckets, teams = parts_for(docs), parts_for(docs, most=TEAM)
     rounds = [spans(length)[:n] for n in range(2, len(spans(length)) + 1)]
 
     def rank(batches):
@@ -265,10 +300,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
                 yield _dealt(((gram >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), doc, [gram, context], _six)
 
     def settle(table: pa.Table) -> pa.Table:
-        doc, gram, context = _gathered(table, _from_six)
-        part = gram & np.uint64(7)
-        found = [_settled(doc[m], gram[m], context[m]) for m in (part == i for i in range(8)) if m.any()]
-        return _by_team(teams, {k: tuple(np.concatenate([f[k][i] for f in found]) for i in (0, 1)) for k in ("settled", "open")})
+        return _tables((_settled(*x) for x in _gathered(table, _from_six)), teams)
 
     def expand(ranked: list[int]):
         """Pack the ranks of the open windows, after the first round only of those that the round before found shared."""
@@ -277,6 +309,15 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
         def pack(key, left: pa.Table, right: pa.Table) -> pa.Table:
             ids, known, shared = left.column("id").to_numpy(), _known(right, "open"), _known(right, "shared")
             found: list[list] = [[], []]
+            packed: list[pa.RecordBatch] = []
+
+            def put() -> None:
+                doc, ranks = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found)
+                bucket = (ranks if last else ranks >> np.uint64(32)) % np.uint64(buckets)
+                packed.append(_dealt(bucket.astype(np.int32), doc.astype(np.int64), [ranks], lambda v: v.astype("<u8" if last else "<u4").tobytes()))
+                for x in found:
+                    x.clear()
+
             for column_ids, column in _chunks(left, ids):
                 for a, data, offsets in _portions(column):
                     for _, piece, ends in _pieces(data, offsets, length):
@@ -290,28 +331,15 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
                             which, start = which[before], start[before]
                         found[0].append(name[some][which])
                         found[1].append(_rank(rolling, start, ranked))
-            doc, ranks = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found)
-            bucket = (ranks if last else ranks >> np.uint64(32)) % np.uint64(buckets)
-            return pa.Table.from_batches([_dealt(bucket.astype(np.int32), doc.astype(np.int64), [ranks], lambda v: v.astype("<u8" if last else "<u4").tobytes())])
+                    if sum(map(len, found[0])) >= WINDOWS:
+                        put()
+            put()
+            return pa.Table.from_batches(packed)
 
         return pack
 
     def match(last: bool):
-        """In the last round the windows that a smaller document has, before it those that any other document has."""
-
-        def sort(table: pa.Table) -> pa.Table:
-            doc, ranks = _gathered(table, lambda v: np.frombuffer(v, "<u8" if last else "<u4"))
-            order = np.lexsort((doc, ranks))
-            doc, ranks = doc[order], ranks[order].astype(np.uint64)
-            place = _order(doc)
-            heads = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
-            ends = np.append(heads[1:], len(ranks))
-            again = place > np.repeat(place[heads], ends - heads)
-            if not last:
-                again = np.repeat(np.logical_or.reduceat(again, heads), ends - heads)
-            return _by_team(teams, {"repeated" if last else "shared": (doc[again], _key(doc[again], ranks[again]))})
-
-        return sort
+        return lambda table: _matched(table, last, teams)
 
     def remove(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("id").to_numpy()
