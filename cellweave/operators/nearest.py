@@ -18,7 +18,7 @@ from cellweave.functions import grid
 
 #: Sites of a leaf at most, levels of halving a step for sites and for places, and the finest levels.
 LEAF, STEP, TILE_STEP, DEEPEST, TILE_DEEPEST = 16, 3, 4, 21, 12
-#: Up to so many sites, 100 KB, every place is compared with all of them in the task instead.
+#: Up to so many positions of sites, 100 KB, every place is compared with all of them in the task instead.
 FEW = 4096
 #: Chords that differ by less are ties: 2e-6 km, and rounding.
 SLACK = 2e-6 / grid.EARTH_KM + 1e-12
@@ -58,11 +58,11 @@ def nearest_site(cells: DataFrame, sites: DataFrame, lat: Column, lon: Column, k
     count as the least index. ``keep(df, name)`` writes what several steps read.
     """
     some = sites.where("site_idx is not null and site_lat is not null and site_lon is not null")
-    few = some.limit(FEW + 1).select("site_idx", "site_lat", "site_lon").orderBy("site_idx").collect()  # bounded by the limit
+    held = some.groupBy(F.col("site_lat").cast("double").alias("site_lat"), F.col("site_lon").cast("double").alias("site_lon")).agg(F.min("site_idx").alias("site_idx"))
+    few = held.limit(FEW + 1).select("site_idx", "site_lat", "site_lon").orderBy("site_idx").collect()  # bounded by the limit
     if len(few) <= FEW:
         return cells.withColumn("_near", _of_few(few, lat.cast("double"), lon.cast("double"))).select(*cells.columns, F.col("_near.site_idx").alias("site_idx"), F.col("_near.km").alias("km"))
     places = keep(cells.select(lat.cast("double").alias("lat"), lon.cast("double").alias("lon")).where("lat is not null and lon is not null").distinct(), "places")
-    held = some.groupBy(F.col("site_lat").cast("double").alias("site_lat"), F.col("site_lon").cast("double").alias("site_lon")).agg(F.min("site_idx").alias("site_idx"))
     held = keep(held.select("*", *on_sphere(F.col("site_lat"), F.col("site_lon"))), "site-places")
     found = _compared(places, held, keep)
     named = cells.withColumn("_lat", lat.cast("double")).withColumn("_lon", lon.cast("double"))
@@ -93,13 +93,13 @@ def _of_few(sites: list, lat: Column, lon: Column) -> Column:
 
 def _compared(places: DataFrame, sites: DataFrame, keep) -> DataFrame:
     """(lat, lon, best) of the places, best of least (km, site_idx)."""
-    km = F.round(grid.haversine_km(F.col("lat"), F.col("lon"), F.col("site_lat"), F.col("site_lon")), 6)
-    least = F.min(F.struct(km.alias("km"), "site_idx")).alias("best")
+    km = lambda lat, lon: F.round(grid.haversine_km(F.col("lat"), F.col("lon"), lat, lon), 6)
     levels = list(range(0, DEEPEST + 1, STEP))
     crowd = sites.select(F.posexplode(F.array(*(cube(n) for n in levels))).alias("step", "node")).groupBy("step", "node").agg(F.count(F.lit(1)).alias("n"))
     crowd = keep(crowd, "site-cubes")
     most = {r.step: r.most for r in crowd.groupBy("step").agg(F.max("n").alias("most")).collect()}  # a row a level
     if most.get(0, 0) <= LEAF:
+        least = F.min(F.struct(km(F.col("site_lat"), F.col("site_lon")).alias("km"), "site_idx")).alias("best")
         return places.join(F.broadcast(sites)).groupBy("lat", "lon").agg(least)  # at most LEAF sites
     depth = next((k for k in range(len(levels)) if most[k] <= LEAF), len(levels) - 1)
     last = F.lit(depth)
@@ -119,8 +119,11 @@ def _compared(places: DataFrame, sites: DataFrame, keep) -> DataFrame:
     own = sites.select("*", F.posexplode(F.array(*(cube(n) for n in levels[: depth + 1]))).alias("step", "node")).join(nodes.where("leaf"), ["step", "node"])
     first = Window.partitionBy("site_lat", "site_lon").orderBy("step")
     leaves = own.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("step", "node", "site_idx", "site_lat", "site_lon")
-    asked = pairs.join(leaves, ["step", "node"]).select("tile", "site_idx", "site_lat", "site_lon")
-    return tiled.select("lat", "lon", F.col(f"t{depth}").alias("tile")).join(asked, "tile").groupBy("lat", "lon").agg(least)
+    asked = pairs.join(leaves, ["step", "node"]).groupBy("tile").agg(F.collect_list(F.struct("site_idx", "site_lat", "site_lon")).alias("near"))
+    # a place stays one row, so that no task sorts places by candidates, and the tiles are dealt over all tasks however small
+    spread = tiled.select("lat", "lon", F.col(f"t{depth}").alias("tile")).repartition(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile")
+    best = F.array_min(F.transform("near", lambda x: F.struct(km(x["site_lat"], x["site_lon"]).alias("km"), x["site_idx"].alias("site_idx"))))
+    return spread.join(asked, "tile").select("lat", "lon", best.alias("best"))
 
 
 def _parent(node: str, levels: int) -> Column:
