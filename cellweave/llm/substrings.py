@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, slices, small_batches, stash, text_bytes, whole
+from .common import parts_for, shuffle_count, slices, small_batches, stash, text_bytes, whole
 from .words import Rolling, mix
 
 GRAM = 16
@@ -283,7 +283,8 @@ def repeated_substrings(docs: DataFrame, length: int = 50, kept_bytes: bool = Tr
         raise ValueError(f"length must be over {GRAM} and at most {LONGEST}")
     spark = docs.sparkSession
     small_batches(spark)
-    buckets, teams = parts_for(docs), parts_for(docs, most=TEAM)
+    teams = parts_for(docs, most=TEAM)
+    buckets = max(shuffle_count(spark), -(-teams // 4))
     rounds = [spans(length)[:n] for n in range(2, len(spans(length)) + 1)]
 
     def rank(batches):
